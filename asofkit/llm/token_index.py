@@ -1,6 +1,7 @@
 """Token-ID output: raw id shards with a minimal perfect hash index for constant-time keyed access.
 
-A shard is two files. `<shard>.ids` holds little-endian unsigned 32-bit ids, documents one after another in key order.
+A shard is two files. `<shard>.ids` holds little-endian unsigned ids (of 16 bits where the vocabulary fits, else of 32),
+documents one after another in key order.
 `<shard>.idx` holds a JSON header line and raw arrays: the levels of the perfect hash, and by hash slot a key
 fingerprint, the document's first id and its number of ids; last, the keys in file order.
 """
@@ -112,6 +113,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaces
         name, mine = f"shard-{task.partitionId():06d}", f".{task.taskAttemptId()}.tmp"
         fs, root = file_system(path)
         coder, keys, nulls, sizes = encoder(tokenizer, spaces), [], [], []
+        kind = "<u2" if max(end_id, len(coder.opens) - 1) < 1 << 16 else "<u4"
         fs.create_dir(root, recursive=True)
         end = np.array([end_id], "<u4")
         with fs.open_output_stream(f"{root}/{name}.ids{mine}") as sink:
@@ -120,7 +122,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaces
                     part = batch.slice(a, b - a)
                     ids, start = coder.encode(part.column(1))
                     n = np.diff(start)
-                    sink.write(np.insert(ids, start[1:], end[0]).astype("<u4").tobytes())
+                    sink.write(np.insert(ids, start[1:], end[0]).astype(kind).tobytes())
                     keys.append(np.asarray(part.column(0).fill_null(0), np.int64))
                     nulls.append(np.asarray(part.column(0).is_null()))
                     sizes.append(n + 1)
@@ -135,7 +137,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaces
             return out
 
         arrays = {"sizes": perfect.sizes, "words": perfect.words, "fingerprint": place(fingerprints(h), np.uint32), "start": place(np.cumsum(n) - n, np.int64), "length": place(n, np.int64), "key": k, "null": z.astype(np.uint8)}
-        head = json.dumps({"format": 1, "arrays": [[a, v.dtype.str, len(v)] for a, v in arrays.items()]})
+        head = json.dumps({"format": 1, "ids": kind, "arrays": [[a, v.dtype.str, len(v)] for a, v in arrays.items()]})
         with fs.open_output_stream(f"{root}/{name}.idx{mine}") as sink:
             sink.write(head.encode() + b"\n" + b"".join(v.tobytes() for v in arrays.values()))
         for kind in ("ids", "idx"):  # attempts of one task write the same content, so the last may win
@@ -153,11 +155,12 @@ class Shard:
         with fs.open_input_stream(f"{root}/{name}.idx") as f:
             raw = f.read()
         head, _, body = raw.partition(b"\n")
-        at = 0
-        for a, kind, n in json.loads(head)["arrays"]:
+        head, at = json.loads(head), 0
+        for a, kind, n in head["arrays"]:
             v = np.frombuffer(body, np.dtype(kind), n, at)
             setattr(self, a, v)
             at += v.nbytes
+        self.kind = np.dtype(head["ids"])
         self.perfect = PerfectHash(self.sizes, self.words)
         self.file, self.block, self.held = fs.open_input_file(f"{root}/{name}.ids"), block, (0, b"")
 
@@ -170,18 +173,18 @@ class Shard:
         safe = np.where(ok, slot, 0)
         return (np.where(ok, self.start[safe], -1), np.where(ok, self.length[safe], -1)) if len(self.start) else (slot, slot)
 
-    def ids(self, start: int, length: int) -> bytes:
-        """Raw ids of a document."""
-        a, n = 4 * int(start), 4 * int(length)
+    def ids(self, start: int, length: int) -> np.ndarray:
+        """The ids of a document, as unsigned 32-bit integers."""
+        a, n = self.kind.itemsize * int(start), self.kind.itemsize * int(length)
         at, data = self.held
         if not at <= a <= a + n <= at + len(data):
             self.file.seek(a)
             self.held = at, data = a, self.file.read(max(n, self.block))
-        return data[a - at : a - at + n]
+        return np.frombuffer(data, self.kind, int(length), a - at).astype("<u4")
 
     def get(self, key: int, turn: int = 0) -> np.ndarray | None:
         start, n = self.find(np.array([key]), np.zeros(1, bool), np.array([turn]))
-        return None if n[0] < 0 else np.frombuffer(self.ids(start[0], n[0]), "<u4")
+        return None if n[0] < 0 else self.ids(start[0], n[0])
 
 
 def read_shards(manifest: DataFrame, path: str) -> DataFrame:
