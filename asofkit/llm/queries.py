@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, token_index
+from . import langid, mixing, packing, token_index, toxicity, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -17,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.curriculum_mix(table(spark, sf_dir, "documents"))
     return mixing.by_position(mixed).drop("copies")
@@ -60,9 +68,31 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), window=2048, end_id=1, with_ids=False)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.round_trip(table(spark, sf_dir, "pages"), with_payload=False)
+    page = lambda c: F.regexp_extract(c, r"^<urn:capture:(-?\d*):", 1)
+    return captures.select(
+        F.col("metadata.fields")["pageId"].cast("long").alias("page_id"),
+        F.col("metadata.fields")["payloadLength"].cast("long").alias("payload_bytes"),
+        F.coalesce("response.payload_digest", "response.header_digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        F.nullif(page("response.refers_to"), F.lit("")).cast("long").alias("refers_to"),
+    )
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    found = toxicity.score_documents(docs, model, threshold=0.7)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_mixing": op3_mixing,
     "op5_token_output": op5_token_output,
     "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLES = {"op3_mixing": OP3_SQL}
