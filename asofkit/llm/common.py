@@ -176,3 +176,19 @@ def set_shingles(words: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np.n
 def crc_fold(name: str, divisor: int):
     """crc32 of the id as text, modulo the divisor: the fold column of the learning contracts."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % divisor
+
+
+def join_spread(big: DataFrame, small: DataFrame, key: str, n: str, value: str) -> DataFrame:
+    """Left join of big with small (key, n, value) by a long key, small having one row per key and n big's rows of it.
+
+    Keys with more than a 2000th of all rows (so fewer than 2000 of them) are looked up by broadcast and their rows
+    dealt out at random in the shuffle, so no key lands in one task. The value column is added to big. small must be a
+    written table, as it is read several times.
+    """
+    total = small.agg(F.sum(n)).first()[0] or 0
+    heavy = small.where(F.col(n) > max(1000, total // 2000)).select(F.col(key).alias("_hk"), F.col(value).alias("_hv"))
+    light = small.select(F.col(key).alias("_lk"), F.col(value).alias("_lv"))
+    dealt = big.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
+    dealt = dealt.withColumn("_jk", F.when(F.col("_hk").isNull(), F.col(key)).otherwise((F.rand(7) * 2**62).cast("long")))
+    joined = dealt.join(light, F.col("_jk") == F.col("_lk"), "left")
+    return joined.withColumn(value, F.when(F.col("_hk").isNotNull(), F.col("_hv")).otherwise(F.col("_lv"))).drop("_hk", "_hv", "_jk", "_lk", "_lv")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, token_index, toxicity, warc
+from . import langid, linededup, mixing, packing, token_index, toxicity, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -87,6 +87,36 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_repeated_runs(table(spark, sf_dir, "documents"), min_words=50).select("doc_id", "text", "lines_removed")
+
+
+OP9_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+), counted AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM cut
+), lines AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS j, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM counted WHERE words > 0
+), parts AS (
+  SELECT a.doc_id, a.j AS s, min(b.j) AS e FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.j >= a.j AND b.upto - a.upto + a.words >= 50 GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.j) AS s, b.j AS e FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.j >= a.j AND b.upto - a.upto + a.words >= 50 GROUP BY b.doc_id, b.j
+), contents AS (
+  SELECT p.doc_id, p.s, p.e, md5(string_agg(l.line, chr(10) ORDER BY l.j)) AS content FROM parts p JOIN lines l ON l.doc_id = p.doc_id AND l.j BETWEEN p.s AND p.e GROUP BY ALL
+), later AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS turn FROM contents) WHERE turn > 1
+), gone AS (
+  SELECT DISTINCT l.doc_id, l.pos FROM later p JOIN lines l ON l.doc_id = p.doc_id AND l.j BETWEEN p.s AND p.e
+), kept AS (
+  SELECT c.doc_id, string_agg(c.line, chr(10) ORDER BY c.pos) FILTER (WHERE g.pos IS NULL) AS text, count(g.pos) AS lines_removed
+  FROM cut c LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.pos = c.pos GROUP BY c.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(k.lines_removed, 0)::BIGINT AS lines_removed
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_mixing": op3_mixing,
@@ -94,5 +124,6 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
+    "op9_line_dedup": op9_line_dedup,
 }
-ORACLES = {"op3_mixing": OP3_SQL}
+ORACLES = {"op3_mixing": OP3_SQL, "op9_line_dedup": OP9_SQL}
