@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, packing, token_index, toxicity, warc
+from . import langid, linededup, mixing, ngram_join, packing, token_index, toxicity, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -117,6 +117,10 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_mixing": op3_mixing,
@@ -125,5 +129,6 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLES = {"op3_mixing": OP3_SQL, "op9_line_dedup": OP9_SQL}
