@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, ngram_join, packing, token_index, toxicity, warc
+from . import langid, linededup, mixing, ngram_join, packing, permutation_index, token_index, toxicity, vector_dedup, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -121,9 +121,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
+
+
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), similarity=0.9)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_nearest": op2_nearest,
     "op3_mixing": op3_mixing,
+    "op4_vector_dedup": op4_vector_dedup,
     "op5_token_output": op5_token_output,
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
