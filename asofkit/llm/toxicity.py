@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices_by_bytes, small_batches
+from .common import crc_fold, materialise, slices_by_bytes, small_batches
 
 #: Characters trimmed from words, and those of them that mark quotation.
 QUOTES = "\"“”„«»‹›‘’"
@@ -29,25 +29,24 @@ WINDOW = 6
 
 
 class Trie:
-    """A lexicon trie; match() runs the Levenshtein automaton of a word through it.
+    """A trie of (term, number); match() runs the Levenshtein automaton of a word through it."""
 
-    terms: (text, is_stem). A stem matches words that open with it (or with a misspelling of it).
-    """
-
-    def __init__(self, terms: list[tuple[str, bool]]) -> None:
-        self.terms, self.next, self.ends = terms, [{}], [[]]
-        for i, (text, _) in enumerate(terms):
+    def __init__(self, terms: list[tuple[str, int]]) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[str, int] | None] = [None]
+        for text, number in terms:
             node = 0
             for c in text:
                 if c not in self.next[node]:
                     self.next[node][c] = len(self.next)
                     self.next.append({})
-                    self.ends.append([])
+                    self.ends.append(None)
                 node = self.next[node][c]
-            self.ends[node].append(i)
+            self.ends[node] = (text, number)
 
     def match(self, word: str, most: int) -> tuple[int, int] | None:
-        """The nearest term within `most` edits (insert, delete, replace) and its distance; ties to the longest term.
+        """Number of the nearest term within `most` edits (insert, delete, replace) and the term's own allowance, and
+        its distance; ties to the longest term.
 
         The automaton's state after each trie letter is the row of edit distances to all openings of the word; branches
         whose row exceeds the bound are cut.
@@ -56,11 +55,10 @@ class Trie:
         stack = [(0, list(range(len(word) + 1)))]
         while stack:
             node, row = stack.pop()
-            for i in self.ends[node]:
-                text, stem = self.terms[i]
-                d = min(row) if stem else row[-1]
-                if d <= min(most, allowed(len(text), stem)) and (best is None or (d, -len(text), i) < best):
-                    best = (d, -len(text), i)
+            if end := self.ends[node]:
+                text, number = end
+                if row[-1] <= min(most, allowed(len(text))) and (best is None or (row[-1], -len(text), number) < best):
+                    best = (row[-1], -len(text), number)
             for c, child in self.next[node].items():
                 new = [row[0] + 1]
                 for j, w in enumerate(word):
@@ -70,9 +68,9 @@ class Trie:
         return None if best is None else (best[2], best[0])
 
 
-def allowed(length: int, stem: bool) -> int:
+def allowed(length: int) -> int:
     """Edits that a term of this length may bear."""
-    return 0 if stem or length < 5 else 1 if length < 9 else 2
+    return 0 if length < 5 else 1 if length < 9 else 2
 
 
 @dataclass
@@ -89,46 +87,53 @@ class Matcher:
     """Finds lexicon hits in batches of texts; words that cannot be near a term are told apart by their ends."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.trie = model, Trie(model.terms)
+        self.model, self.number = model, {t: i for i, (t, _) in enumerate(model.terms)}
+        self.trie = Trie([(t, i) for i, (t, stem) in enumerate(model.terms) if not stem and allowed(len(t))])
         self.known: dict[str, tuple[int, int] | None] = {}
         words = [t for t, stem in model.terms if not stem]
-        near = [t for t in words if allowed(len(t), False)]
         self.exact = pa.array(words, pa.string())
         self.stems = {n: pa.array([t for t, stem in model.terms if stem and len(t) == n], pa.string()) for n in STEMS}
-        # A word within one edit of a term keeps its first two or its last letters; within two edits, else a middle part.
-        self.heads = pa.array(sorted({t[:2] for t in near}), pa.string())
-        self.tails = pa.array(sorted({t[-3:] for t in near}), pa.string())
-        self.middles = sorted({t[k : k + 2] for t in near if len(t) >= 9 for k in range(2, len(t) - 3, 2)})
-        self.lengths = sorted({n for t in near for n in range(len(t) - allowed(len(t), False), len(t) + allowed(len(t), False) + 1)})
+        # Of a term cut into one part more than the edits it may bear, a word within reach keeps at least one part: the
+        # first at its start, the last at its end, or a middle one somewhere.
+        self.near: list[tuple[int, int, int, pa.Array, pa.Array, str]] = []
+        for length in sorted({len(t) for t in words if allowed(len(t))}):
+            d, some = allowed(length), [t for t in words if len(t) == length]
+            h = length // (d + 1)
+            heads, tails = ({t[:h] for t in some}, {t[length - h :] for t in some})
+            middle = "|".join(sorted({_literal(t[h * k : h * (k + 1)]) for t in some for k in range(1, d)}))
+            self.near.append((length, d, h, pa.array(sorted(heads), pa.string()), pa.array(sorted(tails), pa.string()), middle))
 
     def candidates(self, words: pa.Array) -> np.ndarray:
-        """Which distinct words need the automaton."""
-        has = lambda values, terms: np.asarray(pc.is_in(values, value_set=terms)) if len(terms) else np.zeros(len(words), bool)
-        out = has(words, self.exact)
-        for n, stems in self.stems.items():
-            out |= has(pc.utf8_slice_codeunits(words, 0, n), stems)
-        fits = np.isin(np.asarray(pc.utf8_length(words)), self.lengths)
-        some = words.filter(pa.array(fits))
-        if len(some):
-            close = np.asarray(pc.is_in(pc.utf8_slice_codeunits(some, 0, 2), value_set=self.heads))
-            close |= np.asarray(pc.is_in(pc.utf8_slice_codeunits(some, -3), value_set=self.tails))
-            if self.middles:
-                long = np.asarray(pc.utf8_length(some)) >= 7
-                close[long] |= np.asarray(pc.match_substring_regex(some.filter(pa.array(long)), "|".join(map(_literal, self.middles))))
-            out[np.flatnonzero(fits)[close]] = True
+        """Which distinct words may be a misspelled term, and so need the automaton."""
+        out, size = np.zeros(len(words), bool), np.asarray(pc.utf8_length(words))
+        has = lambda values, terms: np.asarray(pc.is_in(values, value_set=terms))
+        for length, d, h, heads, tails, middle in self.near:
+            fits = np.flatnonzero(np.abs(size - length) <= d)
+            some = words.take(pa.array(fits))
+            close = has(pc.utf8_slice_codeunits(some, 0, h), heads) | has(pc.utf8_slice_codeunits(some, -h), tails)
+            if middle and len(some):
+                close |= np.asarray(pc.match_substring_regex(some, middle))
+            out[fits[close]] = True
         return out
 
     def hits(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Term (or -1) and distance of each distinct word."""
+        """Term (or -1) and distance of each distinct word: the word itself, else a stem that opens it, else the
+        automaton's nearest term."""
         term, far = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
         if not self.model.terms:
             return term, far
-        at = np.flatnonzero(self.candidates(words))
+        for values, terms in [(words, self.exact), *((pc.utf8_slice_codeunits(words, 0, n), t) for n, t in self.stems.items())]:
+            if len(terms):
+                at = np.asarray(pc.fill_null(pc.index_in(values, value_set=terms), -1), np.int64)
+                new = (at >= 0) & (term < 0)
+                numbers = np.array([self.number[t] for t in terms.to_pylist()])
+                term[new] = numbers[at[new]]
+        at = np.flatnonzero(self.candidates(words) & (term < 0))
         if len(self.known) > 200_000:
             self.known = {}
         for i, w in zip(at.tolist(), words.take(pa.array(at)).to_pylist(), strict=True):
             if w not in self.known:
-                self.known[w] = self.trie.match(w[:64], 2)
+                self.known[w] = self.trie.match(w, 2 if len(w) >= 7 else 1)
             if self.known[w]:
                 term[i], far[i] = self.known[w]
         return term, far
@@ -232,12 +237,12 @@ def _counted(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...]) -> dict[
     return found
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (8000, 16000), lexicon: int = 2000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (8000, 16000), lexicon: int = 500, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learn from at most sample[0] toxic and sample[1] other labelled documents, chosen by a hash of their key.
 
-    A term enters the lexicon if at least 4 toxic documents of the sample hold it and it is at least 20 times as
-    frequent among toxic documents as among others; at most `lexicon` terms, strongest first. Repeated labels of a key
-    count once, as toxic if any is. Rows without key, label or text teach nothing.
+    A term enters the lexicon if at least 4 (and 1 in 100) of the sample's toxic texts hold it and it is at least 20
+    times as frequent among them as among the others; at most `lexicon` terms, strongest first. Equal texts of a label
+    count once, so do repeated labels of a key (toxic if any is). Rows without key, label or text teach nothing.
     """
     spark = docs.sparkSession
     small_batches(spark, 256)
@@ -245,6 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (8000, 1
     turn = known.withColumn("turn", F.xxhash64("id"))
     chosen = turn.where("toxic = 1").orderBy("turn", "id").limit(sample[0]).unionByName(turn.where("toxic = 0").orderBy("turn", "id").limit(sample[1]))
     rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("id")).select("toxic", F.col(text).cast("string").alias("text"))
+    rows = materialise(rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["toxic", "h"]).drop("h"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _counted(batches, (0, *STEMS))
@@ -262,20 +268,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (8000, 1
         rows.mapInArrow(count, "kind int, term string, bad long, good long")
         .groupBy("kind", "term")
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .where((F.col("bad") >= 4) & (rate >= 20))
+        .where((F.col("bad") >= max(4, 0.01 * n_bad)) & (rate >= 20))
         .withColumn("strength", F.col("bad") * F.log(rate))
         .orderBy(F.desc("strength"), "kind", "term")
         .limit(lexicon)
         .collect()
     )
     model = Model()
-    words = {r.term: r.bad for r in strong if not r.kind}
+    # A stem must stand for more documents than any word that it opens, and then stands for those words and longer stems.
+    words = [(r.term, r.bad) for r in strong if not r.kind]
+    stems: dict[str, int] = {}
+    for r in sorted((r for r in strong if r.kind), key=lambda r: (r.kind, r.term)):
+        covered = any(r.term[:n] in stems and r.bad <= 1.2 * stems[r.term[:n]] for n in STEMS if n < r.kind)
+        if not covered and r.bad > 1.2 * max((n for w, n in words if w.startswith(r.term)), default=0):
+            stems[r.term] = r.bad
     for r in strong:
-        # A stem must stand for more documents than the words of the lexicon that it opens.
-        if r.kind and r.bad <= 1.2 * sum(n for w, n in words.items() if w.startswith(r.term)):
-            continue
-        model.terms.append((r.term, bool(r.kind)))
-        model.weights.append(math.log((r.bad / n_bad) / ((r.good + 0.2) / n_good)))
+        if r.term in stems if r.kind else not any(r.term[:n] in stems for n in STEMS):
+            model.terms.append((r.term, bool(r.kind)))
+            model.weights.append(math.log((r.bad / n_bad) / ((r.good + 0.2) / n_good)))
     _learn_windows(rows, model)
     _learn_regression(rows, model)
     return model
@@ -353,6 +363,24 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, key:
     return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int, hits array<string>")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """docs without the rows whose whole text scores at least the threshold; all columns and other rows stay as they are."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        matcher = Matcher(m)
+        for batch in batches:
+            for a, b in slices_by_bytes(batch.column(at), 4 << 20):
+                part = batch.slice(a, b - a)
+                value = 1 / (1 + np.exp(-np.clip(features(find_hits(part.column(at), matcher), b - a, m) @ m.coefficients, -30, 30)))
+                yield part.filter(pa.array(value < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(key: str = "doc_id", folds: int = 3, fold: int = 1):
     """Whether a document belongs to the fold that training leaves out; a null key does not."""
     return F.coalesce(crc_fold(key, folds) == fold, F.lit(False))
