@@ -42,7 +42,8 @@ def position_of(share: Column, slope: Column) -> Column:
 
 
 def curriculum_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, schedules: tuple[tuple[float, float], ...] = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5)), seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, position, copies, and the columns in keep.
+    """One row per document: doc_id, size, source_size, target, taken, position, copies, and kept (the columns in keep, as
+    a struct).
 
     size counts the words of the whole text (null: 0). taken counts words the mix takes of the document over all
     epochs; copies holds (epoch, words, position) of each epoch that takes some, position the first of them (null if
@@ -93,7 +94,7 @@ def curriculum_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: i
         F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c["words"]).alias("taken"),
         F.get("copies", F.lit(0))["position"].alias("position"),
         "copies",
-        *(F.col("kept")[c].alias(c) for c in keep if c != "doc_id"),
+        *(["kept"] if keep else []),
     )
 
 
@@ -107,3 +108,8 @@ def training_order(mixed: DataFrame) -> DataFrame:
     columns = [c for c in mixed.columns if c not in ("position", "copies")]
     each = mixed.select(*columns, F.explode("copies").alias("copy")).select(*columns, "copy.epoch", "copy.words", "copy.position")
     return each.repartitionByRange("position", "doc_id", "epoch").sortWithinPartitions("position", "doc_id", "epoch")
+
+
+def first_words(text: Column, words: Column) -> Column:
+    """The first words of a text, joined by single spaces."""
+    return F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, words.cast("int")), " ")

@@ -3,14 +3,64 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
-#: The stages hold learned models and tokenizers, which SQL cannot express.
+from asofkit.llm import linededup, mixing, ngram_join, packing, toxicity
+from asofkit.llm.common import WORD, materialise
+from asofkit.llm.queries import table, tokenizer_path
+
+
+def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of documents, with n_chars following the text."""
+    return docs.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in columns))
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn from all labels; documents that score 0.7 or more go."""
+    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs of 50 words or more leave the texts; documents of nothing else go."""
+    cut = linededup.drop_repeated_runs(docs, min_words=50)
+    return _with_text(cut.where((F.col("lines_removed") == 0) | F.regexp_like("text", F.lit(WORD))), docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one of smallest id stays, and of repeated rows one."""
+    gone = ngram_join.similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    return left.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per copy that the mix takes, in training order; a source's last copy is cut to the words it gives."""
+    mixed = mixing.curriculum_mix(docs, keep=tuple(docs.columns))
+    copies = mixing.training_order(mixed)
+    text = F.when(F.col("words") < F.col("size"), mixing.first_words(F.col("kept.text"), F.col("words"))).otherwise(F.col("kept.text"))
+    return _with_text(copies.select(*(text.alias(c) if c == "text" else F.col("kept")[c].alias(c) for c in docs.columns)), docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), window=2048, end_id=1)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_documents),
+    ("mixing sources", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The stages hold a learned model and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages one after another over documents, each result but the last written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
