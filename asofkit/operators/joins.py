@@ -52,7 +52,7 @@ def event_window_features(signals: DataFrame, events: DataFrame, key: str, days:
     e = events.select(key, F.col("date").alias("_d"), F.col(actor).alias("_a")).withColumn("_b", bucket(F.col("_d")))
     near = (F.col("_d") < F.col("signal_date")) & (F.col("_d") >= F.date_sub("signal_date", days))
     found = s.join(e, [key, "_b"]).where(near).groupBy(key, "signal_date").agg(F.count("*").alias("n"), F.count_distinct("_a").alias("actors"), F.max("_d").alias("latest"))
-    return signals.join(found, [key, "signal_date"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("actors", F.coalesce("actors", F.lit(0))).withColumn("any", F.col("n") > 0)
+    return signals.join(found, [key, "signal_date"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("actors", F.coalesce("actors", F.lit(0))).withColumn("seen", F.col("n") > 0)
 
 
 def session_offset(events: DataFrame, bars: DataFrame, k: int, values: list[str]) -> DataFrame:

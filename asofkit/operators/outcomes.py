@@ -37,7 +37,7 @@ def label_fixed(events: DataFrame, bars: DataFrame, h: int, break_at: float, lar
     event whose path is shorter is CENSORED. A temporary fall must have recovered by the end."""
     path = F.collect_list(F.struct("close")).over(SERIES.rowsBetween(1, h))
     paths = bars.select("entity", "date", F.col("close").alias("base"), F.transform(path, lambda x: x["close"]).alias("path"))
-    joined = events.join(paths, ["entity", "date"]).withColumn("low", F.array_min("path") / F.col("base") - 1).withColumn("high", F.array_max("path") / F.col("base") - 1).withColumn("end", F.element_at("path", -1) / F.col("base") - 1)
+    joined = events.join(paths, ["entity", "date"]).withColumn("low", F.array_min("path") / F.col("base") - 1).withColumn("high", F.array_max("path") / F.col("base") - 1).withColumn("end", F.try_element_at("path", F.lit(-1)) / F.col("base") - 1)
     label = (
         F.when(F.size("path") < h, "CENSORED").when(F.col("low") <= break_at, "BREAK").when(F.col("low") <= large_at, "LARGE")
         .when((F.col("low") <= temporary_at) & (F.col("end") >= 0), "TEMPORARY").when(F.col("high") >= rise_at, "CONTINUATION").otherwise("UNRESOLVED")
