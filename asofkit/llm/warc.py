@@ -153,7 +153,8 @@ def assemble_captures(files: DataFrame, path: str, with_payload: bool = True) ->
     main = read("response", "revisit").select(F.col("record_id").alias("capture_id"), F.struct("record_type", "refers_to", "target_uri", "date", "header_digest", "http_header", "payload_bytes", "payload_digest", "payload").alias("response"))
     asked = read("request").select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "http_header").alias("request"))
     noted = read("metadata").select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "fields").alias("metadata"))
-    return main.join(asked, "capture_id", "left").join(noted, "capture_id", "left")
+    # The readers' output is far larger than the list of files that Spark would judge it by: no broadcast.
+    return main.join(asked.hint("merge"), "capture_id", "left").join(noted.hint("merge"), "capture_id", "left")
 
 
 def round_trip(pages: DataFrame, path: str | None = None, min_bytes: int = 0, with_payload: bool = True) -> DataFrame:
