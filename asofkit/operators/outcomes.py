@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import SERIES
+from .windows import series
 
 
 def replay_outcomes(events: DataFrame, bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
@@ -14,10 +14,10 @@ def replay_outcomes(events: DataFrame, bars: DataFrame, horizons: tuple[int, ...
 
     Every bar's forward extremes are computed once by window frames, so events join by equality and no path is copied.
     """
-    cols = [F.lead("open", 1).over(SERIES).alias("entry")]
+    cols = [F.lead("open", 1).over(series()).alias("entry")]
     for h in horizons:
-        ahead = SERIES.rowsBetween(1, h)
-        cols += [F.lead("close", h).over(SERIES).alias(f"c{h}"), F.max("high").over(ahead).alias(f"h{h}"), F.min("low").over(ahead).alias(f"l{h}")]
+        ahead = series().rowsBetween(1, h)
+        cols += [F.lead("close", h).over(series()).alias(f"c{h}"), F.max("high").over(ahead).alias(f"h{h}"), F.min("low").over(ahead).alias(f"l{h}")]
     forward = bars.select("entity", "date", *cols)
     joined = events.join(forward, ["entity", "date"])
     each = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"c{h}").alias("c"), F.col(f"h{h}").alias("h"), F.col(f"l{h}").alias("l")) for h in horizons)))
@@ -27,15 +27,15 @@ def replay_outcomes(events: DataFrame, bars: DataFrame, horizons: tuple[int, ...
 
 def forward_metrics(bars: DataFrame, h: int) -> DataFrame:
     """Close-to-close return after h rows, deepest fall on the way, and whether it rose."""
-    ahead = SERIES.rowsBetween(1, h)
-    ret = F.try_divide(F.lead("close", h).over(SERIES), F.col("close")) - 1
+    ahead = series().rowsBetween(1, h)
+    ret = F.try_divide(F.lead("close", h).over(series()), F.col("close")) - 1
     return bars.select("entity", "date", ret.alias("ret"), (F.try_divide(F.min("close").over(ahead), F.col("close")) - 1).alias("worst")).where("ret is not null").withColumn("hit", F.col("ret") > 0)
 
 
 def label_fixed(events: DataFrame, bars: DataFrame, h: int, break_at: float, large_at: float, temporary_at: float, rise_at: float) -> DataFrame:
     """Path label over the h sessions after an event: the fall that its path reaches, else a rise, else UNRESOLVED; an
     event whose path is shorter is CENSORED. A temporary fall must have recovered by the end."""
-    path = F.collect_list(F.struct("close")).over(SERIES.rowsBetween(1, h))
+    path = F.collect_list(F.struct("close")).over(series().rowsBetween(1, h))
     paths = bars.select("entity", "date", F.col("close").alias("base"), F.transform(path, lambda x: x["close"]).alias("path"))
     joined = events.join(paths, ["entity", "date"]).withColumn("low", F.array_min("path") / F.col("base") - 1).withColumn("high", F.array_max("path") / F.col("base") - 1).withColumn("end", F.try_element_at("path", F.lit(-1)) / F.col("base") - 1)
     label = (
@@ -60,7 +60,7 @@ def calendar_outcome(events: DataFrame, bars: DataFrame, months: int, tolerance:
 def policy_counterfactual(events: DataFrame, bars: DataFrame, h: int, trim: float, waits: tuple[int, ...], costs: tuple[float, ...]) -> DataFrame:
     """Wealth after h sessions of trimming a share at the next open and buying back after each wait (0: never), against
     holding, for each cost rate; and the change in shares. Closed form on the open of a few later sessions."""
-    lead = lambda c, k: F.lead(c, k).over(SERIES)
+    lead = lambda c, k: F.lead(c, k).over(series())
     prices = bars.select("entity", "date", lead("open", 1).alias("out"), lead("close", h).alias("end"), *(lead("open", 1 + w).alias(f"in{w}") for w in waits if w))
     joined = events.join(prices, ["entity", "date"]).where("end is not null and out > 0")
     rows = []

@@ -5,31 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("entity").orderBy("date")
+def series():
+    """A series in time; made when asked for, as a session must exist by then."""
+    return Window.partitionBy("entity").orderBy("date")
 
 
-def trailing(n: int, w=SERIES):
-    return w.rowsBetween(-(n - 1), 0)
+def trailing(n: int, w=None):
+    return (w or series()).rowsBetween(-(n - 1), 0)
 
 
-def change(col: str, n: int, w=SERIES) -> Column:
+def change(col: str, n: int, w=None) -> Column:
     """Relative change against n rows before; null at zero."""
-    return F.try_divide(F.col(col), F.lag(col, n).over(w)) - 1
+    return F.try_divide(F.col(col), F.lag(col, n).over(w or series())) - 1
 
 
-def log_change(col: str, n: int, w=SERIES) -> Column:
-    ratio = F.try_divide(F.col(col), F.lag(col, n).over(w))
+def log_change(col: str, n: int, w=None) -> Column:
+    ratio = F.try_divide(F.col(col), F.lag(col, n).over(w or series()))
     return F.when(ratio > 0, F.log(ratio))
 
 
-def rolling(col: str, n: int, least: int, agg: str, w=SERIES) -> Column:
+def rolling(col: str, n: int, least: int, agg: str, w=None) -> Column:
     """mean, min, max, sum, std (ddof 1) of the last n rows, given `least` non-null ones."""
     f = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "std": F.stddev_samp}[agg]
     frame = trailing(n, w)
     return F.when(F.count(col).over(frame) >= least, f(col).over(frame))
 
 
-def rolling_pct_rank(col: str, n: int, least: int, w=SERIES) -> Column:
+def rolling_pct_rank(col: str, n: int, least: int, w=None) -> Column:
     """Average rank of the current value among the last n, as a share of them: (less + (equal + 1) / 2) / count."""
     held = F.collect_list(col).over(trailing(n, w))
     less = F.size(F.filter(held, lambda x: x < F.col(col)))
@@ -37,9 +39,9 @@ def rolling_pct_rank(col: str, n: int, least: int, w=SERIES) -> Column:
     return F.when((F.size(held) >= least) & F.col(col).isNotNull(), (less + (same + 1) / 2) / F.size(held))
 
 
-def prior_pct(col: str, n: int, least: int, w=SERIES) -> Column:
+def prior_pct(col: str, n: int, least: int, w=None) -> Column:
     """Share of the n rows before the current one whose value is at most the current value."""
-    held = F.collect_list(col).over(w.rowsBetween(-n, -1))
+    held = F.collect_list(col).over((w or series()).rowsBetween(-n, -1))
     return F.when((F.size(held) >= least) & F.col(col).isNotNull(), F.size(F.filter(held, lambda x: x <= F.col(col))) / F.size(held))
 
 
@@ -130,22 +132,22 @@ def cross_rank(col: str, by: list[str]) -> Column:
 
 def flip_fraction(df: DataFrame, sign: str, k: int) -> DataFrame:
     """By entity the share of signed rows that an opposite sign precedes within k rows."""
-    w = SERIES.rowsBetween(-k, -1)
+    w = series().rowsBetween(-k, -1)
     opposite = F.when(F.col(sign) > 0, F.min(sign).over(w) < 0).when(F.col(sign) < 0, F.max(sign).over(w) > 0)
     return df.withColumn("flip", opposite).where(F.col(sign) != 0).groupBy("entity").agg(F.avg(F.coalesce("flip", F.lit(False)).cast("double")).alias("flips"), F.count("*").alias("n"))
 
 
 def entries(df: DataFrame, col: str, values: list[str] | None = None) -> DataFrame:
     """Rows where the value differs from the entity's row before (the first row is none)."""
-    before = F.lag(col).over(SERIES)
+    before = F.lag(col).over(series())
     found = df.withColumn("previous", before).where(F.col("previous").isNotNull() & (F.col(col) != F.col("previous")))
     return found.where(F.col(col).isin(values)) if values else found
 
 
 def run_length(df: DataFrame, col: str) -> DataFrame:
     """By entity its latest run of equal values: value, start, rows."""
-    new = F.coalesce(F.col(col) != F.lag(col).over(SERIES), F.lit(True)).cast("int")
-    runs = df.withColumn("new", new).withColumn("run", F.sum("new").over(SERIES))
+    new = F.coalesce(F.col(col) != F.lag(col).over(series()), F.lit(True)).cast("int")
+    runs = df.withColumn("new", new).withColumn("run", F.sum("new").over(series()))
     each = runs.groupBy("entity", "run", col).agg(F.min("date").alias("start"), F.count("*").alias("rows"))
     return each.withColumn("last", F.max("run").over(Window.partitionBy("entity"))).where("run = last").select("entity", col, "start", "rows")
 
@@ -174,13 +176,13 @@ def budget(events: DataFrame, keys: list[str], gap: int, per_year: int) -> DataF
 
 def rolling_trend(df: DataFrame, col: str, n: int) -> DataFrame:
     """Slope and R-squared of the log of a value against the row number over the last n rows."""
-    numbered = df.withColumn("_i", F.row_number().over(SERIES).cast("double")).withColumn("_y", F.when(F.col(col) > 0, F.log(col)))
+    numbered = df.withColumn("_i", F.row_number().over(series()).cast("double")).withColumn("_y", F.when(F.col(col) > 0, F.log(col)))
     w = trailing(n)
     full = F.count("_y").over(w) == n
     return numbered.withColumn("slope", F.when(full, F.regr_slope("_y", "_i").over(w))).withColumn("r2", F.when(full, F.regr_r2("_y", "_i").over(w))).drop("_i", "_y")
 
 
-def rows_since_max(col: str, n: int, w=SERIES) -> Column:
+def rows_since_max(col: str, n: int, w=None) -> Column:
     """Rows since the (first) highest value of the last n rows; the frame's values are kept as one array."""
     held = F.collect_list(F.struct(F.col(col).alias("v"))).over(trailing(n, w))
     values = F.transform(held, lambda x: x["v"])
@@ -190,7 +192,7 @@ def rows_since_max(col: str, n: int, w=SERIES) -> Column:
 def giveback(df: DataFrame, col: str) -> DataFrame:
     """Gain since an entity's first row, its peak, the drawdown from the peak value, and the share of the peak gain
     given back."""
-    upto = SERIES.rowsBetween(Window.unboundedPreceding, 0)
+    upto = series().rowsBetween(Window.unboundedPreceding, 0)
     gain = F.try_divide(F.col(col), F.first(col).over(upto)) - 1
     out = df.withColumn("gain", gain).withColumn("peak_gain", F.max("gain").over(upto)).withColumn("drawdown", F.try_divide(F.col(col), F.max(col).over(upto)) - 1)
     return out.withColumn("given_back", F.when(F.col("peak_gain") > 0, (F.col("peak_gain") - F.col("gain")) / F.col("peak_gain")))
@@ -198,6 +200,6 @@ def giveback(df: DataFrame, col: str) -> DataFrame:
 
 def rising_runs(df: DataFrame, col: str, ordinal: str) -> DataFrame:
     """Rows whose value rose over each of the last two settlements, their ordinals being consecutive."""
-    l1, l2 = F.lag(col, 1).over(SERIES), F.lag(col, 2).over(SERIES)
-    near = (F.col(ordinal) - F.lag(ordinal, 1).over(SERIES) == 1) & (F.lag(ordinal, 1).over(SERIES) - F.lag(ordinal, 2).over(SERIES) == 1)
+    l1, l2 = F.lag(col, 1).over(series()), F.lag(col, 2).over(series())
+    near = (F.col(ordinal) - F.lag(ordinal, 1).over(series()) == 1) & (F.lag(ordinal, 1).over(series()) - F.lag(ordinal, 2).over(series()) == 1)
     return df.withColumn("rising", (F.col(col) > l1) & (l1 > l2) & near)

@@ -15,11 +15,16 @@ def r(c: str, n: int = 6):
     return F.round(c, n).alias(c)
 
 
+def off_tie(c: str):
+    """Rounded off the half-way values that engines round apart."""
+    return F.round(F.col(c) + 1e-8, 6).alias(c)
+
+
 @query(CTES + """
-SELECT entity, date, round(open * (adj_close / nullif(close, 0)), 5) AS open, round(high * (adj_close / nullif(close, 0)), 5) AS high,
-       round(low * (adj_close / nullif(close, 0)), 5) AS low, round(close * (adj_close / nullif(close, 0)), 5) AS close, volume FROM bars""")
+SELECT entity, date, round(open * (adj_close / nullif(close, 0)) + 1e-8, 6) AS open, round(high * (adj_close / nullif(close, 0)) + 1e-8, 6) AS high,
+       round(low * (adj_close / nullif(close, 0)) + 1e-8, 6) AS low, round(close * (adj_close / nullif(close, 0)) + 1e-8, 6) AS close, volume FROM bars""")
 def p1_adjust_bars(spark, sf):
-    return B.adjust_bars(bars(spark, sf)).select("entity", "date", *(r(c, 5) for c in ("open", "high", "low", "close")), "volume")
+    return B.adjust_bars(bars(spark, sf)).select("entity", "date", *(r(c, 8) for c in ("open", "high", "low", "close")), "volume")
 
 
 @query(CTES + " SELECT entity, count(*) AS n, max(date) AS last FROM bars WHERE date <= DATE '1997-06-02' GROUP BY entity")
@@ -226,7 +231,7 @@ SELECT entity, date, share, round(share - lag(share, 4) OVER (PARTITION BY entit
 def w12_loo_share(spark, sf):
     wk = B.weekly_bars(bars(spark, sf)).select("entity", F.col("week").alias("date"), (F.col("close") > F.col("open")).alias("up")).join(sectors(spark, sf), "entity")
     share = wk.select("entity", "date", F.round(W.loo_share(wk, "up", ["date", "sector"]), 6).alias("share"))
-    return share.withColumn("change", F.round(F.col("share") - F.lag("share", 4).over(W.SERIES), 6))
+    return share.withColumn("change", F.round(F.col("share") - F.lag("share", 4).over(W.series()), 6))
 
 
 @query(CTES + """, m AS (SELECT entity, last_day(date) AS date, arg_max(close, date) AS close FROM bars GROUP BY ALL)

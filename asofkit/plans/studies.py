@@ -1 +1,234 @@
-from . import registry  # noqa: F401
+"""Queries of statistics, ledgers, sources and streams."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import bars as B
+from ..operators import ledger as L
+from ..operators import stats as ST
+from ..operators import windows as W
+from ..sources import readers as R
+from ..sources.testdata import CTES, bars, sectors, table
+from ..streaming import jobs as SS
+from .events import day, orders
+from .panel import FOLDS, off_tie, r
+from .registry import query
+
+LABELLED = "SELECT d.doc_id, n_chars, length(source) AS s, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+
+
+def labelled(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "n_chars", "source", "lang").join(table(spark, sf, "labels"), "doc_id")
+
+
+@query("""WITH x AS (SELECT toxic, 'n_chars' AS feature, n_chars::DOUBLE AS x FROM documents JOIN labels USING (doc_id) UNION ALL SELECT toxic, 'quality', quality FROM labels JOIN documents USING (doc_id)),
+k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2 AS rank FROM x),
+s AS (SELECT feature, sum((toxic = 1)::INT)::BIGINT AS n1, sum((toxic <> 1)::INT)::BIGINT AS n0, sum(rank) FILTER (WHERE toxic = 1) AS r1 FROM k GROUP BY feature)
+SELECT feature, n1, n0, round(r1 - n1 * (n1 + 1) / 2, 4) AS u, round(2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n0) - 1, 6) AS effect FROM s""")
+def st1_rank_biserial(spark, sf):
+    return ST.rank_biserial(labelled(spark, sf), ["n_chars", "quality"], "toxic").select("feature", "n1", "n0", r("u", 4), r("effect"))
+
+
+@query()
+def st1_p_values(spark, sf):
+    return ST.holm(ST.with_p_values(ST.rank_biserial(labelled(spark, sf), ["n_chars", "quality"], "toxic"))).select("feature", r("u", 4), r("p", 8), r("adjusted", 8))
+
+
+@query("""WITH t AS (SELECT event_type AS feature, count(*)::DOUBLE / (SELECT count(*) FROM events) AS p FROM events GROUP BY ALL), a AS (SELECT feature, p, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, feature) + 1) * p) AS raised FROM t)
+SELECT feature, round(p, 8) AS p, round(max(raised) OVER (ORDER BY p, feature), 8) AS adjusted FROM a""")
+def st2_holm(spark, sf):
+    e = table(spark, sf, "events")
+    t = e.groupBy(F.col("event_type").alias("feature")).agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return ST.holm(t).select("feature", r("p", 8), r("adjusted", 8))
+
+
+PRED = "p AS (SELECT l_returnflag AS g, (l_discount * 10)::DOUBLE AS s, (l_linestatus = 'F')::INT AS y FROM lineitem)"
+
+
+@query(f"""WITH {PRED}, k AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY s) + (count(*) OVER (PARTITION BY g, s) - 1) / 2 AS rank, greatest(1e-12, least(1 - 1e-12, s)) AS c FROM p)
+SELECT g, count(*) AS n, round((sum(rank) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0), 6) AS auc, round(avg((s - y) * (s - y)), 6) AS brier, round(avg(-y * ln(c) - (1 - y) * ln(1 - c)), 6) AS log_loss,
+ round((sum((s >= 0.5 AND y = 1)::INT) / nullif(sum(y), 0) + sum((s < 0.5 AND y = 0)::INT) / nullif(count(*) - sum(y), 0)) / 2, 6) AS balanced FROM k GROUP BY g""")
+def st3_binary_metrics(spark, sf):
+    p = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_discount") * 10).alias("s"), (F.col("l_linestatus") == "F").cast("int").alias("y"))
+    return ST.binary_metrics(p, ["g"], "s", "y").select("g", "n", r("auc"), r("brier"), r("log_loss"), r("balanced"))
+
+
+@query("""SELECT lang, count(*) AS n, round(avg(toxic) FILTER (WHERE quality = 1), 6) AS exposed_rate, round(avg(toxic) FILTER (WHERE quality = 0), 6) AS control_rate, round(avg(toxic) FILTER (WHERE quality = 1) - avg(toxic) FILTER (WHERE quality = 0), 6) AS difference,
+ round(avg(toxic) FILTER (WHERE quality = 1) / nullif(avg(toxic) FILTER (WHERE quality = 0), 0), 6) AS ratio FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+def st4_exposure_effect(spark, sf):
+    return ST.exposure_effect(labelled(spark, sf), ["lang"], "quality", "toxic").select("lang", "n", r("exposed_rate"), r("control_rate"), r("difference"), r("ratio"))
+
+
+@query()
+def st5_cluster_bootstrap(spark, sf):
+    reps = ST.cluster_bootstrap(labelled(spark, sf), "source", "quality", "toxic", 500, 11)
+    return ST.percentile_interval(reps, "difference").select("replicates", r("low"), r("median"), r("high"))
+
+
+MONTHLY = """, m AS (SELECT entity, last_day(date) AS month, arg_max(close, date) AS close, sum(volume) AS volume FROM bars GROUP BY ALL), f AS (SELECT *, lead(close, 3) OVER (PARTITION BY entity ORDER BY month) / close - 1 AS fwd FROM m)"""
+
+
+def monthly(spark, sf):
+    m = bars(spark, sf).groupBy("entity", F.last_day("date").alias("month")).agg(F.max_by("close", "date").alias("close"), F.sum("volume").alias("volume"))
+    return m.withColumn("fwd", F.lead("close", 3).over(Window.partitionBy("entity").orderBy("month")) / F.col("close") - 1)
+
+
+@query(CTES + MONTHLY + """, k AS (SELECT entity, fwd, count(*) OVER e AS n, rank() OVER (PARTITION BY entity ORDER BY close) + (count(*) OVER (PARTITION BY entity, close) - 1) / 2 AS a, rank() OVER (PARTITION BY entity ORDER BY fwd) + (count(*) OVER (PARTITION BY entity, fwd) - 1) / 2 AS b FROM f WHERE fwd IS NOT NULL WINDOW e AS (PARTITION BY entity))
+SELECT entity, count(*) AS n, round(corr(a, b), 6) AS ic, round(avg(fwd) FILTER (WHERE a / n > 0.8) - avg(fwd) FILTER (WHERE a / n <= 0.2), 5) AS spread FROM k GROUP BY entity""")
+def st6_rank_ic(spark, sf):
+    return ST.rank_ic(monthly(spark, sf), ["entity"], "close", "fwd").select("entity", "n", r("ic"), r("spread", 5))
+
+
+EVENTS = FOLDS + """, ev AS (SELECT o_orderkey, o_totalprice, o_orderdate::DATE AS date, o_orderdate::DATE + 30 AS outcome_end FROM orders),
+af AS (SELECT fold, o_orderkey, o_totalprice, CASE WHEN date >= test_start AND outcome_end <= test_end THEN 'test' ELSE 'train' END AS role FROM ev JOIN folds ON (date >= test_start AND outcome_end <= test_end) OR (date >= train_start AND outcome_end <= train_end))"""
+
+
+def fold_events(spark, sf):
+    ev = orders(spark, sf).withColumn("outcome_end", F.date_add("date", 30))
+    folds = B.anchored_folds(bars(spark, sf), 252, 126, 126, 10, 5).withColumn("fold", F.col("fold").cast("long"))
+    return B.assign_folds(ev, folds)
+
+
+@query(CTES + EVENTS + """, t AS (SELECT fold, quantile_cont(o_totalprice, 0.01) AS lo, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS med, quantile_cont(o_totalprice, 0.75) AS q3, quantile_cont(o_totalprice, 0.99) AS hi FROM af WHERE role = 'train' GROUP BY fold)
+SELECT fold, o_orderkey, round((least(greatest(o_totalprice, lo), hi) - med) / nullif(q3 - q1, 0), 6) AS score FROM af JOIN t USING (fold) WHERE role = 'test'""")
+def st7_robust_scores(spark, sf):
+    return ST.robust_scores(fold_events(spark, sf), None, "o_totalprice").select("fold", "o_orderkey", r("score"))
+
+
+@query()
+def st8_fold_logistic(spark, sf):
+    ev = fold_events(spark, sf).where("fold < 3").withColumn("x", F.col("o_totalprice") / 100000).withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
+    return ST.fold_logistic(ev, ["x"], "y", 1.0).select("fold", "o_orderkey", r("score", 4))
+
+
+@query(CTES + EVENTS + """, t AS (SELECT fold, quantile_cont(o_totalprice, 0.8) AS cut FROM af WHERE role = 'train' GROUP BY fold), g AS (SELECT fold, o_totalprice > cut AS high, (o_orderkey % 3 = 0)::INT AS y FROM af JOIN t USING (fold) WHERE role = 'test')
+SELECT fold, count(*) AS n, round(avg(y) FILTER (WHERE high), 6) AS treated, round(avg(y) FILTER (WHERE NOT high), 6) AS control, round(avg(y) FILTER (WHERE high) - avg(y) FILTER (WHERE NOT high), 6) AS gap FROM g GROUP BY fold""")
+def st11_quantile_groups(spark, sf):
+    ev = fold_events(spark, sf).withColumn("y", (F.col("o_orderkey") % 3 == 0).cast("int"))
+    return ST.quantile_groups(ev, "o_totalprice", "y").select("fold", "n", r("treated"), r("control"), r("gap"))
+
+
+@query("""WITH h AS (SELECT l_returnflag || l_linestatus AS candidate, (l_orderkey % 6)::INT AS block, avg(l_extendedprice) AS score FROM lineitem GROUP BY ALL),
+picks AS (SELECT row_number() OVER () - 1 AS split, m FROM (SELECT m FROM range(0, 64) t(m) WHERE bit_count(m) = 3 ORDER BY m)),
+b AS (SELECT split, candidate, avg(score) FILTER (WHERE (m >> block) & 1 = 1) AS i, avg(score) FILTER (WHERE (m >> block) & 1 = 0) AS o FROM h, picks GROUP BY ALL),
+k AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY split ORDER BY i DESC, candidate) AS turn, rank() OVER (PARTITION BY split ORDER BY o) AS rank FROM b WINDOW w AS (PARTITION BY split))
+SELECT count(*) AS splits, round(avg((rank / (n + 1) <= 0.5)::INT), 6) AS pbo FROM k WHERE turn = 1""")
+def st9_cscv_pbo(spark, sf):
+    h = table(spark, sf, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("candidate"), (F.col("l_orderkey") % 6).cast("int").alias("block")).agg(F.avg("l_extendedprice").alias("score"))
+    return ST.cscv_pbo(h).select("splits", r("pbo"))
+
+
+@query("""SELECT 'l_discount' AS feature, round(1 / (1 - pow(corr(l_discount, l_tax), 2)), 5) AS vif, round((1 + abs(corr(l_discount, l_tax))) / 2, 5) AS first_share FROM lineitem
+UNION ALL SELECT 'l_tax', round(1 / (1 - pow(corr(l_discount, l_tax), 2)), 5), round((1 + abs(corr(l_discount, l_tax))) / 2, 5) FROM lineitem""")
+def st10_vif_pca(spark, sf):
+    return ST.vif_pca(table(spark, sf, "lineitem"), ["l_discount", "l_tax"]).select("feature", r("vif", 5), r("first_share", 5))
+
+
+@query("""WITH k AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2 AS b FROM lineitem)
+SELECT l_returnflag, 'l_quantity' AS "left", 'l_extendedprice' AS "right", count(*) AS n, round(corr(a, b), 6) AS rho FROM k GROUP BY ALL""".replace('"left"', "left_col").replace('"right"', "right_col"))
+def a12_spearman_matrix(spark, sf):
+    m = ST.spearman_matrix(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_returnflag"])
+    return m.select("l_returnflag", F.col("left").alias("left_col"), F.col("right").alias("right_col"), "n", r("rho"))
+
+
+ENTRIES = "e AS (SELECT user_id AS account, CASE event_type WHEN 'click' THEN 'DEPOSIT' WHEN 'view' THEN 'BUY' WHEN 'purchase' THEN 'SELL' ELSE 'DIVIDEND' END AS type, round(value, 2) AS gross, value / 100 AS fee FROM events)"
+
+
+@query(f"""WITH {ENTRIES} SELECT account, round(sum(CASE WHEN type IN ('DEPOSIT', 'SELL', 'DIVIDEND') THEN gross WHEN type = 'BUY' THEN -gross ELSE 0 END - fee), 6) AS cash, round(sum(CASE WHEN type = 'DIVIDEND' THEN gross ELSE 0 END), 2) AS dividends,
+ round(sum(fee), 6) AS fees, round(sum(CASE WHEN type = 'DEPOSIT' THEN gross ELSE 0 END), 2) AS contributions FROM e GROUP BY account""")
+def l1_ledger_totals(spark, sf):
+    t = F.when(F.col("event_type") == "click", "DEPOSIT").when(F.col("event_type") == "view", "BUY").when(F.col("event_type") == "purchase", "SELL").otherwise("DIVIDEND")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("account"), t.alias("type"), F.round("value", 2).alias("gross"), (F.col("value") / 100).alias("fee"))
+    return L.ledger_totals(e).select("account", r("cash"), r("dividends", 2), r("fees"), r("contributions", 2))
+
+
+@query("""WITH t AS (SELECT o_custkey AS account, l_suppkey AS symbol, (o_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, CASE WHEN l_linenumber % 4 = 3 THEN 'SELL' ELSE 'BUY' END AS type, CASE WHEN l_linenumber % 4 = 3 THEN l_quantity / 50 ELSE l_quantity END AS q, l_extendedprice / l_quantity AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+c AS (SELECT *, sum(CASE type WHEN 'BUY' THEN q ELSE -q END) OVER (PARTITION BY account, symbol ORDER BY seq) AS held, sum(q) OVER (PARTITION BY account, symbol, type ORDER BY seq) AS upto FROM t),
+g AS (SELECT account, symbol, min(held) < -1e-9 AS oversold, coalesce(sum(q) FILTER (WHERE type = 'SELL'), 0) AS sold, coalesce(sum(q) FILTER (WHERE type = 'BUY'), 0) AS bought FROM c GROUP BY ALL),
+x AS (SELECT b.account, b.symbol, sum((least(b.upto, s.upto) - greatest(b.upto - b.q, s.upto - s.q)) * (s.p - b.p)) AS realised FROM c b JOIN c s ON b.account = s.account AND b.symbol = s.symbol AND b.type = 'BUY' AND s.type = 'SELL' AND least(b.upto, s.upto) > greatest(b.upto - b.q, s.upto - s.q) GROUP BY ALL),
+k AS (SELECT c.account, c.symbol, sum(greatest(0, upto - greatest(upto - q, sold)) * p) AS cost FROM c JOIN g USING (account, symbol) WHERE type = 'BUY' GROUP BY ALL)
+SELECT account, symbol, oversold, CASE WHEN NOT oversold THEN round(coalesce(realised, 0) + 1e-8, 6) END AS realised, CASE WHEN NOT oversold THEN round(bought - sold, 6) END AS open_quantity, CASE WHEN NOT oversold THEN round(coalesce(cost, 0) + 1e-8, 6) END AS cost FROM g LEFT JOIN x USING (account, symbol) LEFT JOIN k USING (account, symbol)""")
+def l2_fifo_lots(spark, sf):
+    o = orders(spark, sf).select("o_orderkey", "o_custkey")
+    sell = F.col("l_linenumber") % 4 == 3
+    t = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("account"), F.col("l_suppkey").alias("symbol"), ((F.col("o_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"), F.when(sell, "SELL").otherwise("BUY").alias("type"), F.when(sell, F.col("l_quantity") / 50).otherwise(F.col("l_quantity")).alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.lit(None).cast("double").alias("ratio"))
+    return L.fifo_lots(t).select("account", "symbol", "oversold", off_tie("realised"), r("open_quantity"), off_tie("cost"))
+
+
+@query(CTES + """, h AS (SELECT c_custkey AS account, n_name AS entity, 10 + c_custkey % 7 AS quantity, 5000.0::DOUBLE AS cost FROM customer JOIN nation ON c_nationkey = n_nationkey),
+l AS (SELECT entity, arg_max(close, date) AS close, arg_max(prev, date) AS before FROM (SELECT entity, date, close, lag(close) OVER (PARTITION BY entity ORDER BY date) AS prev FROM bars) GROUP BY entity)
+SELECT account, h.entity, round(quantity * close, 6) AS value, round(quantity * close / cost - 1, 6) AS gain, round(close / before - 1, 6) AS day_change, close IS NULL AS incomplete FROM h LEFT JOIN l ON h.entity = l.entity""")
+def k2_value_holdings(spark, sf):
+    n = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("entity"))
+    h = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("account"), "entity", (10 + F.col("c_custkey") % 7).alias("quantity"), F.lit(5000.0).alias("cost"))
+    return L.value_holdings(h, bars(spark, sf)).select("account", "entity", r("value"), r("gain"), r("day_change"), "incomplete")
+
+
+@query(CTES + """, v AS (SELECT entity AS account, date, close * 10 + CASE WHEN day(date) = 15 THEN 100 ELSE 0 END AS value, CASE WHEN day(date) = 15 THEN 100 ELSE 0 END AS flow FROM bars), g AS (SELECT account, (value - flow) / lag(value) OVER (PARTITION BY account ORDER BY date) AS g FROM v)
+SELECT account, count(*) AS days, round(exp(sum(ln(g))) - 1, 5) AS twr FROM g WHERE g > 0 GROUP BY account""")
+def l4_twr(spark, sf):
+    flow = F.when(F.day("date") == 15, 100.0).otherwise(0.0)
+    v = bars(spark, sf).select(F.col("entity").alias("account"), "date", (F.col("close") * 10 + flow).alias("value"), flow.alias("flow"))
+    return L.twr(v).select("account", "days", r("twr", 5))
+
+
+@query("SELECT doc_id, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY sha256('review|' || doc_id::VARCHAR), doc_id) <= 3")
+def k4_stratified_sample(spark, sf):
+    return L.stratified_sample(table(spark, sf, "documents").select("doc_id", "source", "lang"), ["source", "lang"], "doc_id", 3, "review")
+
+
+@query("SELECT user_id AS entity, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
+def io8_upsert(spark, sf):
+    from ..operators.joins import upsert
+
+    e = table(spark, sf, "events")
+    old = e.withColumn("event_type", F.lit("stale")).withColumn("version", F.lit(1))
+    return upsert(old, e.withColumn("version", F.lit(2)), ["event_id"], "version").select(F.col("user_id").alias("entity"), "event_type", "ts")
+
+
+@query(CTES + """ SELECT entity, count(*) AS rows, min(date) AS first, max(date) AS last, sha256(string_agg(sha256(date::VARCHAR || '|' || volume::BIGINT::VARCHAR), '' ORDER BY sha256(date::VARCHAR || '|' || volume::BIGINT::VARCHAR))) AS digest FROM bars WHERE date <= DATE '1999-12-31' GROUP BY entity""")
+def io10_fingerprint(spark, sf):
+    b = bars(spark, sf).withColumn("volume", F.col("volume").cast("long"))
+    return R.fingerprint(b, ["entity"], ["date", "volume"], "date", day("1999-12-31"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def io1_csv_round_trip(spark, sf):
+    """Bars-like rows written as compressed CSV and read back by an explicit schema."""
+    path = tempfile.mkdtemp(prefix="csv-") if spark.conf.get("spark.checkpoint.dir", None) is None else spark.conf.get("spark.checkpoint.dir") + f"/csv-{id(spark)}"
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    o.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
+    return R.read_bars(spark, [path], "o_orderkey long, o_custkey long, o_totalprice double").drop("file")
+
+
+@query("""SELECT user_id AS entity, date_trunc('day', ts)::DATE AS d, count(*) AS n FROM events GROUP BY ALL""")
+def ss2_append_unique(spark, sf):
+    out = tempfile.mkdtemp(prefix="stream-")
+    e = SS.append_unique(SS.stream_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts")
+    got = SS.run_available(e, f"{out}/o", f"{out}/c")
+    return got.groupBy(F.col("user_id").alias("entity"), F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
+
+
+@query()
+def ss1_stream_bars(spark, sf):
+    out = tempfile.mkdtemp(prefix="stream-")
+    e = SS.stream_table(spark, sf, "events").select(F.col("event_type").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1).alias("volume"))
+    return SS.run_available(SS.stream_bars(e), f"{out}/o", f"{out}/c")
+
+
+@query()
+def ss4_confirm_labels(spark, sf):
+    out = tempfile.mkdtemp(prefix="stream-")
+    e = SS.stream_table(spark, sf, "events").select(F.col("user_id").cast("string").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("label"))
+    return SS.run_available(SS.confirm_labels(e), f"{out}/o", f"{out}/c").groupBy("entity", "confirmed").agg(F.count("*").alias("n"))
+
+
+@query()
+def ss7_sessionize(spark, sf):
+    out = tempfile.mkdtemp(prefix="stream-")
+    e = SS.stream_table(spark, sf, "events").select(F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("ts"))
+    return SS.run_available(SS.sessionize(e, "12 hours"), f"{out}/o", f"{out}/c")

@@ -15,7 +15,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Suppliers and nations are dimension tables; Spark broadcasts them where their size allows.
     """
-    line = table(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity", "l_discount", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("turn"))
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity", "l_discount", ((F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("turn"))
     nation = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
     close = F.max_by("price", "turn")
     return (
@@ -42,10 +42,10 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 CTES = """
 WITH bars AS (
   SELECT n_name AS entity, l_shipdate::DATE AS date,
-         arg_min(l_extendedprice / l_quantity, l_orderkey * 100 + l_linenumber) AS open,
+         arg_min(l_extendedprice / l_quantity, (l_orderkey * 100 + l_linenumber) * 1000000 + l_partkey) AS open,
          max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
-         arg_max(l_extendedprice / l_quantity, l_orderkey * 100 + l_linenumber) AS close,
-         arg_max(l_extendedprice / l_quantity, l_orderkey * 100 + l_linenumber) * (1 - arg_max(l_discount, l_orderkey * 100 + l_linenumber)) AS adj_close,
+         arg_max(l_extendedprice / l_quantity, (l_orderkey * 100 + l_linenumber) * 1000000 + l_partkey) AS close,
+         arg_max(l_extendedprice / l_quantity, (l_orderkey * 100 + l_linenumber) * 1000000 + l_partkey) * (1 - arg_max(l_discount, (l_orderkey * 100 + l_linenumber) * 1000000 + l_partkey)) AS adj_close,
          sum(l_quantity) AS volume
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL
 ), sectors AS (
