@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables."""
 
-from . import panel, events, studies  # noqa: F401
+from . import events, panel, research, studies  # noqa: F401

@@ -24,7 +24,7 @@ def off_tie(c: str):
 SELECT entity, date, round(open * (adj_close / nullif(close, 0)) + 1e-8, 6) AS open, round(high * (adj_close / nullif(close, 0)) + 1e-8, 6) AS high,
        round(low * (adj_close / nullif(close, 0)) + 1e-8, 6) AS low, round(close * (adj_close / nullif(close, 0)) + 1e-8, 6) AS close, volume FROM bars""")
 def p1_adjust_bars(spark, sf):
-    return B.adjust_bars(bars(spark, sf)).select("entity", "date", *(r(c, 8) for c in ("open", "high", "low", "close")), "volume")
+    return B.adjust_bars(bars(spark, sf)).select("entity", "date", *(off_tie(c) for c in ("open", "high", "low", "close")), "volume")
 
 
 @query(CTES + " SELECT entity, count(*) AS n, max(date) AS last FROM bars WHERE date <= DATE '1997-06-02' GROUP BY entity")
