@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, materialise, slices_by_bytes, small_batches
+from .common import byte_hashes, bytes_of, crc_fold, materialise, slices_by_bytes, small_batches
 
 #: Characters trimmed from words, and those of them that mark quotation.
 QUOTES = "\"“”„«»‹›‘’"
@@ -240,9 +240,10 @@ def _counted(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...]) -> dict[
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (8000, 16000), lexicon: int = 500, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learn from at most sample[0] toxic and sample[1] other labelled documents, chosen by a hash of their key.
 
-    A term enters the lexicon if at least 4 (and 1 in 100) of the sample's toxic texts hold it and it is at least 20
-    times as frequent among them as among the others; at most `lexicon` terms, strongest first. Equal texts of a label
-    count once, so do repeated labels of a key (toxic if any is). Rows without key, label or text teach nothing.
+    A term enters the lexicon if at least 4 (and 1 in 100) of the sample's toxic texts hold it, between as many different
+    pairs of neighbours (so near copies of one text do not make its words terms), and if it is at least 20 times as
+    frequent among them as among the others; at most `lexicon` terms, strongest first. Equal texts of a label count
+    once, so do repeated labels of a key (toxic if any is). Rows without key, label or text teach nothing.
     """
     spark = docs.sparkSession
     small_batches(spark, 256)
@@ -271,9 +272,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (8000, 1
         .where((F.col("bad") >= max(4, 0.01 * n_bad)) & (rate >= 20))
         .withColumn("strength", F.col("bad") * F.log(rate))
         .orderBy(F.desc("strength"), "kind", "term")
-        .limit(lexicon)
+        .limit(10 * lexicon)
         .collect()
     )
+    places = _places(rows, [(r.kind, r.term) for r in strong])
+    strong = [r for r in strong if places.get((r.kind, r.term), 0) >= max(4, 0.01 * n_bad)][:lexicon]
     model = Model()
     # A stem must stand for more documents than any word that it opens, and then stands for those words and longer stems.
     words = [(r.term, r.bad) for r in strong if not r.kind]
@@ -291,6 +294,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (8000, 1
     return model
 
 
+def _places(rows: DataFrame, terms: list[tuple[int, str]]) -> dict[tuple[int, str], int]:
+    """Different pairs of neighbouring words between which toxic documents hold each term."""
+    sets = {kind: pa.array([t for k, t in terms if k == kind], pa.string()) for kind in (0, *STEMS)}
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices_by_bytes(batch.column(1), 4 << 20):
+                w = cut_words(batch.column(1).slice(a, b - a))
+                around = byte_hashes(*bytes_of(w.trimmed))[w.index] if len(w.index) else np.zeros(0, np.uint64)
+                for kind, some in sets.items():
+                    if not len(some) or not len(around):
+                        continue
+                    values = w.trimmed if kind == 0 else pc.utf8_slice_codeunits(w.trimmed, 0, kind)
+                    number = np.asarray(pc.fill_null(pc.index_in(values, value_set=some), -1), np.int64)[w.index]
+                    at = np.flatnonzero(number >= 0)
+                    with np.errstate(over="ignore"):
+                        context = around[np.maximum(at - 1, 0)] * np.uint64(3) + around[np.minimum(at + 1, len(around) - 1)]
+                    pairs = np.unique(np.stack([number[at], context.view(np.int64)], 1), axis=0)
+                    if len(pairs):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), kind, np.int32)), some.take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1])], ["kind", "term", "context"])
+
+    found = rows.where("toxic = 1").mapInArrow(find, "kind int, term string, context long").groupBy("kind", "term").agg(F.count_distinct("context").alias("n"))
+    return {(r.kind, r.term): r.n for r in found.collect()}
+
+
 def _learn_windows(rows: DataFrame, model: Model) -> None:
     """Words that stand around hits of other documents more than around those of toxic ones: words of reporting."""
 
