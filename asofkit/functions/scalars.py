@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Stage names from the lowest to the highest score (fixed values).
-STAGES = ("AVOID", "COOL", "NEUTRAL", "HOT", "RUSH")
+STAGES = ("FLEE", "SCATTER", "CALM", "DRIFT", "RUSH")
 #: Upper bounds of the first four stages (fixed values).
 STAGE_BOUNDS = (15.0, 40.0, 60.0, 75.0)
 

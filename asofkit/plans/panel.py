@@ -34,8 +34,8 @@ def p2_drop_incomplete_session(spark, sf):
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN s < 15 THEN 'AVOID' WHEN s < 40 THEN 'COOL' WHEN s < 60 THEN 'NEUTRAL' WHEN s < 75 THEN 'HOT' ELSE 'RUSH' END AS stage,
-       CASE WHEN s <= 15 THEN 'AVOID' WHEN s <= 40 THEN 'COOL' WHEN s < 60 THEN 'NEUTRAL' WHEN s < 75 THEN 'HOT' ELSE 'RUSH' END AS legacy
+SELECT o_orderkey, CASE WHEN s < 15 THEN 'FLEE' WHEN s < 40 THEN 'SCATTER' WHEN s < 60 THEN 'CALM' WHEN s < 75 THEN 'DRIFT' ELSE 'RUSH' END AS stage,
+       CASE WHEN s <= 15 THEN 'FLEE' WHEN s <= 40 THEN 'SCATTER' WHEN s < 60 THEN 'CALM' WHEN s < 75 THEN 'DRIFT' ELSE 'RUSH' END AS legacy
 FROM (SELECT o_orderkey, (o_orderkey % 101)::DOUBLE AS s FROM orders)""")
 def p3_stage(spark, sf):
     s = (F.col("o_orderkey") % 101).cast("double")
@@ -254,7 +254,7 @@ def w18_flip_fraction(spark, sf):
 
 STAGED = """, pos AS (SELECT entity, date, close, CASE WHEN count(close) OVER w >= 20 THEN (close - min(close) OVER w) / nullif(max(close) OVER w - min(close) OVER w, 0) * 100 END AS score
   FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date ROWS 251 PRECEDING)),
-staged AS (SELECT entity, date, close, CASE WHEN score < 15 THEN 'AVOID' WHEN score < 40 THEN 'COOL' WHEN score < 60 THEN 'NEUTRAL' WHEN score < 75 THEN 'HOT' ELSE 'RUSH' END AS stage FROM pos WHERE score IS NOT NULL)"""
+staged AS (SELECT entity, date, close, CASE WHEN score < 15 THEN 'FLEE' WHEN score < 40 THEN 'SCATTER' WHEN score < 60 THEN 'CALM' WHEN score < 75 THEN 'DRIFT' ELSE 'RUSH' END AS stage FROM pos WHERE score IS NOT NULL)"""
 
 
 def staged(spark, sf):
@@ -265,9 +265,9 @@ def staged(spark, sf):
     return scored.withColumn("stage", S.stage(F.col("score")))
 
 
-@query(CTES + STAGED + """ SELECT entity, date, stage, previous FROM (SELECT *, lag(stage) OVER (PARTITION BY entity ORDER BY date) AS previous FROM staged) WHERE stage <> previous AND stage IN ('RUSH', 'AVOID')""")
+@query(CTES + STAGED + """ SELECT entity, date, stage, previous FROM (SELECT *, lag(stage) OVER (PARTITION BY entity ORDER BY date) AS previous FROM staged) WHERE stage <> previous AND stage IN ('RUSH', 'FLEE')""")
 def w19_entries(spark, sf):
-    return W.entries(staged(spark, sf), "stage", ["RUSH", "AVOID"]).select("entity", "date", "stage", "previous")
+    return W.entries(staged(spark, sf), "stage", ["RUSH", "FLEE"]).select("entity", "date", "stage", "previous")
 
 
 @query(CTES + STAGED + """, g AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) - row_number() OVER (PARTITION BY entity, stage ORDER BY date) AS g FROM staged)
