@@ -54,7 +54,8 @@ def transition_raw(panel: DataFrame, fast: int = 4, slow: int = 13, high: float
 
 
 def stabilise(rows: list[str], confirm: int, cooldown: int, opposite: dict[str, str]) -> list[str]:
-    """A label counts once it came `confirm` times on end, and not within `cooldown` rows after its opposite."""
+    """A label counts once it came `confirm` times on end, and not within `cooldown` rows after its opposite was last
+    seen while it held."""
     held, cand, n, since, out = "UNKNOWN", None, 0, {}, []
     for i, label in enumerate(rows):
         n = n + 1 if label == cand else 1
@@ -62,7 +63,7 @@ def stabilise(rows: list[str], confirm: int, cooldown: int, opposite: dict[str,
         blocked = i - since.get(opposite.get(label, ""), -(10**9)) <= cooldown
         if n >= confirm and not blocked:
             held = label
-        if held in opposite:
+        if held == label and held in opposite:
             since[held] = i
         out.append(held)
     return out
