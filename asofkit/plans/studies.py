@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -199,7 +197,7 @@ def io10_fingerprint(spark, sf):
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def io1_csv_round_trip(spark, sf):
     """Bars-like rows written as compressed CSV and read back by an explicit schema."""
-    path = tempfile.mkdtemp(prefix="csv-") if spark.conf.get("spark.checkpoint.dir", None) is None else spark.conf.get("spark.checkpoint.dir") + f"/csv-{id(spark)}"
+    path = R.scratch(spark, "csv")
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     o.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
     return R.read_bars(spark, [path], "o_orderkey long, o_custkey long, o_totalprice double").drop("file")
@@ -207,7 +205,7 @@ def io1_csv_round_trip(spark, sf):
 
 @query("""SELECT user_id AS entity, date_trunc('day', ts)::DATE AS d, count(*) AS n FROM events GROUP BY ALL""")
 def ss2_append_unique(spark, sf):
-    out = tempfile.mkdtemp(prefix="stream-")
+    out = R.scratch(spark, "stream")
     e = SS.append_unique(SS.stream_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts")
     got = SS.run_available(e, f"{out}/o", f"{out}/c")
     return got.groupBy(F.col("user_id").alias("entity"), F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
@@ -215,20 +213,20 @@ def ss2_append_unique(spark, sf):
 
 @query()
 def ss1_stream_bars(spark, sf):
-    out = tempfile.mkdtemp(prefix="stream-")
+    out = R.scratch(spark, "stream")
     e = SS.stream_table(spark, sf, "events").select(F.col("event_type").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1).alias("volume"))
     return SS.run_available(SS.stream_bars(e), f"{out}/o", f"{out}/c")
 
 
 @query()
 def ss4_confirm_labels(spark, sf):
-    out = tempfile.mkdtemp(prefix="stream-")
+    out = R.scratch(spark, "stream")
     e = SS.stream_table(spark, sf, "events").select(F.col("user_id").cast("string").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("label"))
     return SS.run_available(SS.confirm_labels(e), f"{out}/o", f"{out}/c").groupBy("entity", "confirmed").agg(F.count("*").alias("n"))
 
 
 @query()
 def ss7_sessionize(spark, sf):
-    out = tempfile.mkdtemp(prefix="stream-")
+    out = R.scratch(spark, "stream")
     e = SS.stream_table(spark, sf, "events").select(F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("ts"))
     return SS.run_available(SS.sessionize(e, "12 hours"), f"{out}/o", f"{out}/c")

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_bars(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """Many (compressed) CSV files by an explicit schema, with the file each row came from."""
     return spark.read.schema(schema).option("header", True).csv(paths).withColumn("file", F.col("_metadata.file_path"))
