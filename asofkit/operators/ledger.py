@@ -65,8 +65,10 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, n: int, salt:
 
 
 def change_feed(obs: DataFrame, cursors: DataFrame, col: str, limit: int) -> DataFrame:
-    """Each reader's unseen changes (reader, cursor) of a value, newest first, at most `limit`."""
+    """Each reader's unseen changes (reader, cursor) of a value, newest first, at most `limit`. cursors hold one row per
+    reader. The changes after a cursor come first among all, so only the `limit` newest are broadcast to the readers."""
     w = Window.partitionBy("entity").orderBy("date")
     changed = obs.withColumn("previous", F.lag(col).over(w)).where(F.col("previous").isNotNull() & (F.col("previous") != F.col(col)))
-    unseen = changed.join(cursors, changed["date"] > cursors["cursor"])
-    return unseen.withColumn("n", F.row_number().over(Window.partitionBy("reader").orderBy(F.desc("date"), "entity"))).where(F.col("n") <= limit)
+    newest = changed.orderBy(F.desc("date"), "entity").limit(limit)
+    ranked = newest.withColumn("n", F.row_number().over(Window.orderBy(F.desc("date"), "entity")))  # at most `limit` rows
+    return cursors.join(F.broadcast(ranked), F.col("date") > F.col("cursor"))

@@ -1,0 +1,22 @@
+"""Registered queries against their SQL without a subset of the rows that the SQL still has."""
+
+DATA = "/root/testdata/sf0.001"
+
+
+def rows_of(frame, cols):
+    clean = lambda x: str(x).removesuffix(" 00:00:00").removesuffix(".0")
+    return sorted(tuple(map(clean, r)) for r in frame[cols].astype(object).where(lambda x: x.notna(), None).itertuples(index=False))
+
+
+def both(spark, name, subset):
+    """(rows of the query, rows of its SQL without the subset)."""
+    import duckdb
+
+    from asofkit.plans import registry
+
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem events".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = registry.QUERIES[name](spark, DATA).toPandas()
+    cols = sorted(df.columns)
+    return rows_of(df, cols), rows_of(con.sql(registry.ORACLES[name].replace(subset, "")).df(), cols)
