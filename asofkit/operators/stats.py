@@ -131,12 +131,13 @@ def quantile_groups(events: DataFrame, col: str, target: str, q: float = 0.8) ->
 
 def fold_logistic(events: DataFrame, features: list[str], target: str, l2: float) -> DataFrame:
     """Scores of each fold's test rows by an L2 logistic model of its training rows. Folds are few; each is one fit by
-    Spark's own optimiser, regParam being l2 over the number of training rows."""
+    Spark's own optimiser, regParam being l2 over the number of training rows. The assembled rows are kept (spilling to
+    disk), as every fold reads them."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    ready = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip").transform(events.withColumn("_label", F.col(target).cast("double")))
+    ready = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip").transform(events.withColumn("_label", F.col(target).cast("double"))).persist()
     out = None
     for fold, n in sorted((r.fold, r.n) for r in ready.where("role = 'train'").groupBy("fold").agg(F.count("*").alias("n")).collect()):
         model = LogisticRegression(featuresCol="_features", labelCol="_label", regParam=l2 / n, elasticNetParam=0.0, standardization=False, maxIter=50, tol=1e-9).fit(ready.where((F.col("fold") == fold) & (F.col("role") == "train")))

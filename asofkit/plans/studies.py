@@ -99,7 +99,7 @@ def st7_robust_scores(spark, sf):
 
 @query()
 def st8_fold_logistic(spark, sf):
-    ev = fold_events(spark, sf).where("fold < 3").withColumn("x", F.col("o_totalprice") / 100000).withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
+    ev = fold_events(spark, sf).withColumn("x", F.col("o_totalprice") / 100000).withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
     return ST.fold_logistic(ev, ["x"], "y", 1.0).select("fold", "o_orderkey", r("score", 4))
 
 
