@@ -27,11 +27,18 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values:
 
 def latest_as_of(facts: DataFrame, grid: DataFrame, keys: list[str], period: str, accepted: str, as_of: str, order: list[Column], max_age: int | None = None) -> DataFrame:
     """For each grid row (keys, as_of) and period the newest fact accepted by then; ties by `order`, last one largest.
-    Facts older than max_age days at the grid's time are left out, which bounds the join."""
-    seen = (F.col(accepted) <= F.col(as_of)) if max_age is None else (F.col(accepted) <= F.col(as_of)) & (F.date_diff(as_of, F.to_date(accepted)) <= max_age)
-    joined = grid.join(facts, keys).where(seen)
-    rank = F.row_number().over(Window.partitionBy(*keys, as_of, period).orderBy(F.desc(accepted), *(c.desc() for c in order)))
-    return joined.withColumn("_n", rank).where("_n = 1").drop("_n")
+    Facts older than max_age days at the grid's time are left out.
+
+    A key's grid rows meet each of its periods once; facts are stacked with them and the last one is carried forward.
+    """
+    ties = [f"_o{i}" for i in range(len(order))]
+    side = facts.where(F.col(accepted).isNotNull()).select(*keys, period, F.col(accepted).alias("_t"), F.lit(0).alias("_side"), *(c.alias(t) for c, t in zip(order, ties, strict=True)), F.struct(*(c for c in facts.columns if c not in keys)).alias("_f"))
+    cells = grid.where(F.col(as_of).isNotNull()).select(*keys, as_of).distinct().join(facts.select(*keys, period).distinct(), keys)
+    both = side.unionByName(cells.select(*keys, period, F.col(as_of).alias("_t"), F.lit(1).alias("_side"), F.col(as_of).alias("_as_of")), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, period).orderBy("_t", "_side", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_m", F.last("_f", ignorenulls=True).over(w)).where("_side = 1 and _m is not null")
+    fresh = F.lit(True) if max_age is None else F.date_diff("_as_of", F.to_date(F.col("_m")[accepted])) <= max_age
+    return found.where(fresh).select(*keys, F.col("_as_of").alias(as_of), *(F.col("_m")[c].alias(c) for c in facts.columns if c not in keys))
 
 
 def interval_lookup(events: DataFrame, intervals: DataFrame, key: str, at: str, event_id: str, value: str, closed: bool = True) -> DataFrame:

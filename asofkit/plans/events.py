@@ -40,7 +40,7 @@ SELECT g.o_custkey, as_of, o_orderpriority, accepted, o_orderkey, o_totalprice F
 QUALIFY row_number() OVER (PARTITION BY g.o_custkey, as_of, o_orderpriority ORDER BY accepted DESC, o_orderkey DESC) = 1""")
 def j2_latest_as_of(spark, sf):
     o = orders(spark, sf)
-    grid = o.where("o_custkey % 3 = 1").select("o_custkey", F.last_day("date").alias("as_of")).distinct()
+    grid = o.select("o_custkey", F.last_day("date").alias("as_of")).distinct()
     facts = o.select("o_custkey", "o_orderpriority", F.col("date").alias("accepted"), "o_orderkey", "o_totalprice")
     return J.latest_as_of(facts, grid, ["o_custkey"], "o_orderpriority", "accepted", "as_of", [F.col("o_orderkey")], max_age=700)
 
@@ -333,7 +333,7 @@ j AS (SELECT s.*, i, nxt, i - row_number() OVER (PARTITION BY entity ORDER BY i)
 
 
 def snapshots(spark, sf):
-    return orders(spark, sf).where("o_custkey % 5 = 1").select(F.last_day("date").alias("date"), F.col("o_custkey").alias("entity")).distinct()
+    return orders(spark, sf).select(F.last_day("date").alias("date"), F.col("o_custkey").alias("entity")).distinct()
 
 
 @query(SNAP + " SELECT * FROM iv")
