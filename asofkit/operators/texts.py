@@ -58,11 +58,12 @@ def sentence_facts(docs: DataFrame, key: str, text: str, topics: dict[str, str],
     return kept.select(key, "n", "sentence", found.alias("topics"), F.regexp_like(s, F.lit(cues)).alias("cue"), F.regexp_like(s, F.lit(rf"\b(no|not|never|without)\b.{{0,30}}({cues})")).alias("negated")).where(F.size("topics") > 0)
 
 
-def text_signals(parts: DataFrame, key: str, order: str, html: str, patterns: dict[str, str]) -> DataFrame:
-    """Ordered HTML parts of a document as plain text, with one flag per pattern."""
+def text_signals(parts: DataFrame, key: str, html: str, patterns: dict[str, str]) -> DataFrame:
+    """Length of a key's HTML parts as plain text, one line each, and one flag per pattern, which no match of may span
+    parts. Parts are summed up one by one, so a key may have any number of them."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " "), r"\s+", " "))
-    joined = parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), plain.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
-    return joined.select(key, F.length("text").alias("chars"), *(F.regexp_like(F.lower("text"), F.lit(p)).alias(name) for name, p in patterns.items()))
+    each = parts.select(key, plain.alias("_t")).select(key, F.length("_t").cast("long").alias("_n"), *(F.regexp_like(F.lower("_t"), F.lit(p)).alias(name) for name, p in patterns.items()))
+    return each.groupBy(key).agg((F.sum("_n") + F.count("*") - 1).alias("chars"), *(F.bool_or(name).alias(name) for name in patterns))
 
 
 def extract_ranges(docs: DataFrame, key: str, text: str, metrics: dict[str, str], cue: str = "expect|guid|outlook|forecast", near: int = 80) -> DataFrame:

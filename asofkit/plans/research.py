@@ -130,4 +130,4 @@ def p16_sentence_facts(spark, sf):
 @query()
 def p19_text_signals(spark, sf):
     pages = table(spark, sf, "pages").withColumn("site", F.regexp_extract("url", "//([^/]+)", 1))
-    return T.text_signals(pages, "site", "page_id", "html", {"has_number": "[0-9]{3}", "has_ad": "nicht"})
+    return T.text_signals(pages, "site", "html", {"has_number": "[0-9]{3}", "has_ad": "nicht"})
