@@ -376,28 +376,39 @@ def _links(ordered: DataFrame, clusters: DataFrame, groups: int) -> DataFrame:
     if large.isEmpty():
         return links
     # Blocks of a large cluster that still lie in several components: members outside its largest visit all blocks.
-    parts = connected_components(links)
-    now = large.join(parts.select(F.col("node").alias("class"), F.col("component").alias("part")), "class", "left").withColumn("part", F.coalesce("part", "class"))
-    sizes = now.groupBy("cluster", "part").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("cluster").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    now = now.join(main.select("cluster", "main"), "cluster")
-    visits = F.when(F.col("part") == F.col("main"), F.array("block")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    second = now.withColumn("at", F.explode(visits)).withColumn("guest", F.col("part") != F.col("main")).select("cluster", "at", "class", "n", "tokens", "p0", "p1", "p2", "part", "guest", "block")
+    second = _visits(large, connected_components(links))
 
     def meet(table: pa.Table) -> pa.Table:
         guest = np.asarray(table.column("guest").combine_chunks())
-        home = np.asarray(table.column("at").combine_chunks()) == np.asarray(table.column("block").combine_chunks())
+        outside = np.asarray(table.column("outside").combine_chunks())
         part = np.asarray(table.column("part").combine_chunks(), np.int64)
         members = _Members(table)
         links, known = [], set()
         for i in np.flatnonzero(guest):
-            for j in members.similar(int(i), home & (part != part[i])):
+            # Two members outside the largest component visit each other's block; one of the visits compares them.
+            for j in members.similar(int(i), ~guest & (part != part[i]) & (~outside | (members.names > members.names[i]))):
                 if (part[i], part[j]) not in known:
                     known.add((part[i], part[j]))
                     links.append((members.names[i], members.names[j]))
         return _as_links(links)
 
-    return links.unionByName(second.groupBy("cluster", "at").applyInArrow(meet, "a long, b long"))
+    return links.unionByName(second.groupBy("cluster", "at", "chunk").applyInArrow(meet, "a long, b long"))
+
+
+def _visits(large: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of clusters cut into blocks that lie in several components, dealt to groups (cluster, at, chunk): the
+    members of block `at`, and as guests a chunk of about a block's size of those outside the cluster's largest component
+    who live in other blocks. Members of one block have met before."""
+    now = large.join(parts.select(F.col("node").alias("class"), F.col("component").alias("part")), "class", "left").withColumn("part", F.coalesce("part", "class"))
+    sizes = now.groupBy("cluster", "part").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("cluster").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts"), (F.sum("size") - F.max("size")).alias("guests")).where("parts > 1")
+    now = now.join(main.select("cluster", "main", F.expr(f"cast(ceil(guests / {BLOCK}) as int)").alias("chunks")), "cluster")
+    now = now.withColumn("outside", F.col("part") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("class", F.lit(2)), "chunks").cast("int"))
+    stop = lambda at, chunk, guest: F.struct(at.alias("at"), chunk.alias("chunk"), F.lit(guest).alias("guest"))
+    home = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: stop(F.col("block"), c, False))
+    away = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block")), lambda b: stop(b, F.col("own"), True))
+    dealt = now.withColumn("stop", F.explode(F.when(F.col("outside"), F.concat(home, away)).otherwise(home)))
+    return dealt.select("cluster", "stop.at", "stop.chunk", "class", "n", "tokens", "p0", "p1", "p2", "part", "outside", "stop.guest")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
