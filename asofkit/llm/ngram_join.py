@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, join_spread, materialise, mix64, set_shingles, slices_by_bytes, small_batches, word_hashes
@@ -134,17 +134,17 @@ def _bits(postings: int, least: int) -> int:
 
 
 def document_classes(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(id, n, class) of every document, whatever its text."""
+    """(id, row, n, class) of every document, whatever its text."""
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, start, cls in _text_sets(batches, shingle):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(start)), pa.array(cls)], ["id", "n", "class"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(start)), pa.array(cls)], ["id", "row", "n", "class"])
 
-    return _rows(docs, key, text).mapInArrow(classes, "id long, n long, class long")
+    return _rows(docs, key, text, F.monotonically_increasing_id().alias("row")).mapInArrow(classes, "id long, row long, n long, class long")
 
 
-def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+def _rows(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *more)
 
 
 def _survivors(docs: DataFrame, sizes: DataFrame, total: int, key: str, text: str, shingle: int) -> DataFrame:
@@ -411,14 +411,8 @@ def _visits(large: DataFrame, parts: DataFrame) -> DataFrame:
     return dealt.select("cluster", "stop.at", "stop.chunk", "class", "n", "tokens", "p0", "p1", "p2", "part", "outside", "stop.guest")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
-
-    Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct shingles of so many
-    words (the whole sequence where there are fewer words), each known by a 64-bit hash. Two documents link where
-    100 * intersection >= 80 * union. A null or empty text has an empty set and links with nothing. Rows of equal or
-    null keys are documents of their own. An empty table gives no rows; further columns play no part.
-    """
+def _components(docs: DataFrame, shingle: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, row, n, class) of every document, and (class, component) of every class of documents with words, written."""
     spark = docs.sparkSession
     small_batches(spark)
     known = materialise(document_classes(docs, key, text, shingle), "classes")
@@ -432,7 +426,32 @@ def similar_documents(docs: DataFrame, shingle: int = 5, key: str = "doc_id", te
     groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = connected_components(_links(ordered, clusters, groups))
     rooted = classes.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return known, rooted
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct shingles of so many
+    words (the whole sequence where there are fewer words), each known by a 64-bit hash. Two documents link where
+    100 * intersection >= 80 * union. A null or empty text has an empty set and links with nothing. Rows of equal or
+    null keys are documents of their own. An empty table gives no rows; further columns play no part.
+    """
+    known, rooted = _components(docs, shingle, key, text)
     least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialise(rooted.join(least, "component").select("class", "m", "component_id"), "components")
     found = join_spread(known, named, "class", "m", "component_id")
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def drop_similar(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group that similar_documents links: the one of smallest key (null keys last), then the
+    first. Rows of equal or null keys are documents of their own; rows without words stay. docs must give the same rows
+    in the same order when read again (as files do)."""
+    known, rooted = _components(docs, shingle, key, text)
+    firsts = known.where("class >= 0").groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    each = rooted.join(firsts, "class")
+    kept = each.groupBy("component").agg(F.min("first").alias("first"))
+    named = materialise(each.select("class", "m", "component").join(kept, "component").select("class", "m", F.col("first.row").alias("keep")), "kept")
+    gone = join_spread(known, named, "class", "m", "keep").where("keep <> row").select(F.col("row").alias("_row"))
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")

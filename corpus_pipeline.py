@@ -27,9 +27,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one of smallest id stays, and of repeated rows one."""
-    gone = ngram_join.similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    """Of each group of similar documents the row of smallest id stays (null ids last), and of repeated rows one."""
+    left = ngram_join.drop_similar(docs)
     return left.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
 
 
