@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the corpus contracts: runs of anything but ASCII white space.
@@ -28,18 +28,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch: texts can be long, and a batch lies whole in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by rows and bytes: texts can be long, and a batch lies whole in a Python worker.
+
+    All operators set the same values, so it does not matter which of them ran last when a lazy result is read.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def columns(docs: DataFrame, **wanted: str) -> DataFrame:
+    """The wanted columns (new name = name in docs) and no others, found by exact name: what else docs holds, whatever
+    its name, cannot clash."""
+    places = {new: docs.columns.index(old) for new, old in wanted.items()}
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).select(*(F.col(f"c{i}").alias(new) for new, i in places.items()))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share."""
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share; only a local master may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
-        # Only where no shared folder is configured, as in single-machine tests.
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -49,10 +61,28 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of materialised tables that no plan reads any more."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            fs, path = file_system(folder)
+            fs.delete_dir(path)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs written once with a row number in the column row, and the private names (c0, c1 ...) of its columns.
+
+    Every later step reads rows and numbers from that table, so it does not matter how often, or on how many executors,
+    docs itself would be read again.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return materialise(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows"), names
+
+
 def file_system(uri: str):
     """The pyarrow file system and path of a URI or plain path."""
     from pyarrow import fs
@@ -178,17 +208,34 @@ def crc_fold(name: str, divisor: int):
     return F.crc32(F.col(name).cast("string").cast("binary")) % divisor
 
 
-def join_spread(big: DataFrame, small: DataFrame, key: str, n: str, value: str) -> DataFrame:
-    """Left join of big with small (key, n, value) by a long key, small having one row per key and n big's rows of it.
+def join_spread(big: DataFrame, small: DataFrame, on: str | list[str], n: str, value: str) -> DataFrame:
+    """Left join of big with small (on, n, value), small having one row per key and n big's rows of it; on: long columns.
 
-    Keys with more than a 2000th of all rows (so fewer than 2000 of them) are looked up by broadcast and their rows
-    dealt out at random in the shuffle, so no key lands in one task. The value column is added to big. small must be a
-    written table, as it is read several times.
+    Keys with more than a 2000th of all rows (so fewer than 2000 of them) are looked up by broadcast, and their rows
+    dealt out in the shuffle by a hash of the whole row, so no key lands in one task and a repeated attempt deals alike.
+    The value column is added to big. small must be a written table, as it is read several times.
     """
+    on = [on] if isinstance(on, str) else on
     total = small.agg(F.sum(n)).first()[0] or 0
-    heavy = small.where(F.col(n) > max(1000, total // 2000)).select(F.col(key).alias("_hk"), F.col(value).alias("_hv"))
-    light = small.select(F.col(key).alias("_lk"), F.col(value).alias("_lv"))
-    dealt = big.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
-    dealt = dealt.withColumn("_jk", F.when(F.col("_hk").isNull(), F.col(key)).otherwise((F.rand(7) * 2**62).cast("long")))
-    joined = dealt.join(light, F.col("_jk") == F.col("_lk"), "left")
-    return joined.withColumn(value, F.when(F.col("_hk").isNotNull(), F.col("_hv")).otherwise(F.col("_lv"))).drop("_hk", "_hv", "_jk", "_lk", "_lv")
+    heavy = small.where(F.col(n) > max(1000, total // 2000)).select(*(F.col(k).alias(f"_h{i}") for i, k in enumerate(on)), F.col(value).alias("_hv"), F.lit(True).alias("_hot"))
+    light = small.select(*(F.col(k).alias(f"_l{i}") for i, k in enumerate(on)), F.col(value).alias("_lv"))
+    same = lambda side: [F.col(k) == F.col(f"{side}{i}") for i, k in enumerate(on)]
+    dealt = big.join(F.broadcast(heavy), same("_h"), "left").withColumn("_salt", F.when(F.col("_hot"), F.xxhash64(*(F.col(c) for c in big.columns))).otherwise(F.col(on[0])))
+    joined = dealt.join(light, [F.col("_salt") == F.col("_l0"), *same("_l")[1:]], "left")
+    return joined.select(*big.columns, F.when(F.col("_hot"), F.col("_hv")).otherwise(F.col("_lv")).alias(value))
+
+
+def bounded_sample(rows: DataFrame, by: str, bounds: dict, counts: dict) -> DataFrame:
+    """At most bounds[v] distinct rows (by, id, text) of each value v of `by`, chosen by a hash of id and text.
+
+    counts holds how many rows each value has. Rows are first thinned by their hash to about four times the bound, so
+    that no task sorts more than that, then ordered by it; repeated rows count once. Adds turn, the hash.
+    """
+    turned = rows.withColumn("turn", F.xxhash64("id", "text"))
+    share = lambda v: min(1.0, 4.0 * bounds[v] / max(counts[v], 1))
+    few = F.lit(False)
+    for v in counts:
+        few = few | ((F.col(by) == F.lit(v)) & (F.pmod("turn", F.lit(1 << 30)) < int(share(v) * (1 << 30))))
+    order = Window.partitionBy(by).orderBy("turn", "id", F.length("text"))
+    most = F.create_map(*(F.lit(x) for v in counts for x in (v, bounds[v])))
+    return turned.where(few).dropDuplicates([by, "turn"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.try_element_at(most, F.col(by))).drop("place")

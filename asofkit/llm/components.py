@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b), component being the smallest node reachable.
 
     Each round points nodes to smaller neighbours; it ends when no edge changes, after about log(longest path) rounds.
-    Edges are written to the shared folder each round, so that lost executors cost one round at most. Loops and
+    Edges are written to the shared folder each round, so that lost executors cost one round at most, and the round
+    before is deleted. Loops and
     repeated edges do no harm; an empty table gives no rows.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -26,7 +27,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(small.select("a", F.col("m").alias("b"))).distinct()
         after = materialise(step, "edges")
         same = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        if after.agg(F.count("*"), same).first() == now.agg(F.count("*"), same).first():
-            break
+        done = after.agg(F.count("*"), same).first() == now.agg(F.count("*"), same).first()
+        discard(now)
         now = after
+        if done:
+            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

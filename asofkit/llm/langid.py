@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, small_batches
+from .common import bounded_sample, columns, crc_fold, small_batches
 
 COLUMNS = 1 << 16
 UNKNOWN = "und"
@@ -80,23 +80,20 @@ def fit(rows: list[bytes], langs: list[str], landmarks: int, ridge: float) -> Mo
 
 
 def train(docs: DataFrame, per_class: int = 300, landmarks: int = 32, ridge: float = 1e-4, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """Fit on at most per_class labelled texts of each language, chosen by a hash of their key.
+    """Fit on at most per_class labelled rows of each language, chosen by a hash of their key and text.
 
-    The bound is this sample's only limit; its presence rows (8 KB each) go to the driver. Rows without text or label
-    teach nothing. None if there is no labelled text.
+    The bound is this sample's only limit; its presence rows (8 KB each) go to the driver. Rows without key, text or
+    label teach nothing, repeated rows count once, and rows of equal keys are rows of their own; very long texts count
+    whole; other columns play no part. None if there is no labelled text.
     """
-    small_batches(docs.sparkSession, 256)
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    order = Window.partitionBy("lang").orderBy("turn", "id")
-    chosen = (
-        labelled.select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key)).alias("turn"))
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= per_class)
-        .select("id", "turn")
-        .distinct()
-    )
-    # At most per_class rows a language: small enough to broadcast.
-    sample = labelled.join(F.broadcast(chosen), F.col(key) == F.col("id")).select(F.col("turn"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    labelled = columns(docs, id=key, lang=lang, text=text).where("lang is not null and text is not null and id is not null")
+    labelled = labelled.select("id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    if not counts:
+        return None
+    sample = bounded_sample(labelled, "lang", dict.fromkeys(counts, per_class), counts).select("turn", "lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,17 +105,18 @@ def train(docs: DataFrame, per_class: int = 300, landmarks: int = 32, ridge: flo
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["turn", "lang", "bits"])
 
     rows = sorted(sample.mapInArrow(features, "turn long, lang string, bits binary").collect(), key=lambda r: (r.turn, r.lang, r.bits))
-    return fit([bytes(r.bits) for r in rows], [r.lang for r in rows], landmarks, ridge) if rows else None
+    return fit([bytes(r.bits) for r in rows], [r.lang for r in rows], landmarks, ridge)
 
 
 def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, lang_pred, score (0 to 1).
 
-    und with score 0 where the text is null or has no letter, or where nothing was learned. Only the text counts; rows
-    of equal keys are scored apart; further columns play no part.
+    und with score 0 where the text is null or has no letter, or where nothing was learned. Only the text counts, however
+    long; rows of equal or null keys and repeated rows are scored apart; other columns, whatever their names, play no
+    part; an empty table gives no rows. Ties go to the language first by name.
     """
     spark = docs.sparkSession
-    small_batches(spark, 256)
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +134,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
                 scores += np.where(known, value, 0.0).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = columns(docs, doc_id=key, text=text).withColumn("text", F.col("text").cast("string"))
     return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 

@@ -1,33 +1,44 @@
-"""Line dedup by a suffix array over line ids; DataFrame functions only.
-
-All documents' lines form one sequence of line ids in which each document ends with a mark. Only lines that occur more
-than once can belong to a repeated run, so suffixes start at those lines and end with the stretch of such lines around
-them. Prefix doubling orders the suffixes: a rank after k rounds is (first line's id, offset among the suffixes of that
-line by their first 2^k lines), and round k + 1 sorts by the pair of ranks 2^k lines apart. Suffixes that share at least
-L lines form one interval of longest common prefixes; with k = floor(log2 L), two ranks, at the start and 2^k lines
-before the end, name it. A run of lines is repeated from its earliest place in the interval; later ones are deleted.
+"""Line dedup by a suffix array over line-id sequences; DataFrame functions only.
+
+Rows are numbered and written once. Lines that occur more than once get an id each, so a document is a sequence of line
+ids, broken where a line occurs nowhere else. Prefix doubling names the runs of 1, 2, 4 ... lines by their rank among all
+runs of that length. A suffix that no other one equals drops out, as it cannot start a repeated run.
+
+Every repeated run of min_words words is covered by its shortest parts of min_words words, counted from each of its lines
+forwards and backwards; they are at most min_words lines long, so the suffixes need no deeper order. Their starts are
+range-sorted by length and the ranks of their first and last 2^k lines, which is the order of the suffixes, and then by
+place in the corpus. Two neighbours in that array whose common prefix reaches the part's length lie in one interval; a
+scan over the array opens an interval wherever it does not. The suffix that opens an interval is the earliest copy, and
+the lines of the others are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_spread, materialise
+from .common import WORD, discard, join_spread, materialise, numbered
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Lines that occur more than once: doc, row, pos (place in the text), j (place among the lines with words), line
-    (its hash), words, seg (stretch of consecutive repeated lines), at (words of the stretch before the line)."""
-    numbered = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    cut = numbered.select("doc", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "s"))
-    lines = cut.select("doc", "row", "pos", F.xxhash64("s").alias("line"), F.regexp_count("s", F.lit(WORD)).alias("words")).where("words > 0")
-    counts = materialise(lines.groupBy("line").agg(F.count("*").alias("n")), "lines")
-    place = Window.partitionBy("row").orderBy("pos")
-    # Lines with words get their place in the document before the others of it are left out.
-    numbered = lines.withColumn("j", F.row_number().over(place))
-    known = join_spread(numbered, counts.where("n > 1").withColumn("again", F.col("n")), "line", "n", "again").where("again is not null")
-    stretch = Window.partitionBy("row", "seg")
+def cut_lines(text: Column) -> Column:
+    """The lines of a text that hold words, as an array of (pos, a, b, words): place among all lines, two independent
+    64-bit hashes, number of words."""
+    each = F.transform(F.split(text, "\n", -1), lambda s, i: F.struct(i.alias("pos"), F.xxhash64(s).alias("a"), F.xxhash64(F.lit("line"), s).alias("b"), F.regexp_count(s, F.lit(WORD)).alias("words")))
+    return F.filter(each, lambda x: x["words"] > 0)
+
+
+def repeated_lines(rows: DataFrame) -> DataFrame:
+    """rows (row, doc, text) as the lines that occur more than once: doc, row, pos (place in the text), j (place among the
+    lines with words), line (its id), words, seg (stretch of consecutive repeated lines), at (words of the stretch before
+    the line), length (words of the stretch).
+
+    Lines are told apart by 128 bits of hash. Null and empty texts have no lines; an empty table gives no rows; rows of
+    equal or null doc are documents of their own, told apart by row.
+    """
+    lines = materialise(rows.select("doc", "row", F.posexplode(cut_lines(F.col("text"))).alias("j", "x")).select("doc", "row", "j", "x.pos", "x.a", "x.b", "x.words"), "lines")
+    ids = materialise(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").withColumn("line", F.monotonically_increasing_id()), "line-ids")
+    known = join_spread(lines, ids, ["a", "b"], "n", "line").where("line is not null")
+    place, stretch = Window.partitionBy("row").orderBy("j"), Window.partitionBy("row", "seg")
     return (
         known.withColumn("seg", F.col("j") - F.row_number().over(place))
         .withColumn("at", F.sum("words").over(stretch.orderBy("j")) - F.col("words"))
@@ -36,72 +47,111 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def double_ranks(suffixes: DataFrame, rounds: int) -> DataFrame:
-    """Add off0 ... off<rounds> to suffixes (row, seg, j, line): by them and the line, suffixes are sorted by their first
-    1, 2, 4 ... lines, equal ones tying. A suffix that ends sorts before its continuations."""
-    ranked = materialise(suffixes.withColumn("off0", F.lit(0).cast("long")), "ranks")
-    for k in range(rounds):
-        ahead = Window.partitionBy("row", "seg").orderBy("j")
-        old, new = f"off{k}", f"off{k + 1}"
-        pairs = materialise(ranked.withColumn("line2", F.lead("line", 1 << k).over(ahead)).withColumn("o2", F.lead(old, 1 << k).over(ahead)).withColumn("pair", F.xxhash64("line", old, F.coalesce("line2", F.lit(0)), F.coalesce("o2", F.lit(-1)))), "pairs")
-        groups = pairs.groupBy("line", old, "line2", "o2", "pair").agg(F.count("*").alias("n"))
-        smaller = Window.partitionBy("line", old).orderBy(F.col("line2").asc_nulls_first(), "o2").rowsBetween(Window.unboundedPreceding, -1)
-        named = materialise(groups.select("pair", "n", (F.col(old) + F.coalesce(F.sum("n").over(smaller), F.lit(0))).alias(new)), "names")
-        ranked = materialise(join_spread(pairs, named, "pair", "n", new).drop("line2", "o2", "pair"), "ranks")
+def double(level: DataFrame, lines: int, whole: bool) -> DataFrame:
+    """From the ranks of runs of `lines` lines (row, seg, j, rank, ...) those of runs of twice as many.
+
+    Pairs of ranks `lines` lines apart are range-sorted, and a pair's place is the new rank; equal runs tie. Unless
+    whole, runs that are cut off by their stretch's end, or that no other run equals, drop out; else a cut-off run
+    sorts before its continuations. Repeated rows of (row, seg, j) must not occur. An empty table gives no rows.
+    """
+    others = [c for c in level.columns if c != "rank"]
+    ahead = F.max("rank").over(Window.partitionBy("row", "seg").orderBy("j").rangeBetween(lines, lines))
+    pairs = level.withColumn("next", F.coalesce(ahead, F.lit(-1).cast("long")))
+    pairs = materialise(pairs if whole else pairs.where("next >= 0"), "pairs")
+    names = pairs.groupBy("rank", "next").agg(F.count("*").alias("n"))
+    names = names if whole else names.where("n > 1")
+    sorted_names = materialise(names.repartitionByRange("rank", "next").sortWithinPartitions("rank", "next").withColumn("place", F.monotonically_increasing_id()), "names")
+    ranked = materialise(join_spread(pairs, sorted_names, ["rank", "next"], "n", "place").where("place is not null").select(*others, F.col("place").alias("rank")), "ranks")
+    discard(pairs, sorted_names)
     return ranked
 
 
 def suffix_array(docs: DataFrame, rounds: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The suffixes that start at repeated lines, range-sorted by their first 2^rounds lines (by line hash): doc, pos, j,
-    line, rank."""
-    ranked = double_ranks(repeated_lines(docs, key, text), rounds)
-    return ranked.repartitionByRange("line", f"off{rounds}", "doc", "row", "j").sortWithinPartitions("line", f"off{rounds}", "doc", "row", "j").select("doc", "row", "pos", "j", "line", F.col(f"off{rounds}").alias("rank"))
+    """The suffixes that start at repeated lines, range-sorted by their first 2^rounds lines (by line id): doc, pos, j,
+    line, rank; equal ones tie, and one that ends sorts before its continuations.
 
+    A suffix ends with its stretch of repeated lines. Null and empty texts have no suffixes, repeated rows and rows of
+    equal or null keys have suffixes of their own, other columns play no part, and an empty table gives no rows.
+    """
+    rows, names = numbered(docs)
+    doc, body = names[docs.columns.index(key)], names[docs.columns.index(text)]
+    level = repeated_lines(rows.select("row", F.col(doc).alias("doc"), F.col(body).cast("string").alias("text"))).select("doc", "row", "pos", "j", "seg", "line", F.col("line").alias("rank"))
+    level = materialise(level, "ranks")
+    for k in range(rounds):
+        level = double(level, 1 << k, whole=True)
+    order = ("line", "rank", "doc", "row", "j")
+    return level.repartitionByRange(*order).sortWithinPartitions(*order).select("doc", "row", "pos", "j", "line", "rank")
 
-def later_copies(docs: DataFrame, min_words: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, gone, words): by document row the places of its lines that lie in a later copy of a repeated run of at
-    least min_words words.
 
-    Every such run is the union of its shortest parts of min_words words counted from each of its lines forwards, and
-    of those counted backwards; each part is looked up as an interval of the suffix array.
-    """
-    lines = materialise(repeated_lines(docs, key, text).where(F.col("length") >= min_words), "suffixes")
+def shortest_parts(lines: DataFrame, min_words: int) -> DataFrame:
+    """(doc, row, seg, s, n): the shortest runs of min_words words from each line forwards and backwards, n lines each."""
     stretch = Window.partitionBy("row", "seg")
     upto = F.col("at") + F.col("words")
     forward = lines.select("doc", "row", "seg", F.col("j").alias("s"), "at", "length", F.count("*").over(stretch.orderBy("at").rangeBetween(Window.currentRow, min_words - 1)).alias("n")).where(F.col("length") - F.col("at") >= min_words)
     backward = lines.withColumn("upto", upto).select("doc", "row", "seg", "j", "upto", F.count("*").over(stretch.orderBy("upto").rangeBetween(-(min_words - 1), Window.currentRow)).alias("n")).where(F.col("upto") >= min_words)
-    parts = materialise(forward.select("doc", "row", "seg", "s", "n").unionByName(backward.select("doc", "row", "seg", (F.col("j") - F.col("n") + 1).alias("s"), "n")).distinct(), "parts")
+    return forward.select("doc", "row", "seg", "s", "n").unionByName(backward.select("doc", "row", "seg", (F.col("j") - F.col("n") + 1).alias("s"), "n")).distinct()
+
+
+def repeated_parts(lines: DataFrame, min_words: int) -> DataFrame:
+    """(row, s, n): the shortest parts that are later copies, from the sorted suffixes and the intervals of their common
+    prefixes. lines is a written table of repeated lines."""
+    parts = materialise(shortest_parts(lines, min_words), "parts")
     longest = parts.agg(F.max("n")).first()[0] or 1
-    rounds = int(longest).bit_length() - 1
-    ranked = double_ranks(lines.select("row", "seg", "j", "line", "pos", "words"), rounds)
-    offsets = F.array(*(F.col(f"off{k}") for k in range(rounds + 1)))
-    names = ranked.select("row", "j", "line", offsets.alias("offs"))
-    k = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
-    named = (
-        parts.withColumn("k", k)
-        .withColumn("t", F.col("s") + F.col("n") - F.pow(F.lit(2.0), F.col("k")).cast("int"))
-        .join(names.select("row", F.col("j").alias("s"), F.col("line").alias("line_s"), F.col("offs").alias("offs_s")), ["row", "s"])
-        .join(names.select("row", F.col("j").alias("t"), F.col("line").alias("line_t"), F.col("offs").alias("offs_t")), ["row", "t"])
-        .select("doc", "row", "s", "n", F.xxhash64("n", "line_s", F.get("offs_s", F.col("k")), "line_t", F.get("offs_t", F.col("k"))).alias("interval"))
-    )
-    named = materialise(named, "intervals")
-    firsts = materialise(named.groupBy("interval").agg(F.count("*").alias("m"), F.min(F.struct("doc", "row", "s")).alias("first")).where("m > 1"), "firsts")
-    copies = join_spread(named, firsts, "interval", "m", "first").where(F.col("first").isNotNull() & (F.struct("doc", "row", "s") != F.col("first")))
-    covered = copies.select("row", F.explode(F.sequence("s", F.col("s") + F.col("n") - 1)).alias("j")).distinct()
-    return covered.join(ranked.select("row", "j", "pos", "words"), ["row", "j"]).groupBy("row").agg(F.collect_list("pos").alias("gone"), F.sum("words").alias("gone_words"))
+    level, ranks = materialise(lines.select("row", "seg", "j", F.col("line").alias("rank")), "ranks"), []
+    for k in range(int(longest).bit_length()):
+        level = double(level, 1 << (k - 1), whole=False) if k else level
+        ranks.append(level)
+    found = []
+    for k, level in enumerate(ranks):  # parts of 2^k to 2^(k+1) - 1 lines: two ranks tell their whole content
+        some = parts.where(F.col("n").between(1 << k, (2 << k) - 1)).withColumn("t", F.col("s") + F.col("n") - (1 << k))
+        first = level.select("row", F.col("j").alias("s"), F.col("rank").alias("head"))
+        last = level.select("row", F.col("j").alias("t"), F.col("rank").alias("tail"))
+        found.append(some.join(first, ["row", "s"]).join(last, ["row", "t"]).select("doc", "row", "s", "n", "head", "tail"))
+    suffixes = found[0]
+    for more in found[1:]:
+        suffixes = suffixes.unionByName(more)
+    order = ("n", "head", "tail", F.col("doc").asc_nulls_first(), "row", "s")
+    array = materialise(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "suffix-array").withColumn("part", F.shiftright("place", 33))
+    # Neighbours share at least n lines if they agree in n and both ranks. A range's first suffix has its neighbour in
+    # the range before; there are as many of these as ranges.
+    prefix = F.struct("n", "head", "tail")
+    ends = array.groupBy("part").agg(F.max_by(prefix, "place").alias("end")).select("part", F.lag("end").over(Window.orderBy("part")).alias("before"))
+    scanned = array.join(F.broadcast(ends), "part").withColumn("neighbour", F.coalesce(F.lag(prefix).over(Window.partitionBy("part").orderBy("place")), "before"))
+    copies = materialise(scanned.where(F.col("neighbour") == prefix).select("row", "s", "n"), "copies")
+    discard(parts, array, *ranks)
+    return copies
+
+
+def later_copies(rows: DataFrame, min_words: int = 50) -> DataFrame:
+    """(row, runs, gone, gone_words): by row of rows (row, doc, text) the runs (low, high; places in the text) of lines
+    that lie in a later copy of a repeated run of at least min_words words, with their lines and words.
+
+    Earlier means by doc (nulls first), row and line. Overlapping copies form one run.
+    """
+    lines = materialise(repeated_lines(rows).where(F.col("length") >= min_words), "suffixes")
+    reach = repeated_parts(lines, min_words).groupBy("row", "s").agg(F.max(F.col("s") + F.col("n") - 1).alias("end"))
+    place = Window.partitionBy("row").orderBy("j")
+    covered = lines.select("row", "j", "pos", "words").join(reach.withColumnRenamed("s", "j"), ["row", "j"], "left").withColumn("reach", F.max("end").over(place)).where("reach >= j")
+    runs = covered.withColumn("run", F.col("j") - F.row_number().over(place)).groupBy("row", "run").agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.count("*").alias("n"), F.sum("words").alias("w"))
+    return runs.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("runs"), F.sum("n").alias("gone"), F.sum("w").alias("gone_words"))
 
 
 def drop_repeated_runs(docs: DataFrame, min_words: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with later copies of repeated line runs cut from the text, and lines_removed.
+    """docs with later copies of repeated line runs cut from the text, and lines_removed (which replaces a column of that
+    name).
 
     A run of consecutive lines (those without words aside) of at least min_words words that occurs earlier, by key, row
     and line, loses its lines; the earliest copy stays, and so do lines without words. Runs may overlap, so a line that
-    repeats on end stays once. Null texts stay null and empty ones empty; a text of copies only becomes empty; rows of
-    equal or null keys are documents of their own (null keys first). docs must give the same rows in the same order
-    when read again (as files do).
+    repeats on end stays once. Null texts stay null and empty ones empty; a text of copies only becomes empty; very long
+    texts are cut like others; rows of equal or null keys, and repeated rows, are documents of their own (null keys
+    first, then in the order of the input). Other columns stay as they are, whatever their names. An empty table gives
+    no rows.
     """
-    gone = later_copies(docs, min_words, key, text)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    marked = numbered.join(gone.select(F.col("row").alias("_row"), F.col("gone").alias("_gone")), "_row", "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    return marked.select(*(F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in docs.columns), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("lines_removed"))
+    rows, names = numbered(docs)
+    doc, body = names[docs.columns.index(key)], names[docs.columns.index(text)]
+    gone = later_copies(rows.select("row", F.col(doc).alias("doc"), F.col(body).cast("string").alias("text")), min_words)
+    marked = rows.join(gone, "row", "left")
+    in_run = lambda i: F.exists("runs", lambda r: (i >= r["low"]) & (i <= r["high"]))
+    kept = F.array_join(F.filter(F.split(F.col(body), "\n", -1), lambda line, i: ~in_run(i) | ~F.regexp_like(line, F.lit(WORD))), "\n")
+    out = [(F.when(F.col("runs").isNull(), F.col(c)).otherwise(kept) if c == body else F.col(c)).alias(old) for c, old in zip(names, docs.columns) if old != "lines_removed"]
+    return marked.select(*out, F.coalesce("gone", F.lit(0)).cast("long").alias("lines_removed"))

@@ -48,17 +48,20 @@ def curriculum_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: i
     size counts the words of the whole text (null: 0). taken counts words the mix takes of the document over all
     epochs; copies holds (epoch, words, position) of each epoch that takes some, position the first of them (null if
     none). The copy at which a source reaches its target gives its first words only, so sources meet their targets to
-    the word. Rows of equal keys are documents of their own; ties in the order are broken by size, then text. A null
-    source is a source. Empty tables give no rows.
+    the word. Rows of equal or null keys are documents of their own; ties in the order are broken by size
+    and, where columns are kept, by text. A null source is a source. Other columns, whatever their names, play no part.
+    An empty table gives no rows. The targets come from one row per source in one task, which serves thousands of
+    sources.
     """
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    sized = docs.select(
-        F.col(key).alias("doc_id"),
-        F.col(source).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+    place = {name: F.col(f"c{i}") for i, name in enumerate(docs.columns)}
+    order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(place[key].cast("string"), F.lit(""))))
+    sized = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).select(
+        place[key].alias("doc_id"),
+        place[source].cast("string").alias("source"),
+        F.coalesce(F.regexp_count(place[text].cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         order.alias("o"),
-        F.struct(*(F.col(c) for c in keep)).alias("kept") if keep else F.lit(None).cast("boolean").alias("kept"),
-        (F.xxhash64(F.col(text).cast("string")) if keep else F.lit(0)).alias("tie"),
+        F.struct(*(place[c].alias(c) for c in keep)).alias("kept") if keep else F.lit(None).cast("boolean").alias("kept"),
+        (F.xxhash64(place[text].cast("string")) if keep else F.lit(0)).alias("tie"),
     ).withColumn("part", F.substring("o", 1, _DIGITS))
     # Words by source and group of the order: the one pass over the texts that the targets need.
     parts = sized.groupBy("source", "part").agg(F.sum("size").alias("words"))
@@ -104,12 +107,16 @@ def by_position(mixed: DataFrame) -> DataFrame:
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """One row per copy that the mix takes, range-sorted by position: the columns of the mix, epoch, words, position."""
+    """One row per copy that the mix takes, range-sorted by position: the columns of the mix, epoch, words, position.
+
+    Documents of which nothing is taken (empty or null texts, for one) give no row; ties go by doc_id, then epoch;
+    repeated rows give rows of their own; an empty mix gives no rows.
+    """
     columns = [c for c in mixed.columns if c not in ("position", "copies")]
     each = mixed.select(*columns, F.explode("copies").alias("copy")).select(*columns, "copy.epoch", "copy.words", "copy.position")
     return each.repartitionByRange("position", "doc_id", "epoch").sortWithinPartitions("position", "doc_id", "epoch")
 
 
 def first_words(text: Column, words: Column) -> Column:
-    """The first words of a text, joined by single spaces."""
+    """The first words of a text, joined by single spaces; all of them if there are fewer; null for a null text."""
     return F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, words.cast("int")), " ")

@@ -22,15 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, join_spread, materialise, mix64, set_shingles, slices_by_bytes, small_batches, word_hashes
+from .common import bytes_of, columns, discard, join_spread, materialise, mix64, numbered, set_shingles, slices_by_bytes, small_batches, word_hashes
 from .components import connected_components
 
 ORDERS = 3
-#: Classes of a cluster that one task compares.
+#: Classes of a cluster, and bytes of their sets, that one task compares at once.
 BLOCK = 4096
+BLOCK_BYTES = 8 << 20
 _SALTS = np.array([0x0, 0x517CC1B727220A95, 0x2545F4914F6CDD1D], np.uint64)
 
 
@@ -133,21 +134,21 @@ def _bits(postings: int, least: int) -> int:
     return max(least, int(postings / 1e6).bit_length())
 
 
-def document_classes(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(id, row, n, class) of every document, whatever its text."""
+def document_classes(rows: DataFrame, shingle: int) -> DataFrame:
+    """(id, row, n, class) of every row (id, text, row): the number of its shingles and the name of its set.
+
+    Null and empty texts, and texts without words, have n 0 and class -1; texts of any length count whole; equal sets
+    have one class; repeated rows and null ids are rows of their own; an empty table gives no rows.
+    """
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, start, cls in _text_sets(batches, shingle):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(start)), pa.array(cls)], ["id", "row", "n", "class"])
 
-    return _rows(docs, key, text, F.monotonically_increasing_id().alias("row")).mapInArrow(classes, "id long, row long, n long, class long")
-
-
-def _rows(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *more)
+    return rows.select("id", "text", "row").mapInArrow(classes, "id long, row long, n long, class long")
 
 
-def _survivors(docs: DataFrame, sizes: DataFrame, total: int, key: str, text: str, shingle: int) -> DataFrame:
+def _survivors(rows: DataFrame, sizes: DataFrame, total: int, shingle: int) -> DataFrame:
     """Classes (class, n) that the hash-order filter leaves; sizes is (class, n).
 
     With prefixes longer by e = floor(0.2 n) tokens, similar sets share at least 1 + e tokens of the shorter prefix.
@@ -169,18 +170,18 @@ def _survivors(docs: DataFrame, sizes: DataFrame, total: int, key: str, text: st
         found, count = np.unique(classes[size > 1], return_counts=True)
         return pa.table({"class": found, "shared": count})
 
-    counts = _rows(docs, key, text).mapInArrow(postings, _PACKS).groupBy("bucket").applyInArrow(shared, "class long, shared long").groupBy("class").agg(F.sum("shared").alias("shared"))
+    counts = rows.select("id", "text").mapInArrow(postings, _PACKS).groupBy("bucket").applyInArrow(shared, "class long, shared long").groupBy("class").agg(F.sum("shared").alias("shared"))
     least = F.floor((F.floor((4 * F.col("n") + 4) / 5)) / 5) + 1
     return sizes.join(counts, "class").where(F.col("shared") >= least).select("class", "n")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+def _sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(class, n, tokens) of the wanted classes. A bit filter of fixed size (1 MB) is broadcast so that few other sets
     leave their task; the join then decides."""
     words = wanted.groupBy((F.col("class") % (1 << 17)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast((class div 131072) % 64 as int))")).alias("bits")).collect()
     table = np.zeros(1 << 17, np.uint64)
     table[[r.w for r in words]] = [r.bits % (1 << 64) for r in words]
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, seen = shared.value, set()
@@ -197,7 +198,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, shingle: int)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([t for _, t in out], pa.binary())], ["class", "tokens"])
 
-    return _rows(docs, key, text).mapInArrow(pick, "class long, tokens binary").join(wanted, "class").dropDuplicates(["class"])
+    return rows.select("id", "text").mapInArrow(pick, "class long, tokens binary").join(wanted, "class").dropDuplicates(["class"])
 
 
 def _common_tokens(sets: DataFrame, tokens_total: int) -> DataFrame:
@@ -352,16 +353,23 @@ def _parts(table: pa.Table, by: str) -> Iterator[pa.Table]:
         yield table.slice(a, b - a)
 
 
-def _links(ordered: DataFrame, clusters: DataFrame, groups: int) -> DataFrame:
+def _links(ordered: DataFrame, clusters: DataFrame) -> DataFrame:
     """Spanning links (a, b) of all clusters."""
-    sized = clusters.groupBy("cluster").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.expr(f"cast(ceil(m / {BLOCK}) as int)")
+    spark = ordered.sparkSession
+    weight = F.octet_length("tokens") + sum((F.octet_length(f"p{o}") for o in range(1, ORDERS)), F.octet_length("p0")) + 64
+    sized = clusters.join(ordered.select("class", weight.alias("bytes")), "class").groupBy("cluster").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes")).where("m > 1")
+    sized = materialise(sized, "clusters-sized")
+    total = sized.agg(F.sum("bytes")).first()[0] or 0
+    # Clusters of less than a block share groups of about a block's bytes; the wanted number grows with the table.
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES))
+    blocks = F.expr(f"cast(ceil(greatest(m / {BLOCK}, bytes / {BLOCK_BYTES})) as int)")
     placed = (
         clusters.join(sized, "cluster")
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
         # Some members of a large cluster stand in all of its blocks, so that the blocks meet through them.
-        .withColumn("common", (F.col("blocks") > 1) & (F.pmod(F.xxhash64("class", F.lit(1)), F.expr("cast(ceil(m / 64) as int)")) == 0))
+        .withColumn("common", (F.col("blocks") > 1) & (F.pmod(F.xxhash64("class", F.lit(1)), F.expr(f"cast(ceil(greatest(m / 64, 64 * bytes / {BLOCK_BYTES})) as int)")) == 0))
+        .drop("bytes")
     )
     placed = materialise(placed.join(ordered, "class"), "placed")
     group = F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(F.pmod("cluster", F.lit(groups)))
@@ -375,7 +383,8 @@ def _links(ordered: DataFrame, clusters: DataFrame, groups: int) -> DataFrame:
     large = placed.where("blocks > 1")
     if large.isEmpty():
         return links
-    # Blocks of a large cluster that still lie in several components: members outside its largest visit all blocks.
+    # Blocks of a large cluster that still lie in several components: members outside its largest visit those blocks
+    # with whose members they share prefix tokens.
     second = _visits(large, connected_components(links))
 
     def meet(table: pa.Table) -> pa.Table:
@@ -395,37 +404,65 @@ def _links(ordered: DataFrame, clusters: DataFrame, groups: int) -> DataFrame:
     return links.unionByName(second.groupBy("cluster", "at", "chunk").applyInArrow(meet, "a long, b long"))
 
 
+def _shared_blocks(now: DataFrame) -> DataFrame:
+    """(cluster, class, to): for members outside their cluster's largest component, the other blocks where under every
+    order some member holds one of their prefix tokens."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns_ = [batch.column(x).to_pylist() for x in ("cluster", "class", "block", "outside", "tokens", "p0", "p1", "p2")]
+            for cluster, c, block, outside, raw, *places in zip(*columns_, strict=True):
+                tokens = np.frombuffer(raw, np.uint64).view(np.int64)
+                own = [tokens[np.frombuffer(p, np.int32)] for p in places]
+                n, size = sum(map(len, own)), [len(x) for x in own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, cluster)), pa.array(np.full(n, c)), pa.array(np.full(n, block, np.int32)), pa.array(np.full(n, outside)), pa.array(np.repeat(np.arange(ORDERS, dtype=np.int32), size)), pa.array(np.concatenate(own))],
+                    ["cluster", "class", "block", "outside", "o", "token"],
+                )
+
+    schema = "cluster long, class long, block int, outside boolean, o int, token long"
+    held = materialise(now.select("cluster", "class", "block", "outside", "tokens", "p0", "p1", "p2").mapInArrow(prefixes, schema), "prefixes")
+    homes = held.select("cluster", "o", "token", F.col("block").alias("to")).distinct()
+    met = held.where("outside").join(homes, ["cluster", "o", "token"]).where("to <> block").select("cluster", "class", "o", "to").distinct()
+    return met.groupBy("cluster", "class", "to").agg(F.count("*").alias("orders")).where(f"orders = {ORDERS}").select("cluster", "class", "to")
+
+
 def _visits(large: DataFrame, parts: DataFrame) -> DataFrame:
     """Members of clusters cut into blocks that lie in several components, dealt to groups (cluster, at, chunk): the
     members of block `at`, and as guests a chunk of about a block's size of those outside the cluster's largest component
-    who live in other blocks. Members of one block have met before."""
+    who live in other blocks and share prefix tokens with this one under every order. Members of one block have met
+    before."""
     now = large.join(parts.select(F.col("node").alias("class"), F.col("component").alias("part")), "class", "left").withColumn("part", F.coalesce("part", "class"))
     sizes = now.groupBy("cluster", "part").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("cluster").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts"), (F.sum("size") - F.max("size")).alias("guests")).where("parts > 1")
-    now = now.join(main.select("cluster", "main", F.expr(f"cast(ceil(guests / {BLOCK}) as int)").alias("chunks")), "cluster")
-    now = now.withColumn("outside", F.col("part") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("class", F.lit(2)), "chunks").cast("int"))
-    stop = lambda at, chunk, guest: F.struct(at.alias("at"), chunk.alias("chunk"), F.lit(guest).alias("guest"))
-    home = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: stop(F.col("block"), c, False))
-    away = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block")), lambda b: stop(b, F.col("own"), True))
-    dealt = now.withColumn("stop", F.explode(F.when(F.col("outside"), F.concat(home, away)).otherwise(home)))
-    return dealt.select("cluster", "stop.at", "stop.chunk", "class", "n", "tokens", "p0", "p1", "p2", "part", "outside", "stop.guest")
-
-
-def _components(docs: DataFrame, shingle: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(id, row, n, class) of every document, and (class, component) of every class of documents with words, written."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    known = materialise(document_classes(docs, key, text, shingle), "classes")
+    main = sizes.groupBy("cluster").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    now = now.join(main.select("cluster", "main"), "cluster").withColumn("outside", F.col("part") != F.col("main"))
+    now = materialise(now.select("cluster", "class", "n", "tokens", "p0", "p1", "p2", "block", "blocks", "part", "outside"), "blocks")
+    met = materialise(_shared_blocks(now), "visits")
+    # As many chunks of guests for a block as its visitors fill; its members meet each chunk.
+    chunks = now.groupBy("cluster").agg((F.first("blocks")).alias("b"), F.count("*").alias("m"))
+    room = F.expr("greatest(1, cast(ceil(m / b) as int))")
+    visitors = met.groupBy("cluster", F.col("to").alias("at")).agg(F.count("*").alias("v")).join(chunks.select("cluster", room.alias("room")), "cluster").select("cluster", "at", F.expr("cast(ceil(v / room) as int)").alias("chunks"))
+    columns_ = ["cluster", "at", "chunk", "class", "n", "tokens", "p0", "p1", "p2", "part", "outside", "guest"]
+    home = now.withColumn("at", F.col("block")).join(visitors, ["cluster", "at"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("guest", F.lit(False))
+    away = met.withColumnRenamed("to", "at").join(visitors, ["cluster", "at"]).withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(2)), "chunks").cast("int")).join(now, ["cluster", "class"]).withColumn("guest", F.lit(True))
+    return home.select(*columns_).unionByName(away.select(*columns_))
+
+
+def _components(rows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(id, row, n, class) of every row (id, text, row), and (class, least, m, component) of every class of rows with
+    words, written."""
+    small_batches(rows.sparkSession)
+    known = materialise(document_classes(rows, shingle), "classes")
     classes = materialise(known.where("class >= 0").groupBy("class").agg(F.first("n").alias("n"), F.min("id").alias("least"), F.count("*").alias("m")), "sizes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    wanted = materialise(_survivors(docs, classes.select("class", "n"), total, key, text, shingle), "wanted")
-    sets = materialise(_sets(docs, wanted, key, text, shingle), "sets")
+    wanted = materialise(_survivors(rows, classes.select("class", "n"), total, shingle), "wanted")
+    sets = materialise(_sets(rows, wanted, shingle), "sets")
     tokens = sets.agg(F.sum("n")).first()[0] or 0
     ordered = materialise(_ordered(_common_tokens(sets, tokens)), "ordered")
     clusters = materialise(_clusters(ordered, _bits(tokens, 4)), "clusters")
-    groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = connected_components(_links(ordered, clusters, groups))
-    rooted = classes.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    parts = connected_components(_links(ordered, clusters))
+    rooted = materialise(classes.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")), "rooted")
+    discard(classes, wanted, sets, ordered, clusters)
     return known, rooted
 
 
@@ -434,10 +471,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, key: str = "doc_id", te
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct shingles of so many
     words (the whole sequence where there are fewer words), each known by a 64-bit hash. Two documents link where
-    100 * intersection >= 80 * union. A null or empty text has an empty set and links with nothing. Rows of equal or
-    null keys are documents of their own. An empty table gives no rows; further columns play no part.
+    100 * intersection >= 80 * union. A null or empty text has an empty set and links with nothing; texts of any length
+    count whole. Rows of equal or null keys are documents of their own. An empty table gives no rows; other columns,
+    whatever their names, play no part.
     """
-    known, rooted = _components(docs, shingle, key, text)
+    rows = columns(docs, id=key, text=text).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    known, rooted = _components(rows, shingle)
     least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialise(rooted.join(least, "component").select("class", "m", "component_id"), "components")
     found = join_spread(known, named, "class", "m", "component_id")
@@ -446,12 +485,14 @@ def similar_documents(docs: DataFrame, shingle: int = 5, key: str = "doc_id", te
 
 def drop_similar(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group that similar_documents links: the one of smallest key (null keys last), then the
-    first. Rows of equal or null keys are documents of their own; rows without words stay. docs must give the same rows
-    in the same order when read again (as files do)."""
-    known, rooted = _components(docs, shingle, key, text)
+    first. Rows of equal or null keys are documents of their own; rows without words stay. All columns stay as they are,
+    whatever their names. An empty table gives no rows."""
+    held, names = numbered(docs)
+    doc, body = names[docs.columns.index(key)], names[docs.columns.index(text)]
+    known, rooted = _components(held.select(F.col(doc).cast("long").alias("id"), F.col(body).cast("string").alias("text"), "row"), shingle)
     firsts = known.where("class >= 0").groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
     each = rooted.join(firsts, "class")
     kept = each.groupBy("component").agg(F.min("first").alias("first"))
     named = materialise(each.select("class", "m", "component").join(kept, "component").select("class", "m", F.col("first.row").alias("keep")), "kept")
-    gone = join_spread(known, named, "class", "m", "keep").where("keep <> row").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")
+    gone = join_spread(known, named, "class", "m", "keep").where("keep <> row").select("row")
+    return held.join(gone, "row", "left_anti").select(*(F.col(c).alias(old) for c, old in zip(names, docs.columns)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices_by_bytes, small_batches
+from .common import columns, slices_by_bytes, small_batches
 from .tokens import encoder
 
 #: A piece: document row, first id within it, its ids, ids of the whole document.
@@ -101,7 +101,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
 
     Every id of every document (its text's and the end id) lies in exactly one piece. A null text is empty and gives
     the end id alone; null keys and repeated rows are packed like others; an empty table gives no rows; other columns
-    play no part. Sequence ids are unique, not consecutive: the task's number and a counter.
+    play no part. Sequence ids are unique, not consecutive: the task's number and a counter. Each task packs
+    what it reads, so which pieces share a sequence follows the input's partitions; that every id lies in one piece, and
+    the pieces' contents, do not.
     """
     small_batches(docs.sparkSession)
 
@@ -136,4 +138,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     schema = ", ".join(f"{n} long" for n in names[:-1]) + (", ids binary" if with_ids else "")
-    return docs.selectExpr(f"cast(`{key}` as long) k", f"cast(`{text}` as string) t").mapInArrow(pack, schema)
+    return columns(docs, k=key, t=text).selectExpr("cast(k as long) k", "cast(t as string) t").mapInArrow(pack, schema)

@@ -73,7 +73,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = lambda c: F.regexp_extract(c, r"^<urn:capture:(-?\d*):", 1)
     return captures.select(
         F.col("metadata.fields")["pageId"].cast("long").alias("page_id"),
-        F.col("metadata.fields")["payloadLength"].cast("long").alias("payload_bytes"),
+        # A revisit holds no payload; its length is what the metadata record says.
+        F.coalesce("response.payload_bytes", F.col("metadata.fields")["payloadLength"].cast("long")).alias("payload_bytes"),
         F.coalesce("response.payload_digest", "response.header_digest").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
         F.nullif(page("response.refers_to"), F.lit("")).cast("long").alias("refers_to"),

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, mix64, n_partitions, shared_dir, slices_by_bytes, small_batches
+from .common import columns, file_system, mix64, n_partitions, shared_dir, slices_by_bytes, small_batches
 from .tokens import encoder
 
 _LEVELS = 48
@@ -102,7 +102,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaces
     small_batches(spark)
     shards = shards or n_partitions(spark)
     sorted_docs = (
-        docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), F.xxhash64(F.col(text).cast("string")).alias("o"))
+        columns(docs, k=key, t=text)
+        .select(F.col("k").cast("long").alias("k"), F.col("t").cast("string").alias("t"), F.xxhash64(F.col("t").cast("string")).alias("o"))
         .repartitionByRange(shards, "k", "o")
         .sortWithinPartitions("k", "o")
         .select("k", "t")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_hashes, bytes_of, crc_fold, materialise, slices_by_bytes, small_batches
+from .common import bounded_sample, byte_hashes, bytes_of, columns, crc_fold, materialise, mix64, set_shingles, slices_by_bytes, small_batches, word_hashes
 
 #: Characters trimmed from words, and those of them that mark quotation.
 QUOTES = "\"“”„«»‹›‘’"
@@ -238,20 +238,28 @@ def _counted(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...]) -> dict[
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (8000, 16000), lexicon: int = 500, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Learn from at most sample[0] toxic and sample[1] other labelled documents, chosen by a hash of their key.
+    """Learn from at most sample[0] toxic and sample[1] other labelled rows, chosen by a hash of key and text.
 
     A term enters the lexicon if at least 4 (and 1 in 100) of the sample's toxic texts hold it, between as many different
     pairs of neighbours (so near copies of one text do not make its words terms), and if it is at least 20 times as
-    frequent among them as among the others; at most `lexicon` terms, strongest first. Equal texts of a label count
-    once, so do repeated labels of a key (toxic if any is). Rows without key, label or text teach nothing.
+    frequent among them as among the others; the lexicon's size is a parameter of the model, strongest terms first.
+    Equal and most near-equal texts of a label count once, so do repeated labels of a key (toxic if any is). Rows without key, label or text
+    teach nothing; other columns, whatever their names, play no part. Without rows of both labels the model is empty.
     """
     spark = docs.sparkSession
-    small_batches(spark, 256)
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
-    turn = known.withColumn("turn", F.xxhash64("id"))
+    small_batches(spark)
+    given = columns(labels, id=key, toxic=label).where("id is not null and toxic is not null")
+    turn = given.groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("turn", F.xxhash64("id"))
     chosen = turn.where("toxic = 1").orderBy("turn", "id").limit(sample[0]).unionByName(turn.where("toxic = 0").orderBy("turn", "id").limit(sample[1]))
-    rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("id")).select("toxic", F.col(text).cast("string").alias("text"))
-    rows = materialise(rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["toxic", "h"]).drop("h"), "sample")
+    # A key may name many rows, so the rows are bounded too.
+    known = materialise(chosen.select("id", "toxic"), "chosen")
+    found = columns(docs, id=key, text=text).join(F.broadcast(known), "id")
+    counts = {r.toxic: r.n for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not counts.get(1) or not counts.get(0):
+        return Model()
+    rows = found.where("text is not null").select("toxic", "id", F.col("text").cast("string").alias("text"))
+    rows = bounded_sample(rows, "toxic", {1: sample[0], 0: sample[1]}, {v: counts[v] for v in (0, 1)})
+    rows = materialise(_without_copies(rows.select("toxic", "text")), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _counted(batches, (0, *STEMS))
@@ -272,8 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (8000, 1
         .where((F.col("bad") >= max(4, 0.01 * n_bad)) & (rate >= 20))
         .withColumn("strength", F.col("bad") * F.log(rate))
         .orderBy(F.desc("strength"), "kind", "term")
-        .limit(10 * lexicon)
-        .collect()
+        .collect()  # each is in 1 of 100 toxic texts of the sample: at most 100 times the terms of an average text
     )
     places = _places(rows, [(r.kind, r.term) for r in strong])
     strong = [r for r in strong if places.get((r.kind, r.term), 0) >= max(4, 0.01 * n_bad)][:lexicon]
@@ -294,8 +301,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (8000, 1
     return model
 
 
+def _without_copies(rows: DataFrame) -> DataFrame:
+    """Of rows (toxic, text) that share the least hash of their five-word shingles, under any of three hashes, one.
+
+    Texts with a similarity of 0.8 share each least hash with that probability, so 1 copy in 100 stays; unlike texts
+    seldom share one. Texts without words count as one.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices_by_bytes(batch.column(1)):
+                part = batch.slice(a, b - a)
+                h, start = set_shingles(*word_hashes(*bytes_of(part.column(1))))
+                at = np.minimum(start[:-1], max(len(h) - 1, 0))
+                least = [np.where(np.diff(start) > 0, np.minimum.reduceat(mix64(h ^ np.uint64(salt)), at), 0).view(np.int64) if len(h) else np.zeros(b - a, np.int64) for salt in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, least)], ["toxic", "text", "m0", "m1", "m2"])
+
+    left = rows.mapInArrow(sketch, "toxic int, text string, m0 long, m1 long, m2 long")
+    for m in ("m0", "m1", "m2"):
+        left = left.groupBy("toxic", m).agg(F.min_by(F.struct("text", *(x for x in ("m0", "m1", "m2") if x != m)), F.xxhash64("text")).alias("one")).select("toxic", m, "one.*")
+    return left.select("toxic", "text")
+
+
 def _places(rows: DataFrame, terms: list[tuple[int, str]]) -> dict[tuple[int, str], int]:
-    """Different pairs of neighbouring words between which toxic documents hold each term."""
+    """Different pairs of neighbouring words between which toxic documents hold each term; a text's begin or end is a
+    neighbour of its own."""
     sets = {kind: pa.array([t for k, t in terms if k == kind], pa.string()) for kind in (0, *STEMS)}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,14 +333,18 @@ def _places(rows: DataFrame, terms: list[tuple[int, str]]) -> dict[tuple[int, st
             for a, b in slices_by_bytes(batch.column(1), 4 << 20):
                 w = cut_words(batch.column(1).slice(a, b - a))
                 around = byte_hashes(*bytes_of(w.trimmed))[w.index] if len(w.index) else np.zeros(0, np.uint64)
+                whole = byte_hashes(*bytes_of(batch.column(1).slice(a, b - a)))
                 for kind, some in sets.items():
                     if not len(some) or not len(around):
                         continue
                     values = w.trimmed if kind == 0 else pc.utf8_slice_codeunits(w.trimmed, 0, kind)
                     number = np.asarray(pc.fill_null(pc.index_in(values, value_set=some), -1), np.int64)[w.index]
                     at = np.flatnonzero(number >= 0)
+                    row = np.searchsorted(w.first, at, side="right") - 1
+                    before = np.where(at > w.first[row], around[np.maximum(at - 1, 0)], whole[row])
+                    after = np.where(at + 1 < w.first[row + 1], around[np.minimum(at + 1, len(around) - 1)], whole[row])
                     with np.errstate(over="ignore"):
-                        context = around[np.maximum(at - 1, 0)] * np.uint64(3) + around[np.minimum(at + 1, len(around) - 1)]
+                        context = before * np.uint64(3) + after
                     pairs = np.unique(np.stack([number[at], context.view(np.int64)], 1), axis=0)
                     if len(pairs):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), kind, np.int32)), some.take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1])], ["kind", "term", "context"])
@@ -336,7 +370,7 @@ def _learn_windows(rows: DataFrame, model: Model) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(bad, pa.int64()), pa.array(good, pa.int64())], ["word", "bad", "good"])
 
     sums = rows.mapInArrow(count, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    told = sums.where("good >= 5 and good > 2 * bad").orderBy(F.desc("good"), "word").limit(500).collect()
+    told = sums.where("good >= 5 and good > 2 * bad").collect()  # words around hits of the sample
     model.around = {r.word: math.log((r.good + 0.5) / (r.bad + 0.5)) for r in told}
 
 
@@ -369,7 +403,8 @@ def _newton(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: np.ndarray) -> n
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= threshold), hits (terms found) per document.
 
-    A null or empty text scores as a text without hits; only the text counts; further columns play no part.
+    A null or empty text scores as a text without hits. Only the text counts, however long; rows of equal or null keys
+    and repeated rows are scored apart; other columns, whatever their names, play no part; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -387,12 +422,15 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, key:
                     terms[r].append(m.terms[t][0])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(value), pa.array(value >= threshold).cast(pa.int32()), pa.array(terms, pa.list_(pa.string()))], ["doc_id", "score", "predicted", "hits"])
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = columns(docs, doc_id=key, text=text).withColumn("text", F.col("text").cast("string"))
     return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int, hits array<string>")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """docs without the rows whose whole text scores at least the threshold; all columns and other rows stay as they are."""
+    """docs without the rows whose whole text scores at least the threshold; all columns and other rows stay as they are.
+
+    Null and empty texts score as texts without hits; repeated rows go or stay together; an empty table stays empty.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text)

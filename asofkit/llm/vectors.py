@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import columns, small_batches
 
 
 def packed_vectors(rows: DataFrame, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(id, vec, dim): each row's vector as packed 64-bit floats; null where it is null, empty, zero or holds a null or
     non-finite component."""
-    small_batches(rows.sparkSession, 2048)
+    small_batches(rows.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -29,7 +29,7 @@ def packed_vectors(rows: DataFrame, key: str = "vec_id", embedding: str = "embed
                 dims.append(len(x) if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.binary()), pa.array(dims, pa.int32())], ["id", "vec", "dim"])
 
-    return rows.select(F.col(key).cast("long").alias("id"), F.col(embedding).alias("e")).mapInArrow(pack, "id long, vec binary, dim int")
+    return columns(rows, id=key, e=embedding).withColumn("id", F.col("id").cast("long")).mapInArrow(pack, "id long, vec binary, dim int")
 
 
 def stack(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
