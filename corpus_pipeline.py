@@ -12,28 +12,42 @@ from asofkit.llm.queries import table, tokenizer_path
 
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of documents, with n_chars following the text."""
-    return docs.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in columns))
+    kinds = dict(zip(docs.columns, (f.dataType for f in docs.schema.fields)))
+    return docs.select(*(F.length("text").cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c) for c in columns))
+
+
+# Every stage but the last returns the columns of documents. Null, empty and very long texts, null or equal ids, repeated
+# rows, ties, and other columns of any name (but those that differ from doc_id, text or source only by case) are handled
+# as the operators' docstrings say; an empty table stays empty.
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from all labels; documents that score 0.7 or more go."""
+    """Learn from all labels; documents that score 0.7 or more go. Null and empty texts stay; repeated rows go together;
+    without labels nothing goes."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs of 50 words or more leave the texts; documents of nothing else go."""
+    """Later copies of repeated line runs of 50 words or more leave the texts; documents of nothing else go. Null, empty
+    and wordless texts stay; of repeated rows that long the first stays. A column lines_removed of documents comes back
+    as the number of lines that went."""
     cut = linededup.drop_repeated_runs(docs, min_words=50)
     return _with_text(cut.where((F.col("lines_removed") == 0) | F.regexp_like("text", F.lit(WORD))), docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the row of smallest id stays (null ids last), and of repeated rows one."""
+    """Of each group of similar documents the row of smallest id stays (null ids last), and of repeated rows one. Rows
+    without words have no similar ones; of those with one id one stays for each text."""
     left = ngram_join.drop_similar(docs)
-    return left.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    once = left.toDF(*names).withColumn("same", F.xxhash64(text)).dropDuplicates([key, "same"])
+    return once.select(*(F.col(c).alias(old) for c, old in zip(names, docs.columns)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per copy that the mix takes, in training order; a source's last copy is cut to the words it gives."""
+    """One row per copy that the mix takes, in training order; a source's last copy is cut to the words it gives. Null
+    and empty texts have no words, so the mix takes none of them; a null source is a source."""
     mixed = mixing.curriculum_mix(docs, keep=tuple(docs.columns))
     copies = mixing.training_order(mixed)
     text = F.when(F.col("words") < F.col("size"), mixing.first_words(F.col("kept.text"), F.col("words"))).otherwise(F.col("kept.text"))
@@ -41,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens; a null or empty text gives its end id alone."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), window=2048, end_id=1)
 
 
