@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .vectors import packed_vectors, stack
+from .vectors import packed_vectors, stack, vector_kind
 
 _SCHEMA = "query_id long, vec_id long, score double"
 
@@ -74,10 +74,11 @@ def nearest(rows: DataFrame, is_query: str, k: int = 5, pivots: int = 256, lengt
     is_query is a predicate over id. Every valid row is indexed and a candidate of every query but itself; the pivots
     are a sample of fixed size. Of equal vectors, only the k + 1 of smallest id can be among any query's k nearest, so
     the others need no place in the index. Blocks of vectors meet blocks of queries; vectors of another length, and rows
-    that are null, zero or hold null or non-finite components, take no part. Repeated ids count as one row each.
+    that are null, zero or hold null or non-finite components, take no part. Repeated rows count
+    once; vectors that share an id are candidates of their own. An empty table gives no rows.
     """
-    spark = rows.sparkSession
-    valid = materialise(packed_vectors(rows, key, embedding).where("vec is not null and id is not null"), "vectors")
+    spark, kind = rows.sparkSession, vector_kind(rows, embedding)
+    valid = materialise(packed_vectors(rows, key, embedding).where("vec is not null and id is not null").dropDuplicates(["id", "vec"]), "vectors")
     same = Window.partitionBy("vec").orderBy("id")
     indexed = materialise(valid.withColumn("turn", F.row_number().over(same)).where(F.col("turn") <= k + 1).drop("turn"), "indexed")
     queries = valid.where(is_query).dropDuplicates(["id"])
@@ -85,7 +86,7 @@ def nearest(rows: DataFrame, is_query: str, k: int = 5, pivots: int = 256, lengt
     chosen = indexed.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     by_dim: dict[int, list[np.ndarray]] = {}
     for r in chosen:
-        v = np.frombuffer(bytes(r.vec), np.float64)
+        v = np.frombuffer(bytes(r.vec), kind).astype(np.float64)
         by_dim.setdefault(r.dim, []).append(v / np.linalg.norm(v))
     shared = spark.sparkContext.broadcast({d: np.stack(v) for d, v in by_dim.items()})
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-m // block))
@@ -97,7 +98,7 @@ def nearest(rows: DataFrame, is_query: str, k: int = 5, pivots: int = 256, lengt
         pivot = shared.value.get(dim)
         found = []
         if a.num_rows and b.num_rows:
-            data, asked = stack(a.column("vec"), dim), stack(b.column("vec"), dim)
+            data, asked = stack(a.column("vec"), dim, kind), stack(b.column("vec"), dim, kind)
             if pivot is None:  # no pivot of this length was drawn: its own first rows serve
                 pivot = data[:pivots] / np.linalg.norm(data[:pivots], axis=1)[:, None]
             ids, query_ids = (np.asarray(x.column("id").combine_chunks(), np.int64) for x in (a, b))
