@@ -60,24 +60,44 @@ def reported_symbols(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(c, r"[,;|]"), canonical_symbol), lambda x: x.isNotNull())))
 
 
+def _folds() -> dict[str, str]:
+    """ASCII letters and digits that characters of the Latin and compatibility blocks decompose to."""
+    import unicodedata
+
+    folded = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2200), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F))}
+    return {c: a for c, a in folded.items() if a}
+
+
+def fold_ascii(c: Column) -> Column:
+    """Compatibility decomposition to ASCII: accents and other characters beyond ASCII go."""
+    folds = _folds()
+    one = {k: v for k, v in folds.items() if len(v) == 1}
+    for k, v in folds.items():
+        if len(v) > 1 and v.isalnum():
+            c = F.replace(c, F.lit(k), F.lit(v))
+    return F.regexp_replace(F.translate(c, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
+
+
 def normalize_name(c: Column, expand: dict[str, str], drop: tuple[str, ...]) -> Column:
-    """Upper-case alphanumeric tokens with short forms expanded and stop tokens dropped, joined by spaces."""
+    """Upper-case alphanumeric tokens of the name folded to ASCII, short forms expanded, stop tokens dropped, the pair
+    J B joined, joined by spaces."""
     table = F.create_map(*(F.lit(x) for pair in expand.items() for x in pair)) if expand else None
-    tokens = F.regexp_extract_all(F.upper(F.translate(c, "ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜàáâäçèéêëíîïñóôöùúûü", "AAAACEEEEIIINOOOUUUUaaaaceeeeiiinooouuuu")), F.lit("[A-Z0-9]+"), 0)
+    tokens = F.regexp_extract_all(F.upper(fold_ascii(c)), F.lit("[A-Z0-9]+"), 0)
     if table is not None:
         tokens = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), t))
-    return F.array_join(F.filter(tokens, lambda t: ~t.isin(*drop) if drop else F.lit(True)), " ")
+    kept = F.array_join(F.filter(tokens, lambda t: ~t.isin(*drop) if drop else F.lit(True)), " ")
+    return F.regexp_replace(kept, r"\bJ B\b", "JB")
 
 
-def token_signature(c: Column) -> Column:
-    """The tokens of a normalised name in order of the alphabet."""
-    return F.array_join(F.array_sort(F.split(c, " ")), " ")
+def token_signature(c: Column, drop: tuple[str, ...] = ()) -> Column:
+    """The tokens of a normalised name in order of the alphabet, without those that tell nothing apart."""
+    return F.array_join(F.array_sort(F.filter(F.split(c, " "), lambda t: ~t.isin(*drop) if drop else F.lit(True))), " ")
 
 
 def valid_cusip(c: Column) -> Column:
     """Whether a nine-character security number carries its check digit: characters count 0-35, *@# 36-38, every second
-    doubled, digits of the values summed."""
-    alphabet = F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ*@#")
+    doubled, digits of the values summed. Surrounding spaces and case do not matter; nine equal characters are none."""
+    alphabet, c = F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ*@#"), F.upper(F.trim(c))
 
     def part(i: Column) -> Column:
         v = F.position(F.substring(c, i, F.lit(1)), alphabet) - 1
@@ -85,7 +105,8 @@ def valid_cusip(c: Column) -> Column:
         return F.floor(v / 10) + v % 10
 
     total = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(0).cast("long"), lambda s, i: s + part(i).cast("long"))
-    return F.coalesce(F.regexp_like(c, F.lit("^[0-9A-Z*@#]{8}[0-9]$")) & ((10 - total % 10) % 10 == F.try_to_number(F.substring(c, 9, 1), F.lit("9"))), F.lit(False))
+    shaped = F.regexp_like(c, F.lit("^[0-9A-Z*@#]{8}[0-9]$")) & ~F.regexp_like(c, F.lit(r"^(.)\1{8}$"))
+    return F.coalesce(shaped & ((10 - total % 10) % 10 == F.try_to_number(F.substring(c, 9, 1), F.lit("9"))), F.lit(False))
 
 
 def stable_id(*cols: Column, n: int = 24) -> Column:

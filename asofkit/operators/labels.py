@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import stage
 from .bars import week_label
-from .windows import change, cross_rank, rolling, rolling_pct_rank, series
+from .windows import change, cross_rank, rolling, series, window_ranks
 
 
 def row_median(a: Column, b: Column) -> Column:
@@ -15,71 +15,114 @@ def row_median(a: Column, b: Column) -> Column:
     return F.coalesce((a + b) / 2, a, b)
 
 
-def state_panel(bars: DataFrame, breadth: DataFrame, sectors: DataFrame, n: int, least: int) -> DataFrame:
-    """Weekly state: raw measures of trend, extension, participation and risk, each as its trailing percentile among the
-    last n rows; family medians; their mean (0-100) and its stage.
-
-    One shuffle by entity serves all measures; breadth (sector, date, gaining, above_mean) joins on its own keys.
-    """
-    own = bars.join(sectors, "entity").join(breadth.select("sector", "date", "gaining", "above_mean"), ["sector", "date"], "left")
-    raw = own.select(
-        "entity", "sector", "date",
-        change("close", 21).alias("m1"), change("close", 63).alias("m2"),
-        (F.try_divide(F.col("close"), rolling("close", 50, 20, "mean")) - 1).alias("x1"), F.try_divide(F.col("close") - rolling("close", 63, 20, "min"), rolling("close", 63, 20, "max") - rolling("close", 63, 20, "min")).alias("x2"),
-        F.col("gaining").alias("p1"), F.try_divide(rolling("volume", 5, 5, "mean"), rolling("volume", 63, 20, "mean")).alias("p2"),
-        (F.try_divide(F.col("close"), rolling("close", 63, 20, "max")) - 1).alias("r1"),
+#: Transition labels in the order of their rules, and the direction of those that have one (fixed values).
+TRANSITIONS = ("BREAKING", "RECOVERING", "COOLING", "EXTENDING", "FALLING", "STABILIZING", "PLATEAU", "NEUTRAL", "UNKNOWN")
+POSITIVE = ("EXTENDING", "RECOVERING")
+NEGATIVE = ("COOLING", "BREAKING", "FALLING")
+HIGHLIGHTED = ("COOLING", "BREAKING", "RECOVERING")
+FAMILIES = ("extension", "trend", "relative", "participation")
+
+
+def state_measures(bars: DataFrame, context: DataFrame) -> DataFrame:
+    """(entity, date) with nine raw measures: two each of extension, trend, relative position and participation, and
+    downside risk. context (entity, date, sector_close, market_close, breadth) is aligned to the entity's own dates."""
+    own = bars.select("entity", "date", "close", "volume").join(context.select("entity", "date", "sector_close", "market_close", "breadth"), ["entity", "date"], "left")
+    step = own.withColumn("ret", change("close", 1))
+    step = step.withColumn("signed", F.coalesce(F.signum("ret"), F.lit(0.0)) * F.col("volume")).withColumn("loss", F.when(F.col("ret") < 0, F.col("ret")))
+    year = 252**0.5
+    deviation = rolling("ret", 63, 63, "std") * year
+    calm = F.when(deviation.isNotNull(), F.greatest(deviation, F.lit(0.05)))
+    high, low = rolling("close", 252, 252, "max"), rolling("close", 252, 252, "min")
+    log = lambda x, y: F.when(F.try_divide(x, y) > 0, F.log(F.try_divide(x, y)))
+    past = lambda c, k: F.lag(c, k).over(series())
+    gain = lambda c: log(F.col(c), past(c, 126))
+    return step.select(
+        "entity", "date",
+        (log(F.col("close"), rolling("close", 200, 200, "mean")) / calm).alias("x1"),
+        F.try_divide(F.col("close") - low, high - low).alias("x2"),
+        (log(F.col("close"), past("close", 126)) / calm).alias("t1"), (log(F.col("close"), past("close", 252)) / calm).alias("t2"),
+        (gain("close") - gain("sector_close")).alias("r1"), (gain("sector_close") - gain("market_close")).alias("r2"),
+        F.try_divide(rolling("signed", 63, 63, "sum"), rolling("volume", 63, 63, "sum")).alias("p1"), F.col("breadth").alias("p2"),
+        F.round(rolling("loss", 63, 20, "std") * year, 12).alias("d1"),
     )
-    ranked = raw.select("entity", "sector", "date", *(rolling_pct_rank(c, n, least).alias(c) for c in ("m1", "m2", "x1", "x2", "p1", "p2", "r1")))
-    families = ranked.select("entity", "sector", "date", row_median(F.col("m1"), F.col("m2")).alias("trend"), row_median(F.col("x1"), F.col("x2")).alias("extension"), row_median(F.col("p1"), F.col("p2")).alias("participation"), F.col("r1").alias("risk"))
-    parts = ("trend", "extension", "participation", "risk")
-    weekly = families.groupBy("entity", "sector", week_label(F.col("date")).alias("week")).agg(*(F.expr(f"max_by({c}, date) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in parts), F.max("date").alias("last_session"))
-    score = 100 * sum((F.col(c) for c in parts[1:]), F.col(parts[0])) / len(parts)
-    return weekly.withColumn("score", score).withColumn("stage", stage(F.col("score")))
 
 
-def transition_raw(panel: DataFrame, fast: int = 4, slow: int = 13, high: float = 75, low: float = 40, drop: float = 8) -> DataFrame:
-    """Raw label of each week from the score's change over `fast` weeks, votes of the families, and the recent extremes:
-    BREAKING after a high, RECOVERING after a low, else RISING, FADING or STABLE."""
-    w = Window.partitionBy("entity").orderBy("week")
-    delta = lambda c, k: F.col(c) - F.lag(c, k).over(w)
-    down = sum(((delta(c, fast) < 0).cast("int") for c in ("extension", "participation", "risk")), (delta("trend", fast) < 0).cast("int"))
-    up = sum(((delta(c, fast) > 0).cast("int") for c in ("extension", "participation", "risk")), (delta("trend", fast) > 0).cast("int"))
-    recent = w.rowsBetween(-(slow - 1), 0)
-    out = panel.withColumn("delta", delta("score", fast)).withColumn("down", down).withColumn("up", up).withColumn("peak", F.max("score").over(recent)).withColumn("floor", F.min("score").over(recent))
-    label = (
-        F.when(F.col("delta").isNull(), "UNKNOWN").when((F.col("peak") >= high) & (F.col("delta") <= -drop) & (F.col("down") >= 3), "BREAKING")
-        .when((F.col("floor") <= low) & (F.col("delta") >= drop) & (F.col("up") >= 3), "RECOVERING").when(F.col("delta") >= drop, "RISING").when(F.col("delta") <= -drop, "FADING").otherwise("STABLE")
-    )
-    return out.withColumn("raw", label)
+def state_panel(bars: DataFrame, context: DataFrame, n: int, least: int) -> DataFrame:
+    """Weekly state: each raw measure's trailing percentile (0-100) among the last n rows, medians by family, the mean of
+    the four families as score, its stage, and downside risk as context. Weeks that lack a family are left out."""
+    names = ("x1", "x2", "t1", "t2", "r1", "r2", "p1", "p2", "d1")
+    ranked = window_ranks(state_measures(bars, context), {f"q{c}": c for c in names}, n, least)
+    pair = lambda a: F.round(100 * row_median(F.col(f"q{a}1"), F.col(f"q{a}2")), 9)
+    daily = ranked.select("entity", "date", pair("x").alias("extension"), pair("t").alias("trend"), pair("r").alias("relative"), pair("p").alias("participation"), (100 * F.col("qd1")).alias("risk"))
+    weekly = daily.groupBy("entity", week_label(F.col("date")).alias("week")).agg(*(F.expr(f"max_by({c}, date) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in (*FAMILIES, "risk")), F.max("date").alias("last_session"))
+    score = sum((F.col(c) for c in FAMILIES[1:]), F.col(FAMILIES[0])) / len(FAMILIES)
+    return weekly.withColumn("score", F.round(score, 9)).where("score is not null").withColumn("stage", stage(F.col("score")))
 
 
-def stabilise(rows: list[str], confirm: int, cooldown: int, opposite: dict[str, str]) -> list[str]:
-    """A label counts once it came `confirm` times on end, and not within `cooldown` rows after its opposite was last
-    seen while it held."""
-    held, cand, n, since, out = "UNKNOWN", None, 0, {}, []
-    for i, label in enumerate(rows):
-        n = n + 1 if label == cand else 1
-        cand = label
-        blocked = i - since.get(opposite.get(label, ""), -(10**9)) <= cooldown
-        if n >= confirm and not blocked:
-            held = label
-        if held == label and held in opposite:
-            since[held] = i
-        out.append(held)
-    return out
+def transition_raw(panel: DataFrame, short: int = 4, memory: int = 13, moderate: float = 5, severe: float = 10, family: float = 5, moderate_votes: int = 2, severe_votes: int = 3) -> DataFrame:
+    """Raw label of each week by eight ordered rules over the score, its change over `short` weeks, the families that
+    rose or fell by `family`, and the extremes of the last `memory` weeks; UNKNOWN until all of these are observed."""
+    w = Window.partitionBy("entity").orderBy("week")
+    delta = lambda c: F.round(F.col(c) - F.lag(c, short).over(w), 9)
+    recent, full = w.rowsBetween(-(memory - 1), 0), F.count("score").over(w.rowsBetween(-(memory - 1), 0)) >= memory
+    votes = lambda hit: sum((F.coalesce(hit(F.col(f"d_{c}")), F.lit(False)).cast("int") for c in FAMILIES[1:]), F.coalesce(hit(F.col(f"d_{FAMILIES[0]}")), F.lit(False)).cast("int"))
+    out = panel.withColumn("delta", delta("score")).withColumns({f"d_{c}": delta(c) for c in FAMILIES})
+    out = out.withColumn("up", votes(lambda d: d >= family)).withColumn("down", votes(lambda d: d <= -family))
+    out = out.withColumn("peak", F.when(full, F.max("score").over(recent))).withColumn("floor", F.when(full, F.min("score").over(recent)))
+    seen = F.col("peak").isNotNull()
+    for c in ("delta", *(f"d_{f}" for f in FAMILIES)):
+        seen = seen & F.col(c).isNotNull()
+    rise, score, still = F.col("delta"), F.col("score"), F.abs("delta") < moderate
+    rules = [
+        (F.col("peak") >= 75) & (rise <= -severe) & (F.col("down") >= severe_votes),
+        (F.col("floor") <= 40) & (rise >= severe) & (F.col("up") >= severe_votes),
+        (score >= 60) & (rise <= -moderate) & (F.col("down") >= moderate_votes),
+        (score >= 60) & (rise >= moderate) & (F.col("up") >= moderate_votes),
+        (score <= 40) & (rise <= -moderate) & (F.col("down") >= moderate_votes),
+        (score <= 40) & still,
+        (score >= 60) & still,
+    ]
+    label = F.when(~seen, "UNKNOWN")
+    for name, rule in zip(TRANSITIONS, rules):
+        label = label.when(rule, name)
+    return out.withColumn("raw", label.otherwise("NEUTRAL")).drop(*(f"d_{c}" for c in FAMILIES))
+
+
+def stabilise(labels: list[str], confirm: int, cooldown: int, state: tuple | None = None) -> tuple[list[str], list[bool], tuple]:
+    """Stable labels, whether a direction was suppressed, and the state to go on from.
+
+    A label without direction passes. One with a direction counts once it came `confirm` times on end, and not within
+    `cooldown` rows after the last one of the opposite direction that counted; else it reads NEUTRAL. The state is (rows
+    seen, last label, times on end, last direction, its row).
+    """
+    i, before, run, way, at = state or (0, None, 0, None, -1)
+    out, held_back = [], []
+    for label in labels:
+        run, before = run + 1 if label == before else 1, label
+        now = 1 if label in POSITIVE else -1 if label in NEGATIVE else None
+        blocked = now is not None and run >= confirm and way is not None and now != way and i - at <= cooldown
+        counts = now is not None and run >= confirm and not blocked
+        if counts:
+            way, at = now, i
+        out.append(label if now is None or counts else "NEUTRAL")
+        held_back.append(blocked)
+        i += 1
+    return out, held_back, (i, before, run, way, at)
 
 
 def stabilize_labels(panel: DataFrame, confirm: int = 2, cooldown: int = 4) -> DataFrame:
-    """(entity, week, raw) with the stabilised label and whether it changed. Sequential, so one small pass per entity."""
+    """(entity, week, raw) with the stabilised label, whether a direction was suppressed, and whether a highlighted label
+    begins. Sequential, so one small pass per entity."""
     import pandas as pd
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("week")
-        return part.assign(label=stabilise(part["raw"].tolist(), confirm, cooldown, {"BREAKING": "RECOVERING", "RECOVERING": "BREAKING"}))
+        label, suppressed, _ = stabilise(part["raw"].tolist(), confirm, cooldown)
+        return part.assign(label=label, suppressed=suppressed)
 
-    done = panel.select("entity", "week", "raw").groupBy("entity").applyInPandas(run, "entity string, week date, raw string, label string")
+    done = panel.select("entity", "week", "raw").groupBy("entity").applyInPandas(run, "entity string, week date, raw string, label string, suppressed boolean")
     before = F.lag("label").over(Window.partitionBy("entity").orderBy("week"))
-    return done.withColumn("event", F.coalesce(F.col("label") != before, F.lit(False)))
+    return done.withColumn("event", F.col("label").isin(*HIGHLIGHTED) & ~F.col("label").eqNullSafe(before))
 
 
 def evidence_scores(bars: DataFrame) -> DataFrame:
@@ -108,9 +151,11 @@ def event_flags(bars: DataFrame, n: int = 14, k: float = 2.0) -> DataFrame:
     return out.withColumn("extended", F.col("close") > rolling("close", n, n, "mean") + k * F.col("atr"))
 
 
-def factor_residuals(bars: DataFrame, context: DataFrame, n: int) -> DataFrame:
+def factor_residuals(bars: DataFrame, context: DataFrame, n: int, month: int = 21) -> DataFrame:
     """Residual of an entity's return on the market's and the sector's excess return by least squares over the n rows
-    before the current one: closed form from windowed sums (context: entity, date, market, sector_excess)."""
+    before the current one: closed form from windowed sums (context: entity, date, market, sector_excess). Also the parts
+    of the return that the factors explain, and over the last `month` rows the sum of residuals and their volatility
+    against the return's."""
     r = bars.select("entity", "date", change("close", 1).alias("y")).join(context, ["entity", "date"]).where("y is not null and market is not null and sector_excess is not null").withColumnRenamed("market", "a").withColumnRenamed("sector_excess", "b")
     w = series().rowsBetween(-n, -1)
     s = lambda x, y: F.covar_pop(x, y).over(w)
@@ -120,7 +165,10 @@ def factor_residuals(bars: DataFrame, context: DataFrame, n: int) -> DataFrame:
     beta = F.try_divide(F.col("say") * F.col("sbb") - F.col("sby") * F.col("sab"), F.when(F.abs(det) > 1e-18, det))
     gamma = F.try_divide(F.col("sby") * F.col("saa") - F.col("say") * F.col("sab"), F.when(F.abs(det) > 1e-18, det))
     fitted = F.col("my") + F.col("beta") * (F.col("a") - F.col("ma")) + F.col("gamma") * (F.col("b") - F.col("mb"))
-    return moments.withColumn("beta", F.when(F.col("n") >= n, beta)).withColumn("gamma", F.when(F.col("n") >= n, gamma)).withColumn("residual", F.col("y") - fitted).select("entity", "date", "beta", "gamma", "residual")
+    return moments.withColumn("beta", F.when(F.col("n") >= n, beta)).withColumn("gamma", F.when(F.col("n") >= n, gamma)).withColumn("residual", F.col("y") - fitted).withColumn("market_part", F.col("beta") * F.col("a")).withColumn("sector_part", F.col("gamma") * F.col("b")).select(
+        "entity", "date", "beta", "gamma", "residual", "market_part", "sector_part",
+        rolling("residual", month, month, "sum").alias("residual_sum"), F.try_divide(rolling("residual", month, month, "std"), rolling("y", month, month, "std")).alias("volatility_ratio"),
+    )
 
 
 def feature_deltas(events: DataFrame, weekly: DataFrame, cols: list[str], k: int) -> DataFrame:
@@ -130,25 +178,37 @@ def feature_deltas(events: DataFrame, weekly: DataFrame, cols: list[str], k: int
     return events.join(changes, ["entity", "week"], "left")
 
 
-def rsi_events(weekly: DataFrame, high: float = 70, higher: float = 80, low: float = 60) -> DataFrame:
-    """(entity, date, rsi) as episode events: ENTRY at high, ESCALATION once at higher, COOLING at low. One small state
-    machine per entity."""
+def rsi_events(weekly: DataFrame, high: float = 70, higher: float = 80, low: float = 60, weeks: int = 4) -> DataFrame:
+    """(entity, date, rsi) as events of overheating episodes: ENTRY on a crossing of `high` from below, ESCALATION on one
+    of `higher`, PERSISTENCE once the episode has `weeks` rows and stands at its level, DECELERATION at the first two
+    falls on end, COOLING on a crossing of `low` from above, which ends it. One small state machine per entity."""
     import pandas as pd
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        inside, risen, out, episode = False, False, [], 0
-        for d, x in part.sort_values("date")[["date", "rsi"]].itertuples(index=False):
-            if x is None or x != x:
-                continue
-            if not inside and x >= high:
-                inside, risen, episode = True, x >= higher, episode + 1
-                out.append((d, "ENTRY", episode))
-            elif inside and not risen and x >= higher:
-                risen = True
-                out.append((d, "ESCALATION", episode))
-            elif inside and x <= low:
-                inside = False
-                out.append((d, "COOLING", episode))
+        rows = [(d, x) for d, x in part.sort_values("date")[["date", "rsi"]].itertuples(index=False) if x is not None and x == x]
+        level, since, told, out, episode = None, 0, set(), [], 0
+        for i in range(1, len(rows)):
+            (d, x), y = rows[i], rows[i - 1][1]
+            events = []
+            if level is None:
+                if y < high <= x:
+                    level, since, told, episode = high, i, set(), episode + 1
+                    events.append("ENTRY")
+            else:
+                if level < higher and y < higher <= x:
+                    level = higher
+                    events.append("ESCALATION")
+                if i - since + 1 >= weeks and x >= level:
+                    events.append("PERSISTENCE")
+                if i >= 2 and x < y < rows[i - 2][1]:
+                    events.append("DECELERATION")
+                if y >= low > x:
+                    level = None
+                    events.append("COOLING")
+            for e in events:
+                if e not in ("PERSISTENCE", "DECELERATION") or e not in told:
+                    told.add(e)
+                    out.append((d, e, episode))
         return pd.DataFrame(out, columns=["date", "event", "episode"]).assign(entity=part["entity"].iloc[0])[["entity", "date", "event", "episode"]]
 
     return weekly.select("entity", "date", "rsi").groupBy("entity").applyInPandas(run, "entity string, date date, event string, episode long")

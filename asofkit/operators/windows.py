@@ -31,18 +31,36 @@ def rolling(col: str, n: int, least: int, agg: str, w=None) -> Column:
     return F.when(F.count(col).over(frame) >= least, f(col).over(frame))
 
 
-def rolling_pct_rank(col: str, n: int, least: int, w=None) -> Column:
-    """Average rank of the current value among the last n, as a share of them: (less + (equal + 1) / 2) / count."""
-    held = F.collect_list(col).over(trailing(n, w))
-    less = F.size(F.filter(held, lambda x: x < F.col(col)))
-    same = F.size(F.filter(held, lambda x: x == F.col(col)))
-    return F.when((F.size(held) >= least) & F.col(col).isNotNull(), (less + (same + 1) / 2) / F.size(held))
+def window_ranks(df: DataFrame, cols: dict[str, str], n: int, least: int, prior: bool = False) -> DataFrame:
+    """df with a percentile for each of cols (new name: column), given at least `least` values in the window.
 
+    Among the last n rows: the current value's average rank, (less + (equal + 1) / 2) / count. prior: among the n rows
+    before the current one, the share that is at most the current value. One vectorised pass over an entity's series,
+    in pieces, so that memory grows with n and not with the series' square.
+    """
+    import numpy as np
+    import pandas as pd
 
-def prior_pct(col: str, n: int, least: int, w=None) -> Column:
-    """Share of the n rows before the current one whose value is at most the current value."""
-    held = F.collect_list(col).over((w or series()).rowsBetween(-n, -1))
-    return F.when((F.size(held) >= least) & F.col(col).isNotNull(), F.size(F.filter(held, lambda x: x <= F.col(col))) / F.size(held))
+    def ranks(x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), np.nan)
+        ahead = np.full(n if prior else n - 1, np.nan)
+        frames = np.lib.stride_tricks.sliding_window_view(np.concatenate([ahead, x]), n)[: len(x)]
+        step = max(1, (1 << 21) // n)
+        for a in range(0, len(x), step):
+            f, v = frames[a : a + step], x[a : a + step]
+            less, same, held = (f < v[:, None]).sum(1), (f == v[:, None]).sum(1), (~np.isnan(f)).sum(1)
+            ok = (held >= least) & ~np.isnan(v)
+            share = (less + (same if prior else (same + 1) / 2)) / np.maximum(held, 1)
+            out[a : a + step] = np.where(ok, share, np.nan)
+        return out
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("date")
+        return part.assign(**{new: ranks(part[old].to_numpy(float)) for new, old in cols.items()})
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{c}` double" for c in cols])
+    done = df.groupBy("entity").applyInPandas(run, schema)
+    return done.select(*df.columns, *(F.nanvl(c, F.lit(None)).alias(c) for c in cols))
 
 
 def pct_of_latest(df: DataFrame, col: str) -> DataFrame:
@@ -59,12 +77,16 @@ def expanding_pct_rank(df: DataFrame, col: str) -> DataFrame:
 
     def rank(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("date")
-        out, held = np.full(len(part), np.nan), np.zeros(0)
-        for i, v in enumerate(part[col].to_numpy(float)):
-            if not np.isnan(v):
-                low, high = np.searchsorted(held, v), np.searchsorted(held, v, side="right")
-                held = np.insert(held, high, v)
-                out[i] = (low + (high - low + 2) / 2) / len(held)
+        x = part[col].to_numpy(float)
+        out, held = np.full(len(x), np.nan), np.zeros(0)
+        for a in range(0, len(x), 1024):  # against the sorted values before the piece, and within it
+            v = x[a : a + 1024]
+            known, upto = ~np.isnan(v), np.tril(np.ones((len(v), len(v)), bool))
+            low, high = np.searchsorted(held, v), np.searchsorted(held, v, side="right")
+            less, same = low + ((v[None, :] < v[:, None]) & upto).sum(1), high - low + ((v[None, :] == v[:, None]) & upto).sum(1)
+            count = len(held) + known.cumsum()
+            out[a : a + 1024] = np.where(known, (less + (same + 1) / 2) / np.maximum(count, 1), np.nan)
+            held = np.sort(np.concatenate([held, v[known]]))
         return part.assign(pct=out)
 
     return df.select("entity", "date", col).groupBy("entity").applyInPandas(rank, f"entity string, date date, {col} double, pct double")
@@ -108,10 +130,10 @@ def wilder_rsi(df: DataFrame, col: str, n: int, variant: str = "seeded") -> Data
 
 
 def peer_breadth(bars: DataFrame, sectors: DataFrame, gain: int = 63, mean: int = 200, least: int = 3) -> DataFrame:
-    """By sector and date the share of members above their value `gain` rows ago and above their long mean."""
+    """By sector and date the shares of members above their value `gain` rows ago, above their long mean, and both."""
     own = bars.select("entity", "date", (change("close", gain) > 0).alias("up"), (F.col("close") > rolling("close", mean, mean, "mean")).alias("above"))
     both = own.where("up is not null and above is not null").join(sectors, "entity")
-    return both.groupBy("sector", "date").agg(F.avg(F.col("up").cast("double")).alias("gaining"), F.avg(F.col("above").cast("double")).alias("above_mean"), F.count("*").alias("members")).where(F.col("members") >= least)
+    return both.groupBy("sector", "date").agg(F.avg(F.col("up").cast("double")).alias("gaining"), F.avg(F.col("above").cast("double")).alias("above_mean"), F.avg((F.col("up") & F.col("above")).cast("double")).alias("positive"), F.count("*").alias("members")).where(F.col("members") >= least)
 
 
 def loo_share(df: DataFrame, flag: str, by: list[str], least: int = 2) -> Column:
@@ -152,26 +174,38 @@ def run_length(df: DataFrame, col: str) -> DataFrame:
     return each.withColumn("last", F.max("run").over(Window.partitionBy("entity"))).where("run = last").select("entity", col, "start", "rows")
 
 
+def greedy(events: DataFrame, keys: list[str], gap: int, per_year: int | None = None) -> DataFrame:
+    """Each key's distinct dates with a reason: kept, cooldown (at most `gap` days after the last one kept), budget (its
+    calendar year has per_year kept ones). One pass over each key's sorted dates."""
+    import pandas as pd
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        dates, reasons, last, year, n = sorted(set(part["date"].dropna())), [], None, None, 0
+        for d in dates:
+            n = n if d.year == year else 0
+            year = d.year
+            if last is not None and (d - last).days <= gap:
+                reasons.append("cooldown")
+            elif per_year is not None and n >= per_year:
+                reasons.append("budget")
+            else:
+                reasons.append("kept")
+                last, n = d, n + 1
+        first = {k: [part[k].iloc[0]] * len(dates) for k in keys}
+        return pd.DataFrame({**first, "date": dates, "reason": reasons})
+
+    schema = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys) + ", date date, reason string"
+    return events.select(*keys, "date").distinct().groupBy(*keys).applyInPandas(run, schema)
+
+
 def collapse(events: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """Events of a key that lie more than `gap` days after the last one kept; a fold over each key's sorted dates."""
-    dates = F.array_sort(F.collect_set("date"))
-    kept = F.aggregate(dates, F.array().cast("array<date>"), lambda acc, d: F.when((F.size(acc) == 0) | (F.date_diff(d, F.element_at(acc, -1)) > gap), F.concat(acc, F.array(d))).otherwise(acc))
-    return events.groupBy(*keys).agg(kept.alias("kept")).select(*keys, F.explode("kept").alias("date"))
+    """Events of a key that lie more than `gap` days after the last one kept."""
+    return greedy(events, keys, gap).where("reason = 'kept'").select(*keys, "date")
 
 
 def budget(events: DataFrame, keys: list[str], gap: int, per_year: int) -> DataFrame:
     """Like collapse, with at most per_year kept events in a calendar year; returns every event with a reason."""
-    empty = F.array().cast("array<struct<date:date,reason:string>>")
-
-    def step(acc: Column, d: Column) -> Column:
-        kept = F.filter(acc, lambda x: x["reason"] == "kept")
-        close = (F.size(kept) > 0) & (F.date_diff(d, F.element_at(kept, -1)["date"]) <= gap)
-        full = F.size(F.filter(kept, lambda x: F.year(x["date"]) == F.year(d))) >= per_year
-        reason = F.when(F.coalesce(close, F.lit(False)), "cooldown").when(full, "budget").otherwise("kept")
-        return F.concat(acc, F.array(F.struct(d.alias("date"), reason.alias("reason"))))
-
-    done = F.aggregate(F.array_sort(F.collect_set("date")), empty, step)
-    return events.groupBy(*keys).agg(done.alias("done")).select(*keys, F.inline("done"))
+    return greedy(events, keys, gap, per_year)
 
 
 def rolling_trend(df: DataFrame, col: str, n: int) -> DataFrame:
@@ -182,11 +216,11 @@ def rolling_trend(df: DataFrame, col: str, n: int) -> DataFrame:
     return numbered.withColumn("slope", F.when(full, F.regr_slope("_y", "_i").over(w))).withColumn("r2", F.when(full, F.regr_r2("_y", "_i").over(w))).drop("_i", "_y")
 
 
-def rows_since_max(col: str, n: int, w=None) -> Column:
-    """Rows since the (first) highest value of the last n rows; the frame's values are kept as one array."""
-    held = F.collect_list(F.struct(F.col(col).alias("v"))).over(trailing(n, w))
-    values = F.transform(held, lambda x: x["v"])
-    return (F.size(held) - F.array_position(values, F.array_max(values))).cast("long")
+def rows_since_max(df: DataFrame, col: str, n: int) -> DataFrame:
+    """df with since: rows since the (first) highest value of the last n rows."""
+    numbered = df.withColumn("_i", F.row_number().over(series()))
+    top = F.max(F.struct(F.col(col).alias("v"), (-F.col("_i")).alias("i"))).over(trailing(n))
+    return numbered.withColumn("since", (F.col("_i") + top["i"]).cast("long")).drop("_i")
 
 
 def giveback(df: DataFrame, col: str) -> DataFrame:

@@ -76,17 +76,17 @@ def p7_canonical_symbol(spark, sf):
 
 
 @query(r"""
-SELECT p_partkey, array_to_string(toks, ' ') AS name, array_to_string(list_sort(toks), ' ') AS signature FROM (
+SELECT p_partkey, array_to_string(toks, ' ') AS name, array_to_string(list_sort(list_filter(toks, lambda t: t <> 'STEEL')), ' ') AS signature FROM (
   SELECT p_partkey, list_filter(list_transform(regexp_extract_all(upper(p_name), '[A-Z0-9]+'), lambda t: CASE t WHEN 'PART' THEN 'PRT' ELSE t END), lambda t: t NOT IN ('THE', 'OF')) AS toks FROM part)""")
 def p8_normalize_name(spark, sf):
     name = S.normalize_name(F.col("p_name"), {"PART": "PRT"}, ("THE", "OF"))
-    return table(spark, sf, "part").select("p_partkey", name.alias("name")).withColumn("signature", S.token_signature(F.col("name")))
+    return table(spark, sf, "part").select("p_partkey", name.alias("name")).withColumn("signature", S.token_signature(F.col("name"), ("STEEL",)))
 
 
 @query("""
 WITH c AS (SELECT o_orderkey, lpad((o_orderkey * 7919 % 100000000)::VARCHAR, 8, '0') || (o_orderkey % 10)::VARCHAR AS cusip FROM orders),
 d AS (SELECT o_orderkey, cusip, list_sum(list_transform(range(1, 9), lambda i: (cusip[i]::INT * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)) // 10 + (cusip[i]::INT * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)) % 10)) AS s FROM c)
-SELECT o_orderkey, cusip, (10 - s % 10) % 10 = cusip[9]::INT AS valid FROM d""")
+SELECT o_orderkey, cusip, (10 - s % 10) % 10 = cusip[9]::INT AND cusip <> repeat(cusip[1], 9) AS valid FROM d""")
 def p9_valid_cusip(spark, sf):
     cusip = F.concat(F.lpad((F.col("o_orderkey") * 7919 % 100000000).cast("string"), 8, "0"), (F.col("o_orderkey") % 10).cast("string"))
     return table(spark, sf, "orders").select("o_orderkey", cusip.alias("cusip")).withColumn("valid", S.valid_cusip(F.col("cusip")))
@@ -178,7 +178,7 @@ def w2_rolling(spark, sf):
 SELECT a.entity, a.date, CASE WHEN count(*) >= 10 THEN round((count(*) FILTER (WHERE b.close < a.close) + (count(*) FILTER (WHERE b.close = a.close) + 1) / 2) / count(*), 6) END AS pct
 FROM i a JOIN i b ON a.entity = b.entity AND b.i BETWEEN a.i - 51 AND a.i GROUP BY a.entity, a.date, a.close""")
 def w3_rolling_pct_rank(spark, sf):
-    return bars(spark, sf).select("entity", "date", F.round(W.rolling_pct_rank("close", 52, 10), 6).alias("pct"))
+    return W.window_ranks(bars(spark, sf).select("entity", "date", "close"), {"pct": "close"}, 52, 10).select("entity", "date", r("pct"))
 
 
 @query(CTES + """, l AS (SELECT entity, arg_max(close, date) AS latest FROM bars GROUP BY entity) SELECT b.entity, latest, round(avg((close <= latest)::INT), 6) AS pct FROM bars b JOIN l USING (entity) GROUP BY ALL""")
@@ -196,7 +196,7 @@ def w5_expanding_pct_rank(spark, sf):
 @query(CTES + """, i AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS i FROM bars)
 SELECT a.entity, a.date, CASE WHEN count(b.i) >= 20 THEN round(count(*) FILTER (WHERE b.close <= a.close) / count(b.i), 6) END AS pct FROM i a LEFT JOIN i b ON a.entity = b.entity AND b.i BETWEEN a.i - 60 AND a.i - 1 GROUP BY a.entity, a.date, a.close""")
 def w6_prior_pct(spark, sf):
-    return bars(spark, sf).select("entity", "date", F.round(W.prior_pct("close", 60, 20), 6).alias("pct"))
+    return W.window_ranks(bars(spark, sf).select("entity", "date", "close"), {"pct": "close"}, 60, 20, prior=True).select("entity", "date", r("pct"))
 
 
 def guarded(f: str, n: int, k: int) -> str:
@@ -212,11 +212,23 @@ def w7_indicators(spark, sf):
     return W.indicators(bars(spark, sf)).select("entity", "date", r("band", 4), r("position"), r("ma_gap", 5), r("volume_ratio"))
 
 
-@query()
+def rsi_sql(rows: str, n: int = 14) -> str:
+    """Seeded Wilder RSI of rows (entity, date, close) as CTEs ending in `rsi` (entity, date, i, rsi): smoothing is a sum
+    of geometrically weighted changes."""
+    d = f"(1 - 1.0::DOUBLE / {n})"
+    part = lambda c: f"pow({d}, i) * sum(CASE WHEN i = {n} THEN m{c} * pow({d}, -i) WHEN i > {n} THEN {c} / {n} * pow({d}, -i) ELSE 0 END) OVER w"
+    return f"""ch AS (SELECT entity, date, row_number() OVER w - 1 AS i, greatest(close - lag(close) OVER w, 0) AS u, greatest(lag(close) OVER w - close, 0) AS l FROM {rows} WHERE close IS NOT NULL WINDOW w AS (PARTITION BY entity ORDER BY date)),
+sd AS (SELECT *, avg(u) OVER f AS mu, avg(l) OVER f AS ml FROM ch WINDOW f AS (PARTITION BY entity ORDER BY date ROWS {n - 1} PRECEDING)), sm AS (SELECT entity, date, i, {part('u')} AS g, {part('l')} AS b FROM sd WINDOW w AS (PARTITION BY entity ORDER BY date)),
+rsi AS (SELECT entity, date, i, CASE WHEN i >= {n} THEN CASE WHEN g = 0 AND b = 0 THEN 50 WHEN b = 0 THEN 100 ELSE 100 - 100 / (1 + g / b) END END AS rsi FROM sm)"""
+
+
+@query(CTES + f""", wk AS (SELECT entity, {WEEK} AS date, arg_max(close, date) AS close FROM bars GROUP BY ALL), {rsi_sql('wk')},
+ew AS (SELECT *, pow(13.0::DOUBLE / 14, i) * sum(CASE WHEN i = 1 THEN u * 14.0::DOUBLE / 13 WHEN i > 1 THEN u / 14 * pow(13.0::DOUBLE / 14, -i) ELSE 0 END) OVER w AS eg, pow(13.0::DOUBLE / 14, i) * sum(CASE WHEN i = 1 THEN l * 14.0::DOUBLE / 13 WHEN i > 1 THEN l / 14 * pow(13.0::DOUBLE / 14, -i) ELSE 0 END) OVER w AS el FROM ch WINDOW w AS (PARTITION BY entity ORDER BY date))
+SELECT entity, date, round(rsi, 5) AS rsi, CASE WHEN i >= 1 THEN round(CASE WHEN eg = 0 AND el = 0 THEN 50 WHEN el = 0 THEN 100 ELSE 100 - 100 / (1 + eg / el) END, 5) END AS ewm FROM ew JOIN rsi USING (entity, date, i)""")
 def w8_wilder_rsi(spark, sf):
     weekly = B.weekly_bars(bars(spark, sf)).select("entity", F.col("week").alias("date"), "close")
     ewm = W.wilder_rsi(weekly, "close", 14, "ewm").withColumnRenamed("rsi", "ewm").drop("close")
-    return W.wilder_rsi(weekly, "close", 14).join(ewm, ["entity", "date"]).select("entity", "date", r("rsi"), r("ewm"))
+    return W.wilder_rsi(weekly, "close", 14).join(ewm, ["entity", "date"]).select("entity", "date", F.round(F.nanvl("rsi", F.lit(None)), 5).alias("rsi"), F.round(F.nanvl("ewm", F.lit(None)), 5).alias("ewm"))
 
 
 @query(CTES + """, own AS (SELECT entity, date, close / lag(close, 63) OVER w - 1 > 0 AS up, CASE WHEN count(*) OVER (w ROWS 199 PRECEDING) >= 200 THEN close > avg(close) OVER (w ROWS 199 PRECEDING) END AS above FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date))
@@ -287,7 +299,14 @@ def w21_collapse(spark, sf):
     return W.collapse(ev, ["user_id"], 3)
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT user_id, date, row_number() OVER (PARTITION BY user_id ORDER BY date) AS i FROM (SELECT DISTINCT user_id, ts::DATE AS date FROM events)), s AS (
+  SELECT user_id, date, i, 'kept' AS reason, date AS last, 1 AS n FROM d WHERE i = 1
+  UNION ALL
+  SELECT d.user_id, d.date, d.i, x.reason, CASE WHEN x.reason = 'kept' THEN d.date ELSE s.last END AS last, x.held + (x.reason = 'kept')::INT AS n
+  FROM s JOIN d ON d.user_id = s.user_id AND d.i = s.i + 1,
+  LATERAL (SELECT held, CASE WHEN d.date - s.last <= 3 THEN 'cooldown' WHEN held >= 4 THEN 'budget' ELSE 'kept' END AS reason FROM (SELECT CASE WHEN year(d.date) = year(s.date) THEN s.n ELSE 0 END AS held)) x
+) SELECT user_id, date, reason FROM s""")
 def w22_budget(spark, sf):
     ev = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("date"))
     return W.budget(ev, ["user_id"], 3, 4)
@@ -303,7 +322,7 @@ def w26_rolling_trend(spark, sf):
 SELECT a.entity, a.date, a.i - min(b.i) FILTER (WHERE b.close = m.hi) AS since FROM i a JOIN (SELECT entity, date, max(close) OVER (PARTITION BY entity ORDER BY date ROWS 62 PRECEDING) AS hi FROM bars) m ON m.entity = a.entity AND m.date = a.date
 JOIN i b ON a.entity = b.entity AND b.i BETWEEN a.i - 62 AND a.i GROUP BY a.entity, a.date, a.i""")
 def w31_rows_since_max(spark, sf):
-    return bars(spark, sf).select("entity", "date", W.rows_since_max("close", 63).alias("since"))
+    return W.rows_since_max(bars(spark, sf).select("entity", "date", "close"), "close", 63).select("entity", "date", "since")
 
 
 @query(CTES + """, g AS (SELECT entity, date, close / first_value(close) OVER w - 1 AS gain, close / max(close) OVER w - 1 AS drawdown FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),

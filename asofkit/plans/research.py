@@ -11,26 +11,69 @@ from ..operators import texts as T
 from ..operators import windows as W
 from ..sources.testdata import CTES, bars, sectors, table
 from .events import orders
-from .panel import WEEK, guarded, r
+from .panel import WEEK, guarded, r, rsi_sql
 from .registry import query
 
 
 def state(spark, sf):
     b, s = bars(spark, sf), sectors(spark, sf)
-    return LB.state_panel(b, W.peer_breadth(b, s, 21, 50, 2), s, 60, 20)
-
-
-@query()
+    own = b.join(s, "entity")
+    sector = own.groupBy("sector", "date").agg(F.avg("close").alias("sector_close"))
+    market = own.groupBy("date").agg(F.avg("close").alias("market_close"))
+    breadth = W.peer_breadth(b, s, 63, 200, 3).select("sector", "date", F.col("positive").alias("breadth"))
+    context = own.select("entity", "sector", "date").join(sector, ["sector", "date"]).join(market, "date").join(breadth, ["sector", "date"], "left")
+    return LB.state_panel(b, context, 252, 60)
+
+
+def ranked(c: str) -> str:
+    return f"CASE WHEN count(b.{c}) >= 60 AND a.{c} IS NOT NULL THEN (count(*) FILTER (WHERE b.{c} < a.{c}) + (count(*) FILTER (WHERE b.{c} = a.{c}) + 1) / 2) / count(b.{c}) END AS q{c}"
+
+
+def median(a: str) -> str:
+    return f"round(100 * coalesce((q{a}1 + q{a}2) / 2, q{a}1, q{a}2), 9)"
+
+
+MEASURES = ("x1", "x2", "t1", "t2", "r1", "r2", "p1", "p2", "d1")
+STATE = CTES.replace("WITH", "WITH RECURSIVE", 1) + f""", w AS (SELECT entity, sector, date, close, volume, close / lag(close, 63) OVER s - 1 AS g63, close / lag(close) OVER s - 1 AS ret, {guarded('avg(close)', 200, 200)} AS m200 FROM bars JOIN sectors USING (entity) WINDOW s AS (PARTITION BY entity ORDER BY date)),
+br AS (SELECT sector, date, avg((g63 > 0 AND close > m200)::INT) AS breadth FROM w WHERE g63 IS NOT NULL AND m200 IS NOT NULL GROUP BY ALL HAVING count(*) >= 3),
+c AS (SELECT w.*, sc.sector_close, mk.market_close, breadth, coalesce(sign(ret), 0) * volume AS signed, CASE WHEN ret < 0 THEN ret END AS loss FROM w JOIN (SELECT sector, date, avg(close) AS sector_close FROM w GROUP BY ALL) sc USING (sector, date) JOIN (SELECT date, avg(close) AS market_close FROM w GROUP BY ALL) mk USING (date) LEFT JOIN br USING (sector, date)),
+v AS (SELECT *, CASE WHEN count(ret) OVER f63 >= 63 THEN greatest(stddev_samp(ret) OVER f63 * sqrt(252), 0.05) END AS calm, CASE WHEN count(close) OVER f252 >= 252 THEN max(close) OVER f252 END AS hi, CASE WHEN count(close) OVER f252 >= 252 THEN min(close) OVER f252 END AS lo FROM c
+  WINDOW f63 AS (PARTITION BY entity ORDER BY date ROWS 62 PRECEDING), f252 AS (PARTITION BY entity ORDER BY date ROWS 251 PRECEDING)),
+m AS (SELECT entity, date, row_number() OVER s AS i, ln(close / m200) / calm AS x1, (close - lo) / nullif(hi - lo, 0) AS x2, ln(close / lag(close, 126) OVER s) / calm AS t1, ln(close / lag(close, 252) OVER s) / calm AS t2,
+  ln(close / lag(close, 126) OVER s) - ln(sector_close / lag(sector_close, 126) OVER s) AS r1, ln(sector_close / lag(sector_close, 126) OVER s) - ln(market_close / lag(market_close, 126) OVER s) AS r2,
+  CASE WHEN count(signed) OVER f63 >= 63 THEN sum(signed) OVER f63 / sum(volume) OVER f63 END AS p1, breadth AS p2, CASE WHEN count(loss) OVER f63 >= 20 THEN round(stddev_samp(loss) OVER f63 * sqrt(252), 12) END AS d1
+  FROM v WINDOW s AS (PARTITION BY entity ORDER BY date), f63 AS (PARTITION BY entity ORDER BY date ROWS 62 PRECEDING)),
+q AS (SELECT a.entity, a.date, {', '.join(ranked(c) for c in MEASURES)} FROM m a JOIN m b ON a.entity = b.entity AND b.i BETWEEN a.i - 251 AND a.i GROUP BY a.entity, a.date, {', '.join('a.' + c for c in MEASURES)}),
+d AS (SELECT entity, date, {median('x')} AS extension, {median('t')} AS trend, {median('r')} AS relative, {median('p')} AS participation, 100 * qd1 AS risk FROM q),
+wk AS (SELECT entity, {WEEK} AS week, max(date) AS last_session, {', '.join(f'arg_max({c}, date) FILTER (WHERE {c} IS NOT NULL) AS {c}' for c in ('extension', 'trend', 'relative', 'participation', 'risk'))} FROM d GROUP BY ALL),
+panel AS (SELECT *, round((extension + trend + relative + participation) / 4, 9) AS score FROM wk WHERE extension + trend + relative + participation IS NOT NULL)"""
+RAW = STATE + f""", dl AS (SELECT *, round(score - lag(score, 4) OVER w, 9) AS delta, {', '.join(f'round({c} - lag({c}, 4) OVER w, 9) AS d_{c}' for c in LB.FAMILIES)}, CASE WHEN count(score) OVER m >= 13 THEN max(score) OVER m END AS peak, CASE WHEN count(score) OVER m >= 13 THEN min(score) OVER m END AS floor
+  FROM panel WINDOW w AS (PARTITION BY entity ORDER BY week), m AS (PARTITION BY entity ORDER BY week ROWS 12 PRECEDING)),
+vt AS (SELECT *, {' + '.join(f'coalesce(d_{c} >= 5, false)::INT' for c in LB.FAMILIES)} AS up, {' + '.join(f'coalesce(d_{c} <= -5, false)::INT' for c in LB.FAMILIES)} AS down FROM dl),
+rw AS (SELECT *, CASE WHEN delta IS NULL OR peak IS NULL OR {' OR '.join(f'd_{c} IS NULL' for c in LB.FAMILIES)} THEN 'UNKNOWN' WHEN peak >= 75 AND delta <= -10 AND down >= 3 THEN 'BREAKING' WHEN floor <= 40 AND delta >= 10 AND up >= 3 THEN 'RECOVERING'
+  WHEN score >= 60 AND delta <= -5 AND down >= 2 THEN 'COOLING' WHEN score >= 60 AND delta >= 5 AND up >= 2 THEN 'EXTENDING' WHEN score <= 40 AND delta <= -5 AND down >= 2 THEN 'FALLING' WHEN score <= 40 AND abs(delta) < 5 THEN 'STABILIZING' WHEN score >= 60 AND abs(delta) < 5 THEN 'PLATEAU' ELSE 'NEUTRAL' END AS raw FROM vt)"""
+
+
+def stable_sql(rows: str, cooldown: int = 4) -> str:
+    """The stabiliser over rows (entity, i from 1, raw, ...), confirming after two rows, as a recursive CTE `st`."""
+    return f"""dr AS (SELECT *, CASE WHEN raw IN ('EXTENDING', 'RECOVERING') THEN 1 WHEN raw IN ('COOLING', 'BREAKING', 'FALLING') THEN -1 END AS way, coalesce(raw = lag(raw) OVER (PARTITION BY entity ORDER BY i), false) AS again FROM {rows}),
+st AS (SELECT entity, i, raw, way, again, CASE WHEN way IS NULL THEN raw ELSE 'NEUTRAL' END AS label, false AS suppressed, NULL::INT AS held, NULL::BIGINT AS at FROM dr WHERE i = 1
+  UNION ALL SELECT d.entity, d.i, d.raw, d.way, d.again, CASE WHEN d.way IS NULL OR (d.again AND NOT x.blocked) THEN d.raw ELSE 'NEUTRAL' END, x.blocked, CASE WHEN d.way IS NOT NULL AND d.again AND NOT x.blocked THEN d.way ELSE s.held END, CASE WHEN d.way IS NOT NULL AND d.again AND NOT x.blocked THEN d.i ELSE s.at END
+  FROM st s JOIN dr d ON d.entity = s.entity AND d.i = s.i + 1, LATERAL (SELECT coalesce(d.way IS NOT NULL AND d.again AND s.held <> d.way AND d.i - s.at <= {cooldown}, false) AS blocked) x)"""
+
+
+@query(STATE + " SELECT entity, week, last_session, round(extension, 4) AS extension, round(trend, 4) AS trend, round(relative, 4) AS relative, round(participation, 4) AS participation, round(risk, 4) AS risk, round(score, 4) AS score, CASE WHEN score < 15 THEN 'FLEE' WHEN score < 40 THEN 'SCATTER' WHEN score < 60 THEN 'CALM' WHEN score < 75 THEN 'DRIFT' ELSE 'RUSH' END AS stage FROM panel")
 def w10_state_panel(spark, sf):
-    return state(spark, sf).select("entity", "week", "last_session", r("trend"), r("extension"), r("participation"), r("risk"), r("score", 4), "stage")
+    return state(spark, sf).select("entity", "week", "last_session", *(r(c, 4) for c in (*LB.FAMILIES, "risk", "score")), "stage")
 
 
-@query()
+@query(RAW + " SELECT entity, week, raw, up, down, round(delta, 4) AS delta FROM rw")
 def w16_transition_raw(spark, sf):
     return LB.transition_raw(state(spark, sf)).select("entity", "week", "raw", "up", "down", r("delta", 4))
 
 
-@query()
+@query(RAW + ", nr AS (SELECT entity, week, raw, row_number() OVER (PARTITION BY entity ORDER BY week) AS i FROM rw), " + stable_sql("nr") + """
+SELECT st.entity, week, st.raw, label, suppressed, label IN ('COOLING', 'BREAKING', 'RECOVERING') AND label IS DISTINCT FROM lag(label) OVER (PARTITION BY st.entity ORDER BY st.i) AS event FROM st JOIN nr ON nr.entity = st.entity AND nr.i = st.i""")
 def w17_stabilize_labels(spark, sf):
     return LB.stabilize_labels(LB.transition_raw(state(spark, sf)))
 
@@ -39,10 +82,11 @@ def w17_stabilize_labels(spark, sf):
   -{guarded('stddev_samp(close)', 63, 21)} / {guarded('avg(close)', 63, 21)} AS risk FROM bars),
 mo AS (SELECT entity, last_day(date) AS month, arg_max_null(participation, date) AS participation, arg_max_null(trend, date) AS trend, arg_max_null(risk, date) AS risk FROM raw GROUP BY ALL),
 k AS (SELECT entity, month, CASE WHEN participation IS NOT NULL THEN (rank() OVER (PARTITION BY month ORDER BY participation NULLS LAST)) / count(participation) OVER (PARTITION BY month) END AS participation,
-  CASE WHEN trend IS NOT NULL THEN (rank() OVER (PARTITION BY month ORDER BY trend NULLS LAST)) / count(trend) OVER (PARTITION BY month) END AS trend FROM mo)
-SELECT entity, month, round(participation, 6) AS participation, round(trend, 6) AS trend FROM k""")
+  CASE WHEN trend IS NOT NULL THEN (rank() OVER (PARTITION BY month ORDER BY trend NULLS LAST)) / count(trend) OVER (PARTITION BY month) END AS trend,
+  CASE WHEN risk IS NOT NULL THEN (rank() OVER (PARTITION BY month ORDER BY risk NULLS LAST)) / count(risk) OVER (PARTITION BY month) END AS risk FROM mo)
+SELECT entity, month, round(participation, 6) AS participation, round(trend, 6) AS trend, round(risk, 6) AS risk, round(100 * (participation + trend + risk) / 3, 5) AS score FROM k""")
 def w14_evidence_scores(spark, sf):
-    return LB.evidence_scores(bars(spark, sf)).select("entity", "month", r("participation"), r("trend"))
+    return LB.evidence_scores(bars(spark, sf)).select("entity", "month", r("participation"), r("trend"), r("risk"), r("score", 5))
 
 
 @query(CTES + """, b AS (SELECT date, avg(close) AS close FROM bars GROUP BY date), x AS (SELECT *, close / lag(close) OVER (ORDER BY date) - 1 AS ret, close / max(close) OVER (ORDER BY date ROWS 62 PRECEDING) - 1 AS drawdown FROM b)
@@ -58,21 +102,36 @@ def w37_event_flags(spark, sf):
     return LB.event_flags(bars(spark, sf)).select("entity", "date", F.round(F.col("atr") + 1e-8, 5).alias("atr"), "extended")
 
 
-@query()
+@query(CTES + """, x AS (SELECT entity, sector, date, close / lag(close) OVER (PARTITION BY entity ORDER BY date) - 1 AS y FROM bars JOIN sectors USING (entity)), y AS (SELECT *, avg(y) OVER (PARTITION BY date) AS a, avg(y) OVER (PARTITION BY date, sector) - avg(y) OVER (PARTITION BY date) AS b FROM x WHERE y IS NOT NULL),
+mo AS (SELECT *, count(*) OVER w AS n, covar_pop(a, a) OVER w AS saa, covar_pop(b, b) OVER w AS sbb, covar_pop(a, b) OVER w AS sab, covar_pop(a, y) OVER w AS say, covar_pop(b, y) OVER w AS sby, avg(a) OVER w AS ma, avg(b) OVER w AS mb, avg(y) OVER w AS my FROM y WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+be AS (SELECT *, CASE WHEN n >= 60 AND abs(saa * sbb - sab * sab) > 1e-18 THEN (say * sbb - sby * sab) / (saa * sbb - sab * sab) END AS beta, CASE WHEN n >= 60 AND abs(saa * sbb - sab * sab) > 1e-18 THEN (sby * saa - say * sab) / (saa * sbb - sab * sab) END AS gamma FROM mo),
+re AS (SELECT *, y - (my + beta * (a - ma) + gamma * (b - mb)) AS residual FROM be)
+SELECT entity, date, round(beta, 3) AS beta, round(gamma, 3) AS gamma, round(residual, 4) AS residual, round(beta * a, 4) AS market_part, round(gamma * b, 4) AS sector_part, CASE WHEN count(residual) OVER f >= 21 THEN round(sum(residual) OVER f, 3) END AS residual_sum, CASE WHEN count(residual) OVER f >= 21 THEN round(stddev_samp(residual) OVER f / nullif(stddev_samp(y) OVER f, 0), 3) END AS volatility_ratio FROM re WINDOW f AS (PARTITION BY entity ORDER BY date ROWS 20 PRECEDING)""")
 def w28_factor_residuals(spark, sf):
     b = bars(spark, sf).join(sectors(spark, sf), "entity").withColumn("ret", W.change("close", 1)).where("ret is not null")
     market = F.avg("ret").over(Window.partitionBy("date"))
     context = b.select("entity", "date", market.alias("market"), (F.avg("ret").over(Window.partitionBy("date", "sector")) - market).alias("sector_excess"))
-    return LB.factor_residuals(bars(spark, sf), context, 60).select("entity", "date", r("beta", 3), r("residual", 3))
+    return LB.factor_residuals(bars(spark, sf), context, 60).select("entity", "date", r("beta", 3), r("gamma", 3), r("residual", 4), r("market_part", 4), r("sector_part", 4), r("residual_sum", 3), r("volatility_ratio", 3))
 
 
-@query()
+@query(CTES.replace("WITH", "WITH RECURSIVE", 1) + f""", wk AS (SELECT entity, {WEEK} AS date, arg_max(close, date) AS close FROM bars GROUP BY ALL), {rsi_sql('wk')},
+rs AS (SELECT entity, date, rsi, lag(rsi) OVER w AS y, lag(rsi, 2) OVER w AS z, row_number() OVER w AS i FROM rsi WHERE rsi IS NOT NULL WINDOW w AS (PARTITION BY entity ORDER BY date)),
+ep AS (SELECT entity, i, date, NULL::INT AS level, 0::BIGINT AS since, false AS p, false AS q, 0 AS episode, NULL::VARCHAR[] AS events FROM rs WHERE i = 1
+  UNION ALL SELECT r.entity, r.i, r.date, CASE WHEN e.level IS NULL THEN CASE WHEN enters THEN 55 END WHEN cools THEN NULL ELSE now END, CASE WHEN e.level IS NULL AND enters THEN r.i ELSE e.since END, e.level IS NOT NULL AND (e.p OR lasts), e.level IS NOT NULL AND (e.q OR slows), e.episode + (e.level IS NULL AND enters)::INT,
+    CASE WHEN e.level IS NULL THEN CASE WHEN enters THEN ['ENTRY'] END ELSE list_filter([CASE WHEN rises THEN 'ESCALATION' END, CASE WHEN lasts AND NOT e.p THEN 'PERSISTENCE' END, CASE WHEN slows AND NOT e.q THEN 'DECELERATION' END, CASE WHEN cools THEN 'COOLING' END], lambda v: v IS NOT NULL) END
+  FROM ep e JOIN rs r ON r.entity = e.entity AND r.i = e.i + 1, LATERAL (SELECT r.y < 55 AND r.rsi >= 55 AS enters, e.level < 60 AND r.y < 60 AND r.rsi >= 60 AS rises, r.y >= 48 AND r.rsi < 48 AS cools, coalesce(r.rsi < r.y AND r.y < r.z, false) AS slows) t, LATERAL (SELECT CASE WHEN t.rises THEN 60 ELSE e.level END AS now) u, LATERAL (SELECT r.i - e.since + 1 >= 4 AND r.rsi >= u.now AS lasts) v)
+SELECT entity, date, unnest(events) AS event, episode FROM ep WHERE events IS NOT NULL""")
 def w24_rsi_events(spark, sf):
     weekly = B.weekly_bars(bars(spark, sf)).select("entity", F.col("week").alias("date"), "close")
-    return LB.rsi_events(W.wilder_rsi(weekly, "close", 14), 55, 60, 48)
+    return LB.rsi_events(W.wilder_rsi(weekly, "close", 14), 55, 60, 48).withColumn("episode", F.col("episode").cast("int"))
 
 
-@query()
+@query(CTES.replace("WITH", "WITH RECURSIVE", 1) + f""", vt AS (SELECT entity, date, row_number() OVER w AS i, coalesce((close / lag(close, 5) OVER w - 1 > 0)::INT + (close / lag(close, 21) OVER w - 1 > 0)::INT + (volume / lag(volume, 5) OVER w - 1 > 0)::INT + (close > {guarded('avg(close)', 20, 5)})::INT, 0) AS votes FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
+en AS (SELECT entity, max(i) AS last FROM vt GROUP BY entity),
+ep AS (SELECT entity, i, date, CASE WHEN votes >= 3 THEN date END AS start, 0 AS calm, NULL::DATE AS done FROM vt WHERE i = 1
+  UNION ALL SELECT v.entity, v.i, v.date, CASE WHEN e.start IS NULL OR e.done IS NOT NULL THEN CASE WHEN v.votes >= 3 THEN v.date END ELSE e.start END, CASE WHEN e.start IS NULL OR e.done IS NOT NULL OR v.votes > 1 THEN 0 ELSE e.calm + 1 END, CASE WHEN e.start IS NOT NULL AND e.done IS NULL AND v.votes <= 1 AND e.calm = 1 THEN v.date END
+  FROM ep e JOIN vt v ON v.entity = e.entity AND v.i = e.i + 1)
+SELECT entity, start, date AS end, done IS NOT NULL AS closed FROM ep JOIN en USING (entity) WHERE start IS NOT NULL AND (done IS NOT NULL OR i = last)""".replace("date AS end", 'date AS "end"'))
 def w25_vote_episodes(spark, sf):
     b = bars(spark, sf)
     votes = (W.change("close", 5) > 0).cast("int") + (W.change("close", 21) > 0).cast("int") + (W.change("volume", 5) > 0).cast("int") + (F.col("close") > W.rolling("close", 20, 5, "mean")).cast("int")

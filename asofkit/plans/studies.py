@@ -15,6 +15,7 @@ from ..streaming import jobs as SS
 from .events import day, orders
 from .panel import FOLDS, off_tie, r
 from .registry import query
+from .research import stable_sql
 
 LABELLED = "SELECT d.doc_id, n_chars, length(source) AS s, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
 
@@ -218,11 +219,12 @@ def ss1_stream_bars(spark, sf):
     return SS.run_available(SS.stream_bars(e), f"{out}/o", f"{out}/c")
 
 
-@query()
+@query("WITH RECURSIVE ev AS (SELECT user_id::VARCHAR AS entity, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE event_type WHEN 'click' THEN 'EXTENDING' WHEN 'view' THEN 'COOLING' ELSE 'PLATEAU' END AS raw FROM events), " + stable_sql("ev") + " SELECT st.entity, id, label AS confirmed FROM st JOIN ev ON ev.entity = st.entity AND ev.i = st.i")
 def ss4_confirm_labels(spark, sf):
     out = R.scratch(spark, "stream")
-    e = SS.stream_table(spark, sf, "events").select(F.col("user_id").cast("string").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("label"))
-    return SS.run_available(SS.confirm_labels(e), f"{out}/o", f"{out}/c").groupBy("entity", "confirmed").agg(F.count("*").alias("n"))
+    label = F.when(F.col("event_type") == "click", "EXTENDING").when(F.col("event_type") == "view", "COOLING").otherwise("PLATEAU")
+    e = SS.stream_table(spark, sf, "events").select(F.col("user_id").cast("string").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), label.alias("label"))
+    return SS.run_available(SS.confirm_labels(e), f"{out}/o", f"{out}/c").select("entity", "id", "confirmed")
 
 
 @query()

@@ -37,25 +37,26 @@ def gate(good: F.Column) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
     return lambda batch: (batch.where(ok), batch.where(~ok))
 
 
-def confirm_labels(stream: DataFrame, confirm: int = 2) -> DataFrame:
-    """(entity, ts, label) as confirmed labels: a new label counts once it came `confirm` times on end. State per entity
-    is the confirmed label, the candidate and its count."""
+def confirm_labels(stream: DataFrame, confirm: int = 2, cooldown: int = 4, watermark: str = "30 days", idle_days: int = 400) -> DataFrame:
+    """(entity, ts, id, label) as stabilised labels, by the kernel of the batch job. State per entity is what the kernel goes
+    on from; it is dropped after idle_days of event time without a row."""
     import pandas as pd
 
+    from ..operators.labels import stabilise
+
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held, cand, n = state.get if state.exists else (None, None, 0)
-        rows = pd.concat(list(parts)).sort_values("ts")
-        out = []
-        for ts, label in zip(rows["ts"], rows["label"]):
-            n = n + 1 if label == cand else 1
-            cand = label
-            if n >= confirm:
-                held = cand
-            out.append((key[0], ts, held))
-        state.update((held, cand, n))
-        yield pd.DataFrame(out, columns=["entity", "ts", "confirmed"])
-
-    return stream.groupBy("entity").applyInPandasWithState(step, "entity string, ts timestamp, confirmed string", "held string, cand string, n int", "append", "NoTimeout")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values(["ts", "id"])
+        label, _, after = stabilise(rows["label"].tolist(), confirm, cooldown, state.get if state.exists else None)
+        state.update(after)
+        last = int(rows["ts"].max().timestamp() * 1000) + idle_days * 86_400_000
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+        yield rows.assign(confirmed=label)[["entity", "ts", "id", "confirmed"]]
+
+    keyed = stream.withWatermark("ts", watermark).groupBy("entity")
+    return keyed.applyInPandasWithState(step, "entity string, ts timestamp, id long, confirmed string", "rows long, before string, run long, way long, at long", "append", "EventTimeTimeout")
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -44,8 +44,8 @@ def test_weekly_bars_skip_nulls_and_hide_the_open_week(spark):
 
 
 @pytest.mark.parametrize("job", [
-    lambda b: b.select("entity", "date", W.rolling_pct_rank("close", 20, 5).alias("x")),
-    lambda b: b.select("entity", "date", W.prior_pct("close", 20, 5).alias("x")),
+    lambda b: W.window_ranks(b.select("entity", "date", "close"), {"x": "close"}, 20, 5),
+    lambda b: W.window_ranks(b.select("entity", "date", "close"), {"x": "close"}, 20, 5, prior=True),
     lambda b: W.rolling_trend(b, "close", 10).select("entity", "date", F.round("slope", 9)),
     lambda b: W.wilder_rsi(b, "close", 14).select("entity", "date", "rsi"),
     lambda b: W.expanding_pct_rank(b, "close").select("entity", "date", "pct"),

@@ -89,19 +89,21 @@ def test_repeats_conflicts_and_gate(spark, tmp_path):
 
 
 def test_confirmed_labels_match_the_batch_kernel(spark, tmp_path):
-    labels = ["A", "B", "B", "A", "B", "A", "A"]
-    rows = [("e", dt.datetime(2024, 1, i + 1), x) for i, x in enumerate(labels)]
-    df = SS.confirm_labels(stream(spark, tmp_path, rows, "entity string, ts timestamp, label string"), 2)
+    labels = ["EXTENDING", "COOLING", "COOLING", "PLATEAU", "EXTENDING", "EXTENDING", "EXTENDING", "EXTENDING"]
+    rows = [("e", dt.datetime(2024, 1, i + 1), i, x) for i, x in enumerate(labels)]
+    df = SS.confirm_labels(stream(spark, tmp_path, rows, "entity string, ts timestamp, id long, label string"))
     got = [r.confirmed for r in SS.run_available(df, str(tmp_path / "o"), str(tmp_path / "c")).orderBy("ts").collect()]
-    assert got == [None, None, "B", "B", "B", "B", "A"]
-    assert LB.stabilise(labels, 2, 0, {}) == ["UNKNOWN", "UNKNOWN", "B", "B", "B", "B", "A"]
+    # Unconfirmed directions read NEUTRAL, and so does the opposite one for four rows after COOLING counted.
+    assert got == ["NEUTRAL", "NEUTRAL", "COOLING", "PLATEAU", "NEUTRAL", "NEUTRAL", "NEUTRAL", "EXTENDING"]
+    assert LB.stabilise(labels, 2, 4)[0] == got
+    first, _, state = LB.stabilise(labels[:3], 2, 4)
+    assert first + LB.stabilise(labels[3:], 2, 4, state)[0] == got
 
 
-def test_cooldown_blocks_the_opposite_label():
-    pair = {"BREAKING": "RECOVERING", "RECOVERING": "BREAKING"}
-    rows = ["BREAKING"] * 2 + ["RECOVERING"] * 6
-    assert LB.stabilise(rows, 2, 4, pair) == ["UNKNOWN"] + ["BREAKING"] * 5 + ["RECOVERING"] * 2
-    assert LB.stabilise(["BREAKING"] * 2 + ["STABLE"] * 6 + ["RECOVERING"] * 3, 2, 4, pair)[-1] == "RECOVERING"
+def test_cooldown_lies_between_opposite_directions_only():
+    label, suppressed, _ = LB.stabilise(["BREAKING"] * 2 + ["COOLING"] * 2 + ["RECOVERING"] * 7, 2, 4)
+    assert label == ["NEUTRAL", "BREAKING", "NEUTRAL", "COOLING"] + ["NEUTRAL"] * 4 + ["RECOVERING"] * 3
+    assert suppressed == [False] * 5 + [True] * 3 + [False] * 3
 
 
 def test_ranges_need_a_cue_and_a_metric(spark):
