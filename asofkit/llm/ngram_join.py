@@ -130,8 +130,9 @@ def _runs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bits(postings: int, least: int) -> int:
-    """Bits of a token hash that number the buckets: about a million postings each."""
-    return max(least, int(postings / 1e6).bit_length())
+    """Bits of a token hash that number the buckets: about a quarter of a million postings each, so that the few buckets
+    which share a task stay small."""
+    return max(least, int(postings / 2.5e5).bit_length())
 
 
 def document_classes(rows: DataFrame, shingle: int) -> DataFrame:
@@ -153,7 +154,7 @@ def _survivors(rows: DataFrame, sizes: DataFrame, total: int, shingle: int) -> D
 
     With prefixes longer by e = floor(0.2 n) tokens, similar sets share at least 1 + e tokens of the shorter prefix.
     """
-    bits = _bits(int(total * 0.4), 6)
+    bits = _bits(int(total * 0.4), 8)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs = _Packs(bits, wide=False)
@@ -203,7 +204,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 def _common_tokens(sets: DataFrame, tokens_total: int) -> DataFrame:
     """(class, n, tokens, df): each set's tokens that other sets have too, with their document frequencies."""
-    bits = _bits(tokens_total, 4)
+    bits = _bits(tokens_total, 6)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs = _Packs(bits, wide=True)
@@ -459,7 +460,7 @@ def _components(rows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     sets = materialise(_sets(rows, wanted, shingle), "sets")
     tokens = sets.agg(F.sum("n")).first()[0] or 0
     ordered = materialise(_ordered(_common_tokens(sets, tokens)), "ordered")
-    clusters = materialise(_clusters(ordered, _bits(tokens, 4)), "clusters")
+    clusters = materialise(_clusters(ordered, _bits(tokens, 6)), "clusters")
     parts = connected_components(_links(ordered, clusters))
     rooted = materialise(classes.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")), "rooted")
     discard(classes, wanted, sets, ordered, clusters)
