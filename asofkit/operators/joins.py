@@ -126,3 +126,55 @@ def pit_panel(sources: dict[str, DataFrame], cutoff: Column) -> DataFrame:
         one = df.select(F.lit(name).alias("source"), "entity", "field", "observed", "available_at", "value")
         stacked = one if stacked is None else stacked.unionByName(one)
     return latest(stacked.where(F.col("available_at") <= cutoff), ["source", "entity", "field", "observed"], [F.desc("available_at"), F.desc("value")])
+
+
+def reconcile(cands: DataFrame, first: DataFrame, second: DataFrame, days: int = 7) -> DataFrame:
+    """cands (id, date, action, symbol) resolved by the first source that fits: the same event in `first` (date, action,
+    symbol), the same in `second`, the only event of that action and symbol in `first` within `days` days; else a
+    distant event needs review, or nothing is known. Adds status and resolved_date.
+
+    Nearby events are met by day buckets, so that a hot symbol does not meet all of its candidates.
+    """
+    key = ["action", "symbol"]
+    a = first.select("date", *key).distinct()
+    b = second.select("date", *key).distinct()
+    bucket = lambda c: F.floor(F.unix_date(c) / days).cast("long")
+    spread = cands.select("id", F.col("date").alias("_d"), *key).withColumn("_b", F.explode(F.array(*(bucket(F.col("_d")) + k for k in (-1, 0, 1)))))
+    near = spread.join(a.withColumn("_b", bucket(F.col("date"))), [*key, "_b"]).where(F.abs(F.date_diff("date", "_d")) <= days).groupBy("id").agg(F.count("*").alias("near"), F.min("date").alias("near_date"))
+    known = a.select(*key).distinct().withColumn("known", F.lit(True))
+    out = cands.join(a.withColumn("in_first", F.lit(True)), ["date", *key], "left").join(b.withColumn("in_second", F.lit(True)), ["date", *key], "left").join(near, "id", "left").join(known, key, "left")
+    one = F.col("near") == 1
+    status = F.when(F.col("in_first"), "FIRST_EXACT").when(F.col("in_second"), "SECOND_EXACT").when(one, "DATE_CORRECTED").when(F.col("known"), "DISTANT_REVIEW").otherwise("UNRESOLVED")
+    resolved = F.when(F.col("in_first") | F.col("in_second"), F.col("date")).when(one, F.col("near_date"))
+    return out.select("id", "date", *key, status.alias("status"), resolved.alias("resolved_date"))
+
+
+def match_controls(treated: DataFrame, pool: DataFrame, by: list[str], covariate: str, caliper: float, forbidden: int) -> DataFrame:
+    """Each treated row (id, date, covariate) with its nearest unused control of the same group, in order of date: no
+    control within `forbidden` days after any treated row of the group, gap at most caliper, ties to the earlier date.
+
+    Greedy without replacement, so one pass per group (a fold of one entity); both sides of a group lie in one task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(key: tuple, t: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if t.empty or c.empty:
+            return pd.DataFrame([], columns=[*by, "id", "control_id", "gap"])
+        t, c = t.sort_values(["date", "id"]), c.sort_values(["date", "id"]).reset_index(drop=True)
+        at, starts = pd.to_datetime(c["date"]).to_numpy(), pd.to_datetime(t["date"]).to_numpy()
+        last = np.searchsorted(starts, at, side="right") - 1  # the treated row before a control decides
+        age = np.where(last >= 0, (at - starts[np.maximum(last, 0)]) / np.timedelta64(1, "D"), np.inf)
+        free, x, out = age > forbidden, c[covariate].to_numpy(float), []
+        for row in t.itertuples(index=False):
+            gap = np.where(free, np.abs(x - getattr(row, covariate)), np.inf)
+            best = int(np.argmin(np.where(np.isnan(gap), np.inf, gap)))
+            if gap[best] <= caliper:
+                free[best] = False
+                out.append((*key, row.id, c["id"][best], float(gap[best])))
+        return pd.DataFrame(out, columns=[*by, "id", "control_id", "gap"])
+
+    kinds = ", ".join(f"`{k}` {treated.schema[k].dataType.simpleString()}" for k in by)
+    schema = f"{kinds}, id {treated.schema['id'].dataType.simpleString()}, control_id {pool.schema['id'].dataType.simpleString()}, gap double"
+    cols = [*by, "id", "date", covariate]
+    return treated.select(*cols).groupBy(*by).cogroup(pool.select(*(F.col(c).alias(c) for c in cols)).groupBy(*by)).applyInPandas(run, schema)

@@ -32,9 +32,11 @@ def fifo_lots(entries: DataFrame) -> DataFrame:
     total = e.groupBy(*by).agg((F.min("held") < -1e-9).alias("oversold"), F.sum(F.when(F.col("type") == "SELL", F.col("q")).otherwise(0.0)).alias("sold"), F.sum(F.when(F.col("type") == "BUY", F.col("q")).otherwise(0.0)).alias("bought"))
     clean = e.join(total.where("not oversold").select(*by, "sold"), by)
     buys = clean.where("type = 'BUY'").select(*by, "sold", F.col("p").alias("bp"), (F.col("upto") - F.col("q")).alias("b0"), F.col("upto").alias("b1"))
-    sells = clean.where("type = 'SELL'").select(*by, F.col("p").alias("sp"), (F.col("upto") - F.col("q")).alias("s0"), F.col("upto").alias("s1"))
-    overlap = F.least("b1", "s1") - F.greatest("b0", "s0")
-    realised = buys.join(sells, by).where(F.least("b1", "s1") > F.greatest("b0", "s0")).groupBy(*by).agg(F.sum(overlap * (F.col("sp") - F.col("bp"))).alias("realised"))
+    # Both lists of cumulative bounds are merged by one sort; the part before a bound belongs to the next buy and sale.
+    order = Window.partitionBy(*by).orderBy("upto")
+    owner = lambda kind: F.first(F.when(F.col("type") == kind, F.col("p")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    parts = clean.select(*by, "p", (F.col("upto") - F.coalesce(F.lag("upto").over(order), F.lit(0.0))).alias("part"), owner("BUY").alias("bp"), owner("SELL").alias("sp"))
+    realised = parts.where("bp is not null and sp is not null").groupBy(*by).agg(F.sum(F.col("part") * (F.col("sp") - F.col("bp"))).alias("realised"))
     open_ = buys.groupBy(*by).agg(F.sum(F.greatest(F.lit(0.0), F.col("b1") - F.greatest("b0", "sold")) * F.col("bp")).alias("cost"))
     out = total.join(realised, by, "left").join(open_, by, "left")
     ok = ~F.col("oversold")
@@ -49,13 +51,37 @@ def value_holdings(holdings: DataFrame, bars: DataFrame) -> DataFrame:
     return v.select("account", "entity", (F.col("quantity") * F.col("close")).alias("value"), (F.try_divide(F.col("quantity") * F.col("close"), F.col("cost")) - 1).alias("gain"), (F.try_divide("close", "before") - 1).alias("day_change"), F.col("close").isNull().alias("incomplete"))
 
 
-def twr(values: DataFrame) -> DataFrame:
+def value_ledger(positions: DataFrame, cash: DataFrame, bars: DataFrame) -> DataFrame:
+    """Per account from open positions (account, symbol, quantity, cost), cash (account, cash) and bars (entity, date,
+    close): status LEDGER_READY, or PRICE_INCOMPLETE where a position has no price (then it has no values), market and
+    account value, cost, unrealised profit, the oldest price date, and whether cash is negative."""
+    last = bars.where("close is not null").groupBy("entity").agg(F.max_by("close", "date").alias("price"), F.max("date").alias("priced"))
+    held = positions.where("quantity > 0").join(last, F.col("symbol") == F.col("entity"), "left")
+    sums = held.groupBy("account").agg(F.every(F.col("price").isNotNull()).alias("complete"), F.sum(F.col("quantity") * F.col("price")).alias("market"), F.sum("cost").alias("cost"), F.min("priced").alias("price_as_of"), F.count("*").alias("positions"))
+    out = cash.join(sums, "account", "left").withColumn("complete", F.coalesce("complete", F.lit(True))).fillna(0, ["market", "cost", "positions"])
+    whole = lambda c: F.when(F.col("complete"), c)
+    return out.select(
+        "account", F.when(F.col("complete"), "LEDGER_READY").otherwise("PRICE_INCOMPLETE").alias("status"), "positions", "cash", whole(F.col("market")).alias("market_value"), whole(F.col("cash") + F.col("market")).alias("account_value"), "cost",
+        whole(F.col("market") - F.col("cost")).alias("unrealised"), "price_as_of", (F.col("cash") < 0).alias("cash_negative"),
+    )
+
+
+def twr(values: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
     """Time-weighted return per account from daily (account, date, value, flow), flows arriving at the day's end: each
-    day's growth is (value - flow) over the value before."""
+    day's growth is (value - flow) over the value before; a value of zero or less ends in -1, and days after it, which
+    have no growth, do not count. With a benchmark (date, close), its return from the account's first day to its last."""
     w = Window.partitionBy("account").orderBy("date")
-    growth = F.try_divide(F.col("value") - F.col("flow"), F.lag("value").over(w))
-    daily = values.withColumn("growth", growth).where("growth > 0")
-    return daily.groupBy("account").agg(F.count("*").alias("days"), (F.exp(F.sum(F.log("growth"))) - 1).alias("twr"))
+    before = F.lag("value").over(w)
+    growth = F.when(before > 0, F.greatest(F.col("value") - F.col("flow"), F.lit(0.0)) / before)
+    daily = values.withColumn("growth", growth)
+    gone = F.coalesce(F.bool_or(F.col("growth") == 0), F.lit(False))
+    each = daily.groupBy("account").agg(F.count("growth").alias("days"), F.when(gone, F.lit(-1.0)).otherwise(F.exp(F.sum(F.when(F.col("growth") > 0, F.log("growth")))) - 1).alias("twr"), F.min("date").alias("_a"), F.max("date").alias("_b"))
+    if benchmark is None:
+        return each.drop("_a", "_b")
+    price = benchmark.select(F.col("date").alias("_d"), F.col("close").alias("_c"))
+    first, last = (price.withColumnsRenamed({"_d": d, "_c": c}) for d, c in (("_a", "_first"), ("_b", "_last")))
+    out = each.join(first, "_a", "left").join(last, "_b", "left").withColumn("benchmark", F.try_divide("_last", "_first") - 1)
+    return out.select("account", "days", "twr", "benchmark", (F.col("twr") - F.col("benchmark")).alias("excess"))
 
 
 def stratified_sample(df: DataFrame, strata: list[str], key: str, n: int, salt: str) -> DataFrame:

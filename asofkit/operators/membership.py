@@ -79,3 +79,30 @@ def reconcile_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     both = a.select(*keys).distinct().withColumn("_a", F.lit(1)).join(b.select(*keys).distinct().withColumn("_b", F.lit(1)), keys, "full_outer")
     status = F.when(F.col("_a").isNull(), "MISSING").when(F.col("_b").isNull(), "EXTRA").otherwise("VERIFIED")
     return both.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def apply_transitions(intervals: DataFrame, transitions: DataFrame) -> DataFrame:
+    """intervals (id, symbol, valid_from, valid_to) repaired at verified changes of symbol (id, old, new, effective): the
+    old symbol's latest interval that began by then reaches the day before, and the new one's earliest interval that had
+    not ended begins on the day. Changes apply where both exist, each to the intervals as given. Adds how many did."""
+    t = transitions.where("old <> new").select("id", "old", "new", "effective").distinct()
+    iv = intervals.select("id", "symbol", "valid_from", "valid_to").distinct()
+    old = t.join(iv.withColumnRenamed("symbol", "old"), ["id", "old"]).where("valid_from <= effective").groupBy("id", "old", "new", "effective").agg(F.max(F.struct("valid_to", "valid_from")).alias("o"))
+    new = t.join(iv.withColumnRenamed("symbol", "new"), ["id", "new"]).where("valid_to >= effective").groupBy("id", "old", "new", "effective").agg(F.min(F.struct("valid_from", "valid_to")).alias("n"))
+    both = old.join(new, ["id", "old", "new", "effective"])
+    ends = both.select("id", F.col("old").alias("symbol"), F.col("o.valid_from").alias("valid_from"), F.col("o.valid_to").alias("valid_to"), F.date_sub("effective", 1).alias("end"), F.lit(None).cast("date").alias("begin"))
+    begins = both.select("id", F.col("new").alias("symbol"), F.col("n.valid_from").alias("valid_from"), F.col("n.valid_to").alias("valid_to"), F.lit(None).cast("date").alias("end"), F.col("effective").alias("begin"))
+    changes = ends.unionByName(begins).groupBy("id", "symbol", "valid_from", "valid_to").agg(F.max("end").alias("end"), F.min("begin").alias("begin"), F.count("*").alias("repairs"))
+    out = intervals.join(changes, ["id", "symbol", "valid_from", "valid_to"], "left")
+    return out.select("id", "symbol", F.least("valid_from", F.coalesce("begin", "valid_from")).alias("valid_from"), F.greatest("valid_to", F.coalesce("end", "valid_to")).alias("valid_to"), F.coalesce("repairs", F.lit(0)).alias("repairs"))
+
+
+def positions_at(holdings: DataFrame, filings: DataFrame, waves: DataFrame) -> DataFrame:
+    """Positions known at each wave (period, available): by holder its newest usable filing of the period that was
+    available by then (by availability, filing date, filing), summed by security and holder where positive. filings:
+    filing, holder, period, available, filed; holdings: filing, security, value."""
+    w = waves.select("period", F.col("available").alias("wave"))
+    seen = w.join(filings, "period").where("available <= wave")
+    newest = F.row_number().over(Window.partitionBy("period", "wave", "holder").orderBy(F.desc("available"), F.desc("filed"), F.desc("filing")))
+    kept = seen.withColumn("n", newest).where("n = 1").select("period", "wave", "holder", "filing")
+    return kept.join(holdings, "filing").groupBy("period", "wave", "security", "holder").agg(F.sum("value").alias("value")).where("value > 0")

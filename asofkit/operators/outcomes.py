@@ -22,7 +22,7 @@ def replay_outcomes(events: DataFrame, bars: DataFrame, horizons: tuple[int, ...
     joined = events.join(forward, ["entity", "date"])
     each = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"c{h}").alias("c"), F.col(f"h{h}").alias("h"), F.col(f"l{h}").alias("l")) for h in horizons)))
     rel = lambda c: F.try_divide(F.col(f"o.{c}"), F.col("entry")) - 1
-    return joined.select(*events.columns, "entry", each.alias("o")).where("o.c is not null").select(*events.columns, "o.horizon", rel("c").alias("ret"), rel("h").alias("mfe"), rel("l").alias("mae"))
+    return joined.select(*events.columns, "entry", each.alias("o")).where("o.c is not null").select(*events.columns, "entry", "o.horizon", rel("c").alias("ret"), rel("h").alias("mfe"), rel("l").alias("mae"))
 
 
 def forward_metrics(bars: DataFrame, h: int) -> DataFrame:

@@ -69,8 +69,8 @@ def pct_of_latest(df: DataFrame, col: str) -> DataFrame:
     return df.join(latest, "entity").groupBy("entity", "latest").agg(F.avg(F.when(F.col(col).isNotNull(), (F.col(col) <= F.col("latest")).cast("double"))).alias("pct"))
 
 
-def expanding_pct_rank(df: DataFrame, col: str) -> DataFrame:
-    """df with pct: average rank of each value within its entity's history so far, as a share. One vectorised pass per
+def expanding_pct_rank(df: DataFrame, col: str, least: int = 1) -> DataFrame:
+    """df with pct: average rank of each value within its entity's history so far (of at least `least` values), as a share. One vectorised pass per
     entity; a group holds one series."""
     import numpy as np
     import pandas as pd
@@ -85,7 +85,7 @@ def expanding_pct_rank(df: DataFrame, col: str) -> DataFrame:
             low, high = np.searchsorted(held, v), np.searchsorted(held, v, side="right")
             less, same = low + ((v[None, :] < v[:, None]) & upto).sum(1), high - low + ((v[None, :] == v[:, None]) & upto).sum(1)
             count = len(held) + known.cumsum()
-            out[a : a + 1024] = np.where(known, (less + (same + 1) / 2) / np.maximum(count, 1), np.nan)
+            out[a : a + 1024] = np.where(known & (count >= least), (less + (same + 1) / 2) / np.maximum(count, 1), np.nan)
             held = np.sort(np.concatenate([held, v[known]]))
         return part.assign(pct=out)
 

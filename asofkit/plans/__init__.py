@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables."""
 
-from . import events, identity, panel, research, studies  # noqa: F401
+from . import business, events, identity, panel, paths, reports, research, studies  # noqa: F401

@@ -145,17 +145,23 @@ def l1_ledger_totals(spark, sf):
     return L.ledger_totals(e).select("account", r("cash"), r("dividends", 2), r("fees"), r("contributions", 2))
 
 
-@query("""WITH t AS (SELECT o_custkey AS account, l_suppkey AS symbol, (o_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, CASE WHEN l_linenumber % 4 = 3 THEN 'SELL' ELSE 'BUY' END AS type, CASE WHEN l_linenumber % 4 = 3 THEN l_quantity / 50 ELSE l_quantity END AS q, l_extendedprice / l_quantity AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+LOTS = """WITH t AS (SELECT o_custkey AS account, l_suppkey AS symbol, (o_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, CASE WHEN l_linenumber % 4 = 3 THEN 'SELL' ELSE 'BUY' END AS type, CASE WHEN l_linenumber % 4 = 3 THEN l_quantity / 50 ELSE l_quantity END AS q, l_extendedprice / l_quantity AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 c AS (SELECT *, sum(CASE type WHEN 'BUY' THEN q ELSE -q END) OVER (PARTITION BY account, symbol ORDER BY seq) AS held, sum(q) OVER (PARTITION BY account, symbol, type ORDER BY seq) AS upto FROM t),
 g AS (SELECT account, symbol, min(held) < -1e-9 AS oversold, coalesce(sum(q) FILTER (WHERE type = 'SELL'), 0) AS sold, coalesce(sum(q) FILTER (WHERE type = 'BUY'), 0) AS bought FROM c GROUP BY ALL),
 x AS (SELECT b.account, b.symbol, sum((least(b.upto, s.upto) - greatest(b.upto - b.q, s.upto - s.q)) * (s.p - b.p)) AS realised FROM c b JOIN c s ON b.account = s.account AND b.symbol = s.symbol AND b.type = 'BUY' AND s.type = 'SELL' AND least(b.upto, s.upto) > greatest(b.upto - b.q, s.upto - s.q) GROUP BY ALL),
-k AS (SELECT c.account, c.symbol, sum(greatest(0, upto - greatest(upto - q, sold)) * p) AS cost FROM c JOIN g USING (account, symbol) WHERE type = 'BUY' GROUP BY ALL)
-SELECT account, symbol, oversold, CASE WHEN NOT oversold THEN round(coalesce(realised, 0) + 1e-8, 6) END AS realised, CASE WHEN NOT oversold THEN round(bought - sold, 6) END AS open_quantity, CASE WHEN NOT oversold THEN round(coalesce(cost, 0) + 1e-8, 6) END AS cost FROM g LEFT JOIN x USING (account, symbol) LEFT JOIN k USING (account, symbol)""")
-def l2_fifo_lots(spark, sf):
+k AS (SELECT c.account, c.symbol, sum(greatest(0, upto - greatest(upto - q, sold)) * p) AS cost FROM c JOIN g USING (account, symbol) WHERE type = 'BUY' GROUP BY ALL)"""
+
+
+def trades(spark, sf):
     o = orders(spark, sf).select("o_orderkey", "o_custkey")
     sell = F.col("l_linenumber") % 4 == 3
-    t = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("account"), F.col("l_suppkey").alias("symbol"), ((F.col("o_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"), F.when(sell, "SELL").otherwise("BUY").alias("type"), F.when(sell, F.col("l_quantity") / 50).otherwise(F.col("l_quantity")).alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.lit(None).cast("double").alias("ratio"))
-    return L.fifo_lots(t).select("account", "symbol", "oversold", off_tie("realised"), r("open_quantity"), off_tie("cost"))
+    return table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("account"), F.col("l_suppkey").alias("symbol"), ((F.col("o_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"), F.when(sell, "SELL").otherwise("BUY").alias("type"), F.when(sell, F.col("l_quantity") / 50).otherwise(F.col("l_quantity")).alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.lit(None).cast("double").alias("ratio"))
+
+
+@query(LOTS + """
+SELECT account, symbol, oversold, CASE WHEN NOT oversold THEN round(coalesce(realised, 0) + 1e-8, 6) END AS realised, CASE WHEN NOT oversold THEN round(bought - sold, 6) END AS open_quantity, CASE WHEN NOT oversold THEN round(coalesce(cost, 0) + 1e-8, 6) END AS cost FROM g LEFT JOIN x USING (account, symbol) LEFT JOIN k USING (account, symbol)""")
+def l2_fifo_lots(spark, sf):
+    return L.fifo_lots(trades(spark, sf)).select("account", "symbol", "oversold", off_tie("realised"), r("open_quantity"), off_tie("cost"))
 
 
 @query(CTES + """, h AS (SELECT c_custkey AS account, n_name AS entity, 10 + c_custkey % 7 AS quantity, 5000.0::DOUBLE AS cost FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -167,12 +173,16 @@ def k2_value_holdings(spark, sf):
     return L.value_holdings(h, bars(spark, sf)).select("account", "entity", r("value"), r("gain"), r("day_change"), "incomplete")
 
 
-@query(CTES + """, v AS (SELECT entity AS account, date, close * 10 + CASE WHEN day(date) = 15 THEN 100 ELSE 0 END AS value, CASE WHEN day(date) = 15 THEN 100 ELSE 0 END AS flow FROM bars), g AS (SELECT account, (value - flow) / lag(value) OVER (PARTITION BY account ORDER BY date) AS g FROM v)
-SELECT account, count(*) AS days, round(exp(sum(ln(g))) - 1, 5) AS twr FROM g WHERE g > 0 GROUP BY account""")
+@query(CTES + """, v AS (SELECT entity AS account, date, CASE WHEN entity = 'NATION_3' AND date >= DATE '1999-01-01' THEN 0 ELSE close * 10 + CASE WHEN day(date) = 15 THEN 100 ELSE 0 END END AS value, CASE WHEN day(date) = 15 AND NOT (entity = 'NATION_3' AND date >= DATE '1999-01-01') THEN 100 ELSE 0 END AS flow FROM bars),
+g AS (SELECT account, date, CASE WHEN lag(value) OVER w > 0 THEN greatest(value - flow, 0) / lag(value) OVER w END AS g FROM v WINDOW w AS (PARTITION BY account ORDER BY date)), m AS (SELECT date, avg(close) AS c FROM bars GROUP BY date),
+t AS (SELECT account, count(g) AS days, CASE WHEN coalesce(bool_or(g = 0), false) THEN -1 ELSE exp(sum(ln(g)) FILTER (WHERE g > 0)) - 1 END AS twr, min(date) AS a, max(date) AS b FROM g GROUP BY account)
+SELECT account, days, round(twr, 5) AS twr, round(n.c / f.c - 1, 5) AS benchmark, round(twr - (n.c / f.c - 1), 5) AS excess FROM t JOIN m f ON f.date = t.a JOIN m n ON n.date = t.b""")
 def l4_twr(spark, sf):
-    flow = F.when(F.day("date") == 15, 100.0).otherwise(0.0)
-    v = bars(spark, sf).select(F.col("entity").alias("account"), "date", (F.col("close") * 10 + flow).alias("value"), flow.alias("flow"))
-    return L.twr(v).select("account", "days", r("twr", 5))
+    gone = (F.col("entity") == "NATION_3") & (F.col("date") >= day("1999-01-01"))  # an account that loses everything
+    flow = F.when((F.day("date") == 15) & ~gone, 100.0).otherwise(0.0)
+    b = bars(spark, sf)
+    v = b.select(F.col("entity").alias("account"), "date", F.when(gone, 0.0).otherwise(F.col("close") * 10 + flow).alias("value"), flow.alias("flow"))
+    return L.twr(v, b.groupBy("date").agg(F.avg("close").alias("close"))).select("account", "days", r("twr", 5), r("benchmark", 5), r("excess", 5))
 
 
 @query("SELECT doc_id, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY sha256('review|' || doc_id::VARCHAR), doc_id) <= 3")
@@ -212,7 +222,8 @@ def ss2_append_unique(spark, sf):
     return got.groupBy(F.col("user_id").alias("entity"), F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH e AS (SELECT event_type AS entity, ts, value, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-03') AS w FROM events), m AS (SELECT max(ts) - INTERVAL 3 DAY AS mark FROM events)
+SELECT entity, (w + INTERVAL 6 DAY)::DATE AS week, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS volume FROM e, m WHERE w + INTERVAL 7 DAY <= mark GROUP BY ALL""")
 def ss1_stream_bars(spark, sf):
     out = R.scratch(spark, "stream")
     e = SS.stream_table(spark, sf, "events").select(F.col("event_type").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1).alias("volume"))
@@ -227,8 +238,111 @@ def ss4_confirm_labels(spark, sf):
     return SS.run_available(SS.confirm_labels(e), f"{out}/o", f"{out}/c").select("entity", "id", "confirmed")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id AS entity, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 12 HOUR AS cut FROM events), g AS (SELECT *, sum(coalesce(cut, true)::INT) OVER (PARTITION BY entity ORDER BY ts) AS n FROM e), s AS (SELECT entity, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS stop, count(*) AS n FROM g GROUP BY entity, g.n)
+SELECT entity, start, stop AS "end", n FROM s WHERE stop <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def ss7_sessionize(spark, sf):
     out = R.scratch(spark, "stream")
     e = SS.stream_table(spark, sf, "events").select(F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("ts"))
-    return SS.run_available(SS.sessionize(e, "12 hours"), f"{out}/o", f"{out}/c")
+    got = SS.run_available(SS.sessionize(e, "12 hours"), f"{out}/o", f"{out}/c")
+    return got.select("entity", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n")
+
+
+@query("""WITH n AS (SELECT o_orderkey AS id, n_name AS entity, o_orderdate::DATE AS date FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1998-01-01')""" + CTES.replace("WITH", ",", 1) + """, b AS (SELECT entity, date, lead(open) OVER w AS entry, lead(close, 5) OVER w AS c5, max(high) OVER f5 AS h5, min(low) OVER f5 AS l5, lead(close, 21) OVER w AS c21, max(high) OVER f21 AS h21, min(low) OVER f21 AS l21 FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date), f5 AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), f21 AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING)),
+o AS (SELECT id, 5 AS horizon, c5 / entry - 1 AS ret, h5 / entry - 1 AS mfe, l5 / entry - 1 AS mae FROM n JOIN b USING (entity, date) WHERE c5 IS NOT NULL UNION ALL SELECT id, 21, c21 / entry - 1, h21 / entry - 1, l21 / entry - 1 FROM n JOIN b USING (entity, date) WHERE c21 IS NOT NULL)
+SELECT id, horizon, round(ret, 6) AS ret, round(mfe, 6) AS mfe, round(mae, 6) AS mae FROM o""")
+def ss3_mature_outcomes(spark, sf):
+    """Observations arrive as a stream; each batch appends the outcomes that have matured and are not stored."""
+    out = R.scratch(spark, "stream")
+    home = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("entity"))
+    seen = SS.stream_table(spark, sf, "orders").where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).join(home, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), "entity", F.to_date("o_orderdate").alias("date"))
+    SS.run_batches(seen, SS.mature_stream(seen, lambda: bars(spark, sf), out, (5, 21)), f"{out}/c")
+    return spark.read.parquet(f"{out}/outcomes").select("id", "horizon", r("ret"), r("mfe"), r("mae"))
+
+
+@query("SELECT CASE WHEN coalesce(l_discount <= 0.08 AND l_quantity > 2 AND l_extendedprice > 0, false) THEN 'good' ELSE 'quarantine' END AS sink, l_returnflag, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM lineitem GROUP BY ALL")
+def ss6_gate(spark, sf):
+    out = R.scratch(spark, "stream")
+    rows = SS.stream_table(spark, sf, "lineitem")
+    SS.run_batches(rows, SS.gate_stream((F.col("l_discount") <= 0.08) & (F.col("l_quantity") > 2) & (F.col("l_extendedprice") > 0), out), f"{out}/c")
+    read = lambda name: spark.read.parquet(f"{out}/{name}").withColumn("sink", F.lit(name))
+    return read("good").unionByName(read("quarantine")).groupBy("sink", "l_returnflag").agg(F.count("*").alias("n"), F.sum("l_linenumber").cast("long").alias("lines"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderdate::DATE AS settlement, o_orderdate::DATE + 10 AS published, dense_rank() OVER (ORDER BY o_orderdate::DATE) AS ordinal, o_totalprice FROM orders")
+def io2_short_interest(spark, sf):
+    path = R.scratch(spark, "psv")
+    o = orders(spark, sf).select("o_orderkey", "o_custkey", F.col("date").alias("settlement"), "o_totalprice")
+    o.write.option("header", True).option("sep", "|").csv(path)
+    calendar = o.select("settlement").distinct().withColumn("published", F.date_add("settlement", 10))
+    return R.read_short_interest(spark, path, "o_orderkey long, o_custkey long, settlement date, o_totalprice double", calendar)
+
+
+@query("""SELECT o_orderkey::VARCHAR AS accession, lpad(o_custkey::VARCHAR, 10, '0') AS manager, o_orderdate::DATE AS filed, CASE WHEN o_orderkey % 3 = 0 THEN 'Y' ELSE 'N' END AS amended, 'CUSIP' || l_suppkey AS cusip, (l_extendedprice::BIGINT) AS value, l_quantity::BIGINT AS shares
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R'""")
+def io3_read_13f(spark, sf):
+    """Three members of an archive as TSV: submissions, cover pages, holdings; options and bad numbers are left out."""
+    path = R.scratch(spark, "13f")
+    o = orders(spark, sf)
+    tsv = lambda df, name: df.write.option("header", True).option("sep", "\t").csv(f"{path}/{name}.tsv")
+    tsv(o.select(F.col("o_orderkey").alias("ACCESSION_NUMBER"), F.upper(F.date_format("date", "dd-MMM-yyyy")).alias("FILING_DATE"), F.lit("13F-HR").alias("SUBMISSIONTYPE"), F.col("o_custkey").alias("CIK"), F.upper(F.date_format("date", "dd-MMM-yyyy")).alias("PERIODOFREPORT")), "SUBMISSION")
+    tsv(o.select(F.col("o_orderkey").alias("ACCESSION_NUMBER"), F.when(F.col("o_orderkey") % 3 == 0, "y").otherwise("n").alias("ISAMENDMENT"), F.lit(" new   holdings ").alias("AMENDMENTTYPE")), "COVERPAGE")
+    line = table(spark, sf, "lineitem")
+    tsv(line.select(F.col("l_orderkey").alias("ACCESSION_NUMBER"), F.concat(F.lit("cusip"), "l_suppkey").alias("CUSIP"), F.bround("l_extendedprice").cast("long").alias("VALUE"), F.col("l_quantity").alias("SSHPRNAMT"), F.lit("SH").alias("SSHPRNAMTTYPE"), F.when(F.col("l_returnflag") == "R", "CALL").alias("PUTCALL")), "INFOTABLE")
+    filings, holdings = R.read_13f(spark, path)
+    return holdings.join(filings, "accession").select("accession", "manager", "filed", "amended", "cusip", "value", "shares")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS accession, o_orderdate::DATE AS filed, o_custkey::VARCHAR AS owner, l_linenumber AS line, CASE WHEN l_linestatus = 'F' THEN 'NONDERIV' ELSE 'DERIV' END AS kind, l_returnflag AS code, l_quantity::DOUBLE AS shares, round(l_extendedprice, 2) AS price FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def io4_read_form4(spark, sf):
+    path = R.scratch(spark, "form4")
+    o, line = orders(spark, sf), table(spark, sf, "lineitem")
+    tsv = lambda df, name: df.write.option("header", True).option("sep", "\t").csv(f"{path}/{name}.tsv")
+    tsv(o.select(F.col("o_orderkey").alias("ACCESSION_NUMBER"), F.upper(F.date_format("date", "dd-MMM-yyyy")).alias("FILING_DATE"), F.lit("4").alias("DOCUMENT_TYPE")), "SUBMISSION")
+    tsv(o.select(F.col("o_orderkey").alias("ACCESSION_NUMBER"), F.col("o_custkey").alias("RPTOWNERCIK")), "REPORTINGOWNER")
+    tsv(o.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("ACCESSION_NUMBER"), F.lit("F1").alias("FOOTNOTE_ID"), F.lit("plan").alias("FOOTNOTE_TXT")), "FOOTNOTES")
+    for name, status in (("NONDERIV", "F"), ("DERIV", "O")):
+        rows = line.where(F.col("l_linestatus") == status).select(F.col("l_orderkey").alias("ACCESSION_NUMBER"), F.col("l_linenumber").alias(f"{name}_TRANS_SK"), F.lit("01-JAN-2020").alias("TRANS_DATE"), F.col("l_returnflag").alias("TRANS_CODE"), F.col("l_quantity").alias("TRANS_SHARES"), F.round("l_extendedprice", 2).alias("TRANS_PRICEPERSHARE"))
+        tsv(rows, f"{name}_TRANS")
+    t = R.read_form4(spark, path)
+    moved = t["transactions"].join(t["filings"], "accession").join(t["owners"], "accession")
+    return moved.select("accession", "filed", "owner", F.col("line").cast("int").alias("line"), "kind", "code", "shares", "price")
+
+
+@query("SELECT l_suppkey AS cik, 'us-gaap' AS taxonomy, CASE WHEN l_linestatus = 'F' THEN 'Assets' ELSE 'Revenues' END AS concept, 'USD' AS unit, l_orderkey::VARCHAR AS accn, round(l_extendedprice, 2) AS val, o_orderdate::DATE AS accepted_at FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 7 <> 0")
+def io5_company_facts(spark, sf):
+    """Nested facts written as JSON, read back and flattened; those of an accession without acceptance are dropped."""
+    path = R.scratch(spark, "facts")
+    line = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cik"), F.when(F.col("l_linestatus") == "F", "Assets").otherwise("Revenues").alias("concept"), F.col("l_orderkey").cast("string").alias("accn"), F.round("l_extendedprice", 2).alias("val"))
+    obs = line.groupBy("cik", "concept").agg(F.collect_list(F.struct("accn", "val")).alias("obs")).withColumn("c", F.struct(F.create_map(F.lit("USD"), "obs").alias("units")))
+    obs.groupBy("cik").agg(F.create_map(F.lit("us-gaap"), F.map_from_entries(F.collect_list(F.struct("concept", "c")))).alias("facts")).write.json(path)
+    schema = "cik long, facts map<string, map<string, struct<units: map<string, array<struct<accn: string, val: double>>>>>>"
+    acceptance = orders(spark, sf).where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").cast("string").alias("accession"), F.col("date").alias("accepted_at"))
+    return R.flatten_company_facts(spark.read.schema(schema).json(path), acceptance).select("cik", "taxonomy", "concept", "unit", "accn", "val", "accepted_at")
+
+
+@query("SELECT l_orderkey AS id, l_suppkey AS supplier, l_quantity AS quantity FROM lineitem")
+def io6_zip_columnar(spark, sf):
+    path = R.scratch(spark, "columnar")
+    one = F.struct("l_suppkey", "l_quantity")
+    arrays = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(one).alias("x")).select(F.col("l_orderkey").alias("id"), F.col("x.l_suppkey").alias("supplier"), F.col("x.l_quantity").alias("quantity"))
+    arrays.write.json(path)
+    return R.zip_columnar(spark.read.schema("id long, supplier array<long>, quantity array<double>").json(path), ["supplier", "quantity"])
+
+
+@query("SELECT c_custkey::VARCHAR AS cik, upper(c_name) AS name, '10-K' AS form, DATE '2020-01-01' + (c_custkey % 90)::INT AS filed, 'edgar/' || c_custkey AS file FROM customer")
+def io7_master_index(spark, sf):
+    path = R.scratch(spark, "index")
+    c = table(spark, sf, "customer").select(F.concat_ws("|", "c_custkey", F.upper("c_name"), F.lit("10-K"), F.date_add(day("2020-01-01"), (F.col("c_custkey") % 90).cast("int")), F.concat(F.lit("edgar/"), "c_custkey")).alias("value"))
+    head = spark.createDataFrame([("Description: master index",), ("CIK|Company Name|Form Type|Date Filed|Filename",), ("-" * 20,)], "value string")
+    head.unionByName(c).write.text(path)
+    return R.read_master_index(spark, path)
+
+
+@query("SELECT o_orderkey, o_orderpriority, year(o_orderdate) AS y, CASE WHEN year(o_orderdate) = 1997 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders")
+def io9_write_panel(spark, sf):
+    """A partitioned panel, then one year of it replaced; the other years stay."""
+    path = R.scratch(spark, "panel")
+    o = orders(spark, sf).select("o_orderkey", "o_orderpriority", F.year("date").alias("y"), F.col("o_totalprice").alias("price"))
+    R.write_panel(o, path, ["y"])
+    R.write_panel(o.where("y = 1997").withColumn("price", F.col("price") + 1), path, ["y"])
+    return spark.read.parquet(path).select("o_orderkey", "o_orderpriority", "y", "price")

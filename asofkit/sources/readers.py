@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new path below spark.checkpoint.dir, which driver and executors share; only a local master may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -43,6 +47,39 @@ def read_tsv(spark: SparkSession, path: str, numeric: tuple[str, ...] = (), date
     return rows
 
 
+def read_13f(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Filings (accession, manager, filed, period, form, amended, amendment) and holdings (accession, cusip, value, shares)
+    from the members SUBMISSION, COVERPAGE and INFOTABLE below path. Holdings are shares, no options, and whole numbers
+    (an empty one is 0, a bad one fails); identifiers are upper-cased without other marks."""
+    sub = read_tsv(spark, f"{path}/SUBMISSION.tsv", dates=("FILING_DATE", "PERIODOFREPORT"))
+    cover = read_tsv(spark, f"{path}/COVERPAGE.tsv")
+    info = read_tsv(spark, f"{path}/INFOTABLE.tsv")
+    text = lambda c: F.upper(F.trim(c))
+    covers = cover.select(F.trim("ACCESSION_NUMBER").alias("accession"), text("ISAMENDMENT").alias("amended"), F.regexp_replace(text("AMENDMENTTYPE"), r"\s+", " ").alias("amendment"))
+    filings = sub.select(F.trim("ACCESSION_NUMBER").alias("accession"), F.lpad(F.trim("CIK"), 10, "0").alias("manager"), F.col("FILING_DATE").alias("filed"), F.col("PERIODOFREPORT").alias("period"), text("SUBMISSIONTYPE").alias("form")).join(covers, "accession")
+    whole = lambda c: F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(0)).otherwise(F.col(c).cast("double").cast("long"))
+    shares = (F.coalesce(F.trim("PUTCALL"), F.lit("")) == "") & (text("SSHPRNAMTTYPE") == "SH")
+    holdings = info.where(shares).select(F.trim("ACCESSION_NUMBER").alias("accession"), F.regexp_replace(F.upper("CUSIP"), "[^A-Z0-9]", "").alias("cusip"), whole("VALUE").alias("value"), whole("SSHPRNAMT").alias("shares"))
+    return filings, holdings
+
+
+def read_form4(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The five tables of a quarter of ownership filings as filings, owners, footnotes and transactions; the last stacks
+    both transaction members with their kind. Bad numbers and dates become null."""
+    sub = read_tsv(spark, f"{path}/SUBMISSION.tsv", dates=("FILING_DATE",))
+    key = F.trim("ACCESSION_NUMBER").alias("accession")
+    moves = []
+    for kind in ("NONDERIV", "DERIV"):
+        rows = read_tsv(spark, f"{path}/{kind}_TRANS.tsv", numeric=("TRANS_SHARES", "TRANS_PRICEPERSHARE"), dates=("TRANS_DATE",))
+        moves.append(rows.select(key, F.lit(kind).alias("kind"), F.col(f"{kind}_TRANS_SK").alias("line"), F.col("TRANS_DATE").alias("date"), F.trim("TRANS_CODE").alias("code"), F.col("TRANS_SHARES").alias("shares"), F.col("TRANS_PRICEPERSHARE").alias("price")))
+    return {
+        "filings": sub.select(key, F.col("FILING_DATE").alias("filed"), F.trim("DOCUMENT_TYPE").alias("form")),
+        "owners": read_tsv(spark, f"{path}/REPORTINGOWNER.tsv").select(key, F.trim("RPTOWNERCIK").alias("owner")),
+        "footnotes": read_tsv(spark, f"{path}/FOOTNOTES.tsv").select(key, F.col("FOOTNOTE_ID").alias("footnote"), F.col("FOOTNOTE_TXT").alias("text")),
+        "transactions": moves[0].unionByName(moves[1]),
+    }
+
+
 def flatten_company_facts(facts: DataFrame, acceptance: DataFrame) -> DataFrame:
     """facts (cik, facts map<taxonomy, map<concept, struct<units map<unit, array<obs>>>>>) to rows with the acceptance
     time of their accession; observations without one are dropped."""

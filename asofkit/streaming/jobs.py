@@ -59,6 +59,45 @@ def confirm_labels(stream: DataFrame, confirm: int = 2, cooldown: int = 4, water
     return keyed.applyInPandasWithState(step, "entity string, ts timestamp, id long, confirmed string", "rows long, before string, run long, way long, at long", "append", "EventTimeTimeout")
 
 
+def mature(observed: DataFrame, bars: DataFrame, stored: DataFrame | None, horizons: tuple[int, ...]) -> DataFrame:
+    """observed (id, entity, date) x horizon: the outcome where its sessions have passed and it is not stored yet, by
+    the batch job's rules; what is stored never changes."""
+    from ..operators.outcomes import replay_outcomes
+
+    done = replay_outcomes(observed.select("id", "entity", "date"), bars, horizons)
+    return done if stored is None else done.join(stored.select("id", "horizon"), ["id", "horizon"], "left_anti")
+
+
+def mature_stream(observations: DataFrame, bars: Callable[[], DataFrame], path: str, horizons: tuple[int, ...]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: keeps the batch's observations, and appends the outcomes of all kept ones that have matured
+    by the bars of now. A batch that runs again writes its own folder again, so outcomes stay unique."""
+    spark = observations.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.select("id", "entity", "date").write.mode("overwrite").parquet(f"{path}/observed/batch={number}")
+        kept = spark.read.parquet(f"{path}/observed").where(F.col("batch") <= number)
+        before = spark.read.schema("id long, entity string, date date, horizon int, entry double, ret double, mfe double, mae double, batch int").parquet(f"{path}/outcomes").where(F.col("batch") < number) if number else None
+        mature(kept, bars(), before, horizons).select("id", "entity", "date", "horizon", "entry", "ret", "mfe", "mae").write.mode("overwrite").parquet(f"{path}/outcomes/batch={number}")
+
+    return step
+
+
+def gate_stream(good: F.Column, path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that writes good rows and quarantined ones to two tables, a folder for each batch."""
+    split = gate(good)
+
+    def step(batch: DataFrame, number: int) -> None:
+        for name, rows in zip(("good", "quarantine"), split(batch)):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+    return step
+
+
+def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Feed all that a stream has now to a foreachBatch sink."""
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Write all that a stream has now to Parquet, then read it: how the queries and tests drive streams."""
     q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
