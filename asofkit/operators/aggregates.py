@@ -94,16 +94,27 @@ def portfolio_daily(returns: DataFrame, by: list[str]) -> DataFrame:
     return returns.groupBy(*by, "date").agg(F.avg("ret").alias("ret"), F.count_distinct("entity").alias("members"))
 
 
-def return_metrics(returns: DataFrame, by: list[str], days: int = 252) -> DataFrame:
-    """Total and yearly return, deepest drawdown, and Sortino and Calmar ratios of daily returns (date, ret).
+def return_metrics(returns: DataFrame, by: list[str], days: int = 252, benchmark: DataFrame | None = None) -> DataFrame:
+    """Total and yearly return, deepest drawdown, and Sortino and Calmar ratios of daily returns (date, ret); with a
+    benchmark (date, bench_ret), mean return over its mean on its rising and falling days.
 
     Wealth runs over one series per group; downside deviation is over all days (ddof 0).
     """
     w = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    wealth = returns.withColumn("w", F.exp(F.sum(F.log1p("ret")).over(w))).withColumn("dd", F.col("w") / F.greatest(F.max("w").over(w), F.lit(1.0)) - 1)
-    out = wealth.groupBy(*by).agg(F.count("*").alias("n"), (F.exp(F.sum(F.log1p("ret"))) - 1).alias("total"), F.min("dd").alias("drawdown"), F.avg("ret").alias("mean"), F.sqrt(F.avg(F.pow(F.least("ret", F.lit(0.0)), F.lit(2)))).alias("down"))
+    both = returns.withColumn("bench_ret", F.lit(None).cast("double")) if benchmark is None else returns.join(benchmark.select("date", "bench_ret"), "date", "left")
+    wealth = both.withColumn("w", F.exp(F.sum(F.log1p("ret")).over(w))).withColumn("dd", F.col("w") / F.greatest(F.max("w").over(w), F.lit(1.0)) - 1)
+    capture = lambda on: F.try_divide(F.avg(F.when(on, F.col("ret"))), F.avg(F.when(on, F.col("bench_ret"))))
+    out = wealth.groupBy(*by).agg(
+        F.count("*").alias("n"), (F.exp(F.sum(F.log1p("ret"))) - 1).alias("total"), F.min("dd").alias("drawdown"), F.avg("ret").alias("mean"), F.sqrt(F.avg(F.pow(F.least("ret", F.lit(0.0)), F.lit(2)))).alias("down"),
+        capture(F.col("bench_ret") > 0).alias("up_capture"), capture(F.col("bench_ret") < 0).alias("down_capture"),
+    )
     yearly = F.pow(1 + F.col("total"), F.lit(float(days)) / F.col("n")) - 1
-    return out.select(*by, "n", "total", yearly.alias("yearly"), "drawdown", F.try_divide(F.col("mean") * F.sqrt(F.lit(float(days))), F.col("down")).alias("sortino"), F.try_divide(yearly, F.abs("drawdown")).alias("calmar"))
+    return out.select(*by, "n", "total", yearly.alias("yearly"), "drawdown", F.try_divide(F.col("mean") * F.sqrt(F.lit(float(days))), F.col("down")).alias("sortino"), F.try_divide(yearly, F.abs("drawdown")).alias("calmar"), "up_capture", "down_capture")
+
+
+def policy_summary(outcomes: DataFrame, by: list[str], col: str, cost: str) -> DataFrame:
+    """By policy: events, median and mean of its delta, share of positive ones, and the 95th percentile of its cost."""
+    return outcomes.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(col, F.lit(0.5)).alias("median"), F.avg(col).alias("mean"), F.avg((F.col(col) > 0).cast("double")).alias("positive"), F.percentile(cost, F.lit(0.95)).alias("p95_cost"))
 
 
 def annual_rates(events: DataFrame, spans: DataFrame, limit: int) -> DataFrame:

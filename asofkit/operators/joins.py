@@ -44,7 +44,11 @@ def latest_as_of(facts: DataFrame, grid: DataFrame, keys: list[str], period: str
 def interval_lookup(events: DataFrame, intervals: DataFrame, key: str, at: str, event_id: str, value: str, closed: bool = True) -> DataFrame:
     """(event_id, status, value): the value valid at the event's day, MAPPED, or UNMAPPED (none) or AMBIGUOUS (several)."""
     inside = (F.col(at) >= F.col("valid_from")) & ((F.col(at) <= F.col("valid_to")) if closed else (F.col(at) < F.col("valid_to")))
-    found = events.join(intervals.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & inside, "left").groupBy(event_id).agg(F.collect_set(value).alias("_v"))
+    # Intervals are dealt to the buckets of 64 days that they touch, so that an event of a hot key meets only those of
+    # its own days.
+    bucket = lambda c: F.floor(F.unix_date(c) / 64)
+    spread = intervals.where("valid_from <= valid_to").select(F.col(key).alias("_k"), "valid_from", "valid_to", value).distinct().withColumn("_b", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(F.col("valid_to")))))
+    found = events.select(event_id, key, at).join(spread, (F.col(key) == F.col("_k")) & (bucket(F.col(at)) == F.col("_b")) & inside, "left").groupBy(event_id).agg(F.collect_set(value).alias("_v"))
     status = F.when(F.size("_v") == 0, "UNMAPPED").when(F.size("_v") == 1, "MAPPED").otherwise("AMBIGUOUS")
     return found.select(event_id, status.alias("status"), F.when(F.size("_v") == 1, F.element_at("_v", 1)).alias(value))
 
@@ -102,9 +106,12 @@ def pair_within_days(adds: DataFrame, removes: DataFrame, key: str, days: int) -
 
 def match_evidence(events: DataFrame, filings: DataFrame, key: str, before: int, after: int) -> DataFrame:
     """events (id, key, date) with the number of filings within -before .. +after days and UNIQUE / MULTIPLE / NONE."""
+    width = before + after + 1
+    bucket = lambda c: F.floor(F.unix_date(c) / width)
     near = F.col("filed").between(F.date_sub("date", before), F.date_add("date", after))
-    f = filings.select(F.col(key).alias("_k"), F.col("date").alias("filed"), F.col("id").alias("filing"))
-    found = events.join(f, (F.col(key) == F.col("_k")) & near, "left").groupBy("id").agg(F.count("filing").alias("n"), F.min("filing").alias("filing"))
+    f = filings.select(F.col(key).alias("_k"), F.col("date").alias("filed"), F.col("id").alias("filing")).withColumn("_b", bucket(F.col("filed")))
+    spread = events.select("id", key, "date").withColumn("_e", F.explode_outer(F.array_distinct(F.array(bucket(F.date_sub("date", before)), bucket(F.date_add("date", after))))))
+    found = spread.join(f, (F.col(key) == F.col("_k")) & (F.col("_e") == F.col("_b")) & near, "left").groupBy("id").agg(F.count("filing").alias("n"), F.min("filing").alias("filing"))
     return found.select("id", "n", F.when(F.col("n") == 1, F.col("filing")).alias("filing"), F.when(F.col("n") == 0, "NONE").when(F.col("n") == 1, "UNIQUE").otherwise("MULTIPLE").alias("status"))
 
 

@@ -143,12 +143,28 @@ def market_context(bench: DataFrame, n: int = 63) -> DataFrame:
     return out.withColumn("rebound", (F.min("drawdown").over(frame) <= -0.1) & (F.col("drawdown") > -0.05))
 
 
-def event_flags(bars: DataFrame, n: int = 14, k: float = 2.0) -> DataFrame:
-    """Average true range, and whether the close stands more than k of it above its mean."""
+def event_flags(bars: DataFrame, bench: DataFrame) -> DataFrame:
+    """Month-end flags by entity and month: trend resumption after a shallow fall, dislocation with a falling market,
+    extension of three average true ranges above the 200-row mean, and the month in which the quarter's return falls
+    behind the year's pace. bench: date, close. Rates and spans are fixed values."""
     before = F.lag("close").over(series())
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    out = bars.withColumn("tr", F.coalesce(tr, F.col("high") - F.col("low"))).withColumn("atr", rolling("tr", n, n, "mean"))
-    return out.withColumn("extended", F.col("close") > rolling("close", n, n, "mean") + k * F.col("atr"))
+    daily = bars.withColumn("tr", F.coalesce(tr, F.col("high") - F.col("low"))).select(
+        "entity", "date", change("close", 21).alias("r21"), change("close", 63).alias("r63"), change("close", 252).alias("r252"), (F.try_divide("close", rolling("close", 21, 21, "max")) - 1).alias("fall"),
+        F.try_divide(F.col("close") - rolling("close", 200, 200, "mean"), rolling("tr", 63, 40, "mean")).alias("reach"),
+    )
+    last = lambda c: F.expr(f"max_by({c}, date) FILTER (WHERE {c} IS NOT NULL)").alias(c)
+    month = daily.groupBy("entity", F.last_day("date").alias("month")).agg(*map(last, ("r21", "r63", "r252", "fall", "reach")))
+    market = bench.select("date", (F.try_divide("close", F.lag("close", 21).over(Window.orderBy("date"))) - 1).alias("m21"))  # one series, calendar-sized
+    x = month.join(market.groupBy(F.last_day("date").alias("month")).agg(last("m21")), "month", "left")
+    w = Window.partitionBy("entity").orderBy("month")
+    x = x.withColumn("pace", F.col("r63") - F.col("r252") / 4)
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return x.select(
+        "entity", "month", flag((F.col("r252") > 0) & F.col("fall").between(-0.20, -0.05) & (F.col("r21") > 0) & (F.lag("r21").over(w) <= 0)).alias("resumption"),
+        flag(F.col("fall").between(-0.25, -0.08) & (F.col("m21") < 0) & (F.col("r21") - F.col("m21") > -0.10)).alias("dislocation"), flag(F.col("reach") >= 3).alias("extended"),
+        flag((F.col("pace") < 0) & (F.lag("pace").over(w) >= 0)).alias("decelerated"),
+    )
 
 
 def factor_residuals(bars: DataFrame, context: DataFrame, n: int, month: int = 21) -> DataFrame:

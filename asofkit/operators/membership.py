@@ -56,10 +56,14 @@ def observation_intervals(anchors: DataFrame, keys: list[str], gap: int, least:
 
 def mark_conflicts(iv: DataFrame, symbol: str, owner: str) -> DataFrame:
     """Intervals that overlap one of another owner of the same symbol are conflicting."""
-    other = iv.select(F.col(symbol).alias("_s"), F.col(owner).alias("_o"), F.col("valid_from").alias("_f"), F.col("valid_to").alias("_t"))
-    hit = (F.col(symbol) == F.col("_s")) & (F.col(owner) != F.col("_o")) & (F.col("valid_from") <= F.col("_t")) & (F.col("_f") <= F.col("valid_to"))
-    bad = iv.join(other, hit, "left_semi").withColumn("conflict", F.lit(True))
-    return bad.unionByName(iv.join(other, hit, "left_anti").withColumn("conflict", F.lit(False)))
+    bucket = lambda c: F.floor(F.unix_date(c) / 64)
+    # Intervals meet by the buckets of 64 days that both touch.
+    own = iv.select(symbol, owner, "valid_from", "valid_to").distinct().withColumn("_b", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(F.col("valid_to")))))
+    other = own.select(F.col(symbol).alias("_s"), F.col(owner).alias("_o"), F.col("valid_from").alias("_f"), F.col("valid_to").alias("_t"), F.col("_b").alias("_c"))
+    hit = (F.col(symbol) == F.col("_s")) & (F.col("_b") == F.col("_c")) & (F.col(owner) != F.col("_o")) & (F.col("valid_from") <= F.col("_t")) & (F.col("_f") <= F.col("valid_to"))
+    keys = [symbol, owner, "valid_from", "valid_to"]
+    bad = own.join(other, hit, "left_semi").select(*keys).distinct().withColumn("conflict", F.lit(True))
+    return iv.join(bad, keys, "left").withColumn("conflict", F.coalesce("conflict", F.lit(False))).select(*iv.columns, "conflict")
 
 
 def effective_holdings(filings: DataFrame, holdings: DataFrame) -> DataFrame:

@@ -34,16 +34,21 @@ def forward_metrics(bars: DataFrame, h: int) -> DataFrame:
 
 def label_fixed(events: DataFrame, bars: DataFrame, h: int, break_at: float, large_at: float, temporary_at: float, rise_at: float) -> DataFrame:
     """Path label over the h sessions after an event: the fall that its path reaches, else a rise, else UNRESOLVED; an
-    event whose path is shorter is CENSORED. A temporary fall must have recovered by the end."""
-    path = F.collect_list(F.struct("close")).over(series().rowsBetween(1, h))
-    paths = bars.select("entity", "date", F.col("close").alias("base"), F.transform(path, lambda x: x["close"]).alias("path"))
-    joined = events.join(paths, ["entity", "date"]).withColumn("low", F.array_min("path") / F.col("base") - 1).withColumn("high", F.array_max("path") / F.col("base") - 1).withColumn("end", F.try_element_at("path", F.lit(-1)) / F.col("base") - 1)
+    event whose path is shorter is CENSORED. A temporary fall must have recovered by the end. Only events' own paths are
+    made."""
+    from .paths import path_rows
+
+    keys = events.select("entity", "date").distinct()
+    start = bars.select("entity", "date", F.col("close").alias("base"), F.count(F.lit(1)).over(series().rowsBetween(1, h)).alias("rows"))
+    own = keys.join(start, ["entity", "date"])
+    path = path_rows(own, bars, 1, h, [F.col("close").alias("c")]).withColumn("rel", F.col("c") / F.col("base") - 1)
+    told = path.groupBy("entity", "date").agg(F.min("rel").alias("low"), F.max("rel").alias("high"), F.max_by("rel", "k").alias("end"), F.min(F.when(F.col("rel") <= temporary_at, F.col("k"))).alias("first_fall"))
+    joined = events.join(own.join(told, ["entity", "date"], "left"), ["entity", "date"])
     label = (
-        F.when(F.size("path") < h, "CENSORED").when(F.col("low") <= break_at, "BREAK").when(F.col("low") <= large_at, "LARGE")
+        F.when(F.col("rows") < h, "CENSORED").when(F.col("low") <= break_at, "BREAK").when(F.col("low") <= large_at, "LARGE")
         .when((F.col("low") <= temporary_at) & (F.col("end") >= 0), "TEMPORARY").when(F.col("high") >= rise_at, "CONTINUATION").otherwise("UNRESOLVED")
     )
-    first_fall = F.expr(f"array_position(transform(path, x -> x / base - 1 <= {temporary_at}), true)")
-    return joined.select(*events.columns, label.alias("label"), F.when(first_fall > 0, first_fall).alias("first_fall"))
+    return joined.select(*events.columns, label.alias("label"), F.col("first_fall").cast("long").alias("first_fall"))
 
 
 def calendar_outcome(events: DataFrame, bars: DataFrame, months: int, tolerance: int, as_of) -> DataFrame:

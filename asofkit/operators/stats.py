@@ -66,25 +66,67 @@ def binary_metrics(preds: DataFrame, by: list[str], score: str, target: str) ->
 
 
 def exposure_effect(panel: DataFrame, by: list[str], exposed: str, target: str) -> DataFrame:
-    """Rates of the target among exposed and other rows, their difference and ratio."""
+    """Rates of the target among exposed and other rows, their difference and ratio, and the exact chance that as many
+    of the exposed are hit by lot (hypergeometric tail; a small helper over one row per group)."""
     rate = lambda e: F.avg(F.when(F.col(exposed) == e, F.col(target).cast("double")))
-    out = panel.groupBy(*by).agg(F.count("*").alias("n"), rate(1).alias("exposed_rate"), rate(0).alias("control_rate"))
-    return out.withColumn("difference", F.col("exposed_rate") - F.col("control_rate")).withColumn("ratio", F.try_divide("exposed_rate", "control_rate"))
+    both = lambda e: F.count_if((F.col(exposed) == e) & F.col(target).isNotNull())
+    hits = lambda e: F.count_if((F.col(exposed) == e) & (F.col(target) == 1))
+    out = panel.groupBy(*by).agg(F.count("*").alias("n"), rate(1).alias("exposed_rate"), rate(0).alias("control_rate"), both(1).alias("_n1"), both(0).alias("_n0"), hits(1).alias("_h1"), hits(0).alias("_h0"))
 
-
-def cluster_bootstrap(panel: DataFrame, entity: str, exposed: str, target: str, replicates: int, seed: int) -> DataFrame:
-    """Replicates of the risk difference, entities being drawn with replacement.
-
-    Draws are hashes of (seed, replicate, draw), so they repeat on any cluster. Only per-entity sums are joined.
+    @F.pandas_udf("double")
+    def tail(n1: pd.Series, n0: pd.Series, h1: pd.Series, h0: pd.Series) -> pd.Series:
+        choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+        chance = lambda a, b, h, k: math.fsum(math.exp(choose(a, i) + choose(b, h - i) - choose(a + b, h)) for i in range(k, min(a, h) + 1) if h - i <= b)
+        return pd.Series([min(1.0, chance(a, b, x + y, x)) if a and b else None for a, b, x, y in zip(n1, n0, h1, h0)])
+
+    out = out.withColumn("difference", F.col("exposed_rate") - F.col("control_rate")).withColumn("ratio", F.try_divide("exposed_rate", "control_rate"))
+    return out.withColumn("tail", tail("_n1", "_n0", "_h1", "_h0")).drop("_n1", "_n0", "_h1", "_h0")
+
+
+def bootstrap_weights(entities: DataFrame, entity: str, replicates: int, seed: int) -> DataFrame:
+    """(replicate, entity, weight) of the entities that a replicate draws: Poisson(1) numbers by a hash of seed, replicate
+    and entity, so they repeat on any cluster and need no numbering. The usual stand-in for drawing with replacement
+    where entities are many."""
+    steps, p, total = [], math.exp(-1), 0.0
+    for k in range(13):
+        total += p
+        steps.append(total)
+        p /= k + 1
+    each = entities.select(entity).where(F.col(entity).isNotNull()).distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "replicate", F.col(entity).cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
+    weight = sum(((F.col("u") >= t).cast("int") for t in steps[1:]), (F.col("u") >= steps[0]).cast("int"))
+    return each.withColumn("u", u).withColumn("weight", weight).where("weight > 0").drop("u")
+
+
+def cluster_bootstrap(panel: DataFrame, entity: str, exposed: str, target: str, replicates: int, seed: int, value: str | None = None, scores: tuple[str, str] | None = None) -> DataFrame:
+    """Replicates over whole entities: the risk difference of exposed and other rows; with a value, the difference of its
+    (lower) medians; with two scores, how far the AUC of the first exceeds that of the second.
+
+    Rows are summed up by entity, or by entity and value, before they meet their weights.
     """
+    weights = bootstrap_weights(panel, entity, replicates, seed)
     each = panel.groupBy(entity).agg(*(F.sum(F.when(F.col(exposed) == e, c)).alias(f"{name}{e}") for e in (0, 1) for name, c in (("n", F.lit(1)), ("t", F.col(target)))))
-    numbered = each.withColumn("i", F.row_number().over(Window.orderBy(entity)) - 1).drop(entity)
-    m = numbered.count()
-    spark = panel.sparkSession
-    draws = spark.range(replicates * m).select(F.floor(F.col("id") / m).alias("replicate"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(m)).alias("i"))
-    weights = draws.groupBy("replicate", "i").count()
-    s = weights.join(numbered, "i").groupBy("replicate").agg(*(F.sum(F.col("count") * F.coalesce(c, F.lit(0))).alias(c) for c in ("n0", "t0", "n1", "t1")))
-    return s.select("replicate", (F.try_divide("t1", "n1") - F.try_divide("t0", "n0")).alias("difference"))
+    s = weights.join(each, entity).groupBy("replicate").agg(*(F.sum(F.col("weight") * F.coalesce(c, F.lit(0))).alias(c) for c in ("n0", "t0", "n1", "t1")))
+    out = s.select("replicate", (F.try_divide("t1", "n1") - F.try_divide("t0", "n0")).alias("difference"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if value:
+        counts = panel.where(F.col(value).isNotNull() & F.col(exposed).isNotNull()).groupBy(entity, F.col(exposed).alias("_e"), F.col(value).alias("_v")).count()
+        drawn = weights.join(counts, entity).groupBy("replicate", "_e", "_v").agg(F.sum(F.col("weight") * F.col("count")).alias("w"))
+        group = Window.partitionBy("replicate", "_e")
+        upto = F.sum("w").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+        medians = drawn.withColumn("to", upto).withColumn("all", F.sum("w").over(group)).where("2 * to >= all").groupBy("replicate", "_e").agg(F.min("_v").alias("m"))
+        gap = medians.groupBy("replicate").agg((F.max(F.when(F.col("_e") == 1, F.col("m"))) - F.max(F.when(F.col("_e") == 0, F.col("m")))).alias("median_gap"))
+        out = out.join(gap, "replicate", "left")
+    if scores:
+        edge = None
+        for name, score in zip(("a", "b"), scores):
+            counts = panel.where(F.col(score).isNotNull() & F.col(target).isNotNull()).groupBy(entity, F.col(score).alias("_s")).agg(F.sum(F.col(target)).alias("p"), F.sum(1 - F.col(target)).alias("q"))
+            drawn = weights.join(counts, entity).groupBy("replicate", "_s").agg(F.sum(F.col("weight") * F.col("p")).alias("p"), F.sum(F.col("weight") * F.col("q")).alias("q"))
+            below = F.coalesce(F.sum("q").over(before(Window.partitionBy("replicate").orderBy("_s"))), F.lit(0))
+            one = drawn.withColumn("below", below).groupBy("replicate").agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias(name))
+            edge = one if edge is None else edge.join(one, "replicate")
+        out = out.join(edge.select("replicate", (F.col("a") - F.col("b")).alias("auc_edge")), "replicate", "left")
+    return out
 
 
 def percentile_interval(replicates: DataFrame, col: str, level: float = 0.95) -> DataFrame:
@@ -101,6 +143,11 @@ def rank_ic(scores: DataFrame, by: list[str], score: str, forward: str, top: flo
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("a", "b").alias("ic"), spread.alias("spread"))
 
 
+def redundant(matrix: DataFrame, by: list[str], threshold: float = 0.7) -> DataFrame:
+    """A Spearman matrix with, per pair, whether its rho reaches the threshold either way."""
+    return matrix.withColumn("redundant", F.coalesce(F.abs("rho") >= threshold, F.lit(False)))
+
+
 def spearman_matrix(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     """(by, left, right, n, rho) of each pair of columns over rows where both exist; one pass per pair."""
     out = None
@@ -112,36 +159,60 @@ def spearman_matrix(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     return out
 
 
+def quantiles(df: DataFrame, by: list[str], col: str, points: dict[str, float]) -> DataFrame:
+    """(by, points): exact quantiles, linear between neighbours. Values are counted first and the window sums the counts,
+    so no task holds a group's values in memory."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by)
+    upto = F.sum("_n").over(w.orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_to", upto).withColumn("_total", F.sum("_n").over(w))
+    at = lambda q: (F.col("_total") - 1) * F.lit(q)
+    held = lambda k: F.max(F.when((F.col("_to") - F.col("_n") <= k) & (k < F.col("_to")), F.col(col)))
+    parts = {f"{name}{side}": held(f(at(q))) for name, q in points.items() for side, f in (("_a", F.floor), ("_b", F.ceil))}
+    found = placed.groupBy(*by).agg(F.max("_total").alias("_total"), *(c.alias(n) for n, c in parts.items()))
+    between = lambda n, q: F.col(f"{n}_a") + (F.col(f"{n}_b") - F.col(f"{n}_a")) * (at(q) - F.floor(at(q)))
+    return found.select(*by, *(between(n, q).alias(n) for n, q in points.items()))
+
+
 def robust_scores(events: DataFrame, folds: DataFrame, col: str, winsor: float = 0.01) -> DataFrame:
     """Test rows' values scaled by their fold's training rows: clipped at training quantiles, minus median, over IQR.
     events hold (fold, role, col), as assign_folds gives them."""
-    train = events.where("role = 'train'").groupBy("fold").agg(*(F.percentile(col, F.lit(q)).alias(name) for name, q in (("lo", winsor), ("q1", 0.25), ("med", 0.5), ("q3", 0.75), ("hi", 1 - winsor))))
+    train = quantiles(events.where("role = 'train'"), ["fold"], col, {"lo": winsor, "q1": 0.25, "med": 0.5, "q3": 0.75, "hi": 1 - winsor})
     clipped = F.least(F.greatest(F.col(col), F.col("lo")), F.col("hi"))
     return events.where("role = 'test'").join(F.broadcast(train), "fold").withColumn("score", F.try_divide(clipped - F.col("med"), F.col("q3") - F.col("q1"))).drop("lo", "q1", "med", "q3", "hi")
 
 
-def quantile_groups(events: DataFrame, col: str, target: str, q: float = 0.8) -> DataFrame:
-    """Per fold, rates of the target among test rows above and not above the training quantile, and the gap."""
-    cut = events.where("role = 'train'").groupBy("fold").agg(F.percentile(col, F.lit(q)).alias("cut"))
-    test = events.where("role = 'test'").join(F.broadcast(cut), "fold")
-    high = F.avg(F.when(F.col(col) > F.col("cut"), F.col(target).cast("double")))
-    low = F.avg(F.when(F.col(col) <= F.col("cut"), F.col(target).cast("double")))
-    return test.groupBy("fold").agg(F.count("*").alias("n"), high.alias("treated"), low.alias("control")).withColumn("gap", F.col("treated") - F.col("control"))
+def quantile_groups(events: DataFrame, col: str, target: str, q: float = 0.8, block: str = "quarter") -> DataFrame:
+    """Per fold, rates of the target among test rows above and not above the training quantile, and the gap; and over
+    the blocks of dates in which both groups occur, the mean of their gaps and how many are positive and negative."""
+    cut = quantiles(events.where("role = 'train'"), ["fold"], col, {"cut": q})
+    test = events.where("role = 'test'").join(F.broadcast(cut), "fold").withColumn("block", F.date_trunc(block, "date"))
+    y = F.col(target).cast("double")
+    sums = {"n1": F.count(F.when(F.col(col) > F.col("cut"), y)), "y1": F.sum(F.when(F.col(col) > F.col("cut"), y)), "n0": F.count(F.when(F.col(col) <= F.col("cut"), y)), "y0": F.sum(F.when(F.col(col) <= F.col("cut"), y)), "n": F.count("*")}
+    blocks = test.groupBy("fold", "block").agg(*(c.alias(k) for k, c in sums.items())).withColumn("d", F.try_divide("y1", "n1") - F.try_divide("y0", "n0"))
+    rate = lambda k: F.try_divide(F.sum(f"y{k}"), F.sum(f"n{k}"))
+    out = blocks.groupBy("fold").agg(F.sum("n").alias("n"), rate(1).alias("treated"), rate(0).alias("control"), F.avg("d").alias("block_gap"), F.count_if(F.col("d") > 0).alias("positive_blocks"), F.count_if(F.col("d") < 0).alias("negative_blocks"))
+    return out.withColumn("gap", F.col("treated") - F.col("control"))
 
 
-def fold_logistic(events: DataFrame, features: list[str], target: str, l2: float) -> DataFrame:
+def fold_logistic(events: DataFrame, features: list[str], target: str, l2: float, interaction: tuple[str, str] | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """Scores of each fold's test rows by an L2 logistic model of its training rows. Folds are few; each is one fit by
     Spark's own optimiser, regParam being l2 over the number of training rows. The assembled rows are kept (spilling to
-    disk), as every fold reads them."""
+    disk), as every fold reads them. interaction adds the product of two features; drop leaves a block of features out,
+    for ablations."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    ready = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip").transform(events.withColumn("_label", F.col(target).cast("double"))).persist()
+    labelled = events.withColumn("_label", F.col(target).cast("double"))
+    inputs = [f for f in features if f not in drop]
+    if interaction and not set(interaction) & set(drop):
+        labelled, inputs = labelled.withColumn("_product", F.col(interaction[0]) * F.col(interaction[1])), [*inputs, "_product"]
+    ready = VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="skip").transform(labelled).persist()
     out = None
     for fold, n in sorted((r.fold, r.n) for r in ready.where("role = 'train'").groupBy("fold").agg(F.count("*").alias("n")).collect()):
         model = LogisticRegression(featuresCol="_features", labelCol="_label", regParam=l2 / n, elasticNetParam=0.0, standardization=False, maxIter=50, tol=1e-9).fit(ready.where((F.col("fold") == fold) & (F.col("role") == "train")))
-        one = model.transform(ready.where((F.col("fold") == fold) & (F.col("role") == "test"))).withColumn("score", vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction", "_label")
+        one = model.transform(ready.where((F.col("fold") == fold) & (F.col("role") == "test"))).withColumn("score", vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction", "_label", "_product")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -161,6 +232,27 @@ def cscv_pbo(history: DataFrame, splits: int = 6) -> DataFrame:
     return best.agg(F.count("*").alias("splits"), F.avg((F.col("rank") / (F.col("n") + 1) <= 0.5).cast("double")).alias("pbo"))
 
 
+def deflated_sharpe(returns: DataFrame, by: list[str], col: str, trials: int) -> DataFrame:
+    """By group: observations, Sharpe ratio, the largest one expected of so many trials, and the probability that the
+    ratio exceeds it, given skew and kurtosis. Null without three values or without spread. One row per group reaches
+    the normal distribution's helper."""
+    from statistics import NormalDist
+
+    gamma, normal = 0.5772156649015329, NormalDist()
+    expected = 0.0 if trials <= 1 else (1 - gamma) * normal.inv_cdf(1 - 1 / trials) + gamma * normal.inv_cdf(1 - 1 / (trials * math.e))
+    m = returns.groupBy(*by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_pop(col).alias("sd"), F.skewness(col).alias("skew"), (F.kurtosis(col) + 3).alias("kurt"))
+    sharpe = F.when((F.col("n") >= 3) & (F.col("sd") > 0), F.col("mean") / F.col("sd"))
+    m = m.withColumn("sharpe", sharpe)
+    spread = F.sqrt(F.greatest(F.lit(1e-12), 1 - F.col("skew") * F.col("sharpe") + (F.col("kurt") - 1) * F.col("sharpe") * F.col("sharpe") / 4))
+    m = m.withColumn("z", (F.col("sharpe") - expected) * F.sqrt(F.col("n") - 1) / spread)
+
+    @F.pandas_udf("double")
+    def below(z: pd.Series) -> pd.Series:
+        return z.map(lambda x: normal.cdf(x) if x == x else None)
+
+    return m.select(*by, "n", "sharpe", F.lit(expected).alias("expected_max"), "z", below("z").alias("probability"))
+
+
 def vif_pca(panel: DataFrame, cols: list[str]) -> DataFrame:
     """Variance inflation and the first component's share from the correlation matrix, which Spark sums up; the k x k
     matrix is inverted on the driver."""

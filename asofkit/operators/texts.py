@@ -31,11 +31,12 @@ def amendment_operation(kind: str, amended: str):
 
 
 def explode_classes(df: DataFrame, symbol: str, keys: list[str]) -> DataFrame:
-    """One row per class of a symbol cell such as A/B; a key that would then repeat fails."""
+    """One row per class of a symbol cell such as A/B; a key that would then repeat fails when the rows are read."""
+    from pyspark.sql import Window
+
     out = df.withColumn(symbol, F.explode(F.filter(F.transform(F.split(symbol, "/"), lambda s: F.trim(s)), lambda s: s != "")))
-    if not out.groupBy(*keys, symbol).count().where("count > 1").isEmpty():
-        raise ValueError("class expansion repeats an event key")
-    return out
+    once = F.count("*").over(Window.partitionBy(*keys, symbol)) == 1
+    return out.withColumn("_once", once).where(F.assert_true("_once", "class expansion repeats an event key").isNull()).drop("_once")
 
 
 def item_events(filings: DataFrame, items: str, wanted: dict[str, str]) -> DataFrame:
@@ -46,22 +47,25 @@ def item_events(filings: DataFrame, items: str, wanted: dict[str, str]) -> DataF
     return filings.withColumn("kind", F.explode(kinds))
 
 
-def sentence_facts(docs: DataFrame, key: str, text: str, topics: dict[str, str], cues: str, low: int = 20, high: int = 400, digits: float = 0.3) -> DataFrame:
-    """Sentences within length and digit-share gates, with the topics they name, whether a cue stands in them and
-    whether it is negated."""
+def sentence_facts(docs: DataFrame, key: str, text: str, topics: dict[str, str], cues: str, low: int = 20, high: int = 400, digits: float = 0.3, boilerplate: str | None = None) -> DataFrame:
+    """Sentences within length and digit-share gates and without boilerplate, with the topics they name, whether a cue
+    stands in them, whether it is negated, and how many characters lie between the first cue and the first topic."""
     cut = docs.select(key, F.posexplode(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "), r"(?<=[.!?]) ")).alias("n", "sentence"))
     n = F.length("sentence")
     share = F.length(F.regexp_replace("sentence", "[^0-9]", "")) / n
     kept = cut.where((n >= low) & (n <= high)).where(share <= digits)
     s = F.lower("sentence")
+    kept = kept if boilerplate is None else kept.where(~F.regexp_like(s, F.lit(boilerplate)))
+    ahead = lambda pattern: F.length(F.regexp_extract(s, f"^(.*?)(?:{pattern})", 1))
+    distance = F.when(F.regexp_like(s, F.lit(cues)), F.abs(ahead(cues) - ahead("|".join(topics.values()))))
     found = F.array_compact(F.array(*(F.when(F.regexp_like(s, F.lit(p)), name) for name, p in topics.items())))
-    return kept.select(key, "n", "sentence", found.alias("topics"), F.regexp_like(s, F.lit(cues)).alias("cue"), F.regexp_like(s, F.lit(rf"\b(no|not|never|without)\b.{{0,30}}({cues})")).alias("negated")).where(F.size("topics") > 0)
+    return kept.select(key, "n", "sentence", found.alias("topics"), F.regexp_like(s, F.lit(cues)).alias("cue"), F.regexp_like(s, F.lit(rf"\b(no|not|never|without)\b.{{0,30}}({cues})")).alias("negated"), distance.alias("distance")).where(F.size("topics") > 0)
 
 
 def text_signals(parts: DataFrame, key: str, html: str, patterns: dict[str, str]) -> DataFrame:
     """Length of a key's HTML parts as plain text, one line each, and one flag per pattern, which no match of may span
     parts. Parts are summed up one by one, so a key may have any number of them."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " "), r"\s+", " "))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<script\b.*?</script>|<style\b.*?</style>", " "), r"<[^>]*>", " "), r"\s+", " "))
     each = parts.select(key, plain.alias("_t")).select(key, F.length("_t").cast("long").alias("_n"), *(F.regexp_like(F.lower("_t"), F.lit(p)).alias(name) for name, p in patterns.items()))
     return each.groupBy(key).agg((F.sum("_n") + F.count("*") - 1).alias("chars"), *(F.bool_or(name).alias(name) for name in patterns))
 

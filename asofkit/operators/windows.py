@@ -93,17 +93,23 @@ def expanding_pct_rank(df: DataFrame, col: str, least: int = 1) -> DataFrame:
 
 
 def indicators(bars: DataFrame) -> DataFrame:
-    """Band position, 52-week position, distance from the long mean, and short over long volume; shorter windows serve
-    while a series is young."""
+    """Band position, 52-week position, distance from the long mean, short over long volume, and the last ended week's
+    close over its 200-week mean; shorter windows serve while a series is young."""
     mean, std = rolling("close", 20, 20, "mean"), rolling("close", 20, 20, "std")
     high, low = rolling("close", 252, 20, "max"), rolling("close", 252, 20, "min")
-    return bars.select(
+    from .bars import weekly_bars
+    from .joins import asof_join
+
+    own = Window.partitionBy("entity").orderBy("week")
+    weekly = weekly_bars(bars).withColumn("week_ratio", F.try_divide("close", rolling("close", 200, 20, "mean", own))).where("week_ratio is not null")
+    daily = bars.select(
         "entity", "date",
         F.try_divide(F.col("close") - (mean - 2 * std), 4 * std).alias("band"),
         F.try_divide(F.col("close") - low, high - low).alias("position"),
         (F.try_divide(F.col("close"), rolling("close", 200, 20, "mean")) - 1).alias("ma_gap"),
         F.try_divide(rolling("volume", 5, 5, "mean"), rolling("volume", 20, 20, "mean")).alias("volume_ratio"),
     )
+    return asof_join(daily, weekly.select("entity", F.col("week").alias("date"), "week_ratio"), ["entity"], "date", ["week_ratio"]).drop("matched_on")
 
 
 def wilder_rsi(df: DataFrame, col: str, n: int, variant: str = "seeded") -> DataFrame:

@@ -239,9 +239,10 @@ def a29_pivot_costs(spark, sf):
     return wide.toDF("entity", "date", "free", "charged")
 
 
-@query(CTES + POLICY + " SELECT wait, cost, count(*) AS n, round(quantile_cont((shares * fin + cash) / fin - 1, 0.5), 6) AS median, round(avg(((shares * fin + cash) / fin - 1 > 0)::INT), 6) AS positive FROM pol GROUP BY ALL")
+@query(CTES + POLICY + " SELECT wait, cost, count(*) AS n, round(quantile_cont((shares * fin + cash) / fin - 1, 0.5), 6) AS median, round(avg((shares * fin + cash) / fin - 1), 6) AS mean, round(avg(((shares * fin + cash) / fin - 1 > 0)::INT), 6) AS positive, round(quantile_cont(cost * 0.05 * (1 + (wait > 0)::INT), 0.95), 8) AS p95_cost FROM pol GROUP BY ALL")
 def a21_policy_summary(spark, sf):
-    return policy(spark, sf).groupBy("wait", "cost").agg(F.count("*").alias("n"), F.round(F.percentile("wealth_delta", F.lit(0.5)), 6).alias("median"), F.round(F.avg((F.col("wealth_delta") > 0).cast("double")), 6).alias("positive"))
+    paid = policy(spark, sf).withColumn("paid", F.col("cost") * 0.05 * (1 + (F.col("wait") > 0).cast("int")))
+    return A.policy_summary(paid, ["wait", "cost"], "wealth_delta", "paid").select("wait", "cost", "n", r("median"), r("mean"), r("positive"), r("p95_cost", 8))
 
 
 @query("SELECT l_orderkey, l_suppkey, sum(l_quantity) AS value, count(*) AS rows, list_sort(list(DISTINCT l_returnflag)) AS identifiers FROM lineitem GROUP BY ALL")
@@ -309,11 +310,13 @@ def a16_portfolio_daily(spark, sf):
     return daily(spark, sf).select("sector", "date", r("ret"), "members")
 
 
-@query(CTES + DAILY + """, half AS (SELECT sector, date, ret * 0.01 AS ret FROM pd), w AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY sector ORDER BY date)) AS w FROM half), d AS (SELECT *, w / greatest(max(w) OVER (PARTITION BY sector ORDER BY date), 1) - 1 AS dd FROM w)
-SELECT sector, count(*) AS n, round(exp(sum(ln(1 + ret))) - 1, 6) AS total, round(pow(exp(sum(ln(1 + ret))), 252.0 / count(*)) - 1, 6) AS yearly, round(min(dd), 6) AS drawdown FROM d GROUP BY sector""")
+@query(CTES + DAILY + """, be AS (SELECT date, avg(ret) * 0.01 AS b FROM pd GROUP BY date), half AS (SELECT sector, date, ret * 0.01 AS ret, b FROM pd JOIN be USING (date)), w AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY sector ORDER BY date)) AS w FROM half), d AS (SELECT *, w / greatest(max(w) OVER (PARTITION BY sector ORDER BY date), 1) - 1 AS dd FROM w)
+SELECT sector, count(*) AS n, round(exp(sum(ln(1 + ret))) - 1, 6) AS total, round(pow(exp(sum(ln(1 + ret))), 252.0 / count(*)) - 1, 6) AS yearly, round(min(dd), 6) AS drawdown, round(avg(ret) * sqrt(252) / sqrt(avg(pow(least(ret, 0), 2))), 4) AS sortino, round((pow(exp(sum(ln(1 + ret))), 252.0 / count(*)) - 1) / abs(min(dd)), 4) AS calmar,
+ round(avg(ret) FILTER (WHERE b > 0) / avg(b) FILTER (WHERE b > 0), 5) AS up_capture, round(avg(ret) FILTER (WHERE b < 0) / avg(b) FILTER (WHERE b < 0), 5) AS down_capture FROM d GROUP BY sector""")
 def a17_return_metrics(spark, sf):
     half = daily(spark, sf).withColumn("ret", F.col("ret") * 0.01)
-    return A.return_metrics(half, ["sector"]).select("sector", "n", r("total"), r("yearly"), r("drawdown"))
+    bench = half.groupBy("date").agg(F.avg("ret").alias("bench_ret"))
+    return A.return_metrics(half, ["sector"], benchmark=bench).select("sector", "n", r("total"), r("yearly"), r("drawdown"), r("sortino", 4), r("calmar", 4), r("up_capture", 5), r("down_capture", 5))
 
 
 @query(CTES + REPLAY + """, y AS (SELECT entity, unnest(range(year(min(date)), year(max(date)) + 1)) AS year FROM bars GROUP BY entity), c AS (SELECT y.entity, y.year, count(s.date) AS n FROM y LEFT JOIN starts s ON s.entity = y.entity AND year(s.date) = y.year GROUP BY ALL)

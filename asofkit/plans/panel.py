@@ -75,6 +75,13 @@ def p7_canonical_symbol(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", S.canonical_symbol(F.col("c_name")).alias("symbol"))
 
 
+@query(r"""SELECT c_custkey, list_sort(list_distinct([replace(upper(c_mktsegment), ' ', '-'), 'CUST-' || (c_custkey % 50)])) AS symbols FROM customer""")
+def p7_reported_symbols(spark, sf):
+    """Cells that list several symbols, with repeats, empty parts and marks."""
+    cell = F.concat(F.lower("c_mktsegment"), F.lit("; , cust."), (F.col("c_custkey") % 50).cast("string"), F.lit(" |"), F.col("c_mktsegment"), F.lit(","))
+    return table(spark, sf, "customer").select("c_custkey", S.reported_symbols(cell).alias("symbols"))
+
+
 @query(r"""
 SELECT p_partkey, array_to_string(toks, ' ') AS name, array_to_string(list_sort(list_filter(toks, lambda t: t <> 'STEEL')), ' ') AS signature FROM (
   SELECT p_partkey, list_filter(list_transform(regexp_extract_all(upper(p_name), '[A-Z0-9]+'), lambda t: CASE t WHEN 'PART' THEN 'PRT' ELSE t END), lambda t: t NOT IN ('THE', 'OF')) AS toks FROM part)""")
@@ -205,11 +212,13 @@ def guarded(f: str, n: int, k: int) -> str:
     return f"CASE WHEN count({c}) {w} >= {k} THEN {f} {w} END"
 
 
-@query(CTES + f""" SELECT entity, date, round((close - ({guarded('avg(close)', 20, 20)} - 2 * {guarded('stddev_samp(close)', 20, 20)})) / nullif(4 * {guarded('stddev_samp(close)', 20, 20)}, 0), 4) AS band,
+@query(CTES + f""", wk AS (SELECT entity, {WEEK} AS date, arg_max(close, date) AS close FROM bars GROUP BY ALL), wr AS (SELECT entity, date, close / {guarded('avg(close)', 200, 20)} AS week_ratio FROM wk),
+x AS (SELECT entity, date, round((close - ({guarded('avg(close)', 20, 20)} - 2 * {guarded('stddev_samp(close)', 20, 20)})) / nullif(4 * {guarded('stddev_samp(close)', 20, 20)}, 0), 4) AS band,
   round((close - {guarded('min(close)', 252, 20)}) / nullif({guarded('max(close)', 252, 20)} - {guarded('min(close)', 252, 20)}, 0), 6) AS position,
-  round(close / {guarded('avg(close)', 200, 20)} - 1, 5) AS ma_gap, round({guarded('avg(volume)', 5, 5)} / {guarded('avg(volume)', 20, 20)}, 6) AS volume_ratio FROM bars""")
+  round(close / {guarded('avg(close)', 200, 20)} - 1, 5) AS ma_gap, round({guarded('avg(volume)', 5, 5)} / {guarded('avg(volume)', 20, 20)}, 6) AS volume_ratio FROM bars)
+SELECT x.*, round(w.week_ratio, 5) AS week_ratio FROM x ASOF LEFT JOIN (SELECT * FROM wr WHERE week_ratio IS NOT NULL) w ON w.entity = x.entity AND w.date <= x.date""")
 def w7_indicators(spark, sf):
-    return W.indicators(bars(spark, sf)).select("entity", "date", r("band", 4), r("position"), r("ma_gap", 5), r("volume_ratio"))
+    return W.indicators(bars(spark, sf)).select("entity", "date", r("band", 4), r("position"), r("ma_gap", 5), r("volume_ratio"), r("week_ratio", 5))
 
 
 def rsi_sql(rows: str, n: int = 14) -> str:

@@ -96,10 +96,13 @@ def w30_market_context(spark, sf):
     return LB.market_context(bench).select("date", r("drawdown"), r("vol", 5), "rebound")
 
 
-@query(CTES + """, t AS (SELECT entity, date, close, coalesce(greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)), high - low) AS tr FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date))
-SELECT entity, date, CASE WHEN count(tr) OVER f >= 14 THEN round(avg(tr) OVER f + 1e-8, 5) END AS atr, CASE WHEN count(tr) OVER f >= 14 THEN close > avg(close) OVER f + 2 * avg(tr) OVER f END AS extended FROM t WINDOW f AS (PARTITION BY entity ORDER BY date ROWS 13 PRECEDING)""")
+@query(CTES + f""", t AS (SELECT *, coalesce(greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)), high - low) AS tr FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
+d AS (SELECT entity, date, close / lag(close, 21) OVER w - 1 AS r21, close / lag(close, 63) OVER w - 1 AS r63, close / lag(close, 252) OVER w - 1 AS r252, close / {guarded('max(close)', 21, 21)} - 1 AS fall, (close - {guarded('avg(close)', 200, 200)}) / {guarded('avg(tr)', 63, 40)} AS reach FROM t WINDOW w AS (PARTITION BY entity ORDER BY date)),
+m AS (SELECT entity, last_day(date) AS month, {', '.join(f'arg_max({c}, date) FILTER (WHERE {c} IS NOT NULL) AS {c}' for c in ('r21', 'r63', 'r252', 'fall', 'reach'))} FROM d GROUP BY ALL), b AS (SELECT date, c / lag(c, 21) OVER (ORDER BY date) - 1 AS m21 FROM (SELECT date, avg(close) AS c FROM bars GROUP BY date)), bm AS (SELECT last_day(date) AS month, arg_max(m21, date) FILTER (WHERE m21 IS NOT NULL) AS m21 FROM b GROUP BY ALL)
+SELECT entity, month, coalesce(r252 > 0 AND fall BETWEEN -0.20 AND -0.05 AND r21 > 0 AND lag(r21) OVER w <= 0, false) AS resumption, coalesce(fall BETWEEN -0.25 AND -0.08 AND m21 < 0 AND r21 - m21 > -0.10, false) AS dislocation, coalesce(reach >= 3, false) AS extended, coalesce(r63 - r252 / 4 < 0 AND lag(r63 - r252 / 4) OVER w >= 0, false) AS decelerated FROM m LEFT JOIN bm USING (month) WINDOW w AS (PARTITION BY entity ORDER BY month)""")
 def w37_event_flags(spark, sf):
-    return LB.event_flags(bars(spark, sf)).select("entity", "date", F.round(F.col("atr") + 1e-8, 5).alias("atr"), "extended")
+    b = bars(spark, sf)
+    return LB.event_flags(b, b.groupBy("date").agg(F.avg("close").alias("close")))
 
 
 @query(CTES + """, x AS (SELECT entity, sector, date, close / lag(close) OVER (PARTITION BY entity ORDER BY date) - 1 AS y FROM bars JOIN sectors USING (entity)), y AS (SELECT *, avg(y) OVER (PARTITION BY date) AS a, avg(y) OVER (PARTITION BY date, sector) - avg(y) OVER (PARTITION BY date) AS b FROM x WHERE y IS NOT NULL),
@@ -181,12 +184,16 @@ def p15_extract_ranges(spark, sf):
     return T.extract_ranges(table(spark, sf, "documents").select("doc_id", made.alias("text")), "doc_id", "text", {"sales": "sales|revenue", "eps": "per share"})
 
 
-@query()
+@query(r"""WITH c AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents), s AS (SELECT doc_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS n FROM c), k AS (SELECT *, lower(sentence) AS low FROM s WHERE length(sentence) BETWEEN 20 AND 400 AND length(regexp_replace(sentence, '[^0-9]', '', 'g')) / length(sentence) <= 0.3 AND NOT regexp_matches(lower(sentence), 'license|copyright'))
+SELECT doc_id, n::INT AS n, list_filter([CASE WHEN regexp_matches(low, '\bthe\b') THEN 'the' END, CASE WHEN regexp_matches(low, '\bder\b') THEN 'der' END], lambda x: x IS NOT NULL) AS topics, regexp_matches(low, 'and|und') AS cue, regexp_matches(low, '\b(no|not|never|without)\b.{0,30}(and|und)') AS negated,
+ CASE WHEN regexp_matches(low, 'and|und') THEN abs(length(regexp_extract(low, '^(.*?)(?:and|und)', 1)) - length(regexp_extract(low, '^(.*?)(?:\bthe\b|\bder\b)', 1))) END AS distance FROM k WHERE regexp_matches(low, '\b(the|der)\b')""")
 def p16_sentence_facts(spark, sf):
-    return T.sentence_facts(table(spark, sf, "documents"), "doc_id", "text", {"the": r"\bthe\b", "der": r"\bder\b"}, "and|und").select("doc_id", "n", "topics", "cue", "negated")
+    facts = T.sentence_facts(table(spark, sf, "documents"), "doc_id", "text", {"the": r"\bthe\b", "der": r"\bder\b"}, "and|und", boilerplate="license|copyright")
+    return facts.select("doc_id", "n", "topics", "cue", "negated", F.col("distance").cast("long").alias("distance"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT regexp_extract(url, '//([^/]+)', 1) AS site, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\b.*?</script>|<style\b.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS t FROM pages)
+SELECT site, sum(length(t))::BIGINT + count(*) - 1 AS chars, bool_or(regexp_matches(lower(t), '[0-9]{3}')) AS has_number, bool_or(regexp_matches(lower(t), 'nicht')) AS has_ad FROM t GROUP BY site""")
 def p19_text_signals(spark, sf):
     pages = table(spark, sf, "pages").withColumn("site", F.regexp_extract("url", "//([^/]+)", 1))
     return T.text_signals(pages, "site", "html", {"has_number": "[0-9]{3}", "has_ad": "nicht"})

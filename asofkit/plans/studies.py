@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -56,16 +58,26 @@ def st3_binary_metrics(spark, sf):
     return ST.binary_metrics(p, ["g"], "s", "y").select("g", "n", r("auc"), r("brier"), r("log_loss"), r("balanced"))
 
 
-@query("""SELECT lang, count(*) AS n, round(avg(toxic) FILTER (WHERE quality = 1), 6) AS exposed_rate, round(avg(toxic) FILTER (WHERE quality = 0), 6) AS control_rate, round(avg(toxic) FILTER (WHERE quality = 1) - avg(toxic) FILTER (WHERE quality = 0), 6) AS difference,
- round(avg(toxic) FILTER (WHERE quality = 1) / nullif(avg(toxic) FILTER (WHERE quality = 0), 0), 6) AS ratio FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+@query("""WITH g AS (SELECT lang, count(*) AS n, avg(toxic) FILTER (WHERE quality = 1) AS a, avg(toxic) FILTER (WHERE quality = 0) AS b, count(*) FILTER (WHERE quality = 1) AS n1, count(*) FILTER (WHERE quality = 0) AS n0, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS h1, sum(toxic) AS h FROM documents JOIN labels USING (doc_id) GROUP BY lang),
+t AS (SELECT lang, sum(exp(lgamma(n1 + 1) - lgamma(i + 1) - lgamma(n1 - i + 1) + lgamma(n0 + 1) - lgamma(h - i + 1) - lgamma(n0 - h + i + 1) - lgamma(n1 + n0 + 1) + lgamma(h + 1) + lgamma(n1 + n0 - h + 1))) AS tail FROM (SELECT *, unnest(range(h1, least(n1, h)::BIGINT + 1)) AS i FROM g) WHERE h - i <= n0 GROUP BY lang)
+SELECT lang, n, round(a, 6) AS exposed_rate, round(b, 6) AS control_rate, round(a - b, 6) AS difference, round(a / nullif(b, 0), 6) AS ratio, round(least(1, tail), 6) AS tail FROM g LEFT JOIN t USING (lang)""")
 def st4_exposure_effect(spark, sf):
-    return ST.exposure_effect(labelled(spark, sf), ["lang"], "quality", "toxic").select("lang", "n", r("exposed_rate"), r("control_rate"), r("difference"), r("ratio"))
+    return ST.exposure_effect(labelled(spark, sf), ["lang"], "quality", "toxic").select("lang", "n", r("exposed_rate"), r("control_rate"), r("difference"), r("ratio"), r("tail"))
 
 
-@query()
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
+
+
+@query(f"""WITH d AS (SELECT source, quality AS e, toxic AS t, n_chars, length(lang) + quality AS s2 FROM documents JOIN labels USING (doc_id)), u AS (SELECT r, source, ('0x' || substr(md5('11|' || r || '|' || source), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT source FROM d WHERE source IS NOT NULL), range(0, 200) x(r)),
+w AS (SELECT r, source, {' + '.join(f'(u >= {t!r}::DOUBLE)::INT' for t in POISSON)} AS w FROM u), j AS (SELECT r, w, d.* FROM w JOIN d USING (source) WHERE w > 0), a AS (SELECT r, sum(w * t) FILTER (WHERE e = 1) / sum(w) FILTER (WHERE e = 1) - sum(w * t) FILTER (WHERE e = 0) / sum(w) FILTER (WHERE e = 0) AS difference FROM j GROUP BY r),
+v AS (SELECT r, e, n_chars, sum(w) AS w FROM j GROUP BY ALL), v2 AS (SELECT *, sum(w) OVER (PARTITION BY r, e ORDER BY n_chars) AS upto, sum(w) OVER (PARTITION BY r, e) AS total FROM v), v3 AS (SELECT r, e, min(n_chars) AS m FROM v2 WHERE 2 * upto >= total GROUP BY ALL), g AS (SELECT r, max(m) FILTER (WHERE e = 1) - max(m) FILTER (WHERE e = 0) AS median_gap FROM v3 GROUP BY r),
+s1 AS (SELECT r, n_chars AS s, sum(w * t) AS p, sum(w * (1 - t)) AS q FROM j GROUP BY ALL), s2 AS (SELECT r, s2 AS s, sum(w * t) AS p, sum(w * (1 - t)) AS q FROM j GROUP BY ALL), c1 AS (SELECT r, sum(p * (b + q / 2)) / (sum(p) * sum(q)) AS auc FROM (SELECT *, coalesce(sum(q) OVER (PARTITION BY r ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s1) GROUP BY r), c2 AS (SELECT r, sum(p * (b + q / 2)) / (sum(p) * sum(q)) AS auc FROM (SELECT *, coalesce(sum(q) OVER (PARTITION BY r ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s2) GROUP BY r)
+SELECT count(*) AS replicates, round(quantile_cont(difference, 0.025), 5) AS low, round(quantile_cont(difference, 0.5), 5) AS median, round(quantile_cont(difference, 0.975), 5) AS high, round(quantile_cont(median_gap, 0.5), 3) AS median_gap, round(quantile_cont(c1.auc - c2.auc, 0.5), 5) AS auc_edge FROM a JOIN g USING (r) JOIN c1 USING (r) JOIN c2 USING (r)""")
 def st5_cluster_bootstrap(spark, sf):
-    reps = ST.cluster_bootstrap(labelled(spark, sf), "source", "quality", "toxic", 500, 11)
-    return ST.percentile_interval(reps, "difference").select("replicates", r("low"), r("median"), r("high"))
+    panel = labelled(spark, sf).withColumn("s2", F.length("lang") + F.col("quality"))
+    reps = ST.cluster_bootstrap(panel, "source", "quality", "toxic", 200, 11, "n_chars", ("n_chars", "s2"))
+    point = lambda c, q: F.percentile(c, F.lit(q))
+    return reps.agg(F.count("*").alias("replicates"), *(F.round(point(c, q), n).alias(name) for name, c, q, n in (("low", "difference", 0.025, 5), ("median", "difference", 0.5, 5), ("high", "difference", 0.975, 5), ("median_gap", "median_gap", 0.5, 3), ("auc_edge", "auc_edge", 0.5, 5))))
 
 
 MONTHLY = """, m AS (SELECT entity, last_day(date) AS month, arg_max(close, date) AS close, sum(volume) AS volume FROM bars GROUP BY ALL), f AS (SELECT *, lead(close, 3) OVER (PARTITION BY entity ORDER BY month) / close - 1 AS fwd FROM m)"""
@@ -101,14 +113,16 @@ def st7_robust_scores(spark, sf):
 @query()
 def st8_fold_logistic(spark, sf):
     ev = fold_events(spark, sf).withColumn("x", F.col("o_totalprice") / 100000).withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
-    return ST.fold_logistic(ev, ["x"], "y", 1.0).select("fold", "o_orderkey", r("score", 4))
+    ev = ev.withColumn("z", (F.col("o_orderkey") % 7) / 7)
+    return ST.fold_logistic(ev, ["x", "z"], "y", 1.0, interaction=("x", "z")).select("fold", "o_orderkey", r("score", 4))
 
 
-@query(CTES + EVENTS + """, t AS (SELECT fold, quantile_cont(o_totalprice, 0.8) AS cut FROM af WHERE role = 'train' GROUP BY fold), g AS (SELECT fold, o_totalprice > cut AS high, (o_orderkey % 3 = 0)::INT AS y FROM af JOIN t USING (fold) WHERE role = 'test')
-SELECT fold, count(*) AS n, round(avg(y) FILTER (WHERE high), 6) AS treated, round(avg(y) FILTER (WHERE NOT high), 6) AS control, round(avg(y) FILTER (WHERE high) - avg(y) FILTER (WHERE NOT high), 6) AS gap FROM g GROUP BY fold""")
+@query(CTES + EVENTS + """, t AS (SELECT fold, quantile_cont(o_totalprice, 0.8) AS cut FROM af WHERE role = 'train' GROUP BY fold), g AS (SELECT fold, af.o_totalprice > cut AS high, (af.o_orderkey % 3 = 0)::INT AS y, date_trunc('quarter', ev.date) AS block FROM af JOIN t USING (fold) JOIN ev USING (o_orderkey) WHERE role = 'test'),
+b AS (SELECT fold, block, avg(y) FILTER (WHERE high) - avg(y) FILTER (WHERE NOT high) AS d FROM g GROUP BY ALL), k AS (SELECT fold, avg(d) AS block_gap, count(*) FILTER (WHERE d > 0) AS positive_blocks, count(*) FILTER (WHERE d < 0) AS negative_blocks FROM b GROUP BY fold)
+SELECT fold, count(*) AS n, round(avg(y) FILTER (WHERE high), 6) AS treated, round(avg(y) FILTER (WHERE NOT high), 6) AS control, round(avg(y) FILTER (WHERE high) - avg(y) FILTER (WHERE NOT high), 6) AS gap, round(any_value(block_gap), 6) AS block_gap, any_value(positive_blocks) AS positive_blocks, any_value(negative_blocks) AS negative_blocks FROM g JOIN k USING (fold) GROUP BY fold""")
 def st11_quantile_groups(spark, sf):
     ev = fold_events(spark, sf).withColumn("y", (F.col("o_orderkey") % 3 == 0).cast("int"))
-    return ST.quantile_groups(ev, "o_totalprice", "y").select("fold", "n", r("treated"), r("control"), r("gap"))
+    return ST.quantile_groups(ev, "o_totalprice", "y").select("fold", "n", r("treated"), r("control"), r("gap"), r("block_gap"), "positive_blocks", "negative_blocks")
 
 
 @query("""WITH h AS (SELECT l_returnflag || l_linestatus AS candidate, (l_orderkey % 6)::INT AS block, avg(l_extendedprice) AS score FROM lineitem GROUP BY ALL),
@@ -121,17 +135,25 @@ def st9_cscv_pbo(spark, sf):
     return ST.cscv_pbo(h).select("splits", r("pbo"))
 
 
-@query("""SELECT 'l_discount' AS feature, round(1 / (1 - pow(corr(l_discount, l_tax), 2)), 5) AS vif, round((1 + abs(corr(l_discount, l_tax))) / 2, 5) AS first_share FROM lineitem
-UNION ALL SELECT 'l_tax', round(1 / (1 - pow(corr(l_discount, l_tax), 2)), 5), round((1 + abs(corr(l_discount, l_tax))) / 2, 5) FROM lineitem""")
+@query("""WITH m AS (SELECT lower(l_returnflag) AS g, avg(l_discount) AS a, var_pop(l_discount) AS v, skewness(l_discount) AS s, kurtosis_pop(l_discount) + 3 AS k, count(l_discount) AS n FROM (SELECT l_returnflag, l_discount - 0.05 + l_tax / 100 AS l_discount FROM lineitem) GROUP BY ALL),
+c AS (SELECT lower(l_returnflag) AS g, avg(pow((l_discount - 0.05 + l_tax / 100 - a) / sqrt(v), 3)) AS skew FROM lineitem JOIN m ON g = lower(l_returnflag) GROUP BY ALL)
+SELECT g, n, round(a / sqrt(v), 5) AS sharpe, round((a / sqrt(v) - 2.5306028932016846) * sqrt(n - 1) / sqrt(1 - skew * a / sqrt(v) + (k - 1) * a * a / v / 4), 2) AS z FROM m JOIN c USING (g)""")
+def st9_deflated_sharpe(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.lower("l_returnflag").alias("g"), (F.col("l_discount") - 0.05 + F.col("l_tax") / 100).alias("ret"))
+    return ST.deflated_sharpe(rows, ["g"], "ret", 100).select("g", "n", r("sharpe", 5), r("z", 2))
+
+
+@query("""WITH r AS (SELECT corr(l_discount, l_tax) AS ab, corr(l_discount, l_quantity) AS ac, corr(l_tax, l_quantity) AS bc FROM lineitem), d AS (SELECT *, 1 - ab * ab - ac * ac - bc * bc + 2 * ab * ac * bc AS det FROM r)
+SELECT 'l_discount' AS feature, round((1 - bc * bc) / det, 5) AS vif FROM d UNION ALL SELECT 'l_tax', round((1 - ac * ac) / det, 5) FROM d UNION ALL SELECT 'l_quantity', round((1 - ab * ab) / det, 5) FROM d""")
 def st10_vif_pca(spark, sf):
-    return ST.vif_pca(table(spark, sf, "lineitem"), ["l_discount", "l_tax"]).select("feature", r("vif", 5), r("first_share", 5))
+    return ST.vif_pca(table(spark, sf, "lineitem"), ["l_discount", "l_tax", "l_quantity"]).select("feature", r("vif", 5))
 
 
 @query("""WITH k AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2 AS b FROM lineitem)
-SELECT l_returnflag, 'l_quantity' AS "left", 'l_extendedprice' AS "right", count(*) AS n, round(corr(a, b), 6) AS rho FROM k GROUP BY ALL""".replace('"left"', "left_col").replace('"right"', "right_col"))
+SELECT l_returnflag, 'l_quantity' AS "left", 'l_extendedprice' AS "right", count(*) AS n, round(corr(a, b), 6) AS rho, abs(corr(a, b)) >= 0.5 AS redundant FROM k GROUP BY ALL""".replace('"left"', "left_col").replace('"right"', "right_col"))
 def a12_spearman_matrix(spark, sf):
-    m = ST.spearman_matrix(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_returnflag"])
-    return m.select("l_returnflag", F.col("left").alias("left_col"), F.col("right").alias("right_col"), "n", r("rho"))
+    m = ST.redundant(ST.spearman_matrix(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_returnflag"]), ["l_returnflag"], 0.5)
+    return m.select("l_returnflag", F.col("left").alias("left_col"), F.col("right").alias("right_col"), "n", r("rho"), "redundant")
 
 
 ENTRIES = "e AS (SELECT user_id AS account, CASE event_type WHEN 'click' THEN 'DEPOSIT' WHEN 'view' THEN 'BUY' WHEN 'purchase' THEN 'SELL' ELSE 'DIVIDEND' END AS type, round(value, 2) AS gross, value / 100 AS fee FROM events)"
@@ -222,6 +244,15 @@ def ss2_append_unique(spark, sf):
     return got.groupBy(F.col("user_id").alias("entity"), F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT event_id, event_type FROM events WHERE event_id % 10 = 0 AND event_type <> 'click'")
+def ss2_conflicts(spark, sf):
+    """A later delivery that repeats ids: equal payloads pass in silence, others are rejected and shown."""
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    again = e.where("event_id % 10 = 0").withColumn("event_type", F.lit("click"))
+    held = SS.conflicts(e, again, "event_id", ["event_type"]).select("event_id")
+    return e.join(held, "event_id", "left_semi")
+
+
 @query("""WITH e AS (SELECT event_type AS entity, ts, value, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-03') AS w FROM events), m AS (SELECT max(ts) - INTERVAL 3 DAY AS mark FROM events)
 SELECT entity, (w + INTERVAL 6 DAY)::DATE AS week, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS volume FROM e, m WHERE w + INTERVAL 7 DAY <= mark GROUP BY ALL""")
 def ss1_stream_bars(spark, sf):
