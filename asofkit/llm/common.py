@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the corpus contracts: runs of anything but ASCII white space.
@@ -229,13 +229,17 @@ def bounded_sample(rows: DataFrame, by: str, bounds: dict, counts: dict) -> Data
     """At most bounds[v] distinct rows (by, id, text) of each value v of `by`, chosen by a hash of id and text.
 
     counts holds how many rows each value has. Rows are first thinned by their hash to about four times the bound, so
-    that no task sorts more than that, then ordered by it; repeated rows count once. Adds turn, the hash.
+    the table written on the way is bounded too, then cut at the bound's last hash; repeated rows count once. Adds turn,
+    the hash.
     """
     turned = rows.withColumn("turn", F.xxhash64("id", "text"))
     share = lambda v: min(1.0, 4.0 * bounds[v] / max(counts[v], 1))
     few = F.lit(False)
     for v in counts:
         few = few | ((F.col(by) == F.lit(v)) & (F.pmod("turn", F.lit(1 << 30)) < int(share(v) * (1 << 30))))
-    order = Window.partitionBy(by).orderBy("turn", "id", F.length("text"))
-    most = F.create_map(*(F.lit(x) for v in counts for x in (v, bounds[v])))
-    return turned.where(few).dropDuplicates([by, "turn"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.try_element_at(most, F.col(by))).drop("place")
+    thin = materialise(turned.where(few).dropDuplicates([by, "turn"]), "thinned")
+    kept = F.lit(False)
+    for v in counts:  # the bound's last hash, so that no task has to order the rows themselves
+        last = thin.where(F.col(by) == F.lit(v)).select("turn").orderBy("turn").limit(bounds[v]).agg(F.max("turn")).first()[0]
+        kept = kept | ((F.col(by) == F.lit(v)) & (F.col("turn") <= F.lit(last)))
+    return thin.where(F.coalesce(kept, F.lit(False)))

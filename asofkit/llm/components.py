@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, join_spread, materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,15 +20,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: neighbours larger than a node point to the least of its neighbourhood.
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # A node with very many neighbours is looked up by broadcast, so its links spread over tasks.
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_spread(both, least, "a", "n", "m").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: a node and its smaller neighbours point to the least of them.
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         step = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(small.select("a", F.col("m").alias("b"))).distinct()
         after = materialise(step, "edges")
         same = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         done = after.agg(F.count("*"), same).first() == now.agg(F.count("*"), same).first()
-        discard(now)
+        discard(now, least)
         now = after
         if done:
             break
