@@ -29,10 +29,15 @@ def test_query_matches_sql(spark, name):
     assert sorted(clean(got)) == sorted(clean(want))
 
 
-def test_entry_imports_without_the_corpus_subpackage(tmp_path):
+@pytest.mark.parametrize("left", [(), ("asofkit/llm/__pycache__/queries.cpython-313.pyc",), ("corpus_pipeline.py",)])
+def test_entry_imports_without_the_corpus_subpackage(tmp_path, left):
+    """Also where a cache folder or the pipeline's file stayed behind."""
     import shutil
 
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     shutil.copytree(ROOT / "asofkit", tmp_path / "asofkit", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in left:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("from asofkit.llm import nothing\n")
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q) and 'pipeline' not in q and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
