@@ -228,12 +228,12 @@ def join_spread(big: DataFrame, small: DataFrame, on: str | list[str], n: str, v
 def bounded_sample(rows: DataFrame, by: str, bounds: dict, counts: dict) -> DataFrame:
     """At most bounds[v] distinct rows (by, id, text) of each value v of `by`, chosen by a hash of id and text.
 
-    counts holds how many rows each value has. Rows are first thinned by their hash to about four times the bound, so
+    counts holds how many rows each value has. Rows are first thinned by their hash to half as many again as the bound, so
     the table written on the way is bounded too, then cut at the bound's last hash; repeated rows count once. Adds turn,
     the hash.
     """
     turned = rows.withColumn("turn", F.xxhash64("id", "text"))
-    share = lambda v: min(1.0, 4.0 * bounds[v] / max(counts[v], 1))
+    share = lambda v: min(1.0, 1.5 * bounds[v] / max(counts[v], 1))
     few = F.lit(False)
     for v in counts:
         few = few | ((F.col(by) == F.lit(v)) & (F.pmod("turn", F.lit(1 << 30)) < int(share(v) * (1 << 30))))
@@ -242,4 +242,6 @@ def bounded_sample(rows: DataFrame, by: str, bounds: dict, counts: dict) -> Data
     for v in counts:  # the bound's last hash, so that no task has to order the rows themselves
         last = thin.where(F.col(by) == F.lit(v)).select("turn").orderBy("turn").limit(bounds[v]).agg(F.max("turn")).first()[0]
         kept = kept | ((F.col(by) == F.lit(v)) & (F.col("turn") <= F.lit(last)))
-    return thin.where(F.coalesce(kept, F.lit(False)))
+    sample = materialise(thin.where(F.coalesce(kept, F.lit(False))), "sample")
+    discard(thin)
+    return sample

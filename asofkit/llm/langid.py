@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, columns, crc_fold, small_batches
+from .common import bounded_sample, columns, crc_fold, discard, small_batches
 
 COLUMNS = 1 << 16
 UNKNOWN = "und"
@@ -93,7 +93,7 @@ def train(docs: DataFrame, per_class: int = 300, landmarks: int = 32, ridge: flo
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
         return None
-    sample = bounded_sample(labelled, "lang", dict.fromkeys(counts, per_class), counts).select("turn", "lang", "text")
+    sample = bounded_sample(labelled, "lang", dict.fromkeys(counts, per_class), counts)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +104,8 @@ def train(docs: DataFrame, per_class: int = 300, landmarks: int = 32, ridge: flo
                 out.append(np.packbits(row).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["turn", "lang", "bits"])
 
-    rows = sorted(sample.mapInArrow(features, "turn long, lang string, bits binary").collect(), key=lambda r: (r.turn, r.lang, r.bits))
+    rows = sorted(sample.select("turn", "lang", "text").mapInArrow(features, "turn long, lang string, bits binary").collect(), key=lambda r: (r.turn, r.lang, r.bits))
+    discard(sample)
     return fit([bytes(r.bits) for r in rows], [r.lang for r in rows], landmarks, ridge)
 
 

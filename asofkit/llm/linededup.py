@@ -27,8 +27,8 @@ def cut_lines(text: Column) -> Column:
     return F.filter(each, lambda x: x["words"] > 0)
 
 
-def repeated_lines(rows: DataFrame) -> DataFrame:
-    """rows (row, doc, text) as the lines that occur more than once: doc, row, pos (place in the text), j (place among the
+def repeated_lines(rows: DataFrame, least: int = 0) -> DataFrame:
+    """rows (row, doc, text) as the lines that occur more than once, in stretches of at least `least` words: doc, row, pos (place in the text), j (place among the
     lines with words), line (its id), words, seg (stretch of consecutive repeated lines), at (words of the stretch before
     the line), length (words of the stretch).
 
@@ -39,12 +39,15 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     ids = materialise(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").withColumn("line", F.monotonically_increasing_id()), "line-ids")
     known = join_spread(lines, ids, ["a", "b"], "n", "line").where("line is not null")
     place, stretch = Window.partitionBy("row").orderBy("j"), Window.partitionBy("row", "seg")
-    return (
+    found = (
         known.withColumn("seg", F.col("j") - F.row_number().over(place))
         .withColumn("at", F.sum("words").over(stretch.orderBy("j")) - F.col("words"))
         .withColumn("length", F.sum("words").over(stretch))
         .select("doc", "row", "pos", "j", "line", "words", "seg", "at", "length")
     )
+    found = materialise(found.where(F.col("length") >= least), "stretches")
+    discard(lines, ids)
+    return found
 
 
 def double(level: DataFrame, lines: int, whole: bool) -> DataFrame:
@@ -76,7 +79,6 @@ def suffix_array(docs: DataFrame, rounds: int = 10, key: str = "doc_id", text: s
     rows, names = numbered(docs)
     doc, body = names[docs.columns.index(key)], names[docs.columns.index(text)]
     level = repeated_lines(rows.select("row", F.col(doc).alias("doc"), F.col(body).cast("string").alias("text"))).select("doc", "row", "pos", "j", "seg", "line", F.col("line").alias("rank"))
-    level = materialise(level, "ranks")
     for k in range(rounds):
         level = double(level, 1 << k, whole=True)
     order = ("line", "rank", "doc", "row", "j")
@@ -128,12 +130,15 @@ def later_copies(rows: DataFrame, min_words: int = 50) -> DataFrame:
 
     Earlier means by doc (nulls first), row and line. Overlapping copies form one run.
     """
-    lines = materialise(repeated_lines(rows).where(F.col("length") >= min_words), "suffixes")
-    reach = repeated_parts(lines, min_words).groupBy("row", "s").agg(F.max(F.col("s") + F.col("n") - 1).alias("end"))
+    lines = repeated_lines(rows, min_words)
+    copies = repeated_parts(lines, min_words)
+    reach = copies.groupBy("row", "s").agg(F.max(F.col("s") + F.col("n") - 1).alias("end"))
     place = Window.partitionBy("row").orderBy("j")
     covered = lines.select("row", "j", "pos", "words").join(reach.withColumnRenamed("s", "j"), ["row", "j"], "left").withColumn("reach", F.max("end").over(place)).where("reach >= j")
     runs = covered.withColumn("run", F.col("j") - F.row_number().over(place)).groupBy("row", "run").agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.count("*").alias("n"), F.sum("words").alias("w"))
-    return runs.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("runs"), F.sum("n").alias("gone"), F.sum("w").alias("gone_words"))
+    gone = materialise(runs.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("runs"), F.sum("n").alias("gone"), F.sum("w").alias("gone_words")), "runs")
+    discard(lines, copies)
+    return gone
 
 
 def drop_repeated_runs(docs: DataFrame, min_words: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:

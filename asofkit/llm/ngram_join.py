@@ -354,8 +354,8 @@ def _parts(table: pa.Table, by: str) -> Iterator[pa.Table]:
         yield table.slice(a, b - a)
 
 
-def _links(ordered: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Spanning links (a, b) of all clusters."""
+def _links(ordered: DataFrame, clusters: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Spanning links (a, b) of all clusters, and the written tables that they are read from."""
     spark = ordered.sparkSession
     weight = F.octet_length("tokens") + sum((F.octet_length(f"p{o}") for o in range(1, ORDERS)), F.octet_length("p0")) + 64
     sized = clusters.join(ordered.select("class", weight.alias("bytes")), "class").groupBy("cluster").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes")).where("m > 1")
@@ -383,7 +383,8 @@ def _links(ordered: DataFrame, clusters: DataFrame) -> DataFrame:
     links = materialise(first.groupBy("g", "at").applyInArrow(span, "a long, b long"), "links")
     large = placed.where("blocks > 1")
     if large.isEmpty():
-        return links
+        discard(placed)
+        return links, [sized, links]
     # Blocks of a large cluster that still lie in several components: members outside its largest visit those blocks
     # with whose members they share prefix tokens.
     second = _visits(large, connected_components(links))
@@ -402,7 +403,9 @@ def _links(ordered: DataFrame, clusters: DataFrame) -> DataFrame:
                     links.append((members.names[i], members.names[j]))
         return _as_links(links)
 
-    return links.unionByName(second.groupBy("cluster", "at", "chunk").applyInArrow(meet, "a long, b long"))
+    more = materialise(second.groupBy("cluster", "at", "chunk").applyInArrow(meet, "a long, b long"), "links")
+    discard(placed)
+    return links.unionByName(more), [sized, links, more]
 
 
 def _shared_blocks(now: DataFrame) -> DataFrame:
@@ -461,9 +464,10 @@ def _components(rows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     tokens = sets.agg(F.sum("n")).first()[0] or 0
     ordered = materialise(_ordered(_common_tokens(sets, tokens)), "ordered")
     clusters = materialise(_clusters(ordered, _bits(tokens, 6)), "clusters")
-    parts = connected_components(_links(ordered, clusters))
+    links, used = _links(ordered, clusters)
+    parts = connected_components(links)
     rooted = materialise(classes.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")), "rooted")
-    discard(classes, wanted, sets, ordered, clusters)
+    discard(classes, wanted, sets, ordered, clusters, *used)
     return known, rooted
 
 

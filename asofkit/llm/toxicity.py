@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, byte_hashes, bytes_of, columns, crc_fold, materialise, mix64, set_shingles, slices_by_bytes, small_batches, word_hashes
+from .common import bounded_sample, byte_hashes, bytes_of, columns, crc_fold, discard, materialise, mix64, set_shingles, slices_by_bytes, small_batches, word_hashes
 
 #: Characters trimmed from words, and those of them that mark quotation.
 QUOTES = "\"“”„«»‹›‘’"
@@ -258,8 +258,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (8000, 1
     if not counts.get(1) or not counts.get(0):
         return Model()
     rows = found.where("text is not null").select("toxic", "id", F.col("text").cast("string").alias("text"))
-    rows = bounded_sample(rows, "toxic", {1: sample[0], 0: sample[1]}, {v: counts[v] for v in (0, 1)})
-    rows = materialise(_without_copies(rows.select("toxic", "text")), "sample")
+    some = bounded_sample(rows, "toxic", {1: sample[0], 0: sample[1]}, {v: counts[v] for v in (0, 1)})
+    rows = materialise(_without_copies(some.select("toxic", "text")), "sample")
+    discard(some, known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _counted(batches, (0, *STEMS))
@@ -298,6 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (8000, 1
             model.weights.append(math.log((r.bad / n_bad) / ((r.good + 0.2) / n_good)))
     _learn_windows(rows, model)
     _learn_regression(rows, model)
+    discard(rows)
     return model
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_spread, materialise
+from .common import discard, join_spread, materialise
 from .components import connected_components
 from .vectors import packed_vectors, stack, vector_kind
 
@@ -204,6 +204,8 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.9, recall: float = 0.
     rooted = classes.select("class", "least", "m").join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "component").join(degrees, "class", "left").select("class", "m", F.struct((F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id").alias("found"))
-    out = join_spread(known.select("id", "class"), materialise(named, "components"), "class", "m", "found")
+    named = materialise(named, "components")
+    discard(classes, coded, large, met, linked, dense)
+    out = join_spread(known.select("id", "class"), named, "class", "m", "found")
     component = F.coalesce(F.col("found.component_id"), F.col("id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce(F.col("found.n_links"), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
