@@ -78,6 +78,38 @@ def policy_counterfactual(events: DataFrame, bars: DataFrame, h: int, trim: floa
     return joined.select(*events.columns, F.inline(F.array(*rows)))
 
 
+def policy_paths(events: DataFrame, bars: DataFrame, bench: DataFrame, h: int, trim: float, waits: tuple[int, ...], costs: tuple[float, ...]) -> DataFrame:
+    """Each event (id, entity, date), policy and cost rate: terminal wealth against holding, over the wealth at the start
+    (delta), the upside missed, and how much shallower the deepest drawdown of the policy's daily wealth is than that of
+    holding. Policies sell `trim` of the share at the next open and keep the cash (keep_cash), buy back after each wait
+    (reenter_<n>), or hold the benchmark instead (benchmark; bench: date, open, close). Events whose h sessions have not
+    passed, or lack a benchmark price, are left out. Only events' own rows are made."""
+    from .paths import path_rows
+
+    b = bars.select("entity", "date", "open", "close").join(bench.select("date", F.col("open").alias("bo"), F.col("close").alias("bc")), "date", "left")
+    path = path_rows(events.select("id", "entity", "date"), b, 0, h, ["open", "close", "bo", "bc"])
+    whole = Window.partitionBy("id")
+    at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c))).over(whole)
+    path = path.withColumn("n", F.count(F.lit(1)).over(whole)).where(F.col("n") == h + 1)
+    path = path.withColumn("base", at("close", 0)).withColumn("out", at("open", 1)).withColumn("bout", at("bo", 1)).withColumn("end", at("close", h)).withColumns({f"in{w}": at("open", 1 + w) for w in waits})
+    path = path.where("out > 0 and bout > 0")
+    sold, kinds = F.col("k") >= 1, []
+    for c in costs:
+        cash = F.lit(trim) * F.col("out") * (1 - c)
+        kept = F.when(sold, 1 - trim).otherwise(1.0) * F.col("close")
+        kinds.append(F.struct(F.lit("keep_cash").alias("policy"), F.lit(c).alias("cost"), (kept + F.when(sold, cash).otherwise(0.0)).alias("wealth")))
+        kinds.append(F.struct(F.lit("benchmark").alias("policy"), F.lit(c).alias("cost"), (kept + F.when(sold, cash * (1 - c) / F.col("bout") * F.col("bc")).otherwise(0.0)).alias("wealth")))
+        for w in waits:
+            back = F.col("k") >= 1 + w
+            wealth = kept + F.when(back, cash * (1 - c) / F.col(f"in{w}") * F.col("close")).when(sold, cash).otherwise(0.0)
+            kinds.append(F.struct(F.lit(f"reenter_{w}").alias("policy"), F.lit(c).alias("cost"), wealth.alias("wealth")))
+    each = path.select("id", "k", "base", "close", "end", F.inline(F.array(*kinds)))
+    upto = Window.partitionBy("id", "policy", "cost").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("fall", F.col("wealth") / F.max("wealth").over(upto) - 1).withColumn("hold_fall", F.col("close") / F.max("close").over(upto) - 1)
+    out = each.groupBy("id", "policy", "cost").agg(((F.max_by("wealth", "k") - F.max("end")) / F.max("base")).alias("delta"), F.greatest(F.lit(0.0), F.abs(F.min("hold_fall")) - F.abs(F.min("fall"))).alias("drawdown_avoided"))
+    return out.withColumn("missed_upside", F.greatest(F.lit(0.0), -F.col("delta")))
+
+
 def monthly_forward(monthly: DataFrame, h: int) -> DataFrame:
     """(entity, month, close) with the return and the trough of the h following months."""
     w = Window.partitionBy("entity").orderBy("month")

@@ -233,6 +233,20 @@ def f9_policy_counterfactual(spark, sf):
     return policy(spark, sf).select("entity", "date", "wait", "cost", r("wealth_delta"), r("share_delta"))
 
 
+@query(CTES + REPLAY + """, mk AS (SELECT date, avg(open) AS bo, avg(close) AS bc FROM bars GROUP BY date), nb AS (SELECT bars.*, bo, bc, row_number() OVER (PARTITION BY entity ORDER BY date) AS i FROM bars JOIN mk USING (date)),
+p AS (SELECT e.entity || '|' || e.date::VARCHAR AS id, b.i - e.i AS k, b.open, b.close, b.bo, b.bc, e.close AS base FROM nb e JOIN starts s ON s.entity = e.entity AND s.date = e.date AND s.stage = 'RUSH' JOIN nb b ON b.entity = e.entity AND b.i BETWEEN e.i AND e.i + 63),
+q AS (SELECT *, count(*) OVER w AS n, max(open) FILTER (WHERE k = 1) OVER w AS out, max(bo) FILTER (WHERE k = 1) OVER w AS bout, max(open) FILTER (WHERE k = 22) OVER w AS in21, max(close) FILTER (WHERE k = 63) OVER w AS fin FROM p WINDOW w AS (PARTITION BY id)),
+x AS (SELECT id, k, close, base, fin, policy, cost, CASE WHEN k >= 1 THEN 0.95 ELSE 1 END * close + CASE WHEN k < 1 THEN 0 WHEN policy = 'keep_cash' OR (policy = 'reenter_21' AND k < 22) THEN 0.05 * out * (1 - cost) WHEN policy = 'benchmark' THEN 0.05 * out * (1 - cost) * (1 - cost) / bout * bc ELSE 0.05 * out * (1 - cost) * (1 - cost) / in21 * close END AS wealth
+ FROM q, (VALUES ('keep_cash'), ('reenter_21'), ('benchmark')) v(policy), (VALUES (0.0::DOUBLE), (0.001::DOUBLE)) c(cost) WHERE n = 64 AND out > 0 AND bout > 0),
+y AS (SELECT *, wealth / max(wealth) OVER w - 1 AS fall, close / max(close) OVER w - 1 AS hold_fall FROM x WINDOW w AS (PARTITION BY id, policy, cost ORDER BY k))
+SELECT id, policy, cost, round((arg_max(wealth, k) - max(fin)) / max(base), 6) AS delta, round(greatest(0, abs(min(hold_fall)) - abs(min(fall))), 6) AS drawdown_avoided, round(greatest(0, -(arg_max(wealth, k) - max(fin)) / max(base)), 6) AS missed_upside FROM y GROUP BY id, policy, cost""")
+def f9_policy_paths(spark, sf):
+    b = bars(spark, sf)
+    starts = W.entries(staged(spark, sf).select("entity", "date", "stage"), "stage", ["RUSH"]).select(F.concat_ws("|", "entity", F.col("date").cast("string")).alias("id"), "entity", "date")
+    bench = b.groupBy("date").agg(F.avg("open").alias("open"), F.avg("close").alias("close"))
+    return O.policy_paths(starts, b, bench, 63, 0.05, (21,), (0.0, 0.001)).select("id", "policy", "cost", r("delta"), r("drawdown_avoided"), r("missed_upside"))
+
+
 @query(CTES + POLICY + " SELECT entity, date, max(CASE WHEN cost = 0 THEN round((shares * fin + cash) / fin - 1, 6) END) AS free, max(CASE WHEN cost > 0 THEN round((shares * fin + cash) / fin - 1, 6) END) AS charged FROM pol WHERE wait = 21 GROUP BY ALL")
 def a29_pivot_costs(spark, sf):
     wide = A.pivot_costs(policy(spark, sf).where("wait = 21").withColumn("wealth_delta", F.round("wealth_delta", 6)), ["entity", "date"], "cost", [0.0, 0.001], "wealth_delta")

@@ -178,10 +178,12 @@ def p10_explode_classes(spark, sf):
     return T.explode_classes(table(spark, sf, "part").select("p_partkey", cell.alias("symbol")), "symbol", ["p_partkey"])
 
 
-@query()
+@query("SELECT doc_id AS key, 'sales' AS metric, (n_chars % 50) * 1e6 AS low, (n_chars % 90) * 1e6 AS high, 'Q' || (n_chars % 4 + 1) || '-2024' AS period FROM documents WHERE n_chars % 50 <= n_chars % 90")
 def p15_extract_ranges(spark, sf):
-    made = F.concat_ws(" ", F.lit("we expect sales of"), (F.col("n_chars") % 50).cast("string"), F.lit("to"), (F.col("n_chars") % 90).cast("string"), F.lit("million."), F.col("text"))
-    return T.extract_ranges(table(spark, sf, "documents").select("doc_id", made.alias("text")), "doc_id", "text", {"sales": "sales|revenue", "eps": "per share"})
+    """A sentence of guidance before each text whose own digits are taken out, so that SQL knows what must be found."""
+    c = lambda n: (F.col("n_chars") % n).cast("string")
+    made = F.concat(F.lit("For Q"), (F.col("n_chars") % 4 + 1).cast("string"), F.lit(" 2024 we expect sales of "), c(50), F.lit(" to "), c(90), F.lit(" million. "), F.regexp_replace(F.coalesce("text", F.lit("")), "[0-9]", "#"))
+    return T.extract_ranges(table(spark, sf, "documents").select("doc_id", made.alias("text")), "doc_id", "text", {"sales": "sales|revenue", "eps": "per share"}, periods=True)
 
 
 @query(r"""WITH c AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents), s AS (SELECT doc_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS n FROM c), k AS (SELECT *, lower(sentence) AS low FROM s WHERE length(sentence) BETWEEN 20 AND 400 AND length(regexp_replace(sentence, '[^0-9]', '', 'g')) / length(sentence) <= 0.3 AND NOT regexp_matches(lower(sentence), 'license|copyright'))
