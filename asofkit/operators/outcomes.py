@@ -8,21 +8,33 @@ from pyspark.sql import functions as F
 from .windows import series
 
 
+def with_forward(bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """bars with the next open as entry, and per horizon the close at its end and the extremes on the way (c<h>, h<h>,
+    l<h>): window frames over each entity's series, so no path is copied."""
+    cols = {"entry": F.lead("open", 1).over(series())}
+    for h in horizons:
+        ahead = series().rowsBetween(1, h)
+        cols |= {f"c{h}": F.lead("close", h).over(series()), f"h{h}": F.max("high").over(ahead), f"l{h}": F.min("low").over(ahead)}
+    return bars.withColumns(cols)
+
+
+def outcome_rows(events: DataFrame, keep: list[str], horizons: tuple[int, ...]) -> DataFrame:
+    """Events that carry the columns of with_forward x horizon: return to the close of the horizon's last session, and
+    largest rise and fall on the way; horizons that have not passed are left out."""
+    each = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"c{h}").alias("c"), F.col(f"h{h}").alias("h"), F.col(f"l{h}").alias("l")) for h in horizons)))
+    rel = lambda c: F.try_divide(F.col(f"o.{c}"), F.col("entry")) - 1
+    return events.select(*keep, "entry", each.alias("o")).where("o.c is not null").select(*keep, "entry", "o.horizon", rel("c").alias("ret"), rel("h").alias("mfe"), rel("l").alias("mae"))
+
+
 def replay_outcomes(events: DataFrame, bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """events (entity, date on a session, ...) x horizon: entry at the next session's open, return to the close of the
     horizon's last session, largest rise and fall of high and low on the way.
 
-    Every bar's forward extremes are computed once by window frames, so events join by equality and no path is copied.
+    Every bar's forward extremes are computed once, so events join by equality. Events that are rows of the bars
+    themselves need no join: with_forward and outcome_rows serve them in one pass.
     """
-    cols = [F.lead("open", 1).over(series()).alias("entry")]
-    for h in horizons:
-        ahead = series().rowsBetween(1, h)
-        cols += [F.lead("close", h).over(series()).alias(f"c{h}"), F.max("high").over(ahead).alias(f"h{h}"), F.min("low").over(ahead).alias(f"l{h}")]
-    forward = bars.select("entity", "date", *cols)
-    joined = events.join(forward, ["entity", "date"])
-    each = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"c{h}").alias("c"), F.col(f"h{h}").alias("h"), F.col(f"l{h}").alias("l")) for h in horizons)))
-    rel = lambda c: F.try_divide(F.col(f"o.{c}"), F.col("entry")) - 1
-    return joined.select(*events.columns, "entry", each.alias("o")).where("o.c is not null").select(*events.columns, "entry", "o.horizon", rel("c").alias("ret"), rel("h").alias("mfe"), rel("l").alias("mae"))
+    forward = with_forward(bars, horizons).drop(*(c for c in bars.columns if c not in ("entity", "date")))
+    return outcome_rows(events.join(forward, ["entity", "date"]), events.columns, horizons)
 
 
 def forward_metrics(bars: DataFrame, h: int) -> DataFrame:

@@ -153,8 +153,9 @@ replay AS (SELECT entity, date, stage, h AS horizon, c / entry - 1 AS ret, hi /
 
 
 def replay(spark, sf):
-    starts = W.entries(staged(spark, sf).select("entity", "date", "stage"), "stage").select("entity", "date", "stage")
-    return O.replay_outcomes(starts, bars(spark, sf), (5, 21))
+    # Stages and outcomes are windows over the same series: one scan and one shuffle of the bars.
+    starts = W.entries(staged(spark, sf, O.with_forward(bars(spark, sf), (5, 21))), "stage")
+    return O.outcome_rows(starts, ["entity", "date", "stage"], (5, 21))
 
 
 @query(CTES + REPLAY + " SELECT entity, date, stage, horizon, round(ret, 6) AS ret, round(mfe, 6) AS mfe, round(mae, 6) AS mae FROM replay")

@@ -278,9 +278,9 @@ STAGED = """, pos AS (SELECT entity, date, close, CASE WHEN count(close) OVER w
 staged AS (SELECT entity, date, close, CASE WHEN score < 15 THEN 'FLEE' WHEN score < 40 THEN 'SCATTER' WHEN score < 60 THEN 'CALM' WHEN score < 75 THEN 'DRIFT' ELSE 'RUSH' END AS stage FROM pos WHERE score IS NOT NULL)"""
 
 
-def staged(spark, sf):
+def staged(spark, sf, b=None):
     """Bars with a 52-week position and its stage."""
-    b = bars(spark, sf)
+    b = bars(spark, sf) if b is None else b
     high, low = W.rolling("close", 252, 20, "max"), W.rolling("close", 252, 20, "min")
     scored = b.withColumn("score", F.try_divide(F.col("close") - low, high - low) * 100).where("score is not null")
     return scored.withColumn("stage", S.stage(F.col("score")))
