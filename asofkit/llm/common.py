@@ -66,11 +66,12 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the folders of materialised tables that no plan reads any more."""
+    """Delete the folders of materialised tables that no plan reads any more, through the file systems that Spark knows."""
     for t in tables:
+        spark = t.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            fs, path = file_system(folder)
-            fs.delete_dir(path)
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
