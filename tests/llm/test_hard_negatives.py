@@ -54,7 +54,7 @@ def test_scores_beyond_doubles_stay_exact(spark):
     got = hn.mine_hard_negatives(spark.createDataFrame(rows, SCHEMA), "id % 30 = 0", least=-100, most=1000)
     clamp = lambda r: (*r[:4], min(r[4], 2**63 - 1), min(r[5], 2**63 - 1))
     assert {r.positive_score for r in got.collect()} == {clamp(r)[4] for r in brute(rows, 30, -100, 1000)} == {2**63 - 1}
-    small = [(i, [x / 2.0**14 for x in v], label, None) for i, v, label, _ in rows]
+    small = [(i, [x / 2.0**18 for x in v], label, None) for i, v, label, _ in rows]
     got = hn.mine_hard_negatives(spark.createDataFrame(small, SCHEMA), "id % 30 = 0", least=-100, most=1000)
     assert sorted(map(tuple, got.collect())) == brute(small, 30, -100, 1000)
 
