@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hard_negatives, langid, linededup, mixing, ngram_join, packing, permutation_index, token_index, toxicity, variants, vector_dedup, warc
+from . import hard_negatives, langid, linededup, mixing, ngram_join, packing, permutation_index, ppm, token_index, toxicity, variants, vector_dedup, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -154,6 +154,11 @@ FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 1
 QUALIFY rank <= 3
 """
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ppm.score_documents(table(spark, sf_dir, "documents"), ~langid.held_out(folds=10), order=5)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = variants.count_words(table(spark, sf_dir, "documents"), least_length=6, least_count=5, drop_every=199)
     return variants.spelling_variants(words, ratio=5)
@@ -171,6 +176,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_join": op10_ngram_join,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES = {"op3_mixing": OP3_SQL, "op9_line_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL}
