@@ -53,7 +53,7 @@ class Model:
     def kernel(self, rows: np.ndarray) -> np.ndarray:
         both = rows[:, self.columns].astype(np.float32) @ self.landmarks.astype(np.float32).T
         size = np.maximum(rows.sum(1, dtype=np.int64), 1)
-        return both / np.sqrt(size[:, None] * self.sizes[None, :])
+        return both / np.sqrt(size[:, None] * np.maximum(self.sizes, 1)[None, :])
 
     def predict(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best class and its share of the softmax over the one-versus-rest values."""
@@ -76,19 +76,21 @@ def fit(rows: list[bytes], langs: list[str], landmarks: int, ridge: float) -> Mo
     kmm = model.kernel(marks).astype(float)
     target = np.where(y[:, None] == np.arange(len(classes))[None, :], 1.0, -1.0)
     model.weights = np.linalg.solve(k.T @ k + ridge * len(rows) * kmm + 1e-6 * np.eye(len(kmm)), k.T @ target).astype(np.float32)
+    if not np.isfinite(model.weights).all():
+        raise ArithmeticError("the ridge solution is not finite")
     return model
 
 
 def train(docs: DataFrame, per_class: int = 300, landmarks: int = 32, ridge: float = 1e-4, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """Fit on at most per_class labelled rows of each language, chosen by a hash of their key and text.
 
-    The bound is this sample's only limit; its presence rows (8 KB each) go to the driver. Rows without key, text or
-    label teach nothing, repeated rows count once, and rows of equal keys are rows of their own; very long texts count
+    The bound is this sample's only limit; its presence rows (8 KB each) go to the driver. Rows without key or
+    label, and texts without a letter (null, empty, white space, numbers) teach nothing, repeated rows count once, and rows of equal keys are rows of their own; very long texts count
     whole; other columns play no part. None if there is no labelled text.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    labelled = columns(docs, id=key, lang=lang, text=text).where("lang is not null and text is not null and id is not null")
+    labelled = columns(docs, id=key, lang=lang, text=text).where("lang is not null and id is not null").where(F.regexp_like("text", F.lit(r"\p{L}")))
     labelled = labelled.select("id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
