@@ -34,7 +34,7 @@ def j1_asof_join(spark, sf):
 
 
 @query("""
-WITH g AS (SELECT DISTINCT o_custkey, last_day(o_orderdate::DATE) AS as_of FROM orders WHERE o_custkey % 3 = 1),
+WITH g AS (SELECT DISTINCT o_custkey, last_day(o_orderdate::DATE) AS as_of FROM orders),
 f AS (SELECT o_custkey, o_orderpriority, o_orderdate::DATE AS accepted, o_orderkey, o_totalprice FROM orders)
 SELECT g.o_custkey, as_of, o_orderpriority, accepted, o_orderkey, o_totalprice FROM g JOIN f ON g.o_custkey = f.o_custkey AND accepted <= as_of AND as_of - accepted <= 700
 QUALIFY row_number() OVER (PARTITION BY g.o_custkey, as_of, o_orderpriority ORDER BY accepted DESC, o_orderkey DESC) = 1""")
@@ -346,7 +346,7 @@ def a18_drift_metrics(spark, sf):
     return A.drift_metrics(table(spark, sf, "lineitem"), ["l_returnflag"], "l_tax", "l_discount", 0.045).select("l_returnflag", "n", r("coverage"), r("median_err"), r("p95_err"), r("beyond"))
 
 
-SNAP = """WITH s AS (SELECT DISTINCT last_day(o_orderdate::DATE) AS date, o_custkey AS entity FROM orders WHERE o_custkey % 5 = 1), d AS (SELECT date, row_number() OVER (ORDER BY date) AS i, lead(date) OVER (ORDER BY date) AS nxt FROM (SELECT DISTINCT date FROM s)),
+SNAP = """WITH s AS (SELECT DISTINCT last_day(o_orderdate::DATE) AS date, o_custkey AS entity FROM orders), d AS (SELECT date, row_number() OVER (ORDER BY date) AS i, lead(date) OVER (ORDER BY date) AS nxt FROM (SELECT DISTINCT date FROM s)),
 j AS (SELECT s.*, i, nxt, i - row_number() OVER (PARTITION BY entity ORDER BY i) AS g FROM s JOIN d USING (date)), iv AS (SELECT entity, min(date) AS valid_from, arg_max_null(nxt, i) AS valid_to FROM j GROUP BY entity, g)"""
 
 

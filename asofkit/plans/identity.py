@@ -102,7 +102,7 @@ def k7_rank_gaps(spark, sf):
     return I.rank_gaps(table(spark, sf, "lineitem"), "l_suppkey", "l_partkey", "l_quantity", 20)
 
 
-@query(CTES + STAGED + """, c AS (SELECT entity, date, stage, lag(stage) OVER (PARTITION BY entity ORDER BY date) AS previous FROM staged), u AS (SELECT c_custkey AS reader, DATE '2000-01-01' + (c_custkey % 300)::INT AS cur FROM customer WHERE c_custkey <= 50)
+@query(CTES + STAGED + """, c AS (SELECT entity, date, stage, lag(stage) OVER (PARTITION BY entity ORDER BY date) AS previous FROM staged), u AS (SELECT c_custkey AS reader, DATE '2000-01-01' + (c_custkey % 300)::INT AS cur FROM customer)
 SELECT reader, entity, date, previous, stage FROM c JOIN u ON date > cur WHERE previous <> stage QUALIFY row_number() OVER (PARTITION BY reader ORDER BY date DESC, entity) <= 10""")
 def k6_change_feed(spark, sf):
     readers = table(spark, sf, "customer").select(F.col("c_custkey").alias("reader"), F.date_add(day("2000-01-01"), (F.col("c_custkey") % 300).cast("int")).alias("cursor"))

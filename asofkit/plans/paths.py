@@ -14,7 +14,7 @@ from .registry import query
 
 #: Events: bars on which the close is the highest of 63 rows, numbered by entity and date.
 EVENTS = """, nb AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS i, count(*) OVER (PARTITION BY entity) AS len FROM bars),
-ev AS (SELECT entity || '|' || date::VARCHAR AS id, entity, date, i, len, close AS base FROM (SELECT *, max(close) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) AS before FROM nb) WHERE close > before AND i % 3 = 0)"""
+ev AS (SELECT entity || '|' || date::VARCHAR AS id, entity, date, i, len, close AS base FROM (SELECT *, max(close) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) AS before FROM nb) WHERE close > before)"""
 
 
 def numbered(spark, sf):
@@ -23,7 +23,7 @@ def numbered(spark, sf):
 
 def path_events(b):
     before = F.max("close").over(W.series().rowsBetween(-63, -1))
-    return b.withColumn("before", before).where("close > before and i % 3 = 0").select(F.concat_ws("|", "entity", F.col("date").cast("string")).alias("id"), "entity", "date")
+    return b.withColumn("before", before).where("close > before").select(F.concat_ws("|", "entity", F.col("date").cast("string")).alias("id"), "entity", "date")
 
 
 def context(spark, sf):

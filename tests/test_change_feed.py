@@ -1,17 +1,6 @@
-import os
-
-import pytest
-from whole_sql import DATA, both
-
 from asofkit.operators import ledger as L
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are absent")
-def test_every_customer_has_a_feed(spark):
-    got, want = both(spark, "k6_change_feed", " WHERE c_custkey <= 50")
-    assert got == want and len(got) > 500
-
-
 def test_cursors_between_and_beyond_the_newest_changes(spark):
     obs = spark.createDataFrame([(e, f"2020-01-0{d}", d % 2) for e in "ab" for d in range(1, 6)], "entity string, date string, v int")
     cursors = spark.createDataFrame([(1, "2019-01-01"), (2, "2020-01-04"), (3, "2020-01-05"), (4, None)], "reader int, cursor string")

@@ -12,7 +12,7 @@ ROOT = Path(__file__).resolve().parent.parent
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are absent")
-@pytest.mark.parametrize("name", ["flagship_replay", "p9_valid_cusip", "b1_weekly_bars", "w21_collapse", "j1_asof_join", "u12_effective_holdings", "l2_fifo_lots", "st7_robust_scores"])
+@pytest.mark.parametrize("name", ["flagship_replay", "p9_valid_cusip", "b1_weekly_bars", "w21_collapse", "j1_asof_join", "u12_effective_holdings", "l2_fifo_lots", "st7_robust_scores", "j2_latest_as_of", "u1_membership_intervals", "u3_members_at", "k6_change_feed", "j14_reconcile", "a14_coverage_audit", "f12_success_label"])
 def test_query_matches_sql(spark, name):
     import duckdb
 

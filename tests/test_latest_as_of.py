@@ -1,20 +1,10 @@
 import datetime as dt
-import os
 
-import pytest
 from pyspark.sql import functions as F
-from whole_sql import DATA, both
 
 from asofkit.operators import joins as J
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are absent")
-@pytest.mark.parametrize("name, subset", [("j2_latest_as_of", " WHERE o_custkey % 3 = 1"), ("u1_membership_intervals", " WHERE o_custkey % 5 = 1"), ("u3_members_at", " WHERE o_custkey % 5 = 1")])
-def test_no_customer_is_left_out(spark, name, subset):
-    got, want = both(spark, name, subset)
-    assert got == want and got
-
-
 def test_latest_as_of_ties_ages_and_nulls(spark):
     d = lambda m, n: dt.date(2020, m, n)
     facts = spark.createDataFrame([("a", "p", d(1, 1), 1), ("a", "p", d(1, 5), 2), ("a", "p", d(1, 5), 3), ("a", None, d(1, 2), 4), ("a", "q", None, 5), ("b", "p", d(1, 1), 6), (None, "p", d(1, 1), 7)], "k string, period string, accepted date, id int")
