@@ -6,9 +6,9 @@ known context, escaping (method D) to shorter ones; symbols of a longer context
 seen in a context are also seen in each shorter one, so a node needs four numbers only: its count, its symbols, and both
 for its parent without them. The code length of a text is the sum over its bytes.
 
-Nothing of the trie is held whole. Texts lie in pieces of bounded size; a piece names its distinct grams (context and
-byte) and words, their counts are summed by hash, the trie is built in subtries that share their contexts' last two
-bytes, and every piece gets the values of its own grams and words back.
+Nothing of the trie is held whole. Texts lie in pieces of bounded size, one row each; a piece names its distinct grams
+(context and byte) and words, their counts are summed by hash, the trie is built in subtries that share their contexts'
+last two bytes, and every piece gets the values of its own grams and words back, in the order in which it named them.
 """
 
 from __future__ import annotations
@@ -52,15 +52,15 @@ def canonical(data: np.ndarray, off: np.ndarray) -> list[tuple[bytes, int]]:
 
 
 class Texts:
-    """Streams of some documents, each behind `order` end bytes, to be read in segments."""
+    """The streams of a piece, each behind `order` end bytes, to be read in segments."""
 
-    def __init__(self, streams: pa.Array, order: int) -> None:
-        data, off = bytes_of(streams)
-        self.order, lengths = order, np.diff(off)
-        self.start = np.cumsum(lengths + order) - lengths
-        self.buf = np.full(int(lengths.sum()) + order * len(lengths), END, np.uint8)
+    def __init__(self, streams: bytes, lengths: list[int], order: int) -> None:
+        data = np.frombuffer(pa.decompress(streams, decompressed_size=sum(lengths), codec="zstd", asbytes=True), np.uint8)
+        self.order, size = order, np.array(lengths, np.int64)
+        self.start = np.cumsum(size + order) - size
+        self.buf = np.full(len(data) + order * len(size), END, np.uint8)
         self.real = np.zeros(len(self.buf), bool)
-        for at, a, n in zip(self.start.tolist(), off[:-1].tolist(), lengths.tolist()):
+        for at, a, n in zip(self.start.tolist(), (np.cumsum(size) - size).tolist(), lengths, strict=True):
             self.buf[at : at + n], self.real[at : at + n] = data[a : a + n], True
 
     def segments(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -109,13 +109,30 @@ class Tally:
         return summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True))) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def packed(a: np.ndarray, rising: bool = False) -> bytes:
+    """8-byte numbers (rising ones as differences) by byte planes, compressed."""
+    a = np.diff(a, prepend=a.dtype.type(0)) if rising else a
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(a).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(rows: list[bytes], kind: str, rising: bool = False) -> np.ndarray:
+    """The numbers of packed rows, one after another."""
+    out = [np.zeros(0, kind)]
+    for r in rows:
+        n = int.from_bytes(r[:8], "little")
+        planes = pa.decompress(r[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
+        a = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(kind).ravel()
+        out.append(np.cumsum(a, dtype=a.dtype) if rising else a)
+    return np.concatenate(out)
+
+
 class Lookup:
-    """Values by 64-bit key: one probe of an open table, a binary search for the few keys that lost their slot."""
+    """Values by distinct 64-bit key: one probe of an open table, a binary search for the few keys that lost their slot."""
 
-    def __init__(self, keys: list[bytes], values: list[bytes]) -> None:
-        keys, values = np.frombuffer(b"".join(keys), "<u8"), np.frombuffer(b"".join(values), "<f8")
-        self.keys, first = np.unique(keys, return_index=True)
-        self.values = values[first]
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], values[order]
         bits = max(4, int(4 * len(self.keys)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.slots = np.zeros(1 << bits, np.int32)
@@ -203,19 +220,23 @@ def code_lengths(grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, n
     return out
 
 
-def _dealt(kind: str, keys: np.ndarray, values: np.ndarray, n: int, suffix: bool = False) -> Iterator[tuple[str, int, bytes, bytes, int, int]]:
-    """Rows (kind, bucket, keys, values, sum, positive ones) by a hash of the keys, or of their contexts' last two bytes."""
+def _deal(keys: np.ndarray, n: int, suffix: bool = False) -> list[np.ndarray]:
+    """Places of rising keys in each of n buckets, by a hash of the keys or of their contexts' last two bytes."""
     bucket = (mix64(keys >> np.uint64(48) if suffix else keys) % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in range(n):
-        some = order[cuts[b] : cuts[b + 1]]
+    return np.split(order, np.searchsorted(bucket[order], np.arange(1, n)))
+
+
+def _dealt(kind: str, keys: np.ndarray, values: np.ndarray, n: int, suffix: bool = False) -> Iterator[tuple[str, int, bytes, bytes, int, int]]:
+    """Rows (kind, bucket, keys, values, sum, positive ones) of rising keys."""
+    for b, some in enumerate(_deal(keys, n, suffix)):
         if len(some):
-            yield kind, b, keys[some].astype("<u8").tobytes(), values[some].astype("<i8" if values.dtype.kind == "i" else "<f8").tobytes(), int(values[some].sum()), int((values[some] > 0).sum())
+            yield kind, b, packed(keys[some], rising=True), packed(values[some]), int(values[some].sum()), int((values[some] > 0).sum())
 
 
 _ROWS = pa.schema([("kind", pa.string()), ("b", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary()), ("total", pa.int64()), ("known", pa.int64())])
 _ASKED = pa.schema([("p", pa.int64()), ("kind", pa.string()), ("b", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
+_ANSWERS = pa.schema([("p", pa.int64()), ("kind", pa.string()), ("b", pa.int32()), ("vals", pa.binary())])
 _KINDS = "kind string, b int, keys binary, vals binary, total long, known long"
 
 
@@ -223,6 +244,11 @@ def _table(rows: list[tuple], schema: pa.Schema = _ROWS) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
 
 
+def numbers(t: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of packed rows."""
+    return unpacked(t.column("keys").to_pylist(), "<u8", rising=True), unpacked(t.column("vals").to_pylist(), kind)
+
+
 def score_documents(docs: DataFrame, learn: Column, order: int = 5, piece: int = PIECE_BYTES, bucket: int = BUCKET_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, learned, n_tokens, n_known, train_tokens, base_score, score of every document.
 
@@ -242,52 +268,52 @@ def score_documents(docs: DataFrame, learn: Column, order: int = 5, piece: int =
     given = given.select("doc_id", F.coalesce(learn, F.lit(False)).alias("learned"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, task = 0, 0, TaskContext.get().partitionId()
+        at, held, task, docs_ = 0, 0, TaskContext.get().partitionId(), []
+
+        def told() -> pa.RecordBatch:
+            ids, learned, n, streams = zip(*docs_, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(task << 32) + at]), pa.array([ids], pa.list_(pa.int64())), pa.array([learned], pa.list_(pa.bool_())), pa.array([n], pa.list_(pa.int64())), pa.array([list(map(len, streams))], pa.list_(pa.int64())), pa.array([pa.compress(b"".join(streams), codec="zstd", asbytes=True)], pa.binary())],
+                ["p", "doc_id", "learned", "n_tokens", "bytes", "streams"],
+            )
+
         for batch in batches:
             rows = canonical(*bytes_of(batch.column(2)))
-            where = []
-            for stream, _ in rows:
-                if held and held + len(stream) > piece:
-                    at, held = at + 1, 0
+            for i, learned, (stream, n) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), rows, strict=True):
+                if docs_ and held + len(stream) > piece:
+                    yield told()
+                    at, held, docs_ = at + 1, 0, []
                 held += len(stream)
-                where.append((task << 32) + at)
-            streams = pa.array([s for s, _ in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(where, pa.int64()), pa.array([n + 1 for _, n in rows], pa.int64()), streams], ["doc_id", "learned", "p", "n_tokens", "stream"])
+                docs_.append((i, learned, n + 1, stream))
+        if docs_:
+            yield told()
 
-    pieces = materialise(given.mapInArrow(cut, "doc_id long, learned boolean, p long, n_tokens long, stream binary"), "pieces")
-    sizes = pieces.agg(F.count_if("learned").alias("ends"), F.coalesce(F.sum(F.length("stream")), F.lit(0)).alias("bytes")).first()
+    pieces = materialise(given.mapInArrow(cut, "p long, doc_id array<long>, learned array<boolean>, n_tokens array<long>, bytes array<long>, streams binary"), "pieces")
+    count = F.size(F.filter("learned", lambda x: x)).cast("long")
+    sizes = pieces.agg(F.coalesce(F.sum(count), F.lit(0)).alias("ends"), F.coalesce(F.sum(F.aggregate("bytes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("bytes")).first()
     # About a byte of packed grams and words for each byte of text.
     buckets = max(n_partitions(spark), -(-sizes.bytes // bucket))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tallies = None, {}
-
-        def told() -> Iterator[pa.RecordBatch]:
-            rows = [(now, *row[:4]) for kind, tally in tallies.items() for row in _dealt(kind, *tally.all(), buckets)]
-            yield from _table(rows, _ASKED).to_batches()
-
         for batch in batches:
-            p = np.asarray(batch.column(0))
-            for a, b in zip(starts := np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])), [*starts[1:], len(p)]):
-                if p[a] != now:
-                    yield from told()
-                    now, tallies = int(p[a]), {"gram": Tally(_LEARN), "word": Tally(np.uint64(1))}
-                part = batch.slice(a, b - a)
-                learned = np.asarray(part.column(1))
-                for doc, gram, of, word in Texts(part.column(2), order).segments():
-                    tallies["gram"].add(gram, learned[doc])
-                    tallies["word"].add(word, learned[of])
-        yield from told()
-
-    asked = materialise(pieces.select("p", "learned", "stream").mapInArrow(ask, "p long, kind string, b int, keys binary, vals binary"), "asked")
+            for i in range(batch.num_rows):
+                p, learned, streams = (batch.column(c)[i] for c in range(3))
+                learned, texts = np.array(learned.as_py()), Texts(streams.as_py(), batch.column(3)[i].as_py(), order)
+                grams, words = Tally(_LEARN), Tally(np.uint64(1))
+                for doc, gram, of, word in texts.segments():
+                    grams.add(gram, learned[doc])
+                    words.add(word, learned[of])
+                rows = [(p.as_py(), *row[:4]) for kind, tally in (("gram", grams), ("word", words)) for row in _dealt(kind, *tally.all(), buckets)]
+                yield from _table(rows, _ASKED).to_batches()
+
+    asked = materialise(pieces.select("p", "learned", "streams", "bytes").mapInArrow(ask, "p long, kind string, b int, keys binary, vals binary"), "asked")
 
     def add_up(at: tuple, t: pa.Table) -> pa.Table:
         kind = at[0].as_py()
-        keys, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("keys", "<u8"), ("vals", "<i8")))
-        keys, n = summed(keys, n)
+        keys, n = summed(*numbers(t, "<i8"))
         rows = list(_dealt(kind, keys, n, buckets, suffix=kind == "gram"))
         if kind == "word":
-            rows = [(kind, at[1].as_py(), keys.tobytes(), n.tobytes(), int(n.sum()), int((n > 0).sum()))]
+            rows = [(kind, at[1].as_py(), packed(keys, rising=True), packed(n), int(n.sum()), int((n > 0).sum()))]
         elif (n > 0).any():
             low = summed(keys[n > 0] & (_mask(1) | _SYMBOL), n[n > 0])
             rows += _dealt("low", *low, 1)
@@ -299,48 +325,54 @@ def score_documents(docs: DataFrame, learn: Column, order: int = 5, piece: int =
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, "<i8")), pa.array(np.frombuffer(v, "<i8"))], ["gram", "n"])
+            keys, n = numbers(pa.table([*batch.columns], ["keys", "vals"]), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["gram", "n"])
 
     # Order-1 grams: 256 x 256 at most.
     rows = totals.where("kind = 'low'").select("keys", "vals").mapInArrow(unpack, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     low = spark.sparkContext.broadcast(summed(np.array([r.gram for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)))
 
     def price(at: tuple, t: pa.Table) -> pa.Table:
-        keys, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("keys", "<u8"), ("vals", "<i8")))
+        keys, n = summed(*numbers(t, "<i8"))
         return _table(list(_dealt("gram", keys, code_lengths(keys, n, low.value, order), buckets)))
 
-    def log_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [np.frombuffer(v, "<i8").astype("<f8").tobytes() for v in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values, pa.binary()), *batch.columns[4:]], batch.schema.names)
-
-    priced = totals.where("kind = 'gram'").groupBy("b").applyInArrow(price, _KINDS).unionByName(totals.where("kind = 'word'").mapInArrow(log_counts, _KINDS))
+    priced = totals.where("kind = 'gram'").groupBy("b").applyInArrow(price, _KINDS).unionByName(totals.where("kind = 'word'"))
 
     def answer(at: tuple, ask_: pa.Table, told: pa.Table) -> pa.Table:
-        value = Lookup(told.column("keys").to_pylist(), told.column("vals").to_pylist())
-        out = [(p, at[0].as_py(), k, value(np.frombuffer(k, "<u8")).astype("<f8").tobytes()) for p, k in zip(ask_.column("p").to_pylist(), ask_.column("keys").to_pylist(), strict=True)]
-        return _table(out, pa.schema([("p", pa.int64()), ("kind", pa.string()), ("keys", pa.binary()), ("vals", pa.binary())]))
+        kind, b = (x.as_py() for x in at)
+        value = Lookup(*numbers(told, "<f8" if kind == "gram" else "<i8"))
+        keys = (unpacked([k], "<u8", rising=True) for k in ask_.column("keys").to_pylist())
+        return _table([(p, kind, b, packed(value(k))) for p, k in zip(ask_.column("p").to_pylist(), keys, strict=True)], _ANSWERS)
 
-    answers = asked.select("p", "kind", "b", "keys").groupBy("kind", "b").cogroup(priced.select("kind", "b", "keys", "vals").groupBy("kind", "b")).applyInArrow(answer, "p long, kind string, keys binary, vals binary")
+    answers = asked.select("p", "kind", "b", "keys").groupBy("kind", "b").cogroup(priced.select("kind", "b", "keys", "vals").groupBy("kind", "b")).applyInArrow(answer, "p long, kind string, b int, vals binary")
     ends, unit = sizes.ends, float(np.log10(train_tokens + 0.1 * (distinct + 1)))
 
     def score(at: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
-        kinds = np.array(told.column("kind").to_pylist())
-        value = {k: Lookup(*(told.column(c).filter(pa.array(kinds == k)).to_pylist() for c in ("keys", "vals"))) for k in ("gram", "word")}
-        out: dict[str, list] = {"base": [], "known": [], "score": []}
-        for batch in t.to_batches():
-            n = batch.num_rows
-            base, known, total = np.full(n, np.log10(ends + 0.1)), np.full(n, int(ends > 0)), np.zeros(n)
-            for doc, gram, of, word in Texts(batch.column("stream"), order).segments():
-                total += np.bincount(doc, value["gram"](gram), n)
-                count = value["word"](word & ~np.uint64(1))
-                base += np.bincount(of, np.log10(count + 0.1), n)
-                known += np.bincount(of, count > 0, n).astype(np.int64)
-            out["base"].append(base), out["known"].append(known), out["score"].append(total)
-        base, known, total = (np.concatenate(v) if v else np.zeros(0) for v in out.values())
-        tokens = np.asarray(t.column("n_tokens").combine_chunks(), np.int64)
-        names = ["doc_id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        return pa.table([t.column("doc_id"), t.column("learned"), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(np.full(len(tokens), train_tokens)), pa.array(base - tokens * unit), pa.array(total)], names)
+        row = t.to_pylist()[0]
+        texts, n = Texts(row["streams"], row["bytes"], order), len(row["doc_id"])
+        rows = {(k, b): v for k, b, v in zip(*(told.column(c).to_pylist() for c in ("kind", "b", "vals")), strict=True)}
+
+        def values(kind: str, tally: Tally) -> Lookup:
+            """The answers, which come in the order in which this piece asked."""
+            keys = tally.all()[0]
+            out = np.zeros(len(keys), "<f8" if kind == "gram" else "<i8")
+            for b, some in enumerate(_deal(keys, buckets)):
+                if len(some):
+                    out[some] = unpacked([rows[kind, b]], out.dtype.str)
+            return Lookup(keys, out)
+
+        grams, words = Tally(_LEARN), Tally(np.uint64(1))
+        for _, gram, _, word in texts.segments():
+            grams.add(gram, np.False_)
+            words.add(word, np.False_)
+        price_of, count_of = values("gram", grams), values("word", words)
+        base, known, total = np.full(n, np.log10(ends + 0.1)), np.full(n, int(ends > 0)), np.zeros(n)
+        for doc, gram, of, word in texts.segments():
+            total += np.bincount(doc, price_of(gram), n)
+            count = count_of(word & ~np.uint64(1))
+            base += np.bincount(of, np.log10(count + 0.1), n)
+            known += np.bincount(of, count > 0, n).astype(np.int64)
+        tokens = np.array(row["n_tokens"], np.int64)
+        return pa.table([pa.array(row["doc_id"], pa.int64()), pa.array(row["learned"]), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(np.full(n, train_tokens)), pa.array(base - tokens * unit), pa.array(total)], ["doc_id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return pieces.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(score, "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
