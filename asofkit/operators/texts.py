@@ -1,9 +1,7 @@
-"""Text jobs: classification by markers, item typing, sentences, ranges."""
+"""Text jobs: classification by markers, item typing, signals of HTML parts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,69 +45,9 @@ def item_events(filings: DataFrame, items: str, wanted: dict[str, str]) -> DataF
     return filings.withColumn("kind", F.explode(kinds))
 
 
-def sentence_facts(docs: DataFrame, key: str, text: str, topics: dict[str, str], cues: str, low: int = 20, high: int = 400, digits: float = 0.3, boilerplate: str | None = None) -> DataFrame:
-    """Sentences within length and digit-share gates and without boilerplate, with the topics they name, whether a cue
-    stands in them, whether it is negated, and how many characters lie between the first cue and the first topic."""
-    cut = docs.select(key, F.posexplode(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "), r"(?<=[.!?]) ")).alias("n", "sentence"))
-    n = F.length("sentence")
-    share = F.length(F.regexp_replace("sentence", "[^0-9]", "")) / n
-    kept = cut.where((n >= low) & (n <= high)).where(share <= digits)
-    s = F.lower("sentence")
-    kept = kept if boilerplate is None else kept.where(~F.regexp_like(s, F.lit(boilerplate)))
-    ahead = lambda pattern: F.length(F.regexp_extract(s, f"^(.*?)(?:{pattern})", 1))
-    distance = F.when(F.regexp_like(s, F.lit(cues)), F.abs(ahead(cues) - ahead("|".join(topics.values()))))
-    found = F.array_compact(F.array(*(F.when(F.regexp_like(s, F.lit(p)), name) for name, p in topics.items())))
-    return kept.select(key, "n", "sentence", found.alias("topics"), F.regexp_like(s, F.lit(cues)).alias("cue"), F.regexp_like(s, F.lit(rf"\b(no|not|never|without)\b.{{0,30}}({cues})")).alias("negated"), distance.alias("distance")).where(F.size("topics") > 0)
-
-
 def text_signals(parts: DataFrame, key: str, html: str, patterns: dict[str, str]) -> DataFrame:
     """Length of a key's HTML parts as plain text, one line each, and one flag per pattern, which no match of may span
     parts. Parts are summed up one by one, so a key may have any number of them."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<script\b.*?</script>|<style\b.*?</style>", " "), r"<[^>]*>", " "), r"\s+", " "))
     each = parts.select(key, plain.alias("_t")).select(key, F.length("_t").cast("long").alias("_n"), *(F.regexp_like(F.lower("_t"), F.lit(p)).alias(name) for name, p in patterns.items()))
     return each.groupBy(key).agg((F.sum("_n") + F.count("*") - 1).alias("chars"), *(F.bool_or(name).alias(name) for name in patterns))
-
-
-def extract_ranges(docs: DataFrame, key: str, text: str, metrics: dict[str, str], cue: str = "expect|guid|outlook|forecast", near: int = 80, periods: bool = False) -> DataFrame:
-    """Numeric ranges (low to high, with a scale word) near a cue, with the nearest metric: key, metric, low, high; and if
-    asked for the nearest period within 350 characters (FY2024, Q3-2024; null if none is named).
-
-    Matching by distance is a small helper over each text; repeats are dropped by Spark.
-    """
-    import re
-
-    import pyarrow as pa
-
-    number = re.compile(r"\$?\s*(\d+(?:\.\d+)?)\s*(?:to|-|–|and)\s*\$?\s*(\d+(?:\.\d+)?)\s*(billion|million|thousand)?", re.I)
-    cues, found = re.compile(cue, re.I), {m: re.compile(p, re.I) for m, p in metrics.items()}
-    quarters = {name: i + 1 for i, name in enumerate(("first", "second", "third", "fourth"))}
-    named = [
-        (re.compile(r"\b(?:FY|fiscal\s+year|full[- ]year)\s*(20\d{2})\b|\b(20\d{2})\s+(?:fiscal|full)[- ]year\b", re.I), lambda m: f"FY{m[1] or m[2]}"),
-        (re.compile(r"\bQ([1-4])\s*[- ]?\s*(20\d{2})\b", re.I), lambda m: f"Q{m[1]}-{m[2]}"),
-        (re.compile(r"\b(first|second|third|fourth)\s+quarter(?:\s+of)?\s+(20\d{2})\b", re.I), lambda m: f"Q{quarters[m[1].lower()]}-{m[2]}"),
-    ]
-
-    def period(text: str, centre: int) -> str | None:
-        start = max(0, centre - 350)
-        hits = [(abs(start + (m.start() + m.end()) // 2 - centre), say(m)) for pattern, say in named for m in pattern.finditer(text[start : centre + 350])]
-        return min(hits)[1] if hits else None
-
-    scale = {"billion": 1e9, "million": 1e6, "thousand": 1e3, "": 1.0}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for m in number.finditer(t or ""):
-                    a, b = max(0, m.start() - near), m.end() + near
-                    window, at = t[a:b], m.start() - a
-                    hits = sorted((abs(x.start() - at), name) for name, p in found.items() for x in p.finditer(window))
-                    low, high = (float(x) * scale[(m[3] or "").lower()] for x in (m[1], m[2]))
-                    if hits and cues.search(window) and low <= high:
-                        rows.append((k, hits[0][1], low, high, period(t, (m.start() + m.end()) // 2) if periods else None))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4], pa.string())], ["key", "metric", "low", "high", "period"])
-
-    found = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, metric string, low double, high double, period string").distinct()
-    return found if periods else found.drop("period")

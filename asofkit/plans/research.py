@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
 from ..operators import labels as LB
+from ..operators import spans as S
 from ..operators import texts as T
 from ..operators import windows as W
 from ..sources.testdata import CTES, bars, sectors, table
@@ -178,20 +181,67 @@ def p10_explode_classes(spark, sf):
     return T.explode_classes(table(spark, sf, "part").select("p_partkey", cell.alias("symbol")), "symbol", ["p_partkey"])
 
 
-@query("SELECT doc_id AS key, 'sales' AS metric, (n_chars % 50) * 1e6 AS low, (n_chars % 90) * 1e6 AS high, 'Q' || (n_chars % 4 + 1) || '-2024' AS period FROM documents WHERE n_chars % 50 <= n_chars % 90")
+PLANTED = """CASE doc_id % 5
+  WHEN 0 THEN 'For Q' || (n_chars % 4 + 1)::VARCHAR || ' 2024 we expect revenue of $1,' || (n_chars % 900 + 100)::VARCHAR || ' million to $2,' || (n_chars % 800 + 100)::VARCHAR || ' million. '
+  WHEN 1 THEN 'For FY 2026, the company expects adjusted EPS in the range of (' || (n_chars % 50)::VARCHAR || '.20) to (' || (n_chars % 70)::VARCHAR || '.10) per share. '
+  WHEN 2 THEN 'Third quarter of 2025 outlook: net sales ' || (n_chars % 97)::VARCHAR || ' to ' || (n_chars % 89)::VARCHAR || ' thousand; gross margin ' || (n_chars % 31)::VARCHAR || '% - ' || (n_chars % 37)::VARCHAR || '%. '
+  WHEN 3 THEN '2024 fiscal year forecast of capex between ' || (n_chars % 13)::VARCHAR || ' and ' || (n_chars % 17)::VARCHAR || ' billion, GAAP. ' ELSE '' END || coalesce(text, '')"""
+
+
+def ranges_sql() -> str:
+    """The rule of ranges by joins of all spans of a text."""
+    kinds = {"range": rf"{S.NUMBER}{S._GAP}(?:{S.SCALE})?{S._GAP}(?:{S.JOINT}){S._GAP}{S.NUMBER}(?:{S._GAP}(?:{S.SCALE}))?", "cue": S.GUIDANCE, "period": S.PERIOD, **{f"metric {m}": p for m, (p, _) in S.METRICS.items()}, **S.FLAGS}
+    marked = " UNION ALL ".join(f"SELECT key, '{k}' AS kind, string_split(regexp_replace(t, '(?i)(?:{p})', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS parts FROM d" for k, p in kinds.items())
+    shape = rf"(?i)^({S.NUMBER}){S._GAP}({S.SCALE})?{S._GAP}(?:{S.JOINT}){S._GAP}({S.NUMBER})(?:{S._GAP}({S.SCALE}))?$"
+    unit = " ".join(f"WHEN '{m}' THEN '{u}'" for m, (_, u) in S.METRICS.items())
+    year, quarter = "regexp_extract(lower(value), '20[0-9]{2}')", "regexp_extract(lower(value), '^q([1-4])', 1)"
+    named = " ".join(f"WHEN lower(value) LIKE '{w}%' THEN 'Q{i}-' || {year}" for i, w in enumerate(S.QUARTERS, 1))
+    number = lambda g: f"(CASE WHEN {g} LIKE '%-%' OR ({g} LIKE '(%' AND {g} LIKE '%)') THEN -1 ELSE 1 END * regexp_replace({g}, '[^0-9.]', '', 'g')::DOUBLE)"
+    scaled = lambda own, other: f"coalesce(nullif({own}, ''), {other})"
+    factor = lambda s: f"(CASE WHEN unit = 'USD_PER_SHARE' THEN CASE WHEN {s} = 'cents' THEN 0.01 ELSE 1 END WHEN unit = 'PERCENT' THEN 1 ELSE CASE {s} WHEN 'billion' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'thousand' THEN 1e3 END END)"
+    has = lambda f: f"EXISTS (SELECT 1 FROM s f WHERE f.key = q.key AND f.kind = '{f}' AND f.start >= least(q.start, q.m_start) - 220 AND f.stop <= greatest(q.stop, q.m_stop) + 220)"
+    return f"""WITH d AS (SELECT doc_id AS key, {PLANTED} AS t FROM documents), k AS ({marked}), i AS (SELECT key, kind, parts, unnest(range(2, len(parts) + 1, 2)) AS i FROM k WHERE len(parts) > 1),
+    s AS (SELECT key, kind, parts[i] AS value, length(array_to_string(parts[1:i - 1], '')) AS start, length(array_to_string(parts[1:i], '')) AS stop, (start + stop) // 2 AS mid, CASE {named} WHEN {quarter} <> '' THEN 'Q' || {quarter} || '-' || {year} ELSE 'FY' || {year} END AS period FROM i),
+    m AS (SELECT r.*, kind_m AS metric, m_start, m_stop FROM (SELECT * FROM s WHERE kind = 'range') r JOIN (SELECT key, kind[8:] AS kind_m, start AS m_start, stop AS m_stop, mid AS m_mid FROM s WHERE kind LIKE 'metric %') m ON r.key = m.key AND abs(m_mid - r.mid) <= 120 QUALIFY row_number() OVER (PARTITION BY r.key, r.start ORDER BY abs(m_mid - r.mid), kind_m, m_start, m_stop) = 1),
+    p AS (SELECT m.* EXCLUDE (period), p.period FROM m JOIN s p ON p.key = m.key AND p.kind = 'period' AND abs(p.mid - m.mid) <= 350 QUALIFY row_number() OVER (PARTITION BY m.key, m.start ORDER BY abs(p.mid - m.mid), p.period) = 1),
+    q AS (SELECT *, CASE metric {unit} END AS unit, lower(regexp_extract(value, '{shape}', 1)) AS a, lower(regexp_extract(value, '{shape}', 2)) AS sa, lower(regexp_extract(value, '{shape}', 3)) AS b, lower(regexp_extract(value, '{shape}', 4)) AS sb FROM p WHERE EXISTS (SELECT 1 FROM s c WHERE c.key = p.key AND c.kind = 'cue' AND abs(c.mid - p.mid) <= 500)),
+    f AS (SELECT *, {number("a")} AS x, {number("b")} AS y, {scaled("sa", "sb")} AS fa, {scaled("sb", "sa")} AS fb, {has("non_gaap")} AS non_gaap, {has("gaap")} AS gaap, {has("money")} AS money, {has("percent")} AS pct FROM q),
+    v AS (SELECT *, x * {factor("fa")} AS v1, y * {factor("fb")} AS v2 FROM f WHERE CASE unit WHEN 'USD_PER_SHARE' THEN greatest(abs(x), abs(y)) <= 100 AND money WHEN 'PERCENT' THEN fb LIKE 'percent%' OR pct ELSE true END)
+    SELECT DISTINCT key, metric, period, CASE WHEN non_gaap THEN 'NON_GAAP' WHEN gaap THEN 'GAAP' ELSE 'UNSPECIFIED' END AS basis, unit, least(v1, v2) AS low, greatest(v1, v2) AS high FROM v WHERE v1 IS NOT NULL AND v2 IS NOT NULL"""
+
+
+@query(ranges_sql())
 def p15_extract_ranges(spark, sf):
-    """A sentence of guidance before each text whose own digits are taken out, so that SQL knows what must be found."""
-    c = lambda n: (F.col("n_chars") % n).cast("string")
-    made = F.concat(F.lit("For Q"), (F.col("n_chars") % 4 + 1).cast("string"), F.lit(" 2024 we expect sales of "), c(50), F.lit(" to "), c(90), F.lit(" million. "), F.regexp_replace(F.coalesce("text", F.lit("")), "[0-9]", "#"))
-    return T.extract_ranges(table(spark, sf, "documents").select("doc_id", made.alias("text")), "doc_id", "text", {"sales": "sales|revenue", "eps": "per share"}, periods=True)
-
-
-@query(r"""WITH c AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents), s AS (SELECT doc_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS n FROM c), k AS (SELECT *, lower(sentence) AS low FROM s WHERE length(sentence) BETWEEN 20 AND 400 AND length(regexp_replace(sentence, '[^0-9]', '', 'g')) / length(sentence) <= 0.3 AND NOT regexp_matches(lower(sentence), 'license|copyright'))
-SELECT doc_id, n::INT AS n, list_filter([CASE WHEN regexp_matches(low, '\bthe\b') THEN 'the' END, CASE WHEN regexp_matches(low, '\bder\b') THEN 'der' END], lambda x: x IS NOT NULL) AS topics, regexp_matches(low, 'and|und') AS cue, regexp_matches(low, '\b(no|not|never|without)\b.{0,30}(and|und)') AS negated,
- CASE WHEN regexp_matches(low, 'and|und') THEN abs(length(regexp_extract(low, '^(.*?)(?:and|und)', 1)) - length(regexp_extract(low, '^(.*?)(?:\bthe\b|\bder\b)', 1))) END AS distance FROM k WHERE regexp_matches(low, '\b(the|der)\b')""")
+    """Whole texts as they are, most behind a planted sentence of guidance."""
+    docs = table(spark, sf, "documents").select("doc_id", F.expr(re.sub(r"::VARCHAR", "", PLANTED)).alias("text"))
+    return S.extract_ranges(docs, "doc_id", "text")
+
+
+TOPICS = {"THE": ["the", "the in", "that"], "DER": ["der", "der die", "die"], "LES": ["les", "el"]}
+CUES = {"AND": ["and", "and the", "und"], "IN": ["in", "in the", "en"], "OF": ["of"]}
+COMPARED, NEGATIONS = ["as", "is", "mit"], ["on", "his", "zu", "de"]
+
+
+def facts_sql() -> str:
+    listed = [(p, k, n) for k, group in (("topic", TOPICS), ("cue", CUES), ("comparison", {"": COMPARED})) for n, ps in group.items() for p in ps]
+    fold = "translate(sentence, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    negations = ", ".join(f"'{w}'" for w in NEGATIONS)
+    return rf"""WITH c AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n\f]+', ' ', 'g'), ' '), '([.!?]) ([\"''“‘(]*(?:[A-Z][A-Za-z]|[0-9]{{4}}\b))', '\1' || chr(2) || '\2', 'g'), chr(2)) AS parts FROM documents),
+    s AS (SELECT doc_id, unnest(parts) AS sentence, (generate_subscripts(parts, 1) - 1)::INT AS n FROM c),
+    k AS (SELECT *, {fold} AS low FROM s WHERE length(sentence) BETWEEN 20 AND 400 AND length(regexp_replace(sentence, '[^0-9]', '', 'g')) <= 0.3 * length(replace(sentence, ' ', '')) AND len(regexp_extract_all(sentence, '[A-Za-z][A-Za-z''-]*')) >= 4 AND NOT contains({fold}, 'license') AND NOT contains({fold}, 'all rights')),
+    m AS (SELECT doc_id, n, low, string_split(regexp_replace(low, '[a-z]+|[^a-z -]', chr(1) || '\0' || chr(1), 'g'), chr(1)) AS parts FROM k), i AS (SELECT *, unnest(range(2, len(parts) + 1, 2)) AS i FROM m),
+    t AS (SELECT doc_id, n, low, i // 2 AS i, parts[i] AS value, length(array_to_string(parts[1:i - 1], '')) AS start, length(array_to_string(parts[1:i], '')) AS stop FROM i),
+    r AS (SELECT doc_id, n, low, start, unnest([stop, lead(stop) OVER w]) AS stop, unnest([value, value || ' ' || lead(value) OVER w]) AS phrase FROM t WINDOW w AS (PARTITION BY doc_id, n ORDER BY i)),
+    p(phrase, kind, name) AS (VALUES {", ".join(str(x) for x in listed)}),
+    h AS (SELECT r.*, kind, name, coalesce(list_has_any((regexp_extract_all(left(low, start), '[a-z'']+'))[-3:], [{negations}]), false) AS negated FROM r JOIN p USING (phrase) WHERE stop IS NOT NULL),
+    w AS (SELECT doc_id, n, name AS topic, list_sort(list(DISTINCT phrase)) AS topic_phrases FROM h WHERE kind = 'topic' GROUP BY ALL)
+    SELECT w.*, list_sort(list(DISTINCT c.name)) AS families, list_sort(list(DISTINCT c.phrase)) AS cue_phrases, bool_or(c.negated) AS negated, EXISTS (SELECT 1 FROM h x WHERE x.doc_id = w.doc_id AND x.n = w.n AND x.kind = 'comparison') AS compared
+    FROM w JOIN h c ON c.doc_id = w.doc_id AND c.n = w.n AND c.kind = 'cue' AND EXISTS (SELECT 1 FROM h t WHERE t.doc_id = w.doc_id AND t.n = w.n AND t.kind = 'topic' AND t.name = w.topic AND greatest(t.start - c.stop, c.start - t.stop, 0) <= 30) GROUP BY ALL"""
+
+
+@query(facts_sql())
 def p16_sentence_facts(spark, sf):
-    facts = T.sentence_facts(table(spark, sf, "documents"), "doc_id", "text", {"the": r"\bthe\b", "der": r"\bder\b"}, "and|und", boilerplate="license|copyright")
-    return facts.select("doc_id", "n", "topics", "cue", "negated", F.col("distance").cast("long").alias("distance"))
+    return S.sentence_facts(table(spark, sf, "documents"), "doc_id", "text", TOPICS, CUES, COMPARED, NEGATIONS, lookback=3, within=30, most=400, boilerplate=["license", "all rights"])
 
 
 @query(r"""WITH t AS (SELECT regexp_extract(url, '//([^/]+)', 1) AS site, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\b.*?</script>|<style\b.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS t FROM pages)

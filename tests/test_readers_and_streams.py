@@ -106,14 +106,6 @@ def test_cooldown_lies_between_opposite_directions_only():
     assert suppressed == [False] * 5 + [True] * 3 + [False] * 3
 
 
-def test_ranges_need_a_cue_and_a_metric(spark):
-    docs = spark.createDataFrame([(1, "We expect revenue of $1.5 to $2.0 billion."), (2, "Revenue was 3 to 4."), (3, None)], "id long, t string")
-    got = [tuple(r) for r in T.extract_ranges(docs, "id", "t", {"revenue": "revenue", "eps": "per share"}).collect()]
-    assert got == [(1, "revenue", 1.5e9, 2.0e9)]
-    said = spark.createDataFrame([(1, "In fiscal year 2023 we grew. For the third quarter of 2024 we expect revenue of 3 to 4 million, which is what we said in the spring about FY2025."), (2, "We expect revenue of 3 to 4.")], "id long, t string")
-    assert sorted((r.key, r.period) for r in T.extract_ranges(said, "id", "t", {"revenue": "revenue"}, periods=True).collect()) == [(1, "Q3-2024"), (2, None)]
-
-
 def test_share_classes_and_scenarios(spark):
     df = spark.createDataFrame([(1, "A/B"), (2, "C")], "id int, s string")
     assert sorted(map(tuple, T.explode_classes(df, "s", ["id"]).collect())) == [(1, "A"), (1, "B"), (2, "C")]
