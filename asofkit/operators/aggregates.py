@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks as R
+
 
 def aggregate_holdings(info: DataFrame, filing: str, security: str, value: str, identifier: str) -> DataFrame:
     """Holdings summed by filing and security, with the sorted distinct identifiers they were reported under."""
@@ -53,10 +55,9 @@ def routine_status(events: DataFrame, actor: str, date: str) -> DataFrame:
 
 def dependency_summary(ledger: DataFrame, by: list[str]) -> DataFrame:
     """Episodes, entities, weeks, median outcomes and share of gains of a replay ledger by context."""
-    return ledger.groupBy(*by).agg(
-        F.count_distinct("entity", "date").alias("episodes"), F.count_distinct("entity").alias("entities"), F.count_distinct(F.date_trunc("week", "date")).alias("weeks"),
-        F.percentile("ret", F.lit(0.5)).alias("median_ret"), F.percentile("mfe", F.lit(0.5)).alias("median_mfe"), F.percentile("mae", F.lit(0.5)).alias("median_mae"), F.avg((F.col("ret") > 0).cast("double")).alias("positive"),
-    )
+    sums = ledger.groupBy(*by).agg(F.count_distinct("entity", "date").alias("episodes"), F.count_distinct("entity").alias("entities"), F.count_distinct(F.date_trunc("week", "date")).alias("weeks"), F.avg((F.col("ret") > 0).cast("double")).alias("positive"))
+    medians = R.quantile_columns(ledger, by, {f"median_{c}": (F.col(c), 0.5) for c in ("ret", "mfe", "mae")})
+    return R.with_columns(sums, medians, by)
 
 
 def stage_context(ledger: DataFrame) -> DataFrame:
@@ -114,15 +115,17 @@ def return_metrics(returns: DataFrame, by: list[str], days: int = 252, benchmark
 
 def policy_summary(outcomes: DataFrame, by: list[str], col: str, cost: str) -> DataFrame:
     """By policy: events, median and mean of its delta, share of positive ones, and the 95th percentile of its cost."""
-    return outcomes.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(col, F.lit(0.5)).alias("median"), F.avg(col).alias("mean"), F.avg((F.col(col) > 0).cast("double")).alias("positive"), F.percentile(cost, F.lit(0.95)).alias("p95_cost"))
+    sums = outcomes.groupBy(*by).agg(F.count("*").alias("n"), F.avg(col).alias("mean"), F.avg((F.col(col) > 0).cast("double")).alias("positive"))
+    return R.with_columns(sums, R.quantile_columns(outcomes, by, {"median": (F.col(col), 0.5), "p95_cost": (F.col(cost), 0.95)}), by)
 
 
 def annual_rates(events: DataFrame, spans: DataFrame, limit: int) -> DataFrame:
     """Events per entity-year (years without any included): median, largest, and entity-years above the limit."""
     years = spans.select("entity", F.explode(F.sequence(F.year("first"), F.year("last"))).alias("year"))
     counts = years.join(events.groupBy("entity", F.year("date").alias("year")).agg(F.count("*").alias("n")), ["entity", "year"], "left")
-    n = F.coalesce("n", F.lit(0))
-    return counts.agg(F.count("*").alias("entity_years"), F.percentile(n, F.lit(0.5)).alias("median"), F.max(n).alias("most"), F.sum((n > limit).cast("int")).alias("above"))
+    counts = counts.select(F.coalesce("n", F.lit(0)).alias("n"))
+    sums = counts.agg(F.count("*").alias("entity_years"), F.max("n").alias("most"), F.sum((F.col("n") > limit).cast("int")).alias("above"))
+    return R.with_columns(sums, R.quantile_columns(counts, [], {"median": (F.col("n"), 0.5)}), [])
 
 
 def regime_context(panel: DataFrame, col: str, sector: str) -> DataFrame:
@@ -134,7 +137,8 @@ def regime_context(panel: DataFrame, col: str, sector: str) -> DataFrame:
 def drift_metrics(pairs: DataFrame, by: list[str], shadow: str, live: str, tolerance: float) -> DataFrame:
     """Coverage, median and nearest-rank 95th percentile of the absolute error, and share beyond the tolerance."""
     err = F.abs(F.col(shadow) - F.col(live))
-    return pairs.withColumn("err", err).groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("err").isNotNull().cast("double")).alias("coverage"), F.percentile("err", F.lit(0.5)).alias("median_err"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY err)").alias("p95_err"), F.avg((F.col("err") > tolerance).cast("double")).alias("beyond"))
+    sums = pairs.withColumn("err", err).groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("err").isNotNull().cast("double")).alias("coverage"), F.avg((F.col("err") > tolerance).cast("double")).alias("beyond"))
+    return R.with_columns(sums, R.quantile_columns(pairs, by, {"median_err": (err, 0.5), "p95_err": (err, 0.95)}, nearest=("p95_err",)), by)
 
 
 def pivot_costs(outcomes: DataFrame, keys: list[str], cost: str, values: list[float], col: str) -> DataFrame:

@@ -23,7 +23,8 @@ def fifo_lots(entries: DataFrame) -> DataFrame:
     and a sale takes from the buys whose intervals it overlaps.
     """
     by = ["account", "symbol"]
-    later = Window.partitionBy(*by).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    # What follows a row is read backwards: a frame that starts at the beginning grows row by row.
+    later = Window.partitionBy(*by).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     factor = F.exp(F.coalesce(F.sum(F.when(F.col("type") == "SPLIT", F.log("ratio"))).over(later), F.lit(0.0)))
     e = entries.withColumn("f", factor).where("type <> 'SPLIT'").withColumn("q", F.col("quantity") * F.col("f")).withColumn("p", F.col("price") / F.col("f"))
     run = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -33,8 +34,9 @@ def fifo_lots(entries: DataFrame) -> DataFrame:
     clean = e.join(total.where("not oversold").select(*by, "sold"), by)
     buys = clean.where("type = 'BUY'").select(*by, "sold", F.col("p").alias("bp"), (F.col("upto") - F.col("q")).alias("b0"), F.col("upto").alias("b1"))
     # Both lists of cumulative bounds are merged by one sort; the part before a bound belongs to the next buy and sale.
-    order = Window.partitionBy(*by).orderBy("upto")
-    owner = lambda kind: F.first(F.when(F.col("type") == kind, F.col("p")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    order = Window.partitionBy(*by).orderBy("upto", "type", "seq")
+    back = Window.partitionBy(*by).orderBy(F.desc("upto"), F.desc("type"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    owner = lambda kind: F.last(F.when(F.col("type") == kind, F.col("p")), ignorenulls=True).over(back)
     parts = clean.select(*by, "p", (F.col("upto") - F.coalesce(F.lag("upto").over(order), F.lit(0.0))).alias("part"), owner("BUY").alias("bp"), owner("SELL").alias("sp"))
     realised = parts.where("bp is not null and sp is not null").groupBy(*by).agg(F.sum(F.col("part") * (F.col("sp") - F.col("bp"))).alias("realised"))
     open_ = buys.groupBy(*by).agg(F.sum(F.greatest(F.lit(0.0), F.col("b1") - F.greatest("b0", "sold")) * F.col("bp")).alias("cost"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks as R
 from .stats import spearman_matrix
 
 
@@ -26,12 +27,14 @@ def stability_summary(panel: DataFrame, families: list[str], gates: dict[str, fl
     jumps = panel.withColumn("jump", F.round(F.abs(F.col("score") - F.lag("score").over(Window.partitionBy("entity").orderBy("week"))), 9))
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     whole = jumps.agg(
-        F.count("*").alias("rows"), (F.percentile("score", 0.99) - F.percentile("score", 0.01)).alias("span"), share(F.col("stage") == "FLEE").alias("flee"), share(F.col("stage") == "RUSH").alias("rush"), share(F.col("jump") >= 25).alias("jumps")
+        F.count("*").alias("rows"), share(F.col("stage") == "FLEE").alias("flee"), share(F.col("stage") == "RUSH").alias("rush"), share(F.col("jump") >= 25).alias("jumps")
     )
-    per_entity = panel.groupBy("entity").count().agg(F.count("*").alias("entities"), F.percentile("count", 0.5).alias("median_rows"))
-    per_sector = panel.groupBy("sector").agg(F.percentile("score", 0.5).alias("m")).agg((F.max("m") - F.min("m")).alias("sector_spread"))
-    rho = spearman_matrix(panel.withColumn("_g", F.lit(0)), families, ["_g"]).where(F.col("left") != F.col("right")).agg(F.max(F.abs("rho")).alias("spearman"))
-    one = whole.crossJoin(per_entity).crossJoin(per_sector).crossJoin(rho)  # one row each
+    span = R.quantiles(panel, [], "score", {"low": 0.01, "high": 0.99}).select((F.col("high") - F.col("low")).alias("span"))
+    rows = panel.groupBy("entity").count()
+    per_entity = R.with_columns(rows.agg(F.count("*").alias("entities")), R.quantiles(rows, [], "count", {"median_rows": 0.5}), [])
+    per_sector = R.quantiles(panel, ["sector"], "score", {"m": 0.5}).agg((F.max("m") - F.min("m")).alias("sector_spread"))
+    rho = spearman_matrix(panel, families, []).where(F.col("left") != F.col("right")).agg(F.max(F.abs("rho")).alias("spearman"))
+    one = R.with_columns(whole, span, []).crossJoin(per_entity).crossJoin(per_sector).crossJoin(rho)  # one row each
     tests = {
         "least_entities": F.col("entities") >= gates["least_entities"], "least_rows": F.col("median_rows") >= gates["least_rows"], "least_span": F.col("span") >= gates["least_span"], "least_flee": F.col("flee") >= gates["least_flee"],
         "least_rush": F.col("rush") >= gates["least_rush"], "most_jumps": F.col("jumps") <= gates["most_jumps"], "most_spearman": F.col("spearman") <= gates["most_spearman"], "most_sector_spread": F.col("sector_spread") <= gates["most_sector_spread"],
@@ -76,10 +79,11 @@ def diagnose(compared: DataFrame, key: str) -> DataFrame:
     again (fewer than half improved, or fewer than 40 percent pass both)."""
     rate = lambda c: 100 * F.avg(c.cast("double"))
     good, safe = F.col("return_status") != "worse", F.col("mdd_status") != "worse"
-    out = compared.groupBy(key).agg(
+    out = compared.groupBy(F.col(key)).agg(
         F.count("*").alias("samples"), rate(F.col("return_status") == "improved").alias("return_improved"), rate(F.col("mdd_status") == "improved").alias("mdd_improved"), rate(good & safe).alias("joint_pass"),
-        rate(~good).alias("return_worse"), rate(~safe).alias("mdd_worse"), F.percentile("return_delta", 0.5).alias("median_return_delta"), F.percentile("mdd_delta", 0.5).alias("median_mdd_delta"),
+        rate(~good).alias("return_worse"), rate(~safe).alias("mdd_worse"),
     )
+    out = R.with_columns(out, R.quantile_columns(compared, [key], {f"median_{c}": (F.col(c), 0.5) for c in ("return_delta", "mdd_delta")}), [key])
     return out.withColumn("repeated", (F.col("return_improved") < 50) | (F.col("joint_pass") < 40))
 
 
@@ -104,5 +108,7 @@ def issuer_effects(panel: DataFrame, issuer: list[str], direction: str, treated:
 
 def fold_effects(panel: DataFrame, fold: str, direction: str, treated: str, control: str, values: list[str]) -> DataFrame:
     """By fold: events, and the difference of the medians of each value (null without both directions)."""
-    side = lambda v, d: F.percentile(F.when(F.col(direction) == d, F.col(v)), 0.5)
-    return panel.groupBy(fold).agg(F.count("*").alias("events"), *((side(v, treated) - side(v, control)).alias(f"{v}_effect") for v in values))
+    side = lambda v, d: (F.when(F.col(direction) == d, F.col(v)), 0.5)
+    medians = R.quantile_columns(panel, [fold], {f"{v}|{d}": side(v, d) for v in values for d in (treated, control)})
+    gaps = medians.select(fold, *((F.col(f"`{v}|{treated}`") - F.col(f"`{v}|{control}`")).alias(f"{v}_effect") for v in values))
+    return R.with_columns(panel.groupBy(fold).agg(F.count("*").alias("events")), gaps, [fold])

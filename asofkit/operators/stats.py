@@ -8,26 +8,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def average_rank(col: str, by: list[str]):
-    """1-based average rank of a value among a group's non-null values."""
-    w = Window.partitionBy(*by)
-    nulls = F.sum(F.col(col).isNull().cast("int")).over(w)
-    return F.when(F.col(col).isNotNull(), F.rank().over(w.orderBy(col)) - nulls + (F.count(col).over(Window.partitionBy(*by, col)) - 1) / 2)
+from . import ranks as R
 
 
 def unpivot(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     return df.unpivot(keys, features, "feature", "x")
 
 
-def rank_biserial(panel: DataFrame, features: list[str], group: str) -> DataFrame:
-    """Mann-Whitney U of the rows where group is 1, and the rank-biserial effect, per feature. Values are ranked once per
-    feature; distinct values are counted first, so a feature's window runs over distinct values."""
-    counts = unpivot(panel.select(group, *(F.col(f).cast("double").alias(f) for f in features)), [group], features).where("x is not null").groupBy("feature", "x").agg(F.sum((F.col(group) == 1).cast("long")).alias("n1"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = counts.withColumn("rank", below + (F.col("n") + 1) / 2).groupBy("feature").agg(F.sum("n1").alias("n1"), (F.sum("n") - F.sum("n1")).alias("n0"), F.sum(F.col("n1") * F.col("rank")).alias("r1"))
+def rank_biserial(panel: DataFrame, features: list[str], group: str, by: list[str] = ()) -> DataFrame:
+    """Mann-Whitney U of the rows where group is 1, and the rank-biserial effect, per feature (and per value of by)."""
+    by = [*by, "feature"]
+    each = unpivot(panel.select(group, *by[:-1], *(F.col(f).cast("double").alias(f) for f in features)), [group, *by[:-1]], features).where("x is not null")
+    counts = each.groupBy(*by, F.col("x").alias("value")).agg(F.sum((F.col(group) == 1).cast("long")).alias("n1"), F.count("*").alias("n"))
+    ranked = R.with_columns(counts, R.average_ranks(counts.select(*by, "value", "n"), by).select(*by, "value", "rank"), [*by, "value"])
+    sums = ranked.groupBy(*by).agg(F.sum("n1").alias("n1"), (F.sum("n") - F.sum("n1")).alias("n0"), F.sum(F.col("n1") * F.col("rank")).alias("r1"))
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    return sums.select("feature", "n1", "n0", u.alias("u"), (2 * u / (F.col("n1") * F.col("n0")) - 1).alias("effect"))
+    return sums.select(*by, "n1", "n0", u.alias("u"), (F.try_divide(2 * u, F.col("n1") * F.col("n0")) - 1).alias("effect"))
+
+
+def half_effects(panel: DataFrame, features: list[str], group: str, second: str, least: int = 5) -> DataFrame:
+    """rank_biserial of all rows with the effects of both halves (second: whether a row lies in the later one; null with
+    fewer than `least` rows on either side) and how many halves have the whole's direction."""
+    whole = rank_biserial(panel, features, group)
+    half = rank_biserial(panel.where(F.col(second).isNotNull()), features, group, [second])
+    effect = lambda later: F.max(F.when((F.col(second) == later) & (F.least("n1", "n0") >= least), F.col("effect")))
+    halves = half.groupBy("feature").agg(effect(False).alias("first_half"), effect(True).alias("second_half"))
+    same = lambda c: F.coalesce(F.signum(c) == F.signum("effect"), F.lit(False)).cast("int")
+    return whole.join(halves, "feature", "left").withColumn("same_direction", same("first_half") + same("second_half"))
 
 
 def with_p_values(tests: DataFrame) -> DataFrame:
@@ -49,16 +56,14 @@ def holm(tests: DataFrame, p: str = "p") -> DataFrame:
 
 
 def binary_metrics(preds: DataFrame, by: list[str], score: str, target: str) -> DataFrame:
-    """ROC-AUC by average ranks, Brier score, log-loss and balanced accuracy at 0.5. Scores are counted by distinct value
-    first, so the rank window holds one row per value."""
-    counts = preds.groupBy(*by, score).agg(F.sum(target).alias("pos"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = F.least(F.greatest(F.col(score), F.lit(1e-12)), F.lit(1 - 1e-12))
-    neg = F.col("n") - F.col("pos")
-    ranked = counts.withColumn("rank", below + (F.col("n") + 1) / 2)
+    """ROC-AUC by average ranks, Brier score, log-loss and balanced accuracy at 0.5, from counts of distinct scores."""
+    counts = preds.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("value")).agg(F.sum(target).alias("pos"), F.count("*").alias("n"))
+    ranked = R.with_columns(counts, R.average_ranks(counts.select(*by, "value", "n"), by).select(*by, "value", "rank"), [*by, "value"])
+    v, neg = F.col("value"), F.col("n") - F.col("pos")
+    s = F.least(F.greatest(v, F.lit(1e-12)), F.lit(1 - 1e-12))
     out = ranked.groupBy(*by).agg(
-        F.sum("pos").alias("p"), F.sum(neg).alias("q"), F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum(F.col("pos") * F.pow(1 - F.col(score), F.lit(2)) + neg * F.pow(F.col(score), F.lit(2))).alias("sq"),
-        F.sum(-F.col("pos") * F.log(s) - neg * F.log(1 - s)).alias("ll"), F.sum(F.when(F.col(score) >= 0.5, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(F.col(score) < 0.5, neg).otherwise(0)).alias("tn"),
+        F.sum("pos").alias("p"), F.sum(neg).alias("q"), F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum(F.col("pos") * F.pow(1 - v, F.lit(2)) + neg * F.pow(v, F.lit(2))).alias("sq"),
+        F.sum(-F.col("pos") * F.log(s) - neg * F.log(1 - s)).alias("ll"), F.sum(F.when(v >= 0.5, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(v < 0.5, neg).otherwise(0)).alias("tn"),
     )
     n = F.col("p") + F.col("q")
     auc = F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q"))
@@ -136,11 +141,10 @@ def percentile_interval(replicates: DataFrame, col: str, level: float = 0.95) ->
 
 def rank_ic(scores: DataFrame, by: list[str], score: str, forward: str, top: float = 0.8, bottom: float = 0.2) -> DataFrame:
     """Spearman correlation of a score with a forward outcome, and mean outcome of high minus low scores."""
-    both = scores.where(F.col(score).isNotNull() & F.col(forward).isNotNull())
-    n = F.count("*").over(Window.partitionBy(*by))
-    ranked = both.withColumn("a", average_rank(score, by)).withColumn("b", average_rank(forward, by)).withColumn("share", F.col("a") / n)
-    spread = F.avg(F.when(F.col("share") > top, F.col(forward))) - F.avg(F.when(F.col("share") <= bottom, F.col(forward)))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("a", "b").alias("ic"), spread.alias("spread"))
+    ranked = R.rank_correlation(scores.select(*by, F.col(score).alias("a"), F.col(forward).alias("b")), by)
+    share, n = F.col("rank_a") / F.col("total"), F.col("n")
+    mean = lambda on: F.try_divide(F.sum(F.when(on, n * F.col("b"))), F.sum(F.when(on, n)))
+    return ranked.groupBy(*by).agg(F.sum("n").alias("n"), R.spearman().alias("ic"), (mean(share > top) - mean(share <= bottom)).alias("spread"))
 
 
 def redundant(matrix: DataFrame, by: list[str], threshold: float = 0.7) -> DataFrame:
@@ -149,35 +153,17 @@ def redundant(matrix: DataFrame, by: list[str], threshold: float = 0.7) -> DataF
 
 
 def spearman_matrix(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """(by, left, right, n, rho) of each pair of columns over rows where both exist; one pass per pair."""
-    out = None
-    for i, a in enumerate(cols):
-        for b in cols[i + 1 :]:
-            both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-            one = both.withColumn("_a", average_rank(a, by)).withColumn("_b", average_rank(b, by)).groupBy(*by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rho")).select(*by, F.lit(a).alias("left"), F.lit(b).alias("right"), "n", "rho")
-            out = one if out is None else out.unionByName(one)
-    return out
-
-
-def quantiles(df: DataFrame, by: list[str], col: str, points: dict[str, float]) -> DataFrame:
-    """(by, points): exact quantiles, linear between neighbours. Values are counted first and the window sums the counts,
-    so no task holds a group's values in memory."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by)
-    upto = F.sum("_n").over(w.orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumn("_to", upto).withColumn("_total", F.sum("_n").over(w))
-    at = lambda q: (F.col("_total") - 1) * F.lit(q)
-    held = lambda k: F.max(F.when((F.col("_to") - F.col("_n") <= k) & (k < F.col("_to")), F.col(col)))
-    parts = {f"{name}{side}": held(f(at(q))) for name, q in points.items() for side, f in (("_a", F.floor), ("_b", F.ceil))}
-    found = placed.groupBy(*by).agg(F.max("_total").alias("_total"), *(c.alias(n) for n, c in parts.items()))
-    between = lambda n, q: F.col(f"{n}_a") + (F.col(f"{n}_b") - F.col(f"{n}_a")) * (at(q) - F.floor(at(q)))
-    return found.select(*by, *(between(n, q).alias(n) for n, q in points.items()))
+    """(by, left, right, n, rho) of each pair of columns over rows where both exist; all pairs in one pass."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    each = df.select(*by, F.inline(F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for a, b in pairs))))
+    keys = [*by, "left", "right"]
+    return R.rank_correlation(each, keys).groupBy(*keys).agg(F.sum("n").alias("n"), R.spearman().alias("rho"))
 
 
 def robust_scores(events: DataFrame, folds: DataFrame, col: str, winsor: float = 0.01) -> DataFrame:
     """Test rows' values scaled by their fold's training rows: clipped at training quantiles, minus median, over IQR.
     events hold (fold, role, col), as assign_folds gives them."""
-    train = quantiles(events.where("role = 'train'"), ["fold"], col, {"lo": winsor, "q1": 0.25, "med": 0.5, "q3": 0.75, "hi": 1 - winsor})
+    train = R.quantiles(events.where("role = 'train'"), ["fold"], col, {"lo": winsor, "q1": 0.25, "med": 0.5, "q3": 0.75, "hi": 1 - winsor})
     clipped = F.least(F.greatest(F.col(col), F.col("lo")), F.col("hi"))
     return events.where("role = 'test'").join(F.broadcast(train), "fold").withColumn("score", F.try_divide(clipped - F.col("med"), F.col("q3") - F.col("q1"))).drop("lo", "q1", "med", "q3", "hi")
 
@@ -185,7 +171,7 @@ def robust_scores(events: DataFrame, folds: DataFrame, col: str, winsor: float =
 def quantile_groups(events: DataFrame, col: str, target: str, q: float = 0.8, block: str = "quarter") -> DataFrame:
     """Per fold, rates of the target among test rows above and not above the training quantile, and the gap; and over
     the blocks of dates in which both groups occur, the mean of their gaps and how many are positive and negative."""
-    cut = quantiles(events.where("role = 'train'"), ["fold"], col, {"cut": q})
+    cut = R.quantiles(events.where("role = 'train'"), ["fold"], col, {"cut": q})
     test = events.where("role = 'test'").join(F.broadcast(cut), "fold").withColumn("block", F.date_trunc(block, "date"))
     y = F.col(target).cast("double")
     sums = {"n1": F.count(F.when(F.col(col) > F.col("cut"), y)), "y1": F.sum(F.when(F.col(col) > F.col("cut"), y)), "n0": F.count(F.when(F.col(col) <= F.col("cut"), y)), "y0": F.sum(F.when(F.col(col) <= F.col("cut"), y)), "n": F.count("*")}

@@ -26,12 +26,14 @@ def labelled(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "n_chars", "source", "lang").join(table(spark, sf, "labels"), "doc_id")
 
 
-@query("""WITH x AS (SELECT toxic, 'n_chars' AS feature, n_chars::DOUBLE AS x FROM documents JOIN labels USING (doc_id) UNION ALL SELECT toxic, 'quality', quality FROM labels JOIN documents USING (doc_id)),
-k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2 AS rank FROM x),
-s AS (SELECT feature, sum((toxic = 1)::INT)::BIGINT AS n1, sum((toxic <> 1)::INT)::BIGINT AS n0, sum(rank) FILTER (WHERE toxic = 1) AS r1 FROM k GROUP BY feature)
-SELECT feature, n1, n0, round(r1 - n1 * (n1 + 1) / 2, 4) AS u, round(2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n0) - 1, 6) AS effect FROM s""")
+@query("""WITH x AS (SELECT toxic, 'n_chars' AS feature, n_chars::DOUBLE AS x, doc_id % 1000 >= 400 AS late FROM documents JOIN labels USING (doc_id) UNION ALL SELECT toxic, 'quality', quality, doc_id % 1000 >= 400 FROM labels JOIN documents USING (doc_id)),
+y AS (SELECT *, 'all' AS part FROM x UNION ALL SELECT *, late::VARCHAR FROM x), k AS (SELECT *, rank() OVER (PARTITION BY feature, part ORDER BY x) + (count(*) OVER (PARTITION BY feature, part, x) - 1) / 2 AS rank FROM y),
+s AS (SELECT feature, part, sum((toxic = 1)::INT)::BIGINT AS n1, sum((toxic <> 1)::INT)::BIGINT AS n0, sum(rank) FILTER (WHERE toxic = 1) AS r1 FROM k GROUP BY ALL), e AS (SELECT *, 2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n0) - 1 AS effect FROM s),
+h AS (SELECT feature, max(effect) FILTER (WHERE part = 'false' AND least(n1, n0) >= 5) AS first_half, max(effect) FILTER (WHERE part = 'true' AND least(n1, n0) >= 5) AS second_half FROM e GROUP BY feature)
+SELECT feature, n1, n0, round(r1 - n1 * (n1 + 1) / 2, 4) AS u, round(effect, 6) AS effect, round(first_half, 6) AS first_half, round(second_half, 6) AS second_half, coalesce((sign(first_half) = sign(effect))::INT, 0) + coalesce((sign(second_half) = sign(effect))::INT, 0) AS same_direction FROM e JOIN h USING (feature) WHERE part = 'all'""")
 def st1_rank_biserial(spark, sf):
-    return ST.rank_biserial(labelled(spark, sf), ["n_chars", "quality"], "toxic").select("feature", "n1", "n0", r("u", 4), r("effect"))
+    panel = labelled(spark, sf).withColumn("late", F.col("doc_id") % 1000 >= 400)
+    return ST.half_effects(panel, ["n_chars", "quality"], "toxic", "late").select("feature", "n1", "n0", r("u", 4), r("effect"), r("first_half"), r("second_half"), "same_direction")
 
 
 @query()
