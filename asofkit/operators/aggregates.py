@@ -25,13 +25,27 @@ def concentration(positions: DataFrame, by: list[str], holder: str, value: str)
     return total.join(top, by).select(*by, "breadth", (F.col("top1") / F.col("total")).alias("top1_share"), (F.col("top5") / F.col("total")).alias("top5_share"), (F.col("squares") / (F.col("total") * F.col("total"))).alias("hhi"))
 
 
-def slow_context(positions: DataFrame, security: str, period: str, holder: str) -> DataFrame:
-    """By security and period ordinal: holders, new and exited ones against the period before, and breadth change."""
+def slow_context(positions: DataFrame, security: str, period: str, holder: str, value: str) -> DataFrame:
+    """By security and period ordinal: holders, and against the period before: new and exited ones, change of their
+    number as a share, and change of the top-5 share and of the sum of squared shares.
+
+    A security's first period has no changes. A later one whose forerunner had no holders counts all of its own as new
+    and has no other change.
+    """
     held = positions.select(security, period, holder).distinct()
     before = held.withColumn(period, F.col(period) + 1).withColumn("was", F.lit(1))
     both = held.withColumn("now", F.lit(1)).join(before, [security, period, holder], "full_outer")
-    counts = both.groupBy(security, period).agg(F.count("now").alias("holders"), F.count(F.expr("CASE WHEN was IS NULL THEN 1 END")).alias("new"), F.count(F.expr("CASE WHEN now IS NULL THEN 1 END")).alias("exited"), F.count("was").alias("before"))
-    return counts.where("holders > 0").select(security, period, "holders", "new", "exited", F.try_divide(F.col("holders") - F.col("before"), F.col("before")).alias("breadth_change"))
+    new, exited = F.count_if(F.col("was").isNull()), F.count_if(F.col("now").isNull())
+    counts = both.groupBy(security, period).agg(F.count("now").alias("holders"), new.alias("new"), exited.alias("exited"), F.count("was").alias("before")).where("holders > 0")
+    w = Window.partitionBy(security).orderBy(period)
+    shares = concentration(positions, [security, period], holder, value).select(security, period, "top5_share", "hhi")
+    out = counts.join(shares, [security, period]).withColumn("_first", F.lag(period).over(w).isNull())
+    prior = lambda c: F.max(c).over(w.rangeBetween(-1, -1))
+    known = lambda c: F.when(~F.col("_first"), c)
+    return out.select(
+        security, period, "holders", known(F.col("new")).alias("new"), known(F.col("exited")).alias("exited"), F.try_divide(F.col("holders") - F.col("before"), F.col("before")).alias("breadth_change"),
+        (F.col("top5_share") - prior("top5_share")).alias("top5_change"), (F.col("hhi") - prior("hhi")).alias("hhi_change"),
+    )
 
 
 def dominant_owner(obs: DataFrame, identifier: str, owner: str, least: int = 20, share: float = 0.95, ratio: float = 10) -> DataFrame:

@@ -42,10 +42,21 @@ def identifier_intervals(obs: DataFrame, identifier: str, owner: str, date: str)
     return out.withColumn("coverage", F.col("quarters") / span)
 
 
-def primary_security(obs: DataFrame, entity: str, period: str, security: str, filing: str) -> DataFrame:
-    """The security of each entity and period with the most filings, then rows, then the smallest name."""
-    counts = obs.groupBy(entity, period, security).agg(F.count_distinct(filing).alias("filings"), F.count("*").alias("rows"))
-    return counts.withColumn("n", F.row_number().over(Window.partitionBy(entity, period).orderBy(F.desc("filings"), F.desc("rows"), security))).where("n = 1").drop("n")
+def primary_security(obs: DataFrame, entity: str, period: str, issuer: str, number: str, code: str, filing: str) -> DataFrame:
+    """The security of each entity and period after its identifier variants are merged: entity, period, issuer, number,
+    code, filings, rows.
+
+    Rows of one issuer, entity and number are one security, whatever code they carry; it keeps the code if there is just
+    one, else none (empty). Of an entity's securities in a period the one with the most filings there wins, then the one
+    with the most rows in all periods, then the largest number, then the largest issuer.
+    """
+    own = [issuer, entity, number]
+    given = F.when(F.col(code) != "", F.col(code))
+    each = obs.groupBy(*own, period).agg(F.count_distinct(filing).alias("filings"), F.count("*").alias("_n"), F.min(given).alias("_least"), F.max(given).alias("_most"))
+    whole = each.groupBy(*own).agg(F.sum("_n").alias("rows"), F.min("_least").alias("_a"), F.max("_most").alias("_b"))
+    merged = whole.select(*own, "rows", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise("").alias(code))
+    turn = F.row_number().over(Window.partitionBy(entity, period).orderBy(F.desc("filings"), F.desc("rows"), F.desc(number), F.desc(issuer)))
+    return each.join(merged, own).withColumn("_turn", turn).where("_turn = 1").select(entity, period, issuer, number, code, "filings", "rows")
 
 
 def revision_pairs(ranges: DataFrame, keys: list[str], at: list[str]) -> DataFrame:

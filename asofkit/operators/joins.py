@@ -25,6 +25,40 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values:
     return out
 
 
+def asof_forward(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], max_ahead: int | None = None) -> DataFrame:
+    """left with the values of right's oldest row of the same key whose `on` is not earlier, and its `on` as matched_on;
+    null where it lies more than max_ahead days ahead. Of right rows with one time the largest by value wins.
+
+    One shuffle on the key: both sides are stacked, newest first, and the last right row is carried towards the past.
+    """
+    packed = F.struct(F.col(on).alias("matched_on"), *(F.col(v) for v in values))
+    r = right.groupBy(*by, on).agg(F.max(packed).alias("_r")).withColumn("_side", F.lit(0))
+    extra = [c for c in left.columns if c not in (*by, on)]
+    l = left.select(*by, on, F.struct(*extra).alias("_l") if extra else F.lit(None).cast("struct<_:int>").alias("_l")).withColumn("_side", F.lit(1)).withColumn("_left", F.lit(True))
+    w = Window.partitionBy(*by).orderBy(F.desc(on), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_left")
+    near = F.lit(True) if max_ahead is None else F.date_diff(F.col("_m.matched_on"), F.col(on)) <= max_ahead
+    return both.select(*by, on, *(F.col("_l")[c].alias(c) for c in extra), *(F.when(near, F.col("_m")[v]).alias(v) for v in ("matched_on", *values)))
+
+
+def within_intervals(events: DataFrame, intervals: DataFrame, key: str, at: str, values: list[str], closed: bool = True) -> DataFrame:
+    """events with the values of each interval (key, valid_from, valid_to) of their key that holds their day.
+
+    An interval goes to the one or two buckets that it touches of the narrowest width (64 days, 256, ...) not below its
+    length, and an event looks into its bucket of each width, so neither long intervals nor hot keys multiply.
+    """
+    widths = [64, 256, 1024, 4096, 1 << 40]
+    length = F.date_diff("valid_to", "valid_from")
+    width = F.coalesce(*(F.when(length <= w, F.lit(w)) for w in widths))
+    day = lambda c: F.unix_date(c).cast("long")
+    spread = intervals.where("valid_from <= valid_to").select(F.col(key).alias("_k"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), *(F.col(v).alias(f"_v{i}") for i, v in enumerate(values)), width.cast("long").alias("_w"), F.sequence(F.floor(day("valid_from") / width), F.floor(day("valid_to") / width)).alias("_bs"))
+    spread = spread.withColumn("_b", F.explode("_bs")).drop("_bs").distinct()
+    asked = events.withColumn("_x", F.explode(F.array(*(F.struct(F.lit(w).cast("long").alias("w"), F.floor(day(at) / w).alias("b")) for w in widths))))
+    inside = (F.col(at) >= F.col("_from")) & ((F.col(at) <= F.col("_to")) if closed else (F.col(at) < F.col("_to")))
+    found = asked.join(spread, (F.col(key) == F.col("_k")) & (F.col("_x.w") == F.col("_w")) & (F.col("_x.b") == F.col("_b")) & inside)
+    return found.select(*events.columns, *(F.col(f"_v{i}").alias(v) for i, v in enumerate(values)))
+
+
 def latest_as_of(facts: DataFrame, grid: DataFrame, keys: list[str], period: str, accepted: str, as_of: str, order: list[Column], max_age: int | None = None) -> DataFrame:
     """For each grid row (keys, as_of) and period the newest fact accepted by then; ties by `order`, last one largest.
     Facts older than max_age days at the grid's time are left out.
@@ -43,12 +77,8 @@ def latest_as_of(facts: DataFrame, grid: DataFrame, keys: list[str], period: str
 
 def interval_lookup(events: DataFrame, intervals: DataFrame, key: str, at: str, event_id: str, value: str, closed: bool = True) -> DataFrame:
     """(event_id, status, value): the value valid at the event's day, MAPPED, or UNMAPPED (none) or AMBIGUOUS (several)."""
-    inside = (F.col(at) >= F.col("valid_from")) & ((F.col(at) <= F.col("valid_to")) if closed else (F.col(at) < F.col("valid_to")))
-    # Intervals are dealt to the buckets of 64 days that they touch, so that an event of a hot key meets only those of
-    # its own days.
-    bucket = lambda c: F.floor(F.unix_date(c) / 64)
-    spread = intervals.where("valid_from <= valid_to").select(F.col(key).alias("_k"), "valid_from", "valid_to", value).distinct().withColumn("_b", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(F.col("valid_to")))))
-    found = events.select(event_id, key, at).join(spread, (F.col(key) == F.col("_k")) & (bucket(F.col(at)) == F.col("_b")) & inside, "left").groupBy(event_id).agg(F.collect_set(value).alias("_v"))
+    inside = within_intervals(events.select(event_id, key, at), intervals, key, at, [value], closed).groupBy(event_id).agg(F.collect_set(value).alias("_v"))
+    found = events.select(event_id).distinct().join(inside, event_id, "left").withColumn("_v", F.coalesce("_v", F.array()))
     status = F.when(F.size("_v") == 0, "UNMAPPED").when(F.size("_v") == 1, "MAPPED").otherwise("AMBIGUOUS")
     return found.select(event_id, status.alias("status"), F.when(F.size("_v") == 1, F.element_at("_v", 1)).alias(value))
 
@@ -74,6 +104,24 @@ def session_offset(events: DataFrame, bars: DataFrame, k: int, values: list[str]
     return placed.drop("matched_on", "_p").join(pos, ["entity", "_i"], "left").drop("_i")
 
 
+def reaction_sessions(events: DataFrame, bars: DataFrame, at: str, before: int = 1, after: int = 2, zone: str = "America/New_York", opens: str = "09:30") -> DataFrame:
+    """events (entity, instant) with the sessions around their reaction: base, `before` sessions earlier, and end,
+    `after` sessions later; none of both where either lies outside the entity's bars.
+
+    The reaction starts with the session of the instant's day in the exchange's zone if it came before the open, else
+    with the next one; on days without a session with the next one as well.
+    """
+    local = F.from_utc_timestamp(F.col(at), zone)
+    late = F.date_format(local, "HH:mm") >= opens
+    first = F.date_add(F.to_date(local), F.when(late, 1).otherwise(0))
+    pos = bars.select("entity", "date").distinct().withColumn("_i", F.row_number().over(Window.partitionBy("entity").orderBy("date")))
+    placed = asof_forward(events.withColumn("date", first), pos, ["entity"], "date", ["_i"]).drop("date", "matched_on")
+    session = lambda name, k: pos.select("entity", (F.col("_i") + k).alias("_i"), F.col("date").alias(name))
+    out = placed.join(session("base", before), ["entity", "_i"], "left").join(session("end", -after), ["entity", "_i"], "left").drop("_i")
+    both = F.col("base").isNotNull() & F.col("end").isNotNull()
+    return out.withColumn("base", F.when(both, F.col("base"))).withColumn("end", F.when(both, F.col("end")))
+
+
 def prior_year_match(facts: DataFrame, keys: list[str], period: str, value: str, low: int = 330, high: int = 400) -> DataFrame:
     """facts with the latest value of the same key whose period ended low to high days earlier."""
     w = Window.partitionBy(*keys).orderBy(F.unix_date(period)).rangeBetween(-high, -low)

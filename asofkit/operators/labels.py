@@ -125,22 +125,60 @@ def stabilize_labels(panel: DataFrame, confirm: int = 2, cooldown: int = 4) -> D
     return done.withColumn("event", F.col("label").isin(*HIGHLIGHTED) & ~F.col("label").eqNullSafe(before))
 
 
-def evidence_scores(bars: DataFrame) -> DataFrame:
-    """Monthly cross-sectional ranks of participation, trend and risk, and their mean as a 0-100 score."""
-    raw = bars.select("entity", "date", F.try_divide(rolling("volume", 21, 10, "mean"), rolling("volume", 126, 63, "mean")).alias("participation"), change("close", 126).alias("trend"), (-rolling("close", 63, 21, "std") / rolling("close", 63, 21, "mean")).alias("risk"))
-    month = raw.groupBy("entity", F.last_day("date").alias("month")).agg(*(F.max_by(c, "date").alias(c) for c in ("participation", "trend", "risk")))
-    ranked = month.select("entity", "month", *(cross_rank(c, ["month"]).alias(c) for c in ("participation", "trend", "risk")))
-    return ranked.withColumn("score", 100 * (F.col("participation") + F.col("trend") + F.col("risk")) / 3)
-
-
-def market_context(bench: DataFrame, n: int = 63) -> DataFrame:
-    """(date, close) of a benchmark with volatility, drawdown from the n-row high, and rebound after stress. The
-    benchmark is one series, calendar-sized."""
-    w = Window.orderBy("date")
-    ret = F.try_divide(F.col("close"), F.lag("close").over(w)) - 1
-    frame = w.rowsBetween(-(n - 1), 0)
-    out = bench.withColumn("ret", ret).withColumn("vol", F.when(F.count("ret").over(frame) >= n // 3, F.stddev_samp("ret").over(frame))).withColumn("drawdown", F.try_divide(F.col("close"), F.max("close").over(frame)) - 1)
-    return out.withColumn("rebound", (F.min("drawdown").over(frame) <= -0.1) & (F.col("drawdown") > -0.05))
+def evidence_scores(bars: DataFrame, carry: int = 3) -> DataFrame:
+    """entity, month, participation, trend_relative_strength, risk: three monthly scores of 0 to 100, null while a part is.
+
+    All entities stand on one calendar (every day with a bar of any), closes carried over at most `carry` days without
+    one and volumes 0. participation: 0.4 x rank of the month's mean of short over long volume, signed by the day's move,
+    and 0.6 x the market's breadth (entities above their 200-row mean, and up over 63 rows). trend_relative_strength:
+    halves of the rank of the return from 12 months to 1 month ago and of the distance from the 200-row mean. risk:
+    halves of the reversed rank of downside volatility and of the distance from the 252-row high.
+    """
+    calendar = bars.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date")))  # one row a day
+    entities = bars.select("entity").distinct()
+    own = Window.partitionBy("entity").orderBy("date")
+    # The calendar is one row a day, so every entity's rows are spelt out beside it.
+    days = calendar.agg(F.sort_array(F.collect_list("date")).alias("_days"))
+    grid = entities.join(F.broadcast(days)).select("entity", F.explode("_days").alias("date")).join(bars.select("entity", "date", "close", "volume"), ["entity", "date"], "left")
+    grid = grid.withColumn("close", F.last("close", ignorenulls=True).over(own.rowsBetween(-carry, 0))).withColumn("volume", F.coalesce(F.col("volume").cast("double"), F.lit(0.0)))
+    mean200 = rolling("close", 200, 200, "mean", own)
+    move = change("close", 1, own)
+    daily = grid.select(
+        "entity", "date", "close",
+        (F.coalesce((F.col("close") > mean200).cast("int"), F.lit(0)) + F.coalesce((change("close", 63, own) > 0).cast("int"), F.lit(0))).alias("votes"),
+        (F.try_divide(rolling("volume", 20, 20, "mean", own), rolling("volume", 120, 120, "mean", own)) * F.when(move != 0, F.signum(move))).alias("confirmed"),
+        (F.try_divide(F.col("close"), mean200) - 1).alias("own_trend"),
+        F.when(move < 0, move).otherwise(0.0).alias("fall"),
+        (F.try_divide(F.col("close"), rolling("close", 252, 126, "max", own)) - 1).alias("drawdown"),
+    )
+    daily = daily.withColumn("downside", rolling("fall", 63, 40, "std", own))
+    market = daily.groupBy("date").agg((50 * F.avg("votes")).alias("breadth")).groupBy(F.last_day("date").alias("month")).agg(F.max_by("breadth", "date").alias("breadth"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(c)
+    month = daily.groupBy("entity", F.last_day("date").alias("month")).agg(*(last(c) for c in ("close", "own_trend", "downside", "drawdown")), F.avg("confirmed").alias("confirmed"))
+    ordinal = Window.partitionBy("entity").orderBy(F.year("month") * 12 + F.month("month"))
+    before = lambda k: F.max("close").over(ordinal.rangeBetween(-k, -k))
+    month = month.withColumn("momentum", F.try_divide(before(1), before(12)) - 1)
+    rank = lambda c: 100 * cross_rank(c, ["month"])
+    clip = lambda c: F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0.0)), F.lit(100.0)))
+    ranked = month.select("entity", "month", "own_trend", "drawdown", rank("confirmed").alias("confirmed"), rank("momentum").alias("momentum"), rank("downside").alias("downside")).join(F.broadcast(market), "month")
+    return ranked.select(
+        "entity", "month", clip(0.4 * F.col("confirmed") + 0.6 * F.col("breadth")).alias("participation"),
+        (0.5 * F.col("momentum") + 0.5 * clip(50 + 250 * F.col("own_trend"))).alias("trend_relative_strength"),
+        (0.5 * (100 - F.col("downside")) + 0.5 * clip(100 + 250 * F.col("drawdown"))).alias("risk"),
+    )
+
+
+def market_context(bench: DataFrame, n: int = 63, least: int = 756, lag: int = 21, stress: float = -0.10) -> DataFrame:
+    """(date, close) of a benchmark with the share of its past volatilities (given `least` of them) that are at most the
+    present one, the drawdown from the n-row high, whether it rose over `lag` rows from a drawdown of `stress` or deeper,
+    and its n-row return. The benchmark is one series, calendar-sized."""
+    from .windows import expanding_pct_rank
+
+    one = bench.select(F.lit("market").alias("entity"), "date", F.col("close").cast("double").alias("close"))
+    out = one.withColumn("ret", change("close", 1)).withColumn("vol", rolling("ret", n, n, "std") * F.sqrt(F.lit(252.0))).withColumn("drawdown", F.try_divide(F.col("close"), rolling("close", n, n, "max")) - 1)
+    out = out.withColumn("rebound", F.coalesce((change("close", lag) > 0) & (F.lag("drawdown", lag).over(series()) <= stress), F.lit(False))).withColumn("return", change("close", n))
+    ranked = expanding_pct_rank(out.select("entity", "date", "vol"), "vol", least, prior=True).select("date", F.nanvl("pct", F.lit(None)).alias("volatility_percentile"))
+    return out.join(ranked, "date").select("date", "close", "volatility_percentile", "drawdown", "rebound", "return")
 
 
 def event_flags(bars: DataFrame, bench: DataFrame) -> DataFrame:

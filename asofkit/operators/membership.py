@@ -29,6 +29,22 @@ def members_at(iv: DataFrame, day) -> DataFrame:
     return iv.where((F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (F.col("valid_to") > day))).select("entity").distinct()
 
 
+def survivorship_coverage(records: DataFrame, fixed: DataFrame, least_gone: int = 10, least_coverage: float = 0.5) -> DataFrame:
+    """One row over membership records (entity, exit_reason, source, sector) and today's entities (entity): how many of
+    each there are, entities that did not survive, historical over present entities, records by exit reason (the reason
+    `active` aside, as a sorted array of pairs), and whether the records are ready for point-in-time use: each with
+    source and sector, enough that did not survive, and enough coverage."""
+    now = fixed.select("entity").where("entity is not null").distinct()
+    past = records.select("entity").where("entity is not null").distinct()
+    gone = past.join(now, "entity", "left_anti").agg(F.count("*").alias("gone"))
+    told = records.agg(F.count("*").alias("records"), F.coalesce(F.every((F.coalesce("source", F.lit("")) != "") & (F.coalesce("sector", F.lit("")) != "")), F.lit(False)).alias("dated"))
+    exits = records.where("exit_reason <> 'active'").groupBy("exit_reason").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("exit_reason", "n"))).alias("exits"))
+    counts = past.agg(F.count("*").alias("historical")).join(now.agg(F.count("*").alias("fixed"))).join(gone).join(told).join(exits)  # one row each
+    share = F.coalesce(F.try_divide(F.col("historical").cast("double"), F.col("fixed")), F.lit(0.0))
+    ready = F.col("dated") & (F.col("gone") >= least_gone) & (share >= least_coverage)
+    return counts.select("fixed", "records", "historical", "gone", share.alias("coverage"), "exits", F.when(ready, "POINT_IN_TIME_READY").otherwise("SURVIVORSHIP_BIAS_REMAINS").alias("status"))
+
+
 def drop_windows(df: DataFrame, centres: DataFrame, before: int, after: int) -> DataFrame:
     """df without each entity's rows from `before` rows before a centre to `after` rows after it."""
     numbered = df.withColumn("_i", F.row_number().over(Window.partitionBy("entity").orderBy("date")))

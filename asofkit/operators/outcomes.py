@@ -65,33 +65,36 @@ def label_fixed(events: DataFrame, bars: DataFrame, h: int, break_at: float, lar
 
 def calendar_outcome(events: DataFrame, bars: DataFrame, months: int, tolerance: int, as_of) -> DataFrame:
     """events (id, entity, date) with the first close within tolerance days after date + months: AVAILABLE, PENDING
-    where the time has not come, UNAVAILABLE where no close exists."""
-    due = events.select("id", "entity", F.add_months("date", months).alias("due"))
-    b = bars.select(F.col("entity").alias("_e"), F.col("date").alias("_d"), "close")
-    found = due.join(b, (F.col("entity") == F.col("_e")) & F.col("_d").between(F.col("due"), F.date_add("due", tolerance)) & (F.col("_d") <= as_of), "left")
-    out = found.groupBy("id", "due").agg(F.min("_d").alias("outcome_date"), F.min_by("close", "_d").alias("close"))
+    where the time has not come, UNAVAILABLE where no close exists. An entity's bars and due days meet in one sort."""
+    from .joins import asof_forward
+
+    due = events.select("id", "entity", F.add_months("date", months).alias("date"))
+    known = bars.where((F.col("date") <= as_of) & F.col("close").isNotNull()).select("entity", "date", "close")
+    found = asof_forward(due, known, ["entity"], "date", ["close"], tolerance).withColumnRenamed("date", "due")
     status = F.when(F.col("close").isNotNull(), "AVAILABLE").when(F.date_add("due", tolerance) > as_of, "PENDING").otherwise("UNAVAILABLE")
-    return out.withColumn("status", status)
+    return found.select("id", "due", F.col("matched_on").alias("outcome_date"), "close", status.alias("status"))
 
 
-def policy_counterfactual(events: DataFrame, bars: DataFrame, h: int, trim: float, waits: tuple[int, ...], costs: tuple[float, ...]) -> DataFrame:
+def policy_counterfactual(events: DataFrame, bars: DataFrame, h: int, trim: float, waits: tuple[int, ...], costs: tuple[tuple[float, float], ...]) -> DataFrame:
     """Wealth after h sessions of trimming a share at the next open and buying back after each wait (0: never), against
-    holding, for each cost rate; and the change in shares. Closed form on the open of a few later sessions."""
+    holding, for each (fee, slippage); and the change in shares. Slippage moves the price, the fee is paid on the amount
+    traded; cost is their sum. Closed form on the open of a few later sessions."""
     lead = lambda c, k: F.lead(c, k).over(series())
     prices = bars.select("entity", "date", lead("open", 1).alias("out"), lead("close", h).alias("end"), *(lead("open", 1 + w).alias(f"in{w}") for w in waits if w))
     joined = events.join(prices, ["entity", "date"]).where("end is not null and out > 0")
     rows = []
     for w in waits:
-        for c in costs:
-            cash = F.lit(trim) * F.col("out") * (1 - c)
-            shares = F.lit(1 - trim) + (F.lit(0.0) if not w else cash * (1 - c) / F.col(f"in{w}"))
+        for fee, slip in costs:
+            c = fee + slip
+            cash = F.lit(trim) * F.col("out") * (1 - slip) * (1 - fee)
+            shares = F.lit(1 - trim) + (F.lit(0.0) if not w else cash / (F.col(f"in{w}") * (1 + slip) * (1 + fee)))
             wealth = shares * F.col("end") + (cash if not w else F.lit(0.0))
             rows.append(F.struct(F.lit(w).alias("wait"), F.lit(c).alias("cost"), (wealth / F.col("end") - 1).alias("wealth_delta"), (shares - 1).alias("share_delta")))
     return joined.select(*events.columns, F.inline(F.array(*rows)))
 
 
-def policy_paths(events: DataFrame, bars: DataFrame, bench: DataFrame, h: int, trim: float, waits: tuple[int, ...], costs: tuple[float, ...]) -> DataFrame:
-    """Each event (id, entity, date), policy and cost rate: terminal wealth against holding, over the wealth at the start
+def policy_paths(events: DataFrame, bars: DataFrame, bench: DataFrame, h: int, trim: float, waits: tuple[int, ...], costs: tuple[tuple[float, float], ...]) -> DataFrame:
+    """Each event (id, entity, date), policy and (fee, slippage), summed as cost: terminal wealth against holding, over the wealth at the start
     (delta), the upside missed, and how much shallower the deepest drawdown of the policy's daily wealth is than that of
     holding. Policies sell `trim` of the share at the next open and keep the cash (keep_cash), buy back after each wait
     (reenter_<n>), or hold the benchmark instead (benchmark; bench: date, open, close). Events whose h sessions have not
@@ -106,14 +109,15 @@ def policy_paths(events: DataFrame, bars: DataFrame, bench: DataFrame, h: int, t
     path = path.withColumn("base", at("close", 0)).withColumn("out", at("open", 1)).withColumn("bout", at("bo", 1)).withColumn("end", at("close", h)).withColumns({f"in{w}": at("open", 1 + w) for w in waits})
     path = path.where("out > 0 and bout > 0")
     sold, kinds = F.col("k") >= 1, []
-    for c in costs:
-        cash = F.lit(trim) * F.col("out") * (1 - c)
+    for fee, slip in costs:
+        c, dearer = fee + slip, (1 + slip) * (1 + fee)
+        cash = F.lit(trim) * F.col("out") * (1 - slip) * (1 - fee)
         kept = F.when(sold, 1 - trim).otherwise(1.0) * F.col("close")
         kinds.append(F.struct(F.lit("keep_cash").alias("policy"), F.lit(c).alias("cost"), (kept + F.when(sold, cash).otherwise(0.0)).alias("wealth")))
-        kinds.append(F.struct(F.lit("benchmark").alias("policy"), F.lit(c).alias("cost"), (kept + F.when(sold, cash * (1 - c) / F.col("bout") * F.col("bc")).otherwise(0.0)).alias("wealth")))
+        kinds.append(F.struct(F.lit("benchmark").alias("policy"), F.lit(c).alias("cost"), (kept + F.when(sold, cash / (F.col("bout") * dearer) * F.col("bc")).otherwise(0.0)).alias("wealth")))
         for w in waits:
             back = F.col("k") >= 1 + w
-            wealth = kept + F.when(back, cash * (1 - c) / F.col(f"in{w}") * F.col("close")).when(sold, cash).otherwise(0.0)
+            wealth = kept + F.when(back, cash / (F.col(f"in{w}") * dearer) * F.col("close")).when(sold, cash).otherwise(0.0)
             kinds.append(F.struct(F.lit(f"reenter_{w}").alias("policy"), F.lit(c).alias("cost"), wealth.alias("wealth")))
     each = path.select("id", "k", "base", "close", "end", F.inline(F.array(*kinds)))
     upto = Window.partitionBy("id", "policy", "cost").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranks as R
+from .joins import within_intervals
 from .stats import spearman_matrix
 
 
@@ -53,7 +54,7 @@ def coverage_audit(obs: DataFrame, cohort: DataFrame, dates: DataFrame, interval
     n = expected.agg(F.count("*").alias("expected"))
     owned = cohort.select("entity", "symbol").distinct().withColumn("owners", F.count("*").over(Window.partitionBy("symbol"))).where("owners = 1").drop("owners")
     seen = obs.select("symbol", "date").distinct().join(expected, "date", "left_semi").join(owned, "symbol")
-    linked = seen.join(intervals, "symbol").where(F.col("date").between(F.col("valid_from"), F.col("valid_to"))).groupBy("entity", "date").agg(F.count_distinct("id").alias("ids")).where("ids = 1")
+    linked = within_intervals(seen, intervals, "symbol", "date", ["id"]).groupBy("entity", "date").agg(F.count_distinct("id").alias("ids")).where("ids = 1")
     observed = seen.groupBy("entity").agg(F.count_distinct("date").alias("observed"), F.min("date").alias("first"), F.max("date").alias("last"))
     verified = linked.groupBy("entity").agg(F.count("*").alias("linked"))
     out = cohort.select("entity").distinct().join(observed, "entity", "left").join(verified, "entity", "left").crossJoin(F.broadcast(n)).fillna(0, ["observed", "linked"])  # n is one row

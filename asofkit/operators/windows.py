@@ -69,9 +69,10 @@ def pct_of_latest(df: DataFrame, col: str) -> DataFrame:
     return df.join(latest, "entity").groupBy("entity", "latest").agg(F.avg(F.when(F.col(col).isNotNull(), (F.col(col) <= F.col("latest")).cast("double"))).alias("pct"))
 
 
-def expanding_pct_rank(df: DataFrame, col: str, least: int = 1) -> DataFrame:
-    """df with pct: average rank of each value within its entity's history so far (of at least `least` values), as a share. One vectorised pass per
-    entity; a group holds one series."""
+def expanding_pct_rank(df: DataFrame, col: str, least: int = 1, prior: bool = False) -> DataFrame:
+    """df with pct: average rank of each value within its entity's history so far (of at least `least` values), as a
+    share; prior: the share of the values before it that are at most the value. One vectorised pass per entity; a group
+    holds one series."""
     import numpy as np
     import pandas as pd
 
@@ -81,11 +82,11 @@ def expanding_pct_rank(df: DataFrame, col: str, least: int = 1) -> DataFrame:
         out, held = np.full(len(x), np.nan), np.zeros(0)
         for a in range(0, len(x), 1024):  # against the sorted values before the piece, and within it
             v = x[a : a + 1024]
-            known, upto = ~np.isnan(v), np.tril(np.ones((len(v), len(v)), bool))
+            known, upto = ~np.isnan(v), np.tril(np.ones((len(v), len(v)), bool), -1 if prior else 0)
             low, high = np.searchsorted(held, v), np.searchsorted(held, v, side="right")
             less, same = low + ((v[None, :] < v[:, None]) & upto).sum(1), high - low + ((v[None, :] == v[:, None]) & upto).sum(1)
-            count = len(held) + known.cumsum()
-            out[a : a + 1024] = np.where(known & (count >= least), (less + (same + 1) / 2) / np.maximum(count, 1), np.nan)
+            count = len(held) + known.cumsum() - (known if prior else 0)
+            out[a : a + 1024] = np.where(known & (count >= least), (less + (same if prior else (same + 1) / 2)) / np.maximum(count, 1), np.nan)
             held = np.sort(np.concatenate([held, v[known]]))
         return part.assign(pct=out)
 
@@ -229,13 +230,30 @@ def rows_since_max(df: DataFrame, col: str, n: int) -> DataFrame:
     return numbered.withColumn("since", (F.col("_i") + top["i"]).cast("long")).drop("_i")
 
 
-def giveback(df: DataFrame, col: str) -> DataFrame:
-    """Gain since an entity's first row, its peak, the drawdown from the peak value, and the share of the peak gain
-    given back."""
-    upto = series().rowsBetween(Window.unboundedPreceding, 0)
-    gain = F.try_divide(F.col(col), F.first(col).over(upto)) - 1
-    out = df.withColumn("gain", gain).withColumn("peak_gain", F.max("gain").over(upto)).withColumn("drawdown", F.try_divide(F.col(col), F.max(col).over(upto)) - 1)
-    return out.withColumn("given_back", F.when(F.col("peak_gain") > 0, (F.col("peak_gain") - F.col("gain")) / F.col("peak_gain")))
+def giveback(observations: DataFrame, bars: DataFrame, folds: DataFrame, col: str, stage: str | None = None, rows: int = 13) -> DataFrame:
+    """observations (entity, date, ...) that lie within a fold's test span, with the position that starts at the
+    entity's first bar of the span: its gain, the highest gain seen so far, the drawdown from the highest observed value
+    and the share of the profit given back (0 without one). With a stage, recent_rush says whether one of the last rows
+    was RUSH.
+
+    Only observed rows count for peaks; an observation without a bar of its own day fails when it is read. folds (fold,
+    test_start, test_end) is a table of fixed size whose spans don't overlap.
+    """
+    spans = F.broadcast(folds.select("fold", "test_start", "test_end"))
+    within = lambda d: F.col(d).between(F.col("test_start"), F.col("test_end"))
+    prices = bars.select("entity", F.col("date").alias("_d"), F.col(col).alias("_price")).where("_price is not null")
+    entry = prices.join(spans, within("_d")).groupBy("entity", "fold").agg(F.min("_d").alias("entry_date"), F.min_by("_price", "_d").alias("entry"))
+    seen = observations.join(spans, within("date")).drop("test_start", "test_end").join(entry, ["entity", "fold"]).where("date >= entry_date")
+    own = prices.select("entity", F.col("_d").alias("date"), "_price")
+    value = F.coalesce("_price", F.raise_error(F.lit("an observation lacks a bar of its day")).cast("double"))
+    w = Window.partitionBy("entity", "fold").orderBy("date")
+    out = seen.join(own, ["entity", "date"], "left").withColumn("_v", value).withColumn("_top", F.max("_v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    profit = F.col("_top") - F.col("entry")
+    out = out.withColumn("gain", F.try_divide("_v", "entry") - 1).withColumn("peak_gain", F.try_divide("_top", "entry") - 1).withColumn("drawdown", F.try_divide("_v", "_top") - 1)
+    out = out.withColumn("given_back", F.when(profit > 0, (F.col("_top") - F.col("_v")) / profit).otherwise(0.0))
+    if stage:
+        out = out.withColumn("recent_rush", F.max(F.coalesce(F.col(stage) == "RUSH", F.lit(False))).over(w.rowsBetween(-(rows - 1), 0)))
+    return out.drop("_v", "_top", "_price")
 
 
 def rising_runs(df: DataFrame, col: str, ordinal: str) -> DataFrame:

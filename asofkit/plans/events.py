@@ -73,6 +73,18 @@ def j5_session_offset(spark, sf):
     return J.session_offset(e, bars(spark, sf), 2, ["open"])
 
 
+@query(CTES + """, i AS (SELECT entity, date, row_number() OVER (PARTITION BY entity ORDER BY date) AS i FROM bars), e AS (SELECT o_orderkey, n_name AS entity, o_orderdate::TIMESTAMP + to_minutes((o_orderkey * 7 % 1440)::BIGINT) AS accepted FROM orders JOIN nation ON o_orderkey % 25 = n_nationkey),
+l AS (SELECT *, timezone('America/New_York', timezone('UTC', accepted)) AS local FROM e), d AS (SELECT *, local::DATE + (CASE WHEN strftime(local, '%H:%M') >= '09:30' THEN 1 ELSE 0 END) AS first FROM l),
+p AS (SELECT d.o_orderkey, d.entity, accepted, i.i FROM d ASOF LEFT JOIN i ON d.entity = i.entity AND d.first <= i.date)
+SELECT o_orderkey, CASE WHEN b.date IS NOT NULL AND e.date IS NOT NULL THEN b.date END AS base, CASE WHEN b.date IS NOT NULL AND e.date IS NOT NULL THEN e.date END AS "end" FROM p LEFT JOIN i b ON b.entity = p.entity AND b.i = p.i - 1 LEFT JOIN i e ON e.entity = p.entity AND e.i = p.i + 2""".replace('"end"', "finish"))
+def j5_reaction_sessions(spark, sf):
+    """Instants all over the day (UTC), placed before or after the open."""
+    nation = table(spark, sf, "nation").select(F.col("n_name").alias("entity"), "n_nationkey")
+    minutes = (F.col("o_orderkey") * 7 % 1440) * 60
+    e = orders(spark, sf).join(nation, F.col("o_orderkey") % 25 == F.col("n_nationkey")).select("o_orderkey", "entity", F.timestamp_seconds(F.unix_timestamp(F.col("date").cast("timestamp")) + minutes).alias("accepted"))
+    return J.reaction_sessions(e, bars(spark, sf), "accepted").select("o_orderkey", "base", F.col("end").alias("finish"))
+
+
 @query("""
 WITH f AS (SELECT DISTINCT o_custkey, last_day(o_orderdate::DATE) AS period, sum(o_totalprice) AS v FROM orders GROUP BY ALL)
 SELECT a.o_custkey, a.period, round(a.v, 2) AS v, round(arg_max(b.v, b.period), 2) AS prior FROM f a LEFT JOIN f b ON a.o_custkey = b.o_custkey AND a.period - b.period BETWEEN 330 AND 400 GROUP BY a.o_custkey, a.period, a.v""")
@@ -220,13 +232,13 @@ def f8_monthly_forward(spark, sf):
 
 
 POLICY = REPLAY + """, px AS (SELECT entity, date, lead(open, 1) OVER w AS x, lead(close, 63) OVER w AS fin, lead(open, 22) OVER w AS in21 FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
-pol AS (SELECT s.entity, s.date, wait, cost, CASE WHEN wait = 0 THEN 0.95 ELSE 0.95 + 0.05 * x * (1 - cost) * (1 - cost) / in21 END AS shares, CASE WHEN wait = 0 THEN 0.05 * x * (1 - cost) ELSE 0 END AS cash, fin
- FROM starts s JOIN px USING (entity, date), (VALUES (0), (21)) v(wait), (VALUES (0.0::DOUBLE), (0.001::DOUBLE)) c(cost) WHERE s.stage = 'RUSH' AND fin IS NOT NULL AND x > 0)"""
+pol AS (SELECT s.entity, s.date, wait, fee + slip AS cost, CASE WHEN wait = 0 THEN 0.95 ELSE 0.95 + 0.05 * x * (1 - slip) * (1 - fee) / (in21 * (1 + slip) * (1 + fee)) END AS shares, CASE WHEN wait = 0 THEN 0.05 * x * (1 - slip) * (1 - fee) ELSE 0 END AS cash, fin
+ FROM starts s JOIN px USING (entity, date), (VALUES (0), (21)) v(wait), (VALUES (0.0::DOUBLE, 0.0::DOUBLE), (0.001::DOUBLE, 0.0005::DOUBLE)) c(fee, slip) WHERE s.stage = 'RUSH' AND fin IS NOT NULL AND x > 0)"""
 
 
 def policy(spark, sf):
     starts = W.entries(staged(spark, sf).select("entity", "date", "stage"), "stage", ["RUSH"]).select("entity", "date")
-    return O.policy_counterfactual(starts, bars(spark, sf), 63, 0.05, (0, 21), (0.0, 0.001))
+    return O.policy_counterfactual(starts, bars(spark, sf), 63, 0.05, (0, 21), ((0.0, 0.0), (0.001, 0.0005)))
 
 
 @query(CTES + POLICY + " SELECT entity, date, wait, cost, round((shares * fin + cash) / fin - 1, 6) AS wealth_delta, round(shares - 1, 6) AS share_delta FROM pol")
@@ -237,20 +249,20 @@ def f9_policy_counterfactual(spark, sf):
 @query(CTES + REPLAY + """, mk AS (SELECT date, avg(open) AS bo, avg(close) AS bc FROM bars GROUP BY date), nb AS (SELECT bars.*, bo, bc, row_number() OVER (PARTITION BY entity ORDER BY date) AS i FROM bars JOIN mk USING (date)),
 p AS (SELECT e.entity || '|' || e.date::VARCHAR AS id, b.i - e.i AS k, b.open, b.close, b.bo, b.bc, e.close AS base FROM nb e JOIN starts s ON s.entity = e.entity AND s.date = e.date AND s.stage = 'RUSH' JOIN nb b ON b.entity = e.entity AND b.i BETWEEN e.i AND e.i + 63),
 q AS (SELECT *, count(*) OVER w AS n, max(open) FILTER (WHERE k = 1) OVER w AS out, max(bo) FILTER (WHERE k = 1) OVER w AS bout, max(open) FILTER (WHERE k = 22) OVER w AS in21, max(close) FILTER (WHERE k = 63) OVER w AS fin FROM p WINDOW w AS (PARTITION BY id)),
-x AS (SELECT id, k, close, base, fin, policy, cost, CASE WHEN k >= 1 THEN 0.95 ELSE 1 END * close + CASE WHEN k < 1 THEN 0 WHEN policy = 'keep_cash' OR (policy = 'reenter_21' AND k < 22) THEN 0.05 * out * (1 - cost) WHEN policy = 'benchmark' THEN 0.05 * out * (1 - cost) * (1 - cost) / bout * bc ELSE 0.05 * out * (1 - cost) * (1 - cost) / in21 * close END AS wealth
- FROM q, (VALUES ('keep_cash'), ('reenter_21'), ('benchmark')) v(policy), (VALUES (0.0::DOUBLE), (0.001::DOUBLE)) c(cost) WHERE n = 64 AND out > 0 AND bout > 0),
+x AS (SELECT id, k, close, base, fin, policy, fee + slip AS cost, CASE WHEN k >= 1 THEN 0.95 ELSE 1 END * close + CASE WHEN k < 1 THEN 0 WHEN policy = 'keep_cash' OR (policy = 'reenter_21' AND k < 22) THEN 0.05 * out * (1 - slip) * (1 - fee) WHEN policy = 'benchmark' THEN 0.05 * out * (1 - slip) * (1 - fee) / (bout * (1 + slip) * (1 + fee)) * bc ELSE 0.05 * out * (1 - slip) * (1 - fee) / (in21 * (1 + slip) * (1 + fee)) * close END AS wealth
+ FROM q, (VALUES ('keep_cash'), ('reenter_21'), ('benchmark')) v(policy), (VALUES (0.0::DOUBLE, 0.0::DOUBLE), (0.001::DOUBLE, 0.0005::DOUBLE)) c(fee, slip) WHERE n = 64 AND out > 0 AND bout > 0),
 y AS (SELECT *, wealth / max(wealth) OVER w - 1 AS fall, close / max(close) OVER w - 1 AS hold_fall FROM x WINDOW w AS (PARTITION BY id, policy, cost ORDER BY k))
 SELECT id, policy, cost, round((arg_max(wealth, k) - max(fin)) / max(base), 6) AS delta, round(greatest(0, abs(min(hold_fall)) - abs(min(fall))), 6) AS drawdown_avoided, round(greatest(0, -(arg_max(wealth, k) - max(fin)) / max(base)), 6) AS missed_upside FROM y GROUP BY id, policy, cost""")
 def f9_policy_paths(spark, sf):
     b = bars(spark, sf)
     starts = W.entries(staged(spark, sf).select("entity", "date", "stage"), "stage", ["RUSH"]).select(F.concat_ws("|", "entity", F.col("date").cast("string")).alias("id"), "entity", "date")
     bench = b.groupBy("date").agg(F.avg("open").alias("open"), F.avg("close").alias("close"))
-    return O.policy_paths(starts, b, bench, 63, 0.05, (21,), (0.0, 0.001)).select("id", "policy", "cost", r("delta"), r("drawdown_avoided"), r("missed_upside"))
+    return O.policy_paths(starts, b, bench, 63, 0.05, (21,), ((0.0, 0.0), (0.001, 0.0005))).select("id", "policy", "cost", r("delta"), r("drawdown_avoided"), r("missed_upside"))
 
 
 @query(CTES + POLICY + " SELECT entity, date, max(CASE WHEN cost = 0 THEN round((shares * fin + cash) / fin - 1, 6) END) AS free, max(CASE WHEN cost > 0 THEN round((shares * fin + cash) / fin - 1, 6) END) AS charged FROM pol WHERE wait = 21 GROUP BY ALL")
 def a29_pivot_costs(spark, sf):
-    wide = A.pivot_costs(policy(spark, sf).where("wait = 21").withColumn("wealth_delta", F.round("wealth_delta", 6)), ["entity", "date"], "cost", [0.0, 0.001], "wealth_delta")
+    wide = A.pivot_costs(policy(spark, sf).where("wait = 21").withColumn("wealth_delta", F.round("wealth_delta", 6)), ["entity", "date"], "cost", [0.0, 0.001 + 0.0005], "wealth_delta")
     return wide.toDF("entity", "date", "free", "charged")
 
 
@@ -274,14 +286,16 @@ def a2_concentration(spark, sf):
 
 
 @query("""
-WITH h AS (SELECT DISTINCT l_suppkey, year(o_orderdate) AS period, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-c AS (SELECT l_suppkey, period, count(*) AS holders FROM h GROUP BY ALL), k AS (SELECT a.l_suppkey, a.period, count(*) AS kept FROM h a JOIN h b ON a.l_suppkey = b.l_suppkey AND a.o_custkey = b.o_custkey AND b.period = a.period - 1 GROUP BY ALL)
-SELECT c.l_suppkey, c.period, c.holders, c.holders - coalesce(kept, 0) AS new, coalesce(p.holders, 0) - coalesce(kept, 0) AS exited, round((c.holders - p.holders) / p.holders, 6) AS breadth_change
-FROM c LEFT JOIN k USING (l_suppkey, period) LEFT JOIN c p ON p.l_suppkey = c.l_suppkey AND p.period = c.period - 1""")
+WITH v AS (SELECT l_suppkey, year(o_orderdate) AS period, o_custkey, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE (l_suppkey + year(o_orderdate)) % 9 > 0 GROUP BY ALL), h AS (SELECT l_suppkey, period, o_custkey FROM v),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, period ORDER BY v DESC, o_custkey) AS n FROM v), s AS (SELECT l_suppkey, period, sum(v) FILTER (WHERE n <= 5) / sum(v) AS top5, sum(v * v) / (sum(v) * sum(v)) AS hhi FROM n GROUP BY ALL),
+b AS (SELECT l_suppkey, min(period) AS born FROM h GROUP BY ALL), c AS (SELECT l_suppkey, period, count(*) AS holders FROM h GROUP BY ALL), k AS (SELECT a.l_suppkey, a.period, count(*) AS kept FROM h a JOIN h b ON a.l_suppkey = b.l_suppkey AND a.o_custkey = b.o_custkey AND b.period = a.period - 1 GROUP BY ALL)
+SELECT c.l_suppkey, c.period, c.holders, CASE WHEN c.period > born THEN c.holders - coalesce(kept, 0) END AS new, CASE WHEN c.period > born THEN coalesce(p.holders, 0) - coalesce(kept, 0) END AS exited, round((c.holders - p.holders) / p.holders, 6) AS breadth_change, round(s.top5 - q.top5, 6) AS top5_change, round(s.hhi - q.hhi, 6) AS hhi_change
+FROM c LEFT JOIN k USING (l_suppkey, period) LEFT JOIN c p ON p.l_suppkey = c.l_suppkey AND p.period = c.period - 1 JOIN b ON b.l_suppkey = c.l_suppkey JOIN s ON s.l_suppkey = c.l_suppkey AND s.period = c.period LEFT JOIN s q ON q.l_suppkey = c.l_suppkey AND q.period = c.period - 1""")
 def a3_slow_context(spark, sf):
+    """Each supplier reports nothing in some years, so that holders come back."""
     o = orders(spark, sf).select("o_orderkey", "o_custkey", F.year("date").cast("long").alias("period"))
-    held = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return A.slow_context(held, "l_suppkey", "period", "o_custkey").select("l_suppkey", "period", "holders", "new", "exited", r("breadth_change"))
+    held = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity").join(o, F.col("l_orderkey") == F.col("o_orderkey")).where((F.col("l_suppkey") + F.col("period")) % 9 > 0)
+    return A.slow_context(held, "l_suppkey", "period", "o_custkey", "l_quantity").select("l_suppkey", "period", "holders", "new", "exited", r("breadth_change"), r("top5_change"), r("hhi_change"))
 
 
 @query("""
@@ -372,6 +386,16 @@ def u3_members_at(spark, sf):
     return U.members_at(U.membership_intervals(snapshots(spark, sf)), day("1998-03-15"))
 
 
+@query("""WITH x AS (SELECT c_custkey AS entity, CASE c_mktsegment WHEN 'BUILDING' THEN 'active' ELSE lower(c_mktsegment) END AS exit_reason FROM customer JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey), f AS (SELECT DISTINCT o_custkey AS entity FROM orders WHERE o_orderdate >= DATE '2000-06-01')
+SELECT (SELECT count(*) FROM f) AS fixed, count(*) AS records, count(DISTINCT entity) AS historical, (SELECT count(*) FROM (SELECT entity FROM x EXCEPT SELECT entity FROM f)) AS gone, round(count(DISTINCT entity) / (SELECT count(*) FROM f), 6) AS coverage, (SELECT string_agg(exit_reason || '=' || n, ',' ORDER BY exit_reason) FROM (SELECT exit_reason, count(*) AS n FROM x WHERE exit_reason <> 'active' GROUP BY ALL)) AS exits,
+ CASE WHEN (SELECT count(*) FROM (SELECT entity FROM x EXCEPT SELECT entity FROM f)) >= 10 AND count(DISTINCT entity) / (SELECT count(*) FROM f) >= 0.5 THEN 'POINT_IN_TIME_READY' ELSE 'SURVIVORSHIP_BIAS_REMAINS' END AS status FROM x""")
+def u3_survivorship_coverage(spark, sf):
+    c = table(spark, sf, "customer").join(orders(spark, sf).select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    records = c.select(F.col("c_custkey").alias("entity"), F.when(F.col("c_mktsegment") == "BUILDING", "active").otherwise(F.lower("c_mktsegment")).alias("exit_reason"), F.lit("orders").alias("source"), F.col("c_mktsegment").alias("sector"))
+    out = U.survivorship_coverage(records, orders(spark, sf).where(F.col("date") >= day("2000-06-01")).select(F.col("o_custkey").alias("entity")))
+    return out.withColumn("exits", F.array_join(F.transform("exits", lambda e: F.concat_ws("=", e["exit_reason"], e["n"].cast("string"))), ",")).withColumn("coverage", F.round("coverage", 6))
+
+
 @query(CTES + REPLAY + """, i AS (SELECT entity, date, close, row_number() OVER (PARTITION BY entity ORDER BY date) AS i FROM bars), c AS (SELECT entity, i FROM i JOIN starts USING (entity, date) WHERE stage = 'RUSH')
 SELECT entity, date, close FROM i WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.entity = i.entity AND i.i BETWEEN c.i - 3 AND c.i + 5)""")
 def u5_drop_windows(spark, sf):

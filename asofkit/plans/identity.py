@@ -40,10 +40,14 @@ def a5_identifier_intervals(spark, sf):
     return I.identifier_intervals(orders(spark, sf), "o_orderpriority", "o_custkey", "date").select("o_custkey", "o_orderpriority", "first", "last", "quarters", r("coverage"))
 
 
-@query("""SELECT l_suppkey, year(l_shipdate) AS period, l_partkey, count(DISTINCT l_orderkey) AS filings, count(*) AS rows FROM lineitem GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY l_suppkey, period ORDER BY filings DESC, rows DESC, l_partkey) = 1""")
+@query("""WITH o AS (SELECT l_suppkey AS symbol, l_partkey % 40 AS number, l_linenumber % 2 AS issuer, CASE WHEN l_partkey % 40 = 7 THEN l_returnflag WHEN l_linestatus = 'F' THEN '' ELSE 'C' || (l_partkey % 40) END AS code, year(l_shipdate) AS period, l_orderkey FROM lineitem),
+w AS (SELECT issuer, symbol, number, count(*) AS rows, CASE WHEN count(DISTINCT nullif(code, '')) = 1 THEN max(nullif(code, '')) ELSE '' END AS code FROM o GROUP BY ALL), p AS (SELECT issuer, symbol, number, period, count(DISTINCT l_orderkey) AS filings FROM o GROUP BY ALL)
+SELECT symbol, period, issuer::INT AS issuer, number, code, filings, rows FROM p JOIN w USING (issuer, symbol, number) QUALIFY row_number() OVER (PARTITION BY symbol, period ORDER BY filings DESC, rows DESC, number DESC, issuer DESC) = 1""")
 def a30_primary_security(spark, sf):
-    li = table(spark, sf, "lineitem").withColumn("period", F.year("l_shipdate").cast("long"))
-    return I.primary_security(li, "l_suppkey", "period", "l_partkey", "l_orderkey")
+    number = F.col("l_partkey") % 40
+    code = F.when(number == 7, F.col("l_returnflag")).when(F.col("l_linestatus") == "F", "").otherwise(F.concat(F.lit("C"), number.cast("string")))
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("symbol"), number.alias("number"), (F.col("l_linenumber") % 2).cast("int").alias("issuer"), code.alias("code"), F.year("l_shipdate").cast("long").alias("period"), "l_orderkey")
+    return I.primary_security(li, "symbol", "period", "issuer", "number", "code", "l_orderkey")
 
 
 @query("""WITH x AS (SELECT o_custkey, o_orderpriority, o_orderkey, o_totalprice AS low, o_totalprice * 1.5 AS high, o_orderdate::DATE AS date FROM orders), m AS (SELECT *, (low + high) / 2 AS mid, lag((low + high) / 2) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY date, o_orderkey) AS before FROM x)

@@ -334,11 +334,16 @@ def w31_rows_since_max(spark, sf):
     return W.rows_since_max(bars(spark, sf).select("entity", "date", "close"), "close", 63).select("entity", "date", "since")
 
 
-@query(CTES + """, g AS (SELECT entity, date, close / first_value(close) OVER w - 1 AS gain, close / max(close) OVER w - 1 AS drawdown FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
-p AS (SELECT *, max(gain) OVER (PARTITION BY entity ORDER BY date) AS peak_gain FROM g)
-SELECT entity, date, round(gain, 6) AS gain, round(peak_gain, 6) AS peak_gain, round(drawdown, 6) AS drawdown, CASE WHEN peak_gain > 0 THEN round((peak_gain - gain) / peak_gain, 6) END AS given_back FROM p""")
+@query(CTES + FOLDS + f""", o AS (SELECT entity, max(date) AS date, CASE WHEN day(max(date)) % 4 = 0 THEN 'RUSH' ELSE 'CALM' END AS stage FROM bars GROUP BY entity, {WEEK}),
+en AS (SELECT entity, fold, min(date) AS entry_date, arg_min(close, date) AS entry FROM bars JOIN folds ON date BETWEEN test_start AND test_end GROUP BY ALL),
+x AS (SELECT o.entity, fold, o.date, stage, close, entry, max(close) OVER (PARTITION BY o.entity, fold ORDER BY o.date) AS top FROM o JOIN folds ON o.date BETWEEN test_start AND test_end JOIN en USING (entity, fold) JOIN bars ON bars.entity = o.entity AND bars.date = o.date WHERE o.date >= entry_date)
+SELECT entity, fold, date, round(close / entry - 1, 6) AS gain, round(top / entry - 1, 6) AS peak_gain, round(close / top - 1, 6) AS drawdown, CASE WHEN top > entry THEN round((top - close) / (top - entry), 6) ELSE 0 END AS given_back, bool_or(stage = 'RUSH') OVER (PARTITION BY entity, fold ORDER BY date ROWS 12 PRECEDING) AS recent_rush FROM x""")
 def w33_giveback(spark, sf):
-    return W.giveback(bars(spark, sf), "close").select("entity", "date", r("gain"), r("peak_gain"), r("drawdown"), r("given_back"))
+    """Weekly observations at each week's last session, in the positions that each fold's test span opens."""
+    b = bars(spark, sf)
+    seen = B.weekly_bars(b).select("entity", F.col("last_session").alias("date")).withColumn("stage", F.when(F.dayofmonth("date") % 4 == 0, "RUSH").otherwise("CALM"))
+    folds = B.anchored_folds(b, 252, 126, 126, 10, 5).withColumn("fold", F.col("fold").cast("long"))
+    return W.giveback(seen, b, folds, "close", "stage").select("entity", "fold", "date", r("gain"), r("peak_gain"), r("drawdown"), r("given_back"), "recent_rush")
 
 
 @query(CTES + """, m AS (SELECT entity, last_day(date) AS date, sum(volume) AS v, year(last_day(date)) * 12 + month(last_day(date)) AS o FROM bars GROUP BY ALL)

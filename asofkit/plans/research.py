@@ -81,22 +81,26 @@ def w17_stabilize_labels(spark, sf):
     return LB.stabilize_labels(LB.transition_raw(state(spark, sf)))
 
 
-@query(CTES + f""", raw AS (SELECT entity, date, {guarded('avg(volume)', 21, 10)} / {guarded('avg(volume)', 126, 63)} AS participation, close / lag(close, 126) OVER (PARTITION BY entity ORDER BY date) - 1 AS trend,
-  -{guarded('stddev_samp(close)', 63, 21)} / {guarded('avg(close)', 63, 21)} AS risk FROM bars),
-mo AS (SELECT entity, last_day(date) AS month, arg_max_null(participation, date) AS participation, arg_max_null(trend, date) AS trend, arg_max_null(risk, date) AS risk FROM raw GROUP BY ALL),
-k AS (SELECT entity, month, CASE WHEN participation IS NOT NULL THEN (rank() OVER (PARTITION BY month ORDER BY participation NULLS LAST)) / count(participation) OVER (PARTITION BY month) END AS participation,
-  CASE WHEN trend IS NOT NULL THEN (rank() OVER (PARTITION BY month ORDER BY trend NULLS LAST)) / count(trend) OVER (PARTITION BY month) END AS trend,
-  CASE WHEN risk IS NOT NULL THEN (rank() OVER (PARTITION BY month ORDER BY risk NULLS LAST)) / count(risk) OVER (PARTITION BY month) END AS risk FROM mo)
-SELECT entity, month, round(participation, 6) AS participation, round(trend, 6) AS trend, round(risk, 6) AS risk, round(100 * (participation + trend + risk) / 3, 5) AS score FROM k""")
+@query(CTES + f""", g AS (SELECT e.entity, c.date, b.close, coalesce(b.volume, 0)::DOUBLE AS volume FROM (SELECT DISTINCT entity FROM bars) e, (SELECT DISTINCT date FROM bars) c LEFT JOIN bars b ON b.entity = e.entity AND b.date = c.date),
+h AS (SELECT entity, date, volume, last_value(close IGNORE NULLS) OVER (PARTITION BY entity ORDER BY date ROWS 3 PRECEDING) AS close FROM g),
+i AS (SELECT *, close / lag(close) OVER w - 1 AS move, close / lag(close, 63) OVER w - 1 AS r63, {guarded('avg(close)', 200, 200)} AS m200, {guarded('max(close)', 252, 126)} AS top, {guarded('avg(volume)', 20, 20)} / nullif({guarded('avg(volume)', 120, 120)}, 0) AS vr FROM h WINDOW w AS (PARTITION BY entity ORDER BY date)),
+d AS (SELECT entity, date, close, coalesce((close > m200)::INT, 0) + coalesce((r63 > 0)::INT, 0) AS votes, vr * CASE WHEN move <> 0 THEN sign(move) END AS confirmed, close / m200 - 1 AS own_trend, CASE WHEN move < 0 THEN move ELSE 0 END AS fall, close / top - 1 AS drawdown FROM i),
+f AS (SELECT *, {guarded('stddev_samp(fall)', 63, 40)} AS downside FROM d),
+mk AS (SELECT last_day(date) AS month, arg_max(breadth, date) AS breadth FROM (SELECT date, 50 * avg(votes) AS breadth FROM d GROUP BY date) GROUP BY ALL),
+mo AS (SELECT entity, last_day(date) AS month, {', '.join(f'arg_max({c}, date) FILTER (WHERE {c} IS NOT NULL) AS {c}' for c in ('close', 'own_trend', 'downside', 'drawdown'))}, avg(confirmed) AS confirmed FROM f GROUP BY ALL),
+mm AS (SELECT a.*, b.close / c.close - 1 AS momentum FROM mo a LEFT JOIN mo b ON b.entity = a.entity AND b.month = last_day(a.month - INTERVAL 1 MONTH) LEFT JOIN mo c ON c.entity = a.entity AND c.month = last_day(a.month - INTERVAL 12 MONTH)),
+k AS (SELECT entity, month, own_trend, drawdown, {', '.join(f'CASE WHEN {c} IS NOT NULL THEN 100 * (rank() OVER (PARTITION BY month ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY month, {c}) - 1) / 2) / count({c}) OVER (PARTITION BY month) END AS {c}' for c in ('confirmed', 'momentum', 'downside'))} FROM mm)
+SELECT entity, month, round(CASE WHEN confirmed IS NOT NULL THEN least(100, greatest(0, 0.4 * confirmed + 0.6 * breadth)) END, 5) AS participation, round(0.5 * momentum + 0.5 * CASE WHEN own_trend IS NOT NULL THEN least(100, greatest(0, 50 + 250 * own_trend)) END, 5) AS trend_relative_strength, round(0.5 * (100 - downside) + 0.5 * CASE WHEN drawdown IS NOT NULL THEN least(100, greatest(0, 100 + 250 * drawdown)) END, 5) AS risk FROM k JOIN mk USING (month)""")
 def w14_evidence_scores(spark, sf):
-    return LB.evidence_scores(bars(spark, sf)).select("entity", "month", r("participation"), r("trend"), r("risk"), r("score", 5))
+    return LB.evidence_scores(bars(spark, sf)).select("entity", "month", r("participation", 5), r("trend_relative_strength", 5), r("risk", 5))
 
 
-@query(CTES + """, b AS (SELECT date, avg(close) AS close FROM bars GROUP BY date), x AS (SELECT *, close / lag(close) OVER (ORDER BY date) - 1 AS ret, close / max(close) OVER (ORDER BY date ROWS 62 PRECEDING) - 1 AS drawdown FROM b)
-SELECT date, round(drawdown, 6) AS drawdown, CASE WHEN count(ret) OVER f >= 21 THEN round(stddev_samp(ret) OVER f, 5) END AS vol, min(drawdown) OVER f <= -0.1 AND drawdown > -0.05 AS rebound FROM x WINDOW f AS (ORDER BY date ROWS 62 PRECEDING)""")
+@query(CTES + f""", b AS (SELECT 'market' AS entity, date, avg(close) AS close FROM bars GROUP BY date), x AS (SELECT *, row_number() OVER (ORDER BY date) AS i, close / lag(close) OVER (ORDER BY date) - 1 AS ret, close / {guarded('max(close)', 63, 63)} - 1 AS drawdown FROM b),
+v AS (SELECT *, {guarded('stddev_samp(ret)', 63, 63)} * sqrt(252) AS vol FROM x), p AS (SELECT a.date, count(b.vol) AS n, avg((b.vol <= a.vol)::INT) AS pct FROM v a JOIN v b ON b.i < a.i AND b.vol IS NOT NULL WHERE a.vol IS NOT NULL GROUP BY a.date)
+SELECT v.date, CASE WHEN n >= 252 THEN round(pct, 6) END AS volatility_percentile, round(drawdown, 6) AS drawdown, coalesce(close / lag(close, 21) OVER (ORDER BY v.date) - 1 > 0 AND lag(drawdown, 21) OVER (ORDER BY v.date) <= -0.10, false) AS rebound, round(close / lag(close, 63) OVER (ORDER BY v.date) - 1, 6) AS "return" FROM v LEFT JOIN p ON p.date = v.date""".replace('"return"', "gain"))
 def w30_market_context(spark, sf):
     bench = bars(spark, sf).groupBy("date").agg(F.avg("close").alias("close"))
-    return LB.market_context(bench).select("date", r("drawdown"), r("vol", 5), "rebound")
+    return LB.market_context(bench, least=252).select("date", r("volatility_percentile"), r("drawdown"), "rebound", F.round("return", 6).alias("gain"))
 
 
 @query(CTES + f""", t AS (SELECT *, coalesce(greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)), high - low) AS tr FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),

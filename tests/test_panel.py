@@ -49,7 +49,7 @@ def test_weekly_bars_skip_nulls_and_hide_the_open_week(spark):
     lambda b: W.rolling_trend(b, "close", 10).select("entity", "date", F.round("slope", 9)),
     lambda b: W.wilder_rsi(b, "close", 14).select("entity", "date", "rsi"),
     lambda b: W.expanding_pct_rank(b, "close").select("entity", "date", "pct"),
-    lambda b: W.giveback(b, "close").select("entity", "date", "given_back"),
+    lambda b: W.expanding_pct_rank(b, "close", prior=True).select("entity", "date", "pct"),
 ])
 def test_the_future_does_not_move_the_past(series, job):
     cut = F.lit("2020-02-20").cast("date")
