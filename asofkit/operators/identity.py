@@ -100,11 +100,21 @@ def selection_stability(history: DataFrame, by: list[str], fold: str, choice: st
 
 
 def non_overlapping(events: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Events of a key whose outcome starts after the last kept one's ends; a fold over the key's sorted events."""
-    empty = F.array().cast("array<struct<s:date,e:date>>")
-    sorted_ = F.array_sort(F.collect_set(F.struct(F.col(start).alias("s"), F.col(end).alias("e"))))
-    kept = F.aggregate(sorted_, empty, lambda acc, x: F.when((F.size(acc) == 0) | (x["s"] > F.element_at(acc, -1)["e"]), F.concat(acc, F.array(x))).otherwise(acc))
-    return events.groupBy(*keys).agg(kept.alias("k")).select(*keys, F.inline("k")).withColumnsRenamed({"s": start, "e": end})
+    """Events of a key whose outcome starts after the last kept one's ends. Of events that start on one day only the first
+    to end can be kept, so a key has a row a day at most; one pass over each key's days."""
+    import pandas as pd
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("s").reset_index(drop=True)
+        kept, last = [], None
+        for i, (s, e) in enumerate(zip(part["s"], part["e"])):
+            if last is None or s > last:
+                kept.append(i)
+                last = e
+        return part.loc[kept]
+
+    days = events.where(F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(*keys, F.col(start).alias("s")).agg(F.min(end).alias("e"))
+    return days.groupBy(*keys).applyInPandas(run, days.schema).withColumnsRenamed({"s": start, "e": end})
 
 
 def rank_gaps(coverage: DataFrame, owner: str, symbol: str, gap: str, limit: int) -> DataFrame:

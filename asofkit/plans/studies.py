@@ -223,7 +223,8 @@ def io8_upsert(spark, sf):
     return upsert(old, e.withColumn("version", F.lit(2)), ["event_id"], "version").select(F.col("user_id").alias("entity"), "event_type", "ts")
 
 
-@query(CTES + """ SELECT entity, count(*) AS rows, min(date) AS first, max(date) AS last, sha256(string_agg(sha256(date::VARCHAR || '|' || volume::BIGINT::VARCHAR), '' ORDER BY sha256(date::VARCHAR || '|' || volume::BIGINT::VARCHAR))) AS digest FROM bars WHERE date <= DATE '1999-12-31' GROUP BY entity""")
+@query(CTES + """, h AS (SELECT entity, date, sha256(date::VARCHAR || '|' || volume::BIGINT::VARCHAR) AS h FROM bars WHERE date <= DATE '1999-12-31'), l AS (SELECT entity, left(h, 3) AS p, count(*) AS n, min(date) AS first, max(date) AS last, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY ALL)
+SELECT entity, sum(n)::BIGINT AS rows, min(first) AS first, max(last) AS last, sha256(string_agg(d, '' ORDER BY p)) AS digest FROM l GROUP BY entity""")
 def io10_fingerprint(spark, sf):
     b = bars(spark, sf).withColumn("volume", F.col("volume").cast("long"))
     return R.fingerprint(b, ["entity"], ["date", "volume"], "date", day("1999-12-31"))
@@ -287,7 +288,7 @@ def ss3_mature_outcomes(spark, sf):
     """Observations arrive as a stream; each batch appends the outcomes that have matured and are not stored."""
     out = R.scratch(spark, "stream")
     home = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("entity"))
-    seen = SS.stream_table(spark, sf, "orders").where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).join(home, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), "entity", F.to_date("o_orderdate").alias("date"))
+    seen = SS.stream_table(spark, sf, "orders").where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).join(home, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), "entity", F.to_date("o_orderdate").alias("date")).dropDuplicates(["id"])
     SS.run_batches(seen, SS.mature_stream(seen, lambda: bars(spark, sf), out, (5, 21)), f"{out}/c")
     return spark.read.parquet(f"{out}/outcomes").select("id", "horizon", r("ret"), r("mfe"), r("mae"))
 

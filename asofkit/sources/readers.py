@@ -111,7 +111,14 @@ def write_panel(df: DataFrame, path: str, partition_cols: list[str]) -> None:
 
 
 def fingerprint(df: DataFrame, keys: list[str], cols: list[str], at: str, cutoff: Column) -> DataFrame:
-    """Rows, first and last time, and a digest of the sorted row digests of each key's slice up to the cutoff."""
+    """Rows, first and last time, and a digest of each key's slice up to the cutoff.
+
+    The digest is a tree: sorted row digests that share their first three hexadecimal digits are hashed together, and the
+    at most 4096 hashes of a key in order once more, so no row holds all digests of a key.
+    """
     row = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in cols)), 256)
     kept = df.where(F.col(at) <= cutoff).withColumn("_h", row)
-    return kept.groupBy(*keys).agg(F.count("*").alias("rows"), F.min(at).alias("first"), F.max(at).alias("last"), F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("digest"))
+    leaf = F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256)
+    leaves = kept.groupBy(*keys, F.substring("_h", 1, 3).alias("_p")).agg(F.count("*").alias("_n"), F.min(at).alias("_first"), F.max(at).alias("_last"), leaf.alias("_d"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_p", "_d"))), lambda x: x["_d"])
+    return leaves.groupBy(*keys).agg(F.sum("_n").alias("rows"), F.min("_first").alias("first"), F.max("_last").alias("last"), F.sha2(F.array_join(ordered, ""), 256).alias("digest"))

@@ -59,25 +59,36 @@ def confirm_labels(stream: DataFrame, confirm: int = 2, cooldown: int = 4, water
     return keyed.applyInPandasWithState(step, "entity string, ts timestamp, id long, confirmed string", "rows long, before string, run long, way long, at long", "append", "EventTimeTimeout")
 
 
-def mature(observed: DataFrame, bars: DataFrame, stored: DataFrame | None, horizons: tuple[int, ...]) -> DataFrame:
-    """observed (id, entity, date) x horizon: the outcome where its sessions have passed and it is not stored yet, by
-    the batch job's rules; what is stored never changes."""
+def mature(waiting: DataFrame, bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """The outcomes of waiting (id, entity, date, horizon) whose sessions have passed, by the batch job's rules."""
     from ..operators.outcomes import replay_outcomes
 
-    done = replay_outcomes(observed.select("id", "entity", "date"), bars, horizons)
-    return done if stored is None else done.join(stored.select("id", "horizon"), ["id", "horizon"], "left_anti")
+    first = waiting.agg(F.min("date").alias("_from"))  # bars before the oldest waiting observation play no part
+    recent = bars.join(F.broadcast(first), F.col("date") >= F.col("_from")).drop("_from").join(waiting.select("entity").distinct(), "entity", "left_semi")
+    done = replay_outcomes(waiting.select("id", "entity", "date").distinct(), recent, horizons)
+    return done.join(waiting.select("id", "horizon"), ["id", "horizon"], "left_semi")
 
 
 def mature_stream(observations: DataFrame, bars: Callable[[], DataFrame], path: str, horizons: tuple[int, ...]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: keeps the batch's observations, and appends the outcomes of all kept ones that have matured
-    by the bars of now. A batch that runs again writes its own folder again, so outcomes stay unique."""
+    """A foreachBatch sink for observations with ids that don't repeat (dropDuplicates keeps them so): appends the outcomes
+    that have matured by the bars of now, and hands on those that still wait, by horizon.
+
+    A batch reads its own rows and the waiting ones, never those that have left. It writes its own folders, and again if
+    it runs again, so outcomes stay unique and never change.
+    """
     spark = observations.sparkSession
+    kind = observations.schema["id"].dataType.simpleString()
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.select("id", "entity", "date").write.mode("overwrite").parquet(f"{path}/observed/batch={number}")
-        kept = spark.read.parquet(f"{path}/observed").where(F.col("batch") <= number)
-        before = spark.read.schema("id long, entity string, date date, horizon int, entry double, ret double, mfe double, mae double, batch int").parquet(f"{path}/outcomes").where(F.col("batch") < number) if number else None
-        mature(kept, bars(), before, horizons).select("id", "entity", "date", "horizon", "entry", "ret", "mfe", "mae").write.mode("overwrite").parquet(f"{path}/outcomes/batch={number}")
+        rows = batch.select("id", "entity", "date", F.explode(F.array(*(F.lit(h) for h in horizons))).alias("horizon"))
+        if number:
+            rows = spark.read.schema(f"id {kind}, entity string, date date, horizon int").parquet(f"{path}/waiting/batch={number - 1}").unionByName(rows)
+        rows.write.mode("overwrite").parquet(f"{path}/asked/batch={number}")
+        waiting = spark.read.schema(rows.schema).parquet(f"{path}/asked/batch={number}")
+        out = f"{path}/outcomes/batch={number}"
+        mature(waiting, bars(), horizons).select("id", "entity", "date", "horizon", "entry", "ret", "mfe", "mae").write.mode("overwrite").parquet(out)
+        left = waiting.join(spark.read.parquet(out).select("id", "horizon"), ["id", "horizon"], "left_anti")
+        left.select("id", "entity", "date", "horizon").write.mode("overwrite").parquet(f"{path}/waiting/batch={number}")
 
     return step
 
