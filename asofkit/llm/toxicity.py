@@ -1,9 +1,11 @@
 """Toxicity scores from a learned lexicon, its misspellings, and the words around each hit.
 
 The lexicon holds words, and stems that open words, which a bounded labelled sample shows far more often in toxic
-documents. It forms a trie; a Levenshtein automaton run through the trie finds misspelled terms. Each distinct word of a
-batch is matched once. A window around each hit tells quotation (quote marks, learned words of reporting) from abuse,
-and a small logistic regression turns a document's hits into a score.
+documents. It forms a trie; a Levenshtein automaton run through the trie finds misspelled terms, and swapped neighbours
+count as one edit. A term that several ordinary words of the sample come near to bears no such edits, and those words are
+no misspellings. Each distinct word of a batch is matched once. A window around each hit tells quotation (quote marks,
+learned words of reporting) from abuse, and a small logistic regression turns a document's hits into a score; misspelled
+terms count by a fixed share of their weight.
 """
 
 from __future__ import annotations
@@ -26,12 +28,18 @@ QUOTES = "\"“”„«»‹›‘’"
 TRIM = QUOTES + "'`.,;:!?()[]{}<>*_~|/\\-–—…&#@%+="
 STEMS = (4, 5, 6)
 WINDOW = 6
+#: Share of a hit's effect by its edits.
+EDITED = (1.0, 0.95, 0.6)
+#: Ordinary words near a term that its misspellings can bear.
+NEIGHBOURS = 5
 
 
 class Trie:
-    """A trie of (term, number); match() runs the Levenshtein automaton of a word through it."""
+    """A trie of (term, number); match() runs the Levenshtein automaton of a word through it. limits: edits that terms may
+    bear, where they differ from what their length allows."""
 
-    def __init__(self, terms: list[tuple[str, int]]) -> None:
+    def __init__(self, terms: list[tuple[str, int]], limits: dict[str, int] | None = None) -> None:
+        self.limits = {t: (limits or {}).get(t, allowed(len(t))) for t, _ in terms}
         self.next: list[dict[str, int]] = [{}]
         self.ends: list[tuple[str, int] | None] = [None]
         for text, number in terms:
@@ -46,26 +54,31 @@ class Trie:
 
     def match(self, word: str, most: int) -> tuple[int, int] | None:
         """Number of the nearest term within `most` edits (insert, delete, replace) and the term's own allowance, and
-        its distance; ties to the longest term.
+        its distance; ties to the longest term."""
+        found = [(far, -len(text), number) for text, number, far in self.reach(word, most)]
+        return (min(found)[2], min(found)[0]) if found else None
+
+    def reach(self, word: str, most: int) -> list[tuple[str, int, int]]:
+        """All terms within reach with their numbers and distances.
 
         The automaton's state after each trie letter is the row of edit distances to all openings of the word; branches
         whose row exceeds the bound are cut.
         """
-        best: tuple[int, int, int] | None = None
+        found = []
         stack = [(0, list(range(len(word) + 1)))]
         while stack:
             node, row = stack.pop()
             if end := self.ends[node]:
                 text, number = end
-                if row[-1] <= min(most, allowed(len(text))) and (best is None or (row[-1], -len(text), number) < best):
-                    best = (row[-1], -len(text), number)
+                if row[-1] <= min(most, self.limits[text]):
+                    found.append((text, number, row[-1]))
             for c, child in self.next[node].items():
                 new = [row[0] + 1]
                 for j, w in enumerate(word):
                     new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (w != c)))
                 if min(new) <= most:
                     stack.append((child, new))
-        return None if best is None else (best[2], best[0])
+        return found
 
 
 def allowed(length: int) -> int:
@@ -75,12 +88,18 @@ def allowed(length: int) -> int:
 
 @dataclass
 class Model:
-    """Lexicon with weights, words of reporting around hits, and the regression over a document's features."""
+    """Lexicon with weights, words of reporting around hits, the regression over a document's features, edits that terms
+    may bear (else by length), and ordinary words near terms."""
 
     terms: list[tuple[str, bool]] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     around: dict[str, float] = field(default_factory=dict)
     coefficients: np.ndarray = field(default_factory=lambda: np.zeros(5))
+    edits: dict[str, int] = field(default_factory=dict)
+    ordinary: list[str] = field(default_factory=list)
+
+    def limit(self, term: str) -> int:
+        return self.edits.get(term, allowed(len(term)))
 
 
 class Matcher:
@@ -88,16 +107,20 @@ class Matcher:
 
     def __init__(self, model: Model) -> None:
         self.model, self.number = model, {t: i for i, (t, _) in enumerate(model.terms)}
-        self.trie = Trie([(t, i) for i, (t, stem) in enumerate(model.terms) if not stem and allowed(len(t))])
-        self.known: dict[str, tuple[int, int] | None] = {}
         words = [t for t, stem in model.terms if not stem]
+        bearing = [t for t in words if model.limit(t)]
+        self.trie = Trie([(t, self.number[t]) for t in bearing], model.edits)
+        self.known: dict[str, tuple[int, int] | None] = {}
+        swapped = {t[:i] + t[i + 1] + t[i] + t[i + 2 :]: t for t in sorted(bearing, key=lambda t: (len(t), t), reverse=True) for i in range(len(t) - 1)}
+        self.swaps = {w: self.number[t] for w, t in swapped.items() if w not in self.number}
+        self.ordinary = pa.array(model.ordinary, pa.string())
         self.exact = pa.array(words, pa.string())
         self.stems = {n: pa.array([t for t, stem in model.terms if stem and len(t) == n], pa.string()) for n in STEMS}
         # Of a term cut into one part more than the edits it may bear, a word within reach keeps at least one part: the
         # first at its start, the last at its end, or a middle one somewhere.
         self.near: list[tuple[int, int, int, pa.Array, pa.Array, str]] = []
-        for length in sorted({len(t) for t in words if allowed(len(t))}):
-            d, some = allowed(length), [t for t in words if len(t) == length]
+        for length, d in sorted({(len(t), model.limit(t)) for t in bearing}):
+            some = [t for t in bearing if (len(t), model.limit(t)) == (length, d)]
             h = length // (d + 1)
             heads, tails = ({t[:h] for t in some}, {t[length - h :] for t in some})
             middle = "|".join(sorted({_literal(t[h * k : h * (k + 1)]) for t in some for k in range(1, d)}))
@@ -117,8 +140,8 @@ class Matcher:
         return out
 
     def hits(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Term (or -1) and distance of each distinct word: the word itself, else a stem that opens it, else the
-        automaton's nearest term."""
+        """Term (or -1) and distance of each distinct word: the word itself, else a stem that opens it, else, unless it is
+        an ordinary word, a term with two neighbours swapped (distance 1) or the automaton's nearest term."""
         term, far = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
         if not self.model.terms:
             return term, far
@@ -128,7 +151,12 @@ class Matcher:
                 new = (at >= 0) & (term < 0)
                 numbers = np.array([self.number[t] for t in terms.to_pylist()])
                 term[new] = numbers[at[new]]
-        at = np.flatnonzero(self.candidates(words) & (term < 0))
+        open_ = (term < 0) & ~np.asarray(pc.is_in(words, value_set=self.ordinary))
+        if self.swaps:
+            swap = np.asarray(pc.fill_null(pc.index_in(words, value_set=pa.array(self.swaps, pa.string())), -1), np.int64)
+            swap[~open_] = -1
+            term[swap >= 0], far[swap >= 0] = np.fromiter(self.swaps.values(), np.int64)[swap[swap >= 0]], 1
+        at = np.flatnonzero(self.candidates(words) & open_ & (term < 0))
         if len(self.known) > 200_000:
             self.known = {}
         for i, w in zip(at.tolist(), words.take(pa.array(at)).to_pylist(), strict=True):
@@ -195,7 +223,8 @@ def find_hits(texts: pa.Array, matcher: Matcher) -> Hits:
 def features(h: Hits, rows: int, model: Model) -> np.ndarray:
     """Per text: 1, weight of exact hits, of near hits, of hits two edits away, and of quoted hits (each as log1p).
 
-    A hit counts by its term's weight and its window: hits in quotation, or among words of reporting, count less.
+    A hit counts by its term's weight and its window: hits in quotation, or among words of reporting (other than hits),
+    count less.
     """
     out = np.zeros((rows, 5))
     out[:, 0] = 1
@@ -203,6 +232,7 @@ def features(h: Hits, rows: int, model: Model) -> np.ndarray:
         weight = np.array(model.weights)[h.term]
         if model.around:
             told = np.array([model.around.get(x, 0.0) for x in h.words.trimmed.to_pylist()])[h.words.index]
+            told[h.place] = 0
             low = np.maximum(h.place - WINDOW, h.words.first[h.row])
             high = np.minimum(h.place + WINDOW + 1, h.words.first[h.row + 1])
             sums = np.concatenate([[0.0], np.cumsum(told)])
@@ -297,6 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (8000, 1
         if r.term in stems if r.kind else not any(r.term[:n] in stems for n in STEMS):
             model.terms.append((r.term, bool(r.kind)))
             model.weights.append(math.log((r.bad / n_bad) / ((r.good + 0.2) / n_good)))
+    _learn_edits(rows, model)
     _learn_windows(rows, model)
     _learn_regression(rows, model)
     discard(rows)
@@ -355,17 +386,50 @@ def _places(rows: DataFrame, terms: list[tuple[int, str]]) -> dict[tuple[int, st
     return {(r.kind, r.term): r.n for r in found.collect()}
 
 
+def _learn_edits(rows: DataFrame, model: Model) -> None:
+    """How many edits each term may bear: none that more than NEIGHBOURS different words of documents that are not toxic
+    come within, so that misspellings can be told from ordinary words; those near the other terms are kept."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(model)
+        for batch in batches:
+            words = cut_words(batch.column(1)).trimmed.unique()
+            near = matcher.candidates(words)
+            near |= np.asarray(pc.is_in(words, value_set=pa.array(matcher.swaps, pa.string())))
+            exact = np.asarray(pc.is_in(words, value_set=matcher.exact))
+            for w in words.filter(pa.array(near & ~exact)).to_pylist():
+                got = {t: far for t, _, far in matcher.trie.reach(w, 2)}
+                if w in matcher.swaps:
+                    got[model.terms[matcher.swaps[w]][0]] = 1
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(got)), pa.array(list(got.values()), pa.int32()), pa.array([w] * len(got))], ["term", "far", "word"])
+
+    near = materialise(rows.where("toxic = 0").mapInArrow(find, "term string, far int, word string").distinct(), "near")
+    counts = {(r.term, r.far): r.n for r in near.groupBy("term", "far").agg(F.count("*").alias("n")).collect()}  # two rows a term
+    for term, stem in model.terms:
+        most = 0 if stem else allowed(len(term))
+        while most and sum(counts.get((term, d), 0) for d in range(1, most + 1)) > NEIGHBOURS:
+            most -= 1
+        model.edits[term] = most
+    bearing = [(t, m) for t, m in model.edits.items() if m]
+    if bearing:  # NEIGHBOURS words a term at most
+        kept = rows.sparkSession.createDataFrame(bearing, "term string, most int")
+        model.ordinary = sorted({r.word for r in near.join(F.broadcast(kept), "term").where("far <= most").select("word").collect()})
+    discard(near)
+
+
 def _learn_windows(rows: DataFrame, model: Model) -> None:
-    """Words that stand around hits of other documents more than around those of toxic ones: words of reporting."""
+    """Words, other than hits, that stand around hits of other documents more than around those of toxic ones: words of
+    reporting."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, found = Matcher(model), defaultdict(lambda: [0, 0])
         for batch in batches:
             h = find_hits(batch.column(1), matcher)
-            toxic, names = batch.column(0).to_pylist(), h.words.trimmed
+            toxic, names, hit = batch.column(0).to_pylist(), h.words.trimmed, set(h.place.tolist())
             for r, p in zip(h.row.tolist(), h.place.tolist(), strict=True):
-                around = h.words.index[max(p - WINDOW, h.words.first[r]) : min(p + WINDOW + 1, h.words.first[r + 1])]
-                for w in {names[int(i)].as_py() for i in around}:
+                around = range(max(p - WINDOW, h.words.first[r]), min(p + WINDOW + 1, h.words.first[r + 1]))
+                for w in {names[int(h.words.index[k])].as_py() for k in around if k not in hit}:
                     found[w][0 if toxic[r] else 1] += 1
         if found:
             bad, good = zip(*found.values(), strict=True)
@@ -387,13 +451,14 @@ def _learn_regression(rows: DataFrame, model: Model) -> None:
     got = rows.mapInArrow(collect, "y double, a double, b double, c double, d double").groupBy("y", *(F.round(c, 3).alias(c) for c in "abcd")).count().collect()
     data = np.array(sorted(tuple(map(float, r)) for r in got))
     y, n = data[:, 0], data[:, 5]
-    x = np.column_stack([np.ones(len(data)), data[:, 1:5]])
-    model.coefficients = _newton(x, y, n, np.array([0, 1, 0.5, 0.25, 0]))
+    hits = data[:, 1:4] @ np.array(EDITED)
+    c = _newton(np.column_stack([np.ones(len(data)), hits, data[:, 4]]), y, n, np.array([0, 1, 0]))
+    quoted = min(max(c[2], 0.0), c[1] / 2)  # a quoted hit never counts against toxicity, nor more than half a hit
+    model.coefficients = np.array([c[0], *(c[1] * e for e in EDITED), quoted])
 
 
 def _newton(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Logistic regression whose coefficients are drawn (weakly) to the prior: near hits count as weaker exact hits
-    unless the sample says otherwise."""
+    """Logistic regression whose coefficients are drawn (weakly) to the prior."""
     c, penalty = np.zeros(len(prior)), np.diag([1e-6, *[1.0] * (len(prior) - 1)])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))

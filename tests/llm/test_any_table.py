@@ -167,9 +167,13 @@ def test_toxicity_scores_against_the_definition(spark):
             row = new
         return row[-1]
 
+    def edits(a, b):
+        swapped = {b[:i] + b[i + 1] + b[i] + b[i + 2 :] for i in range(len(b) - 1)}
+        return 1 if a in swapped and a != b else distance(a, b)
+
     def score(text):
         raw = (text or "").lower().split(" ")
-        words, x = [w.strip(toxicity.TRIM) for w in raw], np.zeros(5)
+        words, x, hits = [w.strip(toxicity.TRIM) for w in raw], np.zeros(5), []
         x[0] = 1
         for p, w in enumerate(words):
             if w in ("idiot", "trash"):
@@ -177,11 +181,13 @@ def test_toxicity_scores_against_the_definition(spark):
             elif w[:6] == "worthl":
                 hit = (2, 0)
             else:
-                near = [(distance(w, t), i) for i, t in enumerate(("idiot", "trash")) if distance(w, t) <= min(2 if len(w) >= 7 else 1, toxicity.allowed(len(t)))]
+                near = [(edits(w, t), i) for i, t in enumerate(("idiot", "trash")) if edits(w, t) <= min(2 if len(w) >= 7 else 1, toxicity.allowed(len(t)))]
                 hit = min(near)[::-1] if near else None
+            hits.append(hit)
+        for p, hit in enumerate(hits):
             if hit:
                 low, high = max(p - 6, 0), min(p + 7, len(words))
-                told = min(max(sum(model.around.get(v, 0) for v in words[low:high]), -4), 8)
+                told = min(max(sum(model.around.get(words[k], 0) for k in range(low, high) if not hits[k]), -4), 8)
                 quoted = any(v[:1] in toxicity.QUOTES and v for v in raw[low : p + 1]) and any(v.rstrip(".,;:!?)")[-1:] in toxicity.QUOTES and v.rstrip(".,;:!?)") for v in raw[p:high])
                 x[4 if quoted else 1 + hit[1]] += model.weights[hit[0]] / (1 + np.exp(told)) * 2
         x[1:] = np.log1p(x[1:])
