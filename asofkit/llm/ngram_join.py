@@ -10,8 +10,10 @@
    whole sets decide. Comparisons inside a component that is already known are skipped. Large clusters are cut into
    blocks which meet through common members first, and then only where components still differ.
 
-Tokens travel packed in binary columns, dealt out by token hash; numpy does the work of a group. No pairs of a group are
-written out: a group gives links that span its components.
+Tokens travel packed in binary columns, dealt out by token hash; numpy does the work of a group. A task combines the
+postings of a token before they leave it: what its classes have in common there is told to them at once, and one posting
+stands for all of them elsewhere, so a token that every document holds weighs no more in its group than any other. No
+pairs of a group are written out: a group gives links that span its components.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .common import bytes_of, columns, discard, join_spread, materialise, mix64,
 from .components import connected_components
 
 ORDERS = 3
+#: Documents from which on a token's frequency is looked up instead of being sent to each of them.
+FREQUENT = 100_000
 #: Classes of a cluster, and bytes of their sets, that one task compares at once.
 BLOCK = 4096
 BLOCK_BYTES = 8 << 20
@@ -79,26 +83,54 @@ def _text_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tupl
 
 
 class _Packs:
-    """Collects (token, class) postings and gives them out as rows (bucket, tokens, classes, counts), packed."""
+    """Collects (token, class) postings and gives them out as rows (bucket, tokens, classes, counts), packed.
 
-    def __init__(self, bits: int, wide: bool, limit: int = 2_000_000) -> None:
-        self.bits, self.wide, self.limit, self.held, self.parts = bits, wide, limit, 0, []
+    told: what a flush tells the classes of a token that it holds more than once, for which one posting then stands:
+    "shared", that each shares it (rows beyond the last bucket, with classes and numbers of such tokens; the posting has
+    class -1), or "links" from the first to the others (rows with both ends). None: every posting is sent.
+    """
+
+    def __init__(self, bits: int, wide: bool, told: str | None = None, limit: int = 2_000_000) -> None:
+        self.bits, self.wide, self.told, self.limit, self.held, self.parts = bits, wide, told, limit, 0, []
 
     def add(self, tokens: np.ndarray, classes: np.ndarray) -> None:
         self.parts.append((tokens, classes))
         self.held += len(tokens)
 
+    def _combined(self, tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        order = np.lexsort((classes, tokens))
+        tokens, classes = tokens[order], classes[order]
+        new = np.ones(len(tokens), bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
+        tokens, classes = tokens[new], classes[new]
+        first, size = _runs(tokens)
+        many, head = size > 1, first == np.arange(len(tokens))
+        if self.told == "shared":
+            a, b = np.unique(classes[many], return_counts=True)
+            classes = np.where(many, -1, classes)
+        else:
+            a, b = classes[first][many & ~head], classes[many & ~head]
+        spread = a if self.told == "shared" else b  # many links may start at one class
+        place = (mix64(spread.astype(np.int64).view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(place[order]) != 0])) if len(a) else np.zeros(0, np.int64)
+        rows = [(int(place[order[x]]) + (1 << self.bits), a[order[x:y]].tobytes(), b[order[x:y]].astype(np.int64).tobytes(), b"") for x, y in zip(cut, np.append(cut[1:], len(a)))]
+        return tokens[head], classes[head], rows
+
     def flush(self, force: bool = False) -> Iterator[pa.RecordBatch]:
         if self.held < (1 if force else self.limit):
             return
         tokens, classes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.held, self.parts = 0, []
+        self.held, self.parts, rows = 0, [], []
+        if self.told:
+            if not self.wide:  # buckets tell tokens apart by 32 bits more, and so does the combination
+                tokens = tokens & ~np.uint64((1 << (32 - self.bits)) - 1)
+            tokens, classes, rows = self._combined(tokens, classes)
         bucket = (tokens >> np.uint64(64 - self.bits)).astype(np.int64)
         order = np.lexsort((tokens, classes, bucket))
         tokens, classes, bucket = tokens[order], classes[order], bucket[order]
         tokens = tokens if self.wide else ((tokens >> np.uint64(32 - self.bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        rows = []
         for x, y in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
             own = classes[x:y]
             at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -107,6 +139,13 @@ class _Packs:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "tokens", "classes", "counts"])
 
 
+def _told(key: tuple, group: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Both columns of what flushes told, if this group holds that and no postings."""
+    if key[0].as_py() < 1 << bits:
+        return None
+    return tuple(np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("tokens", "classes"))
+
+
 _PACKS = "bucket long, tokens binary, classes binary, counts binary"
 
 
@@ -157,7 +196,7 @@ def _survivors(rows: DataFrame, sizes: DataFrame, total: int, shingle: int) -> D
     bits = _bits(int(total * 0.4), 8)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs = _Packs(bits, wide=False)
+        packs = _Packs(bits, wide=False, told="shared")
         for _, tokens, start, cls in _text_sets(batches, shingle):
             n = np.diff(start)
             take = np.where(n > 0, np.minimum(prefix(n) + n // 5, n), 0)
@@ -165,12 +204,19 @@ def _survivors(rows: DataFrame, sizes: DataFrame, total: int, shingle: int) -> D
             yield from packs.flush()
         yield from packs.flush(force=True)
 
-    def shared(group: pa.Table) -> pa.Table:
+    def shared(key: tuple, group: pa.Table) -> pa.Table:
+        if told := _told(key, group, bits):
+            order = np.lexsort((-told[1], told[0]))
+            classes, most = told[0][order], told[1][order]
+            first = np.concatenate([[True], classes[1:] != classes[:-1]])
+            return pa.table({"class": classes[first], "shared": most[first]})
         tokens, classes = _unpack(group, wide=False)
         _, size = _runs(tokens)
-        found, count = np.unique(classes[size > 1], return_counts=True)
+        found, count = np.unique(classes[(size > 1) & (classes >= 0)], return_counts=True)
         return pa.table({"class": found, "shared": count})
 
+    # A class whose copies lie in several flushes is told its shared tokens by each; the most that one tells, with those
+    # that the buckets find, are all of them at least.
     counts = rows.select("id", "text").mapInArrow(postings, _PACKS).groupBy("bucket").applyInArrow(shared, "class long, shared long").groupBy("class").agg(F.sum("shared").alias("shared"))
     least = F.floor((F.floor((4 * F.col("n") + 4) / 5)) / 5) + 1
     return sizes.join(counts, "class").where(F.col("shared") >= least).select("class", "n")
@@ -202,15 +248,69 @@ def _sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(pick, "class long, tokens binary").join(wanted, "class").dropDuplicates(["class"])
 
 
-def _common_tokens(sets: DataFrame, tokens_total: int) -> DataFrame:
+def _frequent(sets: DataFrame, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that more than `least` classes hold, in ascending order, and how many do: as many at most as all postings
+    divided by that."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = 0, []
+
+        def told() -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate(parts), return_counts=True)
+            bucket = (tokens >> np.uint64(64 - bits)).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            ends = np.append(cut[1:], len(tokens))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([tokens[x:y].tobytes() for x, y in zip(cut, ends)]), pa.array([n[x:y].astype(np.int32).tobytes() for x, y in zip(cut, ends)])], ["bucket", "tokens", "n"])
+
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                parts.append(np.frombuffer(raw, np.uint64))
+                held += len(parts[-1])
+                if held > 2_000_000:
+                    yield told()
+                    held, parts = 0, []
+        if held:
+            yield told()
+
+    def add_up(group: pa.Table) -> pa.Table:
+        tokens, n = (np.frombuffer(b"".join(group.column(c).to_pylist()), k) for c, k in (("tokens", np.uint64), ("n", np.int32)))
+        order = np.argsort(tokens, kind="stable")
+        tokens = tokens[order]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        total = np.add.reduceat(n[order].astype(np.int64), first)
+        return pa.table({"token": tokens[first][total > least].view(np.int64), "n": total[total > least]})
+
+    found = sets.select("tokens").mapInArrow(count, "bucket long, tokens binary, n binary").groupBy("bucket").applyInArrow(add_up, "token long, n long").collect()
+    tokens, n = np.array([r.token for r in found], np.int64).view(np.uint64), np.array([min(r.n, 2**31 - 1) for r in found], np.int32)
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def _common_tokens(sets: DataFrame, tokens_total: int, frequent: int = FREQUENT) -> DataFrame:
     """(class, n, tokens, df): each set's tokens that other sets have too, with their document frequencies."""
     bits = _bits(tokens_total, 6)
+    often = sets.sparkSession.sparkContext.broadcast(_frequent(sets, bits, frequent))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Frequent tokens of each set, which meet in no group."""
+        names, n = often.value
+        for batch in batches:
+            rows = []
+            for c, raw in zip(batch.column("class").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                tokens = np.frombuffer(raw, np.uint64)
+                at = np.searchsorted(names, tokens)
+                hit = names[np.minimum(at, max(len(names) - 1, 0))] == tokens if len(names) else np.zeros(len(tokens), bool)
+                if hit.any():
+                    rows.append((c, tokens[hit].tobytes(), n[at[hit]].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()))], ["class", "t", "d"])
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs = _Packs(bits, wide=True)
         for batch in batches:
             for c, raw in zip(batch.column("class").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
                 tokens = np.frombuffer(raw, np.uint64)
+                tokens = tokens[~np.isin(tokens, often.value[0])] if len(often.value[0]) else tokens
                 packs.add(tokens, np.full(len(tokens), c))
                 yield from packs.flush()
         yield from packs.flush(force=True)
@@ -227,6 +327,8 @@ def _common_tokens(sets: DataFrame, tokens_total: int) -> DataFrame:
         return pa.table({"class": classes[at], "t": cut(tokens), "d": cut(size)})
 
     parts = sets.select("class", "tokens").mapInArrow(postings, _PACKS).groupBy("bucket").applyInArrow(frequencies, "class long, t binary, d binary")
+    if len(often.value[0]):
+        parts = parts.unionByName(sets.select("class", "tokens").mapInArrow(known, "class long, t binary, d binary"))
     whole = parts.groupBy("class").agg(F.collect_list(F.struct("t", "d")).alias("parts"))
     return whole.join(sets.select("class", "n"), "class")
 
@@ -257,7 +359,7 @@ def _clusters(ordered: DataFrame, bits: int) -> DataFrame:
     """(class, cluster): classes that are joined by shared prefix tokens under every order; others have no partner."""
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs = _Packs(bits + 2, wide=True)
+        packs = _Packs(bits + 2, wide=True, told="links")
         for batch in batches:
             columns = [batch.column(x).to_pylist() for x in ("class", "tokens", "p0", "p1", "p2")]
             for c, raw, *places in zip(*columns, strict=True):
@@ -268,7 +370,10 @@ def _clusters(ordered: DataFrame, bits: int) -> DataFrame:
                 yield from packs.flush()
         yield from packs.flush(force=True)
 
-    def stars(group: pa.Table) -> pa.Table:
+    def stars(key: tuple, group: pa.Table) -> pa.Table:
+        if told := _told(key, group, bits + 2):
+            pairs = np.unique(np.stack(told, 1), axis=0)
+            return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
         tokens, nodes = _unpack(group, wide=True)
         first, _ = _runs(tokens)
         a, b = nodes[first], nodes
