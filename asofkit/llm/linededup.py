@@ -1,15 +1,15 @@
 """Line dedup by a suffix array over line-id sequences; DataFrame functions only.
 
 Rows are numbered and written once. Lines that occur more than once get an id each, so a document is a sequence of line
-ids, broken where a line occurs nowhere else. Prefix doubling names the runs of 1, 2, 4 ... lines by their rank among all
-runs of that length. A suffix that no other one equals drops out, as it cannot start a repeated run.
+ids, broken where a line occurs nowhere else. Prefix doubling ranks the suffixes of all sequences by their first 1, 2,
+4 ... lines, for the sequences as they are and read backwards.
 
 Every repeated run of min_words words is covered by its shortest parts of min_words words, counted from each of its lines
-forwards and backwards; they are at most min_words lines long, so the suffixes need no deeper order. Their starts are
-range-sorted by length and the ranks of their first and last 2^k lines, which is the order of the suffixes, and then by
-place in the corpus. Two neighbours in that array whose common prefix reaches the part's length lie in one interval; a
-scan over the array opens an interval wherever it does not. The suffix that opens an interval is the earliest copy, and
-the lines of the others are deleted.
+forwards and backwards; they are at most min_words lines long, so the suffixes need no deeper order. The suffixes are
+range-sorted by rank and then by place in the corpus. The longest common prefix of two neighbours follows from their
+doubled ranks, halving the step each time. A scan over the array opens an interval wherever that prefix is shorter than
+the suffix's shortest part; the suffixes of an interval are the copies of one part, the earliest stays, and the lines of
+the others are deleted.
 """
 
 from __future__ import annotations
@@ -69,58 +69,87 @@ def double(level: DataFrame, lines: int, whole: bool) -> DataFrame:
     return ranked
 
 
-def suffix_array(docs: DataFrame, rounds: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The suffixes that start at repeated lines, range-sorted by their first 2^rounds lines (by line id): doc, pos, j,
-    line, rank; equal ones tie, and one that ends sorts before its continuations.
+def both_ways(lines: DataFrame, min_words: int) -> DataFrame:
+    """lines (row, doc, seg, j, line, words, at, length) and the same read backwards: doc, row, seg (own numbers for
+    either direction), j (ascending in reading order), back, line, need (lines of the shortest part of min_words words
+    from here on; null if the stretch ends before), left (lines to the stretch's end)."""
+    each = lines.select("doc", "row", (2 * F.col("seg")).alias("seg"), "j", F.lit(0).alias("back"), "line", "at", "length")
+    turned = lines.select("doc", "row", (2 * F.col("seg") + 1).alias("seg"), (-F.col("j")).alias("j"), F.lit(1).alias("back"), "line", (F.col("length") - F.col("at") - F.col("words")).alias("at"), "length")
+    stretch = Window.partitionBy("row", "seg")
+    need = F.when(F.col("length") - F.col("at") >= min_words, F.count("*").over(stretch.orderBy("at").rangeBetween(Window.currentRow, min_words - 1)))
+    left = F.count("*").over(stretch) - F.row_number().over(stretch.orderBy("at")) + 1
+    return each.unionByName(turned).select("doc", "row", "seg", "j", "back", "line", need.alias("need"), left.alias("left"))
+
+
+def suffix_array(suffixes: DataFrame, rounds: int) -> DataFrame:
+    """The suffixes (doc, row, seg, j, back, line, need, left), range-sorted by their first 2^rounds lines, then by doc
+    (nulls first), row and j, with r0 ... r<rounds> (their ranks by 1, 2, 4 ... lines; equal runs tie, and one that ends
+    sorts before its continuations) and place, which rises along the array and holds the range's number in its upper bits.
 
-    A suffix ends with its stretch of repeated lines. Null and empty texts have no suffixes, repeated rows and rows of
-    equal or null keys have suffixes of their own, other columns play no part, and an empty table gives no rows.
+    (row, seg, j) must not repeat. An empty table gives no rows.
     """
-    rows, names = numbered(docs)
-    doc, body = names[docs.columns.index(key)], names[docs.columns.index(text)]
-    level = repeated_lines(rows.select("row", F.col(doc).alias("doc"), F.col(body).cast("string").alias("text"))).select("doc", "row", "pos", "j", "seg", "line", F.col("line").alias("rank"))
-    for k in range(rounds):
-        level = double(level, 1 << k, whole=True)
-    order = ("line", "rank", "doc", "row", "j")
-    return level.repartitionByRange(*order).sortWithinPartitions(*order).select("doc", "row", "pos", "j", "line", "rank")
+    level = suffixes.withColumn("rank", F.col("line"))
+    for k in range(rounds + 1):
+        level = (double(level, 1 << (k - 1), whole=True) if k else level).withColumn(f"r{k}", F.col("rank"))
+    order = ("back", "rank", F.col("doc").asc_nulls_first(), "row", "j")
+    sorted_ = level.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    return materialise(sorted_.drop("rank", "line"), "suffix-array")
 
 
-def shortest_parts(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc, row, seg, s, n): the shortest runs of min_words words from each line forwards and backwards, n lines each."""
-    stretch = Window.partitionBy("row", "seg")
-    upto = F.col("at") + F.col("words")
-    forward = lines.select("doc", "row", "seg", F.col("j").alias("s"), "at", "length", F.count("*").over(stretch.orderBy("at").rangeBetween(Window.currentRow, min_words - 1)).alias("n")).where(F.col("length") - F.col("at") >= min_words)
-    backward = lines.withColumn("upto", upto).select("doc", "row", "seg", "j", "upto", F.count("*").over(stretch.orderBy("upto").rangeBetween(-(min_words - 1), Window.currentRow)).alias("n")).where(F.col("upto") >= min_words)
-    return forward.select("doc", "row", "seg", "s", "n").unionByName(backward.select("doc", "row", "seg", (F.col("j") - F.col("n") + 1).alias("s"), "n")).distinct()
+def neighbours(array: DataFrame) -> DataFrame:
+    """array with before: the suffix in front of each as (back, row, seg, j, left, r0 ...), null for the first.
+
+    A range's first suffix has its neighbour in the range before; there are as many of these as ranges.
+    """
+    ranks = [c for c in array.columns if c[0] == "r" and c[1:].isdigit()]
+    own = F.struct("back", "row", "seg", "j", "left", *ranks)
+    parts = array.withColumn("part", F.shiftright("place", 33))
+    ends = parts.groupBy("part").agg(F.max_by(own, "place").alias("end")).select("part", F.lag("end").over(Window.orderBy("part")).alias("end"))
+    return parts.join(F.broadcast(ends), "part").withColumn("before", F.coalesce(F.lag(own).over(Window.partitionBy("part").orderBy("place")), "end")).drop("end")
+
+
+def common_prefixes(array: DataFrame, some: DataFrame, rounds: int, whole: bool = True) -> DataFrame:
+    """neighbours(some), rows of the suffix array, with lcp: lines that a suffix and the one in front of it among them have
+    in common, counted up to 2^rounds; 0 for the first and where the directions differ.
+
+    The last of their own ranks that agrees gives the power of two below; the ranks that far behind both then decide about
+    half of it, and so on. Unless whole, that is done only where it decides whether lcp reaches need; elsewhere lcp is
+    the power of two.
+    """
+    pairs = neighbours(some).withColumn("lcp", F.lit(0))
+    for k in range(rounds + 1):
+        pairs = pairs.withColumn("lcp", F.when((F.col(f"before.r{k}") == F.col(f"r{k}")) & (F.col("before.back") == F.col("back")), F.lit(1 << k)).otherwise(F.col("lcp")))
+    pairs = materialise(pairs, "pairs")
+    doubt = (F.col("lcp") > 0) & (F.col("lcp") < 1 << rounds)
+    doubt = doubt if whole else doubt & (F.col("need") > F.col("lcp")) & (F.col("need") < 2 * F.col("lcp"))
+    undecided = pairs.where(doubt).select("place", "row", "seg", "j", F.col("before.row").alias("row0"), F.col("before.seg").alias("seg0"), F.col("before.j").alias("j0"), F.col("lcp").alias("top"), F.col("lcp").alias("reach"))
+    for k in reversed(range(rounds)):
+        at = lambda s, k=k: array.select(F.col("row").alias(f"row{s}_"), F.col("seg").alias(f"seg{s}_"), F.col("j").alias(f"j{s}_"), F.col(f"r{k}").alias(f"rank{s}"))
+        for s in ("", "0"):
+            undecided = undecided.join(at(s), (F.col(f"row{s}") == F.col(f"row{s}_")) & (F.col(f"seg{s}") == F.col(f"seg{s}_")) & (F.col(f"j{s}") + F.col("reach") == F.col(f"j{s}_")), "left").drop(f"row{s}_", f"seg{s}_", f"j{s}_")
+        further = F.coalesce((F.col("rank") == F.col("rank0")) & (F.lit(1 << k) < F.col("top")), F.lit(False))
+        undecided = undecided.withColumn("reach", F.col("reach") + F.when(further, 1 << k).otherwise(0)).drop("rank", "rank0")
+    found = pairs.join(undecided.select("place", "reach"), "place", "left")
+    return found.withColumn("lcp", F.least(F.coalesce("reach", "lcp"), "left", F.coalesce("before.left", F.lit(0)))).drop("reach")
 
 
 def repeated_parts(lines: DataFrame, min_words: int) -> DataFrame:
-    """(row, s, n): the shortest parts that are later copies, from the sorted suffixes and the intervals of their common
-    prefixes. lines is a written table of repeated lines."""
-    parts = materialise(shortest_parts(lines, min_words), "parts")
-    longest = parts.agg(F.max("n")).first()[0] or 1
-    level, ranks = materialise(lines.select("row", "seg", "j", F.col("line").alias("rank")), "ranks"), []
-    for k in range(int(longest).bit_length()):
-        level = double(level, 1 << (k - 1), whole=False) if k else level
-        ranks.append(level)
-    found = []
-    for k, level in enumerate(ranks):  # parts of 2^k to 2^(k+1) - 1 lines: two ranks tell their whole content
-        some = parts.where(F.col("n").between(1 << k, (2 << k) - 1)).withColumn("t", F.col("s") + F.col("n") - (1 << k))
-        first = level.select("row", F.col("j").alias("s"), F.col("rank").alias("head"))
-        last = level.select("row", F.col("j").alias("t"), F.col("rank").alias("tail"))
-        found.append(some.join(first, ["row", "s"]).join(last, ["row", "t"]).select("doc", "row", "s", "n", "head", "tail"))
-    suffixes = found[0]
-    for more in found[1:]:
-        suffixes = suffixes.unionByName(more)
-    order = ("n", "head", "tail", F.col("doc").asc_nulls_first(), "row", "s")
-    array = materialise(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "suffix-array").withColumn("part", F.shiftright("place", 33))
-    # Neighbours share at least n lines if they agree in n and both ranks. A range's first suffix has its neighbour in
-    # the range before; there are as many of these as ranges.
-    prefix = F.struct("n", "head", "tail")
-    ends = array.groupBy("part").agg(F.max_by(prefix, "place").alias("end")).select("part", F.lag("end").over(Window.orderBy("part")).alias("before"))
-    scanned = array.join(F.broadcast(ends), "part").withColumn("neighbour", F.coalesce(F.lag(prefix).over(Window.partitionBy("part").orderBy("place")), "before"))
-    copies = materialise(scanned.where(F.col("neighbour") == prefix).select("row", "s", "n"), "copies")
-    discard(parts, array, *ranks)
+    """(row, s, n): the shortest parts that are later copies, from the intervals of the suffix array of lines (a written
+    table of repeated lines)."""
+    suffixes = materialise(both_ways(lines, min_words), "suffixes")
+    longest = suffixes.agg(F.max("need")).first()[0] or 1
+    rounds = (int(longest) - 1).bit_length()
+    array = suffix_array(suffixes, rounds)
+    # Suffixes that are too short for a part sort apart from all that are not.
+    parts = materialise(common_prefixes(array, array.where("need is not null"), rounds, whole=False).select("doc", "back", "row", "seg", "j", "need", "place", "part", (F.col("lcp") < F.col("need")).alias("opens")), "intervals")
+    before = parts.groupBy("part").agg(F.count_if("opens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    opened = F.count_if("opens").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    numbered_ = parts.join(F.broadcast(before), "part").withColumn("interval", F.col("before") + opened)  # one row a range
+    # The line a part starts at: read backwards, its last line comes first.
+    starts = numbered_.select("interval", "row", "seg", "j", "doc", F.when(F.col("back") == 0, F.col("j")).otherwise(-F.col("j") - F.col("need") + 1).alias("s"), F.col("need").alias("n"))
+    earliest = starts.groupBy("interval").agg(F.min(F.struct(F.col("doc").isNotNull(), "doc", "row", "s", "seg", "j")).alias("e")).select("e.row", "e.seg", "e.j")
+    copies = materialise(starts.join(earliest, ["row", "seg", "j"], "left_anti").select("row", "s", "n"), "copies")
+    discard(suffixes, array, parts)
     return copies
 
 

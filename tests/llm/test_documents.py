@@ -1,5 +1,6 @@
 """Corpus operators against brute force on a small table with every awkward case."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -136,17 +137,38 @@ def test_line_dedup_matches_sql(docs, corpus, spark, tmp_path):
     assert sum(r.lines_removed for r in got) > 0
 
 
-def test_suffix_ranks_sort_by_lines(spark, tmp_path):
+def test_suffix_array_and_common_prefixes_by_definition(spark, tmp_path):
+    rnd = random.Random(11)
     texts = ["a b\nc d\ne f", "c d\ne f\ng h", "a b\nc d\nx y", "c d"]
+    texts += ["\n".join(rnd.choice(["l1", "l2 w", "l3 w w"]) for _ in range(rnd.randint(1, 14))) for _ in range(30)] + ["l1\n" * 9]
     path = str(tmp_path / "t")
-    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(path)
-    rows = linededup.suffix_array(spark.read.parquet(path), rounds=3).collect()
-    lines = {r.line for r in rows}
-    assert len(lines) == 3  # a b, c d, e f repeat
-    order = [(texts[r.doc].split("\n")[r.pos], r.line, r["rank"]) for r in rows]
-    assert order == sorted(order, key=lambda x: (x[1], x[2]))
-    start = {(r.doc, r.pos): r["rank"] for r in rows}
-    assert start[0, 1] == start[1, 0] and start[3, 0] < start[0, 1]  # equal runs tie; an ended suffix comes first
+    spark.createDataFrame([(i % 30 if i % 7 else None, i, t) for i, t in enumerate(texts)], "doc long, row long, text string").repartition(3).write.parquet(path)
+    lines = linededup.repeated_lines(spark.read.parquet(path), 1)
+    suffixes = linededup.both_ways(lines, 4)
+    array = linededup.suffix_array(suffixes, rounds=3)
+    content = defaultdict(list)
+    for r in sorted(suffixes.collect(), key=lambda r: (r.row, r.seg, r.j)):
+        content[r.row, r.seg].append((r.j, r.line, r.need, r.left))
+
+    def lines_from(r):
+        return [line for j, line, _, _ in content[r.row, r.seg] if j >= r.j]
+
+    words = {r.line: r.words for r in lines.select("line", "words").distinct().collect()}
+    for (row, seg), own in content.items():
+        for k, (_, _, need, left) in enumerate(own):
+            sums = [sum(words[x[1]] for x in own[k : k + n]) for n in range(1, len(own) - k + 1)]
+            assert left == len(own) - k and need == next((n + 1 for n, x in enumerate(sums) if x >= 4), None)
+    got = linededup.common_prefixes(array, array, 3).orderBy("place").collect()
+    keys = [(r.back, lines_from(r)[:8], r.doc is not None, r.doc or 0, r.row, r.j) for r in got]
+    assert keys == sorted(keys) and len(keys) == 2 * lines.count()
+    for before, r in zip(got, got[1:], strict=False):
+        common = next((n for n, (x, y) in enumerate(zip(lines_from(before), lines_from(r))) if x != y), min(r.left, before.left))
+        assert (r.before.row, r.before.seg, r.before.j) == (before.row, before.seg, before.j)
+        assert r.lcp == (min(common, 8) if before.back == r.back else 0) or (common > 8 and r.lcp >= 8)
+    some = linededup.common_prefixes(array, array.where("need is not null"), 3, whole=False).orderBy("place").collect()
+    for before, r in zip(some, some[1:], strict=False):
+        same = before.back == r.back and lines_from(before)[: r.need] == lines_from(r)[: r.need]
+        assert (r.lcp >= r.need) == same
 
 
 def test_language_identification(docs, corpus, spark):
