@@ -6,18 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofkit.llm import linededup, mixing, ngram_join, packing, toxicity
-from asofkit.llm.common import WORD, materialise
+from asofkit.llm.common import WORD, discard, materialise
 from asofkit.llm.queries import table, tokenizer_path
 
 
+def _private(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with private column names, and those by exact name, so that names which differ by case alone do not clash."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of documents, with n_chars following the text."""
     kinds = dict(zip(docs.columns, (f.dataType for f in docs.schema.fields)))
-    return docs.select(*(F.length("text").cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c) for c in columns))
+    own, name = _private(docs)
+    return own.select(*((F.length(name["text"]).cast(kinds[c]) if c == "n_chars" else F.col(name[c])).alias(c) for c in columns))
 
 
 # Every stage but the last returns the columns of documents. Null, empty and very long texts, null or equal ids, repeated
-# rows, ties, and other columns of any name (but those that differ from doc_id, text or source only by case) are handled
+# rows, ties, and other columns of any name (also those that differ from doc_id, text or source only by case) are handled
 # as the operators' docstrings say; an empty table stays empty.
 
 
@@ -32,26 +39,29 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and wordless texts stay; of repeated rows that long the first stays. A column lines_removed of documents comes back
     as the number of lines that went."""
     cut = linededup.drop_repeated_runs(docs, min_words=50)
-    return _with_text(cut.where((F.col("lines_removed") == 0) | F.regexp_like("text", F.lit(WORD))), docs.columns)
+    own, name = _private(cut)
+    kept = own.where((F.col(name["lines_removed"]) == 0) | F.regexp_like(name["text"], F.lit(WORD))).toDF(*cut.columns)
+    return _with_text(kept, docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the row of smallest id stays (null ids last), and of repeated rows one. Rows
     without words have no similar ones; of those with one id one stays for each text."""
     left = ngram_join.drop_similar(docs)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    key, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
-    once = left.toDF(*names).withColumn("same", F.xxhash64(text)).dropDuplicates([key, "same"])
-    return once.select(*(F.col(c).alias(old) for c, old in zip(names, docs.columns)))
+    own, name = _private(left)
+    once = own.withColumn("same", F.xxhash64(name["text"])).dropDuplicates([name["doc_id"], "same"])
+    return once.select(*(F.col(name[c]).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per copy that the mix takes, in training order; a source's last copy is cut to the words it gives. Null
     and empty texts have no words, so the mix takes none of them; a null source is a source."""
-    mixed = mixing.curriculum_mix(docs, keep=tuple(docs.columns))
+    own, name = _private(docs)
+    mixed = mixing.curriculum_mix(own, key=name["doc_id"], text=name["text"], source=name["source"], keep=tuple(own.columns))
     copies = mixing.training_order(mixed)
-    text = F.when(F.col("words") < F.col("size"), mixing.first_words(F.col("kept.text"), F.col("words"))).otherwise(F.col("kept.text"))
-    return _with_text(copies.select(*(text.alias(c) if c == "text" else F.col("kept")[c].alias(c) for c in docs.columns)), docs.columns)
+    body = F.col("kept")[name["text"]]
+    text = F.when(F.col("words") < F.col("size"), mixing.first_words(body, F.col("words"))).otherwise(body)
+    return _with_text(copies.select(*((text if c == "text" else F.col("kept")[name[c]]).alias(c) for c in docs.columns)), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +83,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over documents, each result but the last written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*read)  # the stage before has been read
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
