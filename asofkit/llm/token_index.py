@@ -82,6 +82,10 @@ def fingerprints(h: np.ndarray) -> np.ndarray:
     return (mix64(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
 
 
+#: Bytes of text that a shard is meant for.
+SHARD_BYTES = 128 << 20
+
+
 def turns(keys: np.ndarray, nulls: np.ndarray) -> np.ndarray:
     """0, 1, 2 ... within each run of equal keys."""
     if not len(keys):
@@ -95,15 +99,19 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaces
     """Encode whole texts and write them as shards in ascending key order; returns one manifest row per shard.
 
     Null keys come first, null texts are empty (just the end id), rows of equal keys stay apart as turns of that key.
-    Equal keys are ordered by a hash of the text, so that a very frequent key spreads over shards. Runs at once; the
-    manifest (shard, documents, tokens) holds one row per shard and is small.
+    Equal keys are ordered by a hash of the text, so that a very frequent key spreads over shards. Very long texts are
+    encoded whole, one at a time. There are as many shards as shuffle partitions, and more where a shard would hold more
+    than SHARD_BYTES of text, since a task holds the index of its shard. Runs at once; the manifest (shard, documents,
+    tokens) holds one row per shard and is small.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards or n_partitions(spark)
+    given = columns(docs, k=key, t=text).select(F.col("k").cast("long").alias("k"), F.col("t").cast("string").alias("t"))
+    if not shards:
+        size = given.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        shards = max(n_partitions(spark), -(-size // SHARD_BYTES))
     sorted_docs = (
-        columns(docs, k=key, t=text)
-        .select(F.col("k").cast("long").alias("k"), F.col("t").cast("string").alias("t"), F.xxhash64(F.col("t").cast("string")).alias("o"))
+        given.select("k", "t", F.xxhash64("t").alias("o"))
         .repartitionByRange(shards, "k", "o")
         .sortWithinPartitions("k", "o")
         .select("k", "t")

@@ -18,3 +18,14 @@ def test_columns_that_differ_by_case_alone(spark, name):
         assert all(r[1] is None or r[4] == len(r[1]) for r in kept.values())
     if name == "line dedup":
         assert kept[2][1] == "other" and 4 not in kept and kept[1][1] == rows[0][1]
+
+
+def test_shards_follow_the_bytes_of_text(spark, tmp_path, monkeypatch):
+    from asofkit.llm import token_index
+    from asofkit.llm.queries import tokenizer_path
+
+    docs = spark.createDataFrame([(i, "some words of text " * 50) for i in range(300)], "doc_id long, text string")
+    write = lambda name: token_index.write_shards(docs, f"file://{tmp_path}/{name}", tokenizer_path("byte_bpe_50k.json"), 2).count()
+    few = write("a")
+    monkeypatch.setattr(token_index, "SHARD_BYTES", 10_000)
+    assert few == 4 and write("b") >= 25
