@@ -6,23 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], strict: bool = False, max_age: int | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], strict: bool = False, max_age: int | None = None, split_days: int | None = None) -> DataFrame:
     """left with the values of right's newest row of the same key whose `on` is not later (strict: earlier), and its
     `on` as matched_on; null beyond max_age days.
 
     One shuffle on the key: both sides are stacked and the last right row is carried forward. Of right rows with one
-    time the largest by value wins. A key's rows are one sort run, which spills; very long keys can be split by adding a
-    period to `by` on both sides with each period's first value carried in.
+    time the largest by value wins. A key's rows are one sort run, which spills. Where single keys are too long for that,
+    split_days cuts each key into spans of so many days, which are sorted apart; the last right row before a span comes
+    from the spans' own last rows, one each.
     """
     packed = F.struct(F.col(on).alias("matched_on"), *(F.col(v) for v in values))
     r = right.groupBy(*by, on).agg(F.max(packed).alias("_r")).withColumn("_side", F.lit(1 if strict else 0))
     extra = [c for c in left.columns if c not in (*by, on)]
     l = left.select(*by, on, F.struct(*extra).alias("_l") if extra else F.lit(None).cast("struct<_:int>").alias("_l")).withColumn("_side", F.lit(0 if strict else 1)).withColumn("_left", F.lit(True))
-    w = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    keys = list(by)
+    if split_days:
+        span = F.floor(F.unix_date(F.to_date(on)) / split_days).alias("_span")
+        l, r, keys = l.select("*", span), r.select("*", span), [*by, "_span"]
+    w = Window.partitionBy(*keys).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = l.unionByName(r, allowMissingColumns=True).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_left")
+    if split_days:
+        ends = r.groupBy(*keys).agg(F.max_by("_r", on).alias("_end"))
+        carried = asof_join(l.select(*keys).distinct(), ends, by, "_span", ["_end"], strict=True)
+        carried = carried.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), F.col("_span").alias("_s"), "_end")
+        same = F.col("_span").eqNullSafe(F.col("_s"))
+        for i, k in enumerate(by):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        both = both.join(carried, same, "left").withColumn("_m", F.coalesce("_m", "_end"))
     fresh = F.lit(True) if max_age is None else F.date_diff(F.col(on), F.col("_m.matched_on")) <= max_age
-    out = both.select(*by, on, *(F.col("_l")[c].alias(c) for c in extra), *(F.when(fresh, F.col("_m")[v]).alias(v) for v in ("matched_on", *values)))
-    return out
+    return both.select(*by, on, *(F.col("_l")[c].alias(c) for c in extra), *(F.when(fresh, F.col("_m")[v]).alias(v) for v in ("matched_on", *values)))
 
 
 def asof_forward(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], max_ahead: int | None = None) -> DataFrame:

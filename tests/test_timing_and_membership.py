@@ -25,6 +25,18 @@ def test_forward_asof(spark):
     assert near[1] is None and near[2] == 11
 
 
+@pytest.mark.parametrize("strict", [True, False])
+def test_spans_of_a_long_key_give_the_same_rows(spark, strict):
+    rnd = random.Random(8)
+    key = lambda: rnd.choice(["hot", "hot", "hot", "b", None])
+    left = spark.createDataFrame([(key(), DAY(rnd.randint(0, 400)), i) for i in range(400)] + [("hot", None, 900)], "k string, date date, id int")
+    right = spark.createDataFrame([(key(), DAY(rnd.randint(0, 300)), rnd.randint(0, 9)) for _ in range(80)], "k string, date date, v int")
+    rows = lambda days, age: sorted((tuple(r) for r in J.asof_join(left, right, ["k"], "date", ["v"], strict, age, days).collect()), key=lambda r: r[2])
+    for age in (None, 40):
+        want = rows(None, age)
+        assert rows(7, age) == want == rows(1000, age) and sum(r[-1] is not None for r in want) > 100
+
+
 def test_reactions_before_and_after_the_open(spark):
     sessions = [DAY(k) for k in range(0, 20) if DAY(k).weekday() < 5]
     bars = spark.createDataFrame([("a", d) for d in sessions], "entity string, date date")
