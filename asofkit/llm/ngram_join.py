@@ -90,7 +90,7 @@ class _Packs:
     class -1), or "links" from the first to the others (rows with both ends). None: every posting is sent.
     """
 
-    def __init__(self, bits: int, wide: bool, told: str | None = None, limit: int = 2_000_000) -> None:
+    def __init__(self, bits: int, wide: bool, told: str | None = None, limit: int = 1_000_000) -> None:
         self.bits, self.wide, self.told, self.limit, self.held, self.parts = bits, wide, told, limit, 0, []
 
     def add(self, tokens: np.ndarray, classes: np.ndarray) -> None:
@@ -109,7 +109,7 @@ class _Packs:
             a, b = np.unique(classes[many], return_counts=True)
             classes = np.where(many, -1, classes)
         else:
-            a, b = classes[first][many & ~head], classes[many & ~head]
+            a, b = np.unique(np.stack([classes[first][many & ~head], classes[many & ~head]], 1), axis=0).T  # most tokens tell the same links
         spread = a if self.told == "shared" else b  # many links may start at one class
         place = (mix64(spread.astype(np.int64).view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
         order = np.argsort(place, kind="stable")
