@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranks as R
+from .ranks import quantiles  # noqa: F401  (its home until now)
 
 
 def unpivot(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
