@@ -19,6 +19,16 @@ def _best(rows: Column, where_, order) -> Column:
     return F.array_max(F.transform(F.filter(rows, where_), order))
 
 
+def known_states(grid: DataFrame, changes: DataFrame) -> DataFrame:
+    """grid (entity, as_of) with state: the entity's last change (entity, at) by then, null before the first.
+
+    What is known at a date is what was known at that change, so it need be worked out once for each change that any date
+    of the grid sees, however dense the grid is.
+    """
+    moment = lambda c: F.col(c).cast("timestamp").alias("_t")
+    return asof_join(grid.select("entity", "as_of", moment("as_of")), changes.select("entity", moment("at"), F.col("at").alias("state")).distinct(), ["entity"], "_t", ["state"]).drop("_t", "matched_on")
+
+
 def facts_as_filed(facts: DataFrame, grid: DataFrame) -> DataFrame:
     """grid (entity, as_of) with `facts`: by group and period the newest version accepted by then, as one array. An
     entity's facts are few (periods times concepts), so they meet its dates in one join by entity."""
@@ -37,7 +47,8 @@ def business_guard(facts: DataFrame, grid: DataFrame, quarter: tuple[int, int] =
     facts: entity, group (revenue, earnings, operating_cash_flow, assets, liabilities, equity), concept_priority,
     period_start, period_end, accepted_at, accession, value.
     """
-    x = facts_as_filed(facts, grid)
+    known = known_states(grid, facts.select("entity", F.col("accepted_at").alias("at")))
+    x = facts_as_filed(facts, known.where("state is not null").select("entity", F.col("state").alias("as_of")).distinct())
     f = F.col("facts")
     row = lambda r: F.struct(r["period_end"].alias("end"), r["accepted_at"].alias("at"), r["value"].alias("v"))
     late = lambda r: F.struct(r["accepted_at"].alias("at"), r["value"].alias("v"))
@@ -53,6 +64,7 @@ def business_guard(facts: DataFrame, grid: DataFrame, quarter: tuple[int, int] =
         derived = F.when(F.col(f"eq{k}").isNotNull(), F.struct(F.greatest(F.col(f"ast{k}.at"), F.col(f"eq{k}.at")).alias("at"), (F.col(f"ast{k}.v") - F.col(f"eq{k}.v")).alias("v")))
         x = x.withColumn(f"liab{k}", F.coalesce(f"liab{k}", derived))
     need = [f"{n}{k}" for n in ("rev", "earn", "cash", "ast", "liab") for k in ("", "0")]
+    x = known.join(x.select("entity", F.col("as_of").alias("state"), *need), ["entity", "state"], "left")
     x = x.withColumn("newest", F.greatest(*(F.col(f"{n}.at") for n in need)))
     missing = F.lit(False)
     for n in need:
@@ -82,7 +94,9 @@ def dilution(facts: DataFrame, splits: DataFrame, grid: DataFrame) -> DataFrame:
     """By entity and as_of: change of the share count against the year before (330-400 days, same concept), restated by
     the splits between the two periods; null without a pair or beyond +-100 percent. facts: entity, concept, priority,
     period_end, accepted_at, value; splits: entity, date, ratio."""
-    seen = grid.join(facts, "entity").where("accepted_at <= as_of and period_end <= as_of and value > 0")
+    known = known_states(grid, facts.where("value > 0").select("entity", F.greatest("accepted_at", "period_end").alias("at")))
+    states = known.where("state is not null").select("entity", F.col("state").alias("as_of")).distinct()
+    seen = states.join(facts, "entity").where("accepted_at <= as_of and period_end <= as_of and value > 0")
     rows = seen.groupBy("entity", "as_of").agg(F.collect_list(F.struct("period_end", (-F.col("priority")).alias("first"), "accepted_at", "concept", "value")).alias("rows"))
     each = rows.withColumn("last", F.array_max("rows"))
     prior = F.array_max(F.filter("rows", lambda r: (r["concept"] == F.col("last.concept")) & F.date_diff(F.col("last.period_end"), r["period_end"]).between(330, 400)))
@@ -91,7 +105,8 @@ def dilution(facts: DataFrame, splits: DataFrame, grid: DataFrame) -> DataFrame:
     between = F.filter(F.coalesce("splits", F.array().cast("array<struct<date:date,ratio:double>>")), lambda s: (s["date"] > F.col("prior.period_end")) & (s["date"] <= F.col("last.period_end")))
     factor = F.aggregate(between, F.lit(1.0), lambda a, s: a * s["ratio"])
     change = F.try_divide(F.col("last.value"), F.col("prior.value") * factor) - 1
-    return grid.join(each.select("entity", "as_of", F.when(F.abs(change) <= 1, change).alias("dilution")), ["entity", "as_of"], "left")
+    found = each.select("entity", F.col("as_of").alias("state"), F.when(F.abs(change) <= 1, change).alias("dilution"))
+    return known.join(found, ["entity", "state"], "left").select("entity", "as_of", "dilution")
 
 
 def shares_as_of(facts: DataFrame, grid: DataFrame) -> DataFrame:
