@@ -62,15 +62,16 @@ def coverage_audit(obs: DataFrame, cohort: DataFrame, dates: DataFrame, interval
     return out.select("entity", "expected", "observed", "linked", "first", "last", F.try_divide("observed", "expected").alias("coverage"), F.try_divide("linked", "expected").alias("link_coverage"), status.alias("status"))
 
 
-def compare_runs(rows: DataFrame, materiality: float = 0.5) -> DataFrame:
+def compare_runs(rows: DataFrame, materiality: float = 0.5, codes: tuple[str, str, str, str] = ("lower_return", "deeper_drawdown", "bear_market_defence", "bull_market_capture")) -> DataFrame:
     """rows (buyhold_return, base_return, base_mdd, new_return, new_mdd, all in percent) with the market's regime, both
-    deltas, their status (improved, worse, equal within materiality), severity and the reasons of failure."""
+    deltas, their status (improved, worse, equal within materiality), severity and the reasons of failure, by their codes:
+    a lower return, a deeper drawdown, the latter in a bear market, the former in a bull market."""
     status = lambda d: F.when(d > materiality, "improved").when(d < -materiality, "worse").otherwise("equal")
     x = rows.withColumn("regime", F.when(F.col("buyhold_return") >= 20, "bull").when(F.col("buyhold_return") <= -20, "bear").otherwise("sideways"))
     x = x.withColumn("return_delta", F.col("new_return") - F.col("base_return")).withColumn("mdd_delta", F.col("new_mdd") - F.col("base_mdd"))
     x = x.withColumn("return_status", status(F.col("return_delta"))).withColumn("mdd_status", status(F.col("mdd_delta")))
     worse, deeper = F.col("return_status") == "worse", F.col("mdd_status") == "worse"
-    reasons = F.array(F.when(worse, "lower_return"), F.when(deeper, "deeper_drawdown"), F.when(deeper & (F.col("regime") == "bear"), "bear_market_defence"), F.when(worse & (F.col("regime") == "bull"), "bull_market_capture"))
+    reasons = F.array(*(F.when(hit, code) for code, hit in zip(codes, (worse, deeper, deeper & (F.col("regime") == "bear"), worse & (F.col("regime") == "bull")), strict=True)))
     severity = F.abs(F.least(F.lit(0.0), F.col("return_delta"))) + 2 * F.abs(F.least(F.lit(0.0), F.col("mdd_delta")))
     return x.withColumn("severity", severity).withColumn("reasons", F.filter(reasons, lambda r: r.isNotNull()))
 
