@@ -1,7 +1,5 @@
 import random
 
-import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from asofkit.llm import ngram_join
@@ -9,23 +7,8 @@ from asofkit.llm import ngram_join
 LINE = " ".join(f"licence{i}" for i in range(12))
 
 
-def test_a_token_of_all_classes_leaves_a_task_once():
-    classes = np.arange(50_000)
-    own = ngram_join.mix64(classes.astype(np.uint64))
-    for told, wide in (("shared", False), ("shared", True), ("links", True)):
-        packs = ngram_join._Packs(8, wide=wide, told=told)
-        packs.add(np.concatenate([np.full(50_000, 7 << 40, np.uint64), own]), np.concatenate([classes, classes]))
-        rows = [r for b in packs.flush(force=True) for r in b.to_pylist()]
-        sent = sum(len(r["tokens"]) // (8 if wide else 4) for r in rows if r["bucket"] < 256)
-        assert sent == 50_001
-        pairs = [np.frombuffer(r[c], np.int64) for r in rows if r["bucket"] >= 256 for c in ("tokens", "classes")]
-        assert sum(map(len, pairs)) == (100_000 if told == "shared" else 2 * 49_999)
-
-
-@pytest.mark.parametrize("frequent", [ngram_join.FREQUENT, 20])
-def test_links_with_a_passage_in_every_text(spark, frequent, monkeypatch):
-    """All texts hold one line; small flushes and a low bound make every rule meet."""
-    monkeypatch.setattr(ngram_join._common_tokens, "__defaults__", (frequent,))
+def test_links_with_a_passage_in_every_text(spark):
+    """All texts hold one line."""
     rnd = random.Random(3)
     texts = []
     for i in range(150):
