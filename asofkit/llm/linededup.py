@@ -72,28 +72,33 @@ def double(level: DataFrame, lines: int, whole: bool) -> DataFrame:
 def both_ways(lines: DataFrame, min_words: int) -> DataFrame:
     """lines (row, doc, seg, j, line, words, at, length) and the same read backwards: doc, row, seg (own numbers for
     either direction), j (ascending in reading order), back, line, need (lines of the shortest part of min_words words
-    from here on; null if the stretch ends before), left (lines to the stretch's end)."""
+    from here on; null if the stretch ends before), left (lines to the stretch's end), deep (largest need of the stretch)."""
     each = lines.select("doc", "row", (2 * F.col("seg")).alias("seg"), "j", F.lit(0).alias("back"), "line", "at", "length")
     turned = lines.select("doc", "row", (2 * F.col("seg") + 1).alias("seg"), (-F.col("j")).alias("j"), F.lit(1).alias("back"), "line", (F.col("length") - F.col("at") - F.col("words")).alias("at"), "length")
     stretch = Window.partitionBy("row", "seg")
     need = F.when(F.col("length") - F.col("at") >= min_words, F.count("*").over(stretch.orderBy("at").rangeBetween(Window.currentRow, min_words - 1)))
     left = F.count("*").over(stretch) - F.row_number().over(stretch.orderBy("at")) + 1
-    return each.unionByName(turned).select("doc", "row", "seg", "j", "back", "line", need.alias("need"), left.alias("left"))
+    found = each.unionByName(turned).select("doc", "row", "seg", "j", "back", "line", need.alias("need"), left.alias("left"))
+    return found.withColumn("deep", F.max("need").over(stretch))
 
 
 def suffix_array(suffixes: DataFrame, rounds: int) -> DataFrame:
-    """The suffixes (doc, row, seg, j, back, line, need, left), range-sorted by their first 2^rounds lines, then by doc
-    (nulls first), row and j, with r0 ... r<rounds> (their ranks by 1, 2, 4 ... lines; equal runs tie, and one that ends
-    sorts before its continuations) and place, which rises along the array and holds the range's number in its upper bits.
+    """The suffixes (doc, row, seg, j, back, line, need, left, deep), range-sorted by their first 2^rounds lines, then by
+    doc (nulls first), row and j, with r0 ... r<rounds> (their ranks by 1, 2, 4 ... lines; equal runs tie, and one that
+    ends sorts before its continuations) and place, which rises along the array and holds the range's number in its upper
+    bits. A stretch is ranked by no more lines than it takes to reach its deep; further ranks are null.
 
     (row, seg, j) must not repeat. An empty table gives no rows.
     """
-    level = suffixes.withColumn("rank", F.col("line"))
-    for k in range(rounds + 1):
-        level = (double(level, 1 << (k - 1), whole=True) if k else level).withColumn(f"r{k}", F.col("rank"))
-    order = ("back", "rank", F.col("doc").asc_nulls_first(), "row", "j")
+    level, settled = suffixes.withColumn("rank", F.col("line")).withColumn("r0", F.col("line")), []
+    for k in range(1, rounds + 1):
+        settled.append(level.where(F.col("deep") <= 1 << (k - 1)))
+        level = double(level.where(F.col("deep") > 1 << (k - 1)), 1 << (k - 1), whole=True).withColumn(f"r{k}", F.col("rank"))
+    for some in reversed(settled):
+        level = level.unionByName(some, allowMissingColumns=True)
+    order = ("back", *(F.col(f"r{k}").asc_nulls_first() for k in range(rounds + 1)), F.col("doc").asc_nulls_first(), "row", "j")
     sorted_ = level.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    return materialise(sorted_.drop("rank", "line"), "suffix-array")
+    return materialise(sorted_.drop("rank", "line", "deep"), "suffix-array")
 
 
 def neighbours(array: DataFrame) -> DataFrame:
