@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import asof_join
+from .joins import asof_forward, asof_join
 from .windows import window_ranks
 
 #: Multipliers by direction and length of a streak of earnings surprises (fixed values).
@@ -29,6 +29,16 @@ def known_states(grid: DataFrame, changes: DataFrame) -> DataFrame:
     return asof_join(grid.select("entity", "as_of", moment("as_of")), changes.select("entity", moment("at"), F.col("at").alias("state")).distinct(), ["entity"], "_t", ["state"]).drop("_t", "matched_on")
 
 
+def _by_state(rows: DataFrame, states: DataFrame, keys: list[str], at: str, best: Column) -> DataFrame:
+    """(entity, keys, state, best): the largest `best` of rows of one key that the same state (entity, as_of) is the first
+    to know; rows are known from `at` on. The rows of one moment are summed up before they meet the states, so however
+    many versions a key has, no more than one for each state goes on."""
+    moment = F.col(at).cast("timestamp").alias("_t")
+    each = rows.where(F.col(at).isNotNull()).groupBy("entity", *keys, moment).agg(F.max(best).alias("best"))
+    first = asof_forward(each, states.select("entity", F.col("as_of").cast("timestamp").alias("_t"), F.col("as_of").alias("state")), ["entity"], "_t", ["state"])
+    return first.where("state is not null").groupBy("entity", *keys, "state").agg(F.max("best").alias("best"))
+
+
 def facts_as_filed(facts: DataFrame, grid: DataFrame) -> DataFrame:
     """grid (entity, as_of) with `facts`: by group and period the newest version accepted by then, as one array. An
     entity's facts are few (periods times concepts), so they meet its dates in one join by entity."""
@@ -94,18 +104,23 @@ def dilution(facts: DataFrame, splits: DataFrame, grid: DataFrame) -> DataFrame:
     """By entity and as_of: change of the share count against the year before (330-400 days, same concept), restated by
     the splits between the two periods; null without a pair or beyond +-100 percent. facts: entity, concept, priority,
     period_end, accepted_at, value; splits: entity, date, ratio."""
-    known = known_states(grid, facts.where("value > 0").select("entity", F.greatest("accepted_at", "period_end").alias("at")))
+    counts = facts.where("value > 0 and accepted_at is not null and period_end is not null").withColumn("at", F.greatest("accepted_at", "period_end"))
+    known = known_states(grid, counts.select("entity", "at"))
     states = known.where("state is not null").select("entity", F.col("state").alias("as_of")).distinct()
-    seen = states.join(facts, "entity").where("accepted_at <= as_of and period_end <= as_of and value > 0")
-    rows = seen.groupBy("entity", "as_of").agg(F.collect_list(F.struct("period_end", (-F.col("priority")).alias("first"), "accepted_at", "concept", "value")).alias("rows"))
-    each = rows.withColumn("last", F.array_max("rows"))
-    prior = F.array_max(F.filter("rows", lambda r: (r["concept"] == F.col("last.concept")) & F.date_diff(F.col("last.period_end"), r["period_end"]).between(330, 400)))
+    new = _by_state(counts, states, ["concept", "period_end"], "at", F.struct((-F.col("priority")).alias("first"), "accepted_at", "value"))
+    row = F.struct("period_end", "best.first", "best.accepted_at", "concept", "best.value")
+    upto = Window.partitionBy("entity").orderBy("state").rowsBetween(Window.unboundedPreceding, 0)
+    last = new.groupBy("entity", "state").agg(F.max(row).alias("last")).withColumn("last", F.max("last").over(upto))
+    # The year before is met by entity and concept, at each of its periods' few versions.
+    older = new.select(F.col("entity").alias("_e"), F.col("concept").alias("_c"), F.col("state").alias("_s"), row.alias("_r"))
+    near = F.date_diff(F.col("last.period_end"), F.col("_r.period_end")).between(330, 400)
+    prior = last.join(older, (F.col("entity") == F.col("_e")) & (F.col("last.concept") == F.col("_c")) & (F.col("_s") <= F.col("state")) & near, "left").groupBy("entity", "state").agg(F.max("last").alias("last"), F.max("_r").alias("prior"))
     ratios = splits.groupBy("entity").agg(F.collect_list(F.struct("date", "ratio")).alias("splits"))
-    each = each.withColumn("prior", prior).join(ratios, "entity", "left")
+    each = prior.join(ratios, "entity", "left")
     between = F.filter(F.coalesce("splits", F.array().cast("array<struct<date:date,ratio:double>>")), lambda s: (s["date"] > F.col("prior.period_end")) & (s["date"] <= F.col("last.period_end")))
     factor = F.aggregate(between, F.lit(1.0), lambda a, s: a * s["ratio"])
     change = F.try_divide(F.col("last.value"), F.col("prior.value") * factor) - 1
-    found = each.select("entity", F.col("as_of").alias("state"), F.when(F.abs(change) <= 1, change).alias("dilution"))
+    found = each.select("entity", "state", F.when(F.abs(change) <= 1, change).alias("dilution"))
     return known.join(found, ["entity", "state"], "left").select("entity", "as_of", "dilution")
 
 
