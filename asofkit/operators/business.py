@@ -40,12 +40,14 @@ def _by_state(rows: DataFrame, states: DataFrame, keys: list[str], at: str, best
 
 
 def facts_as_filed(facts: DataFrame, grid: DataFrame) -> DataFrame:
-    """grid (entity, as_of) with `facts`: by group and period the newest version accepted by then, as one array. An
-    entity's facts are few (periods times concepts), so they meet its dates in one join by entity."""
-    seen = grid.join(facts, "entity").where("accepted_at <= as_of")
-    newest = F.row_number().over(Window.partitionBy("entity", "as_of", "group", "period_start", "period_end").orderBy(F.desc("accepted_at"), "concept_priority", F.desc("accession")))
-    kept = seen.withColumn("n", newest).where("n = 1").withColumn("days", F.coalesce(F.date_diff("period_end", "period_start"), F.lit(0)))
-    rows = kept.groupBy("entity", "as_of").agg(F.collect_list(F.struct("group", "period_end", "days", "accepted_at", "value")).alias("facts"))
+    """grid (entity, as_of) with `facts`: by group and period the newest version accepted by then, as one array. A period
+    has one version at most for each date that is the first to see it, and these few meet the entity's dates in one join."""
+    period = ["group", "period_start", "period_end"]
+    version = F.struct("accepted_at", F.col("concept_priority").isNull().alias("first"), (-F.col("concept_priority")).alias("priority"), "accession", "value")
+    new = _by_state(facts, grid, period, "accepted_at", version)
+    kept = grid.distinct().join(new, "entity").where("state <= as_of").groupBy("entity", "as_of", *period).agg(F.max("best").alias("best"))
+    days = F.coalesce(F.date_diff("period_end", "period_start"), F.lit(0)).alias("days")
+    rows = kept.groupBy("entity", "as_of").agg(F.collect_list(F.struct("group", "period_end", days, F.col("best.accepted_at"), F.col("best.value"))).alias("facts"))
     return grid.join(rows, ["entity", "as_of"], "left")
 
 

@@ -41,3 +41,13 @@ def test_dilution_meets_a_version_for_each_date_at_most(spark):
     # The largest version of a day d is 1000 + (19600 + d) / 100 in both years; the split doubles the older count.
     assert len(rows) == 400 and all(abs(r.dilution + 0.5) < 1e-12 for r in rows)
     assert most <= 100_000  # 400 dates x 400 versions x half; all versions would give 8,000,000
+
+
+def test_facts_as_filed_meets_a_version_for_each_date_at_most(spark):
+    facts, grid = many_versions(spark)
+    rows, most = most_rows(BU.facts_as_filed(facts, grid))
+    got = {r.as_of: sorted((f.period_end, f.accepted_at, f.value, f.days) for f in r.facts) for r in rows}
+    for d in range(400):
+        day = dt.date(2021, 1, 1) + dt.timedelta(d)  # the last accession of the day is the newest version
+        assert got[day] == [(dt.date(y, 12, 31), day, 1000 + (19600 + d) / 100, 90) for y in (2019, 2020)]
+    assert most <= 200_000  # all versions would give 8,000,000
