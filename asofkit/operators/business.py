@@ -128,10 +128,11 @@ def dilution(facts: DataFrame, splits: DataFrame, grid: DataFrame) -> DataFrame:
 
 def shares_as_of(facts: DataFrame, grid: DataFrame) -> DataFrame:
     """grid (entity, date) with the share count of the latest period accepted by then. facts: entity, priority,
-    period_end, accepted (a date not before the period's end), value. One shuffle: the latest so far runs along."""
+    period_end, accepted (a date not before the period's end), value. The latest of each day, and of those so far, runs along."""
     upto = Window.partitionBy("entity").orderBy("accepted").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    latest = F.max(F.struct("period_end", (-F.col("priority")).alias("first"), "accepted", "value")).over(upto)
-    known = facts.where("period_end <= accepted").withColumn("latest", latest).select("entity", F.col("accepted").alias("date"), F.col("latest.value").alias("shares"))
+    row = F.struct("period_end", (-F.col("priority")).alias("first"), "accepted", "value")
+    daily = facts.where("period_end <= accepted").groupBy("entity", "accepted").agg(F.max(row).alias("latest"))
+    known = daily.withColumn("latest", F.max("latest").over(upto)).select("entity", F.col("accepted").alias("date"), F.col("latest.value").alias("shares"))
     return asof_join(grid, known, ["entity"], "date", ["shares"]).drop("matched_on")
 
 

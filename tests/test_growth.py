@@ -51,3 +51,11 @@ def test_facts_as_filed_meets_a_version_for_each_date_at_most(spark):
         day = dt.date(2021, 1, 1) + dt.timedelta(d)  # the last accession of the day is the newest version
         assert got[day] == [(dt.date(y, 12, 31), day, 1000 + (19600 + d) / 100, 90) for y in (2019, 2020)]
     assert most <= 200_000  # all versions would give 8,000,000
+
+
+def test_shares_shuffle_days_and_not_versions(spark):
+    facts, grid = many_versions(spark)
+    known = facts.select("entity", F.col("concept_priority").alias("priority"), "period_end", F.col("accepted_at").alias("accepted"), "value")
+    rows, most = most_rows(BU.shares_as_of(known, grid.withColumnRenamed("as_of", "date")), "shuffleRecordsWritten")
+    assert {r.date: r.shares for r in rows} == {dt.date(2021, 1, 1) + dt.timedelta(d): 1000 + (19600 + d) / 100 for d in range(400)}
+    assert most <= 4000  # 400 days from each of 4 tasks, and the grid; all versions are 40,000
