@@ -31,8 +31,9 @@ def _named(df: DataFrame, by: list[str], side: str, *rest) -> DataFrame:
     return df.select(*(F.col(k).alias(f"{side}{i}") for i, k in enumerate(by)), *rest)
 
 
-def _located(counts: DataFrame, by: list[str], sample: int) -> DataFrame:
-    """counts with total (rows of the group) and the range of each value."""
+def _located(counts: DataFrame, by: list[str], sample: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """counts with total (rows of the group) and the range of each value; further columns of counts that are kept may
+    tell rows of one value apart."""
     groups = counts.groupBy(*by).agg(F.count("*").alias("_d"), F.sum("n").alias("total"))
     large = counts.join(_named(groups.where(F.col("_d") > sample), by, "_g", "_d"), _same(by, "_g"))
     picked = large.where(F.pmod(F.xxhash64("value"), F.ceil(F.col("_d") / sample)) == 0).groupBy(*by).agg(F.sort_array(F.collect_list("value")).alias("_p"))
@@ -44,7 +45,7 @@ def _located(counts: DataFrame, by: list[str], sample: int) -> DataFrame:
     each = each.withColumn("_c", F.when(F.col("_e").isNotNull(), few).otherwise(0))
     fine = F.size(F.filter(F.slice("_e", F.col("_c") * _FEW + 1, _FEW - 1), lambda e: e < F.col("value")))
     each = each.withColumn("_b", F.when(F.col("_e").isNotNull(), F.col("_c") * _FEW + fine).otherwise(0))
-    return each.select(*by, "value", "n", "total", "_b")
+    return each.select(*by, *keep, "value", "n", "total", "_b")
 
 
 def _offsets(located: DataFrame, by: list[str]) -> DataFrame:
@@ -72,6 +73,28 @@ def average_ranks(counts: DataFrame, by: list[str], sample: int = SAMPLE) -> Dat
     return placed(counts, by, sample).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2).drop("below")
 
 
+def _places(points: dict[str, float], nearest: tuple[str, ...]):
+    """The place (from 0) of each point among a group's `total` rows, and by name the whole places around it."""
+    place = lambda name, total: F.greatest(F.ceil(total * points[name]) - 1, F.lit(0)) if name in nearest else (total - 1) * F.lit(float(points[name]))
+    return place, {f"{name}|{s}": (lambda t, name=name, f=f: f(place(name, t))) for name in points for s, f in (("a", F.floor), ("b", F.ceil))}
+
+
+def _wanted(offsets: DataFrame, points: dict[str, float], nearest: tuple[str, ...]) -> DataFrame:
+    """The ranges that hold a wanted rank."""
+    sides = _places(points, nearest)[1].values()
+    return offsets.where(reduce(lambda a, b: a | b, ((F.col("_from") <= k(F.col("_t"))) & (k(F.col("_t")) < F.col("_to")) for k in sides)))
+
+
+def _values_at(found: DataFrame, by: list[str], points: dict[str, float], nearest: tuple[str, ...]) -> DataFrame:
+    """(by, points) from placed values that hold all wanted ranks."""
+    place, sides = _places(points, nearest)
+    held = lambda k: F.max(F.when((F.col("below") <= k(F.col("total"))) & (k(F.col("total")) < F.col("below") + F.col("n")), F.col("value")))
+    out = found.groupBy(*by).agg(F.max("total").alias("total"), *(held(k).alias(name) for name, k in sides.items()))
+    at = {name: place(name, F.col("total")) for name in points}
+    between = lambda n: F.col(f"`{n}|a`") + (F.col(f"`{n}|b`") - F.col(f"`{n}|a`")) * (at[n] - F.floor(at[n]))
+    return out.select(*by, *((F.col(f"`{n}|a`") if n in nearest else between(n)).alias(n) for n in points))
+
+
 def quantiles(df: DataFrame, by: list[str], col: str, points: dict[str, float], nearest: tuple[str, ...] = (), sample: int = SAMPLE) -> DataFrame:
     """(by, points): exact quantiles of the values other than null, linear between neighbours; those named in nearest are
     the smallest value that at least such a share doesn't exceed. Groups without values are absent.
@@ -79,15 +102,25 @@ def quantiles(df: DataFrame, by: list[str], col: str, points: dict[str, float],
     Only ranges that hold a wanted rank are sorted.
     """
     located = _located(count_values(df, by, col), by, sample)
-    place = lambda name, total: F.greatest(F.ceil(total * points[name]) - 1, F.lit(0)) if name in nearest else (total - 1) * F.lit(float(points[name]))
-    sides = {f"{name}|{s}": (lambda t, name=name, f=f: f(place(name, t))) for name in points for s, f in (("a", F.floor), ("b", F.ceil))}
-    wanted = reduce(lambda a, b: a | b, ((F.col("_from") <= k(F.col("_t"))) & (k(F.col("_t")) < F.col("_to")) for k in sides.values()))
-    found = _within(located, _offsets(located, by).where(wanted), by)
-    held = lambda k: F.max(F.when((F.col("below") <= k(F.col("total"))) & (k(F.col("total")) < F.col("below") + F.col("n")), F.col("value")))
-    out = found.groupBy(*by).agg(F.max("total").alias("total"), *(held(k).alias(name) for name, k in sides.items()))
-    at = {name: place(name, F.col("total")) for name in points}
-    between = lambda n: F.col(f"`{n}|a`") + (F.col(f"`{n}|b`") - F.col(f"`{n}|a`")) * (at[n] - F.floor(at[n]))
-    return out.select(*by, *((F.col(f"`{n}|a`") if n in nearest else between(n)).alias(n) for n in points))
+    return _values_at(_within(located, _wanted(_offsets(located, by), points, nearest), by), by, points, nearest)
+
+
+def union_quantiles(df: DataFrame, part: list[str], members: DataFrame, group: str, col: str, points: dict[str, float], nearest: tuple[str, ...] = (), sample: int = SAMPLE) -> DataFrame:
+    """(group, points): quantiles of groups that share rows. Each row lies in one part (columns other than null), and
+    members (group, part) say once which parts a group consists of.
+
+    A row is counted once, however many groups hold it: all parts are cut at the same values, a group's counts by range
+    are sums over its parts, and only values of ranges with a wanted rank of a group are copied for it.
+    """
+    counts = count_values(df, part, col)
+    located = _located(counts, [], sample, tuple(part)).drop("total")
+    inside = located.groupBy(*part, "_b").agg(F.sum("n").alias("_m")).join(members, part)
+    upto, whole = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(group)
+    ranges = inside.groupBy(group, "_b").agg(F.sum("_m").alias("_m")).withColumn("_to", F.sum("_m").over(upto)).withColumn("_t", F.sum("_m").over(whole)).withColumn("_from", F.col("_to") - F.col("_m"))
+    asked = _wanted(ranges, points, nearest).select(group, "_b", "_from", F.col("_t").alias("total")).join(members, group)
+    mine = located.join(asked, [*part, "_b"]).groupBy(group, "_b", "value").agg(F.sum("n").alias("n"), F.max("_from").alias("_from"), F.max("total").alias("total"))
+    before = Window.partitionBy(group, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return _values_at(mine.withColumn("below", F.col("_from") + F.coalesce(F.sum("n").over(before), F.lit(0))), [group], points, nearest)
 
 
 def quantile_columns(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, float]], nearest: tuple[str, ...] = (), sample: int = SAMPLE) -> DataFrame:

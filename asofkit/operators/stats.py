@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranks as R
+from .bars import assign_folds
 from .ranks import quantiles  # noqa: F401  (its home until now)
 
 
@@ -161,19 +162,42 @@ def spearman_matrix(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     return R.rank_correlation(each, keys).groupBy(*keys).agg(F.sum("n").alias("n"), R.spearman().alias("rho"))
 
 
-def robust_scores(events: DataFrame, folds: DataFrame, col: str, winsor: float = 0.01) -> DataFrame:
+def training_quantiles(events: DataFrame, folds: DataFrame | None, col: str, points: dict[str, float]) -> DataFrame:
+    """(fold, points): quantiles of each fold's training rows, of events (date, outcome_end) that are in no fold yet, or of
+    events (fold, role) without folds.
+
+    Training sets of folds share most rows, so events are not copied for each fold: days are moved to the nearest edge of
+    a fold that compares with all folds as they do, and the events between the same edges are one part of the folds.
+    """
+    if folds is None:
+        return R.quantiles(events.where("role = 'train'"), ["fold"], col, points)
+    edges = folds.agg(*(F.array_union(F.collect_set(a), F.collect_set(b)).alias(n) for n, a, b in (("_starts", "train_start", "test_start"), ("_ends", "train_end", "test_end"))))
+    start = F.array_max(F.filter("_starts", lambda s: s <= F.col("date"))).alias("date")
+    end = F.array_min(F.filter("_ends", lambda e: e >= F.col("outcome_end"))).alias("outcome_end")
+    moved = events.select("date", "outcome_end", F.col(col).alias("_x")).join(F.broadcast(edges)).select(start, end, "_x").where("date is not null and outcome_end is not null")
+    spans = edges.select(F.explode("_starts").alias("date"), "_ends").select("date", F.explode("_ends").alias("outcome_end"))
+    members = assign_folds(spans, folds).where("role = 'train'").select("fold", "date", "outcome_end")
+    return R.union_quantiles(moved, ["date", "outcome_end"], members, "fold", "_x", points)
+
+
+def _test_rows(events: DataFrame, folds: DataFrame | None) -> DataFrame:
+    return (events if folds is None else assign_folds(events, folds)).where("role = 'test'")
+
+
+def robust_scores(events: DataFrame, folds: DataFrame | None, col: str, winsor: float = 0.01) -> DataFrame:
     """Test rows' values scaled by their fold's training rows: clipped at training quantiles, minus median, over IQR.
-    events hold (fold, role, col), as assign_folds gives them."""
-    train = R.quantiles(events.where("role = 'train'"), ["fold"], col, {"lo": winsor, "q1": 0.25, "med": 0.5, "q3": 0.75, "hi": 1 - winsor})
+    events hold (date, outcome_end, col), or without folds (fold, role, col), as assign_folds gives them."""
+    train = training_quantiles(events, folds, col, {"lo": winsor, "q1": 0.25, "med": 0.5, "q3": 0.75, "hi": 1 - winsor})
     clipped = F.least(F.greatest(F.col(col), F.col("lo")), F.col("hi"))
-    return events.where("role = 'test'").join(F.broadcast(train), "fold").withColumn("score", F.try_divide(clipped - F.col("med"), F.col("q3") - F.col("q1"))).drop("lo", "q1", "med", "q3", "hi")
+    return _test_rows(events, folds).join(F.broadcast(train), "fold").withColumn("score", F.try_divide(clipped - F.col("med"), F.col("q3") - F.col("q1"))).drop("lo", "q1", "med", "q3", "hi")
 
 
-def quantile_groups(events: DataFrame, col: str, target: str, q: float = 0.8, block: str = "quarter") -> DataFrame:
+def quantile_groups(events: DataFrame, col: str, target: str, q: float = 0.8, block: str = "quarter", folds: DataFrame | None = None) -> DataFrame:
     """Per fold, rates of the target among test rows above and not above the training quantile, and the gap; and over
-    the blocks of dates in which both groups occur, the mean of their gaps and how many are positive and negative."""
-    cut = R.quantiles(events.where("role = 'train'"), ["fold"], col, {"cut": q})
-    test = events.where("role = 'test'").join(F.broadcast(cut), "fold").withColumn("block", F.date_trunc(block, "date"))
+    the blocks of dates in which both groups occur, the mean of their gaps and how many are positive and negative.
+    events as in robust_scores."""
+    cut = training_quantiles(events, folds, col, {"cut": q})
+    test = _test_rows(events, folds).join(F.broadcast(cut), "fold").withColumn("block", F.date_trunc(block, "date"))
     y = F.col(target).cast("double")
     sums = {"n1": F.count(F.when(F.col(col) > F.col("cut"), y)), "y1": F.sum(F.when(F.col(col) > F.col("cut"), y)), "n0": F.count(F.when(F.col(col) <= F.col("cut"), y)), "y0": F.sum(F.when(F.col(col) <= F.col("cut"), y)), "n": F.count("*")}
     blocks = test.groupBy("fold", "block").agg(*(c.alias(k) for k, c in sums.items())).withColumn("d", F.try_divide("y1", "n1") - F.try_divide("y0", "n0"))

@@ -100,10 +100,13 @@ EVENTS = FOLDS + """, ev AS (SELECT o_orderkey, o_totalprice, o_orderdate::DATE
 af AS (SELECT fold, o_orderkey, o_totalprice, CASE WHEN date >= test_start AND outcome_end <= test_end THEN 'test' ELSE 'train' END AS role FROM ev JOIN folds ON (date >= test_start AND outcome_end <= test_end) OR (date >= train_start AND outcome_end <= train_end))"""
 
 
-def fold_events(spark, sf):
+def events_and_folds(spark, sf):
     ev = orders(spark, sf).withColumn("outcome_end", F.date_add("date", 30))
-    folds = B.anchored_folds(bars(spark, sf), 252, 126, 126, 10, 5).withColumn("fold", F.col("fold").cast("long"))
-    return B.assign_folds(ev, folds)
+    return ev, B.anchored_folds(bars(spark, sf), 252, 126, 126, 10, 5).withColumn("fold", F.col("fold").cast("long"))
+
+
+def fold_events(spark, sf):
+    return B.assign_folds(*events_and_folds(spark, sf))
 
 
 @query(CTES + EVENTS + """, t AS (SELECT fold, quantile_cont(o_totalprice, 0.01) AS lo, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS med, quantile_cont(o_totalprice, 0.75) AS q3, quantile_cont(o_totalprice, 0.99) AS hi FROM af WHERE role = 'train' GROUP BY fold)
@@ -123,8 +126,8 @@ def st8_fold_logistic(spark, sf):
 b AS (SELECT fold, block, avg(y) FILTER (WHERE high) - avg(y) FILTER (WHERE NOT high) AS d FROM g GROUP BY ALL), k AS (SELECT fold, avg(d) AS block_gap, count(*) FILTER (WHERE d > 0) AS positive_blocks, count(*) FILTER (WHERE d < 0) AS negative_blocks FROM b GROUP BY fold)
 SELECT fold, count(*) AS n, round(avg(y) FILTER (WHERE high), 6) AS treated, round(avg(y) FILTER (WHERE NOT high), 6) AS control, round(avg(y) FILTER (WHERE high) - avg(y) FILTER (WHERE NOT high), 6) AS gap, round(any_value(block_gap), 6) AS block_gap, any_value(positive_blocks) AS positive_blocks, any_value(negative_blocks) AS negative_blocks FROM g JOIN k USING (fold) GROUP BY fold""")
 def st11_quantile_groups(spark, sf):
-    ev = fold_events(spark, sf).withColumn("y", (F.col("o_orderkey") % 3 == 0).cast("int"))
-    return ST.quantile_groups(ev, "o_totalprice", "y").select("fold", "n", r("treated"), r("control"), r("gap"), r("block_gap"), "positive_blocks", "negative_blocks")
+    ev, folds = events_and_folds(spark, sf)
+    return ST.quantile_groups(ev.withColumn("y", (F.col("o_orderkey") % 3 == 0).cast("int")), "o_totalprice", "y", folds=folds).select("fold", "n", r("treated"), r("control"), r("gap"), r("block_gap"), "positive_blocks", "negative_blocks")
 
 
 @query("""WITH h AS (SELECT l_returnflag || l_linestatus AS candidate, (l_orderkey % 6)::INT AS block, avg(l_extendedprice) AS score FROM lineitem GROUP BY ALL),

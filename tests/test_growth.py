@@ -4,7 +4,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from asofkit.operators import bars as B
 from asofkit.operators import business as BU
+from asofkit.operators import ranks as R
+from asofkit.operators import stats as ST
 
 
 def most_rows(df, counter="numOutputRows"):
@@ -59,3 +62,30 @@ def test_shares_shuffle_days_and_not_versions(spark):
     rows, most = most_rows(BU.shares_as_of(known, grid.withColumnRenamed("as_of", "date")), "shuffleRecordsWritten")
     assert {r.date: r.shares for r in rows} == {dt.date(2021, 1, 1) + dt.timedelta(d): 1000 + (19600 + d) / 100 for d in range(400)}
     assert most <= 4000  # 400 days from each of 4 tasks, and the grid; all versions are 40,000
+
+
+def overlapping(spark):
+    """20,000 events (date, outcome_end, x), null dates and values among them, and 30 folds whose training sets are nested."""
+    date = F.date_add(F.lit(dt.date(2020, 1, 1)), (F.col("id") % 400).cast("int"))
+    ev = spark.range(20000).select("id", F.when(F.col("id") % 97 > 0, date).alias("date"), F.date_add(date, 9).alias("outcome_end"), F.when(F.col("id") % 89 > 0, F.pmod(F.xxhash64("id"), F.lit(9973)).cast("double")).alias("x"))
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(i)
+    folds = [(i, day(0), day(90 + 10 * i), day(95 + 10 * i), day(110 + 10 * i)) for i in range(30)]
+    return ev, spark.createDataFrame(folds, "fold long, train_start date, train_end date, test_start date, test_end date")
+
+
+def test_unions_of_parts_have_the_quantiles_of_their_rows(spark):
+    df = spark.range(6000).select((F.col("id") % 3).alias("p"), F.when(F.col("id") % 50 > 0, F.pmod(F.xxhash64("id"), F.lit(2500))).cast("double").alias("x"))
+    members = spark.createDataFrame([(g, p) for g, ps in (("a", [0]), ("b", [0, 1]), ("c", [0, 1, 2]), ("none", [7])) for p in ps], "g string, p long")
+    points = {"lo": 0.0, "q": 0.37, "hi": 1.0, "near": 0.5}
+    want = R.quantiles(df.join(members, "p"), ["g"], "x", points, ("near",), 64).collect()
+    got = R.union_quantiles(df, ["p"], members, "g", "x", points, ("near",), 64).collect()
+    assert sorted(got) == sorted(want) and len(got) == 3
+    assert sorted(R.union_quantiles(df, ["p"], members, "g", "x", points, ("near",)).collect()) == sorted(want)
+
+
+def test_quantile_groups_count_events_once_for_all_folds(spark):
+    ev, folds = overlapping(spark)
+    ev = ev.withColumn("y", (F.col("id") % 3 == 0).cast("int"))
+    rows, most = most_rows(ST.quantile_groups(ev, "x", "y", folds=folds), "shuffleRecordsWritten")
+    assert sorted(rows) == sorted(ST.quantile_groups(B.assign_folds(ev, folds), "x", "y").collect()) and len(rows) == 30
+    assert most <= 20_000
