@@ -112,7 +112,7 @@ def fold_events(spark, sf):
 @query(CTES + EVENTS + """, t AS (SELECT fold, quantile_cont(o_totalprice, 0.01) AS lo, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS med, quantile_cont(o_totalprice, 0.75) AS q3, quantile_cont(o_totalprice, 0.99) AS hi FROM af WHERE role = 'train' GROUP BY fold)
 SELECT fold, o_orderkey, round((least(greatest(o_totalprice, lo), hi) - med) / nullif(q3 - q1, 0), 6) AS score FROM af JOIN t USING (fold) WHERE role = 'test'""")
 def st7_robust_scores(spark, sf):
-    return ST.robust_scores(fold_events(spark, sf), None, "o_totalprice").select("fold", "o_orderkey", r("score"))
+    return ST.robust_scores(*events_and_folds(spark, sf), "o_totalprice").select("fold", "o_orderkey", r("score"))
 
 
 @query()

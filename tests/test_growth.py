@@ -73,6 +73,15 @@ def overlapping(spark):
     return ev, spark.createDataFrame(folds, "fold long, train_start date, train_end date, test_start date, test_end date")
 
 
+def test_events_are_counted_once_for_all_folds(spark):
+    ev, folds = overlapping(spark)
+    rows, most = most_rows(ST.robust_scores(ev, folds, "x"), "shuffleRecordsWritten")
+    apart = ST.robust_scores(B.assign_folds(ev, folds), None, "x").collect()
+    key = lambda r: (r.fold, r.id, r.score)
+    assert sorted(map(key, rows), key=str) == sorted(map(key, apart), key=str) and len({r.fold for r in rows}) == 30
+    assert most <= 20_000  # each event for each fold gives about 240,000
+
+
 def test_unions_of_parts_have_the_quantiles_of_their_rows(spark):
     df = spark.range(6000).select((F.col("id") % 3).alias("p"), F.when(F.col("id") % 50 > 0, F.pmod(F.xxhash64("id"), F.lit(2500))).cast("double").alias("x"))
     members = spark.createDataFrame([(g, p) for g, ps in (("a", [0]), ("b", [0, 1]), ("c", [0, 1, 2]), ("none", [7])) for p in ps], "g string, p long")
