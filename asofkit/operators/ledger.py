@@ -20,7 +20,7 @@ def fifo_lots(entries: DataFrame) -> DataFrame:
     profit, open quantity, cost of the open lots, and whether it was oversold (such rows have no figures).
 
     Quantities are restated by the splits that follow them. Buys and sells then cover intervals of cumulative quantity,
-    and a sale takes from the buys whose intervals it overlaps.
+    and a sale takes from the buys whose intervals it overlaps. One shuffle by account and symbol serves all steps.
     """
     by = ["account", "symbol"]
     # What follows a row is read backwards: a frame that starts at the beginning grows row by row.
@@ -28,21 +28,24 @@ def fifo_lots(entries: DataFrame) -> DataFrame:
     factor = F.exp(F.coalesce(F.sum(F.when(F.col("type") == "SPLIT", F.log("ratio"))).over(later), F.lit(0.0)))
     e = entries.withColumn("f", factor).where("type <> 'SPLIT'").withColumn("q", F.col("quantity") * F.col("f")).withColumn("p", F.col("price") / F.col("f"))
     run = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("held", F.sum(F.when(F.col("type") == "BUY", F.col("q")).otherwise(-F.col("q"))).over(run))
-    e = e.withColumn("upto", F.sum("q").over(Window.partitionBy(*by, "type").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
-    total = e.groupBy(*by).agg((F.min("held") < -1e-9).alias("oversold"), F.sum(F.when(F.col("type") == "SELL", F.col("q")).otherwise(0.0)).alias("sold"), F.sum(F.when(F.col("type") == "BUY", F.col("q")).otherwise(0.0)).alias("bought"))
-    clean = e.join(total.where("not oversold").select(*by, "sold"), by)
-    buys = clean.where("type = 'BUY'").select(*by, "sold", F.col("p").alias("bp"), (F.col("upto") - F.col("q")).alias("b0"), F.col("upto").alias("b1"))
-    # Both lists of cumulative bounds are merged by one sort; the part before a bound belongs to the next buy and sale.
-    order = Window.partitionBy(*by).orderBy("upto", "type", "seq")
-    back = Window.partitionBy(*by).orderBy(F.desc("upto"), F.desc("type"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    owner = lambda kind: F.last(F.when(F.col("type") == kind, F.col("p")), ignorenulls=True).over(back)
-    parts = clean.select(*by, "p", (F.col("upto") - F.coalesce(F.lag("upto").over(order), F.lit(0.0))).alias("part"), owner("BUY").alias("bp"), owner("SELL").alias("sp"))
-    realised = parts.where("bp is not null and sp is not null").groupBy(*by).agg(F.sum(F.col("part") * (F.col("sp") - F.col("bp"))).alias("realised"))
-    open_ = buys.groupBy(*by).agg(F.sum(F.greatest(F.lit(0.0), F.col("b1") - F.greatest("b0", "sold")) * F.col("bp")).alias("cost"))
-    out = total.join(realised, by, "left").join(open_, by, "left")
-    ok = ~F.col("oversold")
-    return out.select(*by, "oversold", F.when(ok, F.coalesce("realised", F.lit(0.0))).alias("realised"), F.when(ok, F.col("bought") - F.col("sold")).alias("open_quantity"), F.when(ok, F.coalesce("cost", F.lit(0.0))).alias("cost"))
+    is_ = lambda kind: F.col("type") == kind
+    upto = lambda kind: F.sum(F.when(is_(kind), F.col("q"))).over(run)
+    held = F.sum(F.when(is_("BUY"), F.col("q")).otherwise(-F.col("q"))).over(run)
+    e = e.select(*by, "seq", "type", "q", "p", held.alias("held"), F.when(is_("BUY"), upto("BUY")).otherwise(upto("SELL")).alias("upto"))
+    # Both lists of cumulative bounds are merged by one sort, read from its end; the part before a bound belongs to the
+    # next buy and sale, and is still open if no sale follows.
+    order = Window.partitionBy(*by).orderBy(F.desc("upto"), F.desc("type"), F.desc("seq"))
+    owner = lambda kind: F.last(F.when(is_(kind), F.col("p")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    parts = e.select("*", (F.col("upto") - F.coalesce(F.lead("upto").over(order), F.lit(0.0))).alias("part"), owner("BUY").alias("bp"), owner("SELL").alias("sp"))
+    sum_of = lambda on, c: F.coalesce(F.sum(F.when(on, c)), F.lit(0.0))
+    bought, sold = F.col("bp").isNotNull(), F.col("sp").isNotNull()
+    out = parts.groupBy(*by).agg(
+        (F.min("held") < -1e-9).alias("oversold"),
+        sum_of(bought & sold, F.col("part") * (F.col("sp") - F.col("bp"))).alias("realised"),
+        (sum_of(is_("BUY"), F.col("q")) - sum_of(is_("SELL"), F.col("q"))).alias("open_quantity"),
+        sum_of(bought & ~sold, F.col("part") * F.col("bp")).alias("cost"),
+    )
+    return out.select(*by, "oversold", *(F.when(~F.col("oversold"), F.col(c)).alias(c) for c in ("realised", "open_quantity", "cost")))
 
 
 def value_holdings(holdings: DataFrame, bars: DataFrame) -> DataFrame:

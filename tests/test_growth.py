@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from asofkit.operators import bars as B
 from asofkit.operators import business as BU
+from asofkit.operators import ledger as L
 from asofkit.operators import ranks as R
 from asofkit.operators import stats as ST
 
@@ -98,3 +99,11 @@ def test_quantile_groups_count_events_once_for_all_folds(spark):
     rows, most = most_rows(ST.quantile_groups(ev, "x", "y", folds=folds), "shuffleRecordsWritten")
     assert sorted(rows) == sorted(ST.quantile_groups(B.assign_folds(ev, folds), "x", "y").collect()) and len(rows) == 30
     assert most <= 20_000
+
+
+def test_lots_take_one_shuffle(spark):
+    """Entries cross the network once, for lots and totals alike."""
+    df = spark.range(1000).selectExpr("id % 7 AS account", "id % 3 AS symbol", "id AS seq", "CASE WHEN id % 4 = 3 THEN 'SELL' ELSE 'BUY' END AS type", "1.0D AS quantity", "cast(id AS double) AS price", "cast(null AS double) AS ratio")
+    lots = L.fifo_lots(df.repartition(3))
+    assert lots._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert lots.where("not oversold").count() > 0
