@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import business as BU
@@ -138,8 +137,10 @@ SELECT account, CASE WHEN coalesce(complete, true) THEN 'LEDGER_READY' ELSE 'PRI
 def l3_value_ledger(spark, sf):
     lots = L.fifo_lots(trades(spark, sf)).where("not oversold").select("account", "symbol", F.col("open_quantity").alias("quantity"), "cost")
     line = table(spark, sf, "lineitem").where("l_suppkey % 50 <> 0").withColumn("date", F.to_date("l_shipdate"))
-    last = F.row_number().over(Window.partitionBy("l_suppkey", "date").orderBy(F.desc("l_shipdate"), F.desc(F.col("l_orderkey") * 10 + F.col("l_linenumber"))))
-    price = line.withColumn("n", last).where("n = 1").select(F.col("l_suppkey").alias("entity"), "date", (F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
+    price = (F.col("l_extendedprice") / F.col("l_quantity")).alias("close")
+    # The ledger reads an entity's last price alone, so each task hands on one row of it.
+    latest = F.max(F.struct("l_shipdate", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("turn"), "date", price)).alias("last")
+    price = line.where(price.isNotNull()).groupBy(F.col("l_suppkey").alias("entity")).agg(latest).select("entity", "last.date", "last.close")
     cash = table(spark, sf, "customer").select(F.col("c_custkey").alias("account"), F.round("c_acctbal", 2).alias("cash"))
     v = L.value_ledger(lots, cash, price)
     off = lambda c: F.round(F.col(c) + 1e-8, 4).alias(c)

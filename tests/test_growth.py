@@ -107,3 +107,10 @@ def test_lots_take_one_shuffle(spark):
     lots = L.fifo_lots(df.repartition(3))
     assert lots._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert lots.where("not oversold").count() > 0
+
+
+def test_ledger_prices_are_summed_up_before_they_are_shuffled(spark):
+    from asofkit.plans import registry
+
+    plan = registry.QUERIES["l3_value_ledger"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and "partial_max(struct(l_shipdate" in plan
