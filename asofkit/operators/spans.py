@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,31 +148,41 @@ TOKEN = "[a-z]+|[^a-z -]"
 
 def sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, n (from 0), sentence of each text, runs of white space being one space."""
-    plain = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[ \t\r\n\f]+", " "))
-    return docs.select(key, F.posexplode(F.split(plain, BOUNDARY)).alias("n", "sentence"))
+    plain = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\t\r\n\f][ \t\r\n\f]*+| [ \t\r\n\f]++", " "))
+    # A split is never empty, and the outer form has no filter on its size, for which all texts would be cut twice.
+    return docs.select(key, F.posexplode_outer(F.split(plain, BOUNDARY)).alias("n", "sentence"))
+
+
+def _any_of(folded: list[str]) -> str:
+    """The pattern of phrases given as tokens with a space between; letters beside letters need a gap, other tokens may have one."""
+    letters = lambda t: "a" <= t[0] <= "z"
+
+    def one(tokens: list[str]) -> str:
+        gaps = ["[ -]+" if letters(a) and letters(b) else "[ -]*" for a, b in zip(tokens, tokens[1:])]
+        return "".join(re.escape(t) + g for t, g in zip(tokens, [*gaps, ""])) + "(?![a-z])" * letters(tokens[-1])
 
+    words, others = ("|".join(one(p.split(" ")) for p in folded if letters(p) is kind) for kind in (True, False))
+    return "(?i)(?:" + ("|".join(filter(None, [words and f"(?<![a-z])(?:{words})", others])) or "(?!)") + ")"
 
-def phrase_hits(rows: DataFrame, text: str, phrases: DataFrame, longest: int) -> DataFrame:
+
+def phrase_hits(rows: DataFrame, text: str, phrases: DataFrame, folded: list[str]) -> DataFrame:
     """rows with phrase, kind, name, start, end of each occurrence of phrases (phrase, kind, name) in short texts.
 
-    phrases holds each phrase as tokens with a space between; it is broadcast, its size being that of a word list. All
-    runs of up to `longest` tokens look themselves up in it, so all phrases are found in one pass, overlapping ones too.
+    phrases holds each of the folded phrases (tokens with a space between); it is broadcast, its size being that of a word
+    list. One pass cuts a text wherever a phrase begins; runs of as many tokens as a phrase may have look themselves up
+    from there, so overlapping phrases are found too.
     """
-    low = F.translate(F.translate(F.col(text), _UPPER, _LOWER), _MARK, " ")
-    parts = F.split(F.regexp_replace(low, F.lit(TOKEN), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    step = lambda a, x: F.struct(
-        (a["at"] + F.length(x)).alias("at"),
-        (~a["odd"]).alias("odd"),
-        F.when(a["odd"], F.array_append(a["tokens"], F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"), x.alias("value")))).otherwise(a["tokens"]).alias("tokens"),
-    )
-    tokens = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), none.alias("tokens")), step, lambda a: a["tokens"])
-    run = lambda i, n: F.struct(
-        F.array_join(F.transform(F.slice("_tokens", i + 1, n), lambda t: t["value"]), " ").alias("phrase"), F.get("_tokens", i)["start"].alias("start"), F.get("_tokens", i + n - 1)["end"].alias("end")
-    )
-    runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_tokens") - 1), lambda i: F.array(*(run(i, n) for n in range(1, longest + 1)))))
-    each = rows.withColumn("_tokens", tokens).where(F.size("_tokens") > 0).withColumn("_run", F.explode(runs)).where(F.col("_run.end").isNotNull())
-    return each.select(*rows.columns, "_run.*").join(F.broadcast(phrases), "phrase")
+    lengths = sorted({len(p.split(" ")) for p in folded})
+    cut = F.split(F.regexp_replace(F.replace(F.col(text), F.lit(_MARK), F.lit(" ")), F.lit(f"(?={_any_of(folded)})"), F.lit(_MARK)), _MARK, -1)
+    each = rows.withColumn("_parts", cut).select(*rows.columns, "_parts", F.posexplode_outer("_parts").alias("_i", "_part")).where("_i > 0")
+    # Each part but the first begins with a token, so as many parts as a phrase has tokens hold it.
+    each = each.select(*rows.columns, F.length(F.array_join(F.slice("_parts", F.lit(1), F.col("_i")), "")).alias("start"), F.array_join(F.slice("_parts", F.col("_i") + 1, F.lit(max(lengths, default=1))), "").alias("_from"))
+    token = "(?:[a-z]++|[^a-z -])"
+    run = lambda n: F.regexp_extract("_from", rf"(?i)^{token}(?:[ -]*+{token}){{{n - 1}}}", 0)
+    each = each.select(*rows.columns, "start", F.explode_outer(F.array(*map(run, lengths or [1]))).alias("_run")).where("_run <> ''")
+    fold = F.array_join(F.regexp_extract_all(F.translate("_run", _UPPER, _LOWER), F.lit(TOKEN), 0), " ")
+    each = each.select(*rows.columns, fold.alias("phrase"), "start", (F.col("start") + F.length("_run")).alias("end"))
+    return each.join(F.broadcast(phrases), "phrase").select(*rows.columns, "phrase", "start", "end", "kind", "name")
 
 
 def sentence_facts(
@@ -197,31 +209,29 @@ def sentence_facts(
     negated says whether one of the `lookback` words before any such cue is a negation. Case doesn't count. Equal texts
     of a key count once; null texts have no sentence.
     """
-    import re
-
     spark = docs.sparkSession
     fold = lambda p: " ".join(re.findall(TOKEN, p.lower()))
-    table = [(fold(p), kind, name) for kind, group in (("topic", topics), ("cue", cues), ("comparison", {"": comparisons})) for name, listed in group.items() for p in listed]
-    longest = max((len(p.split()) for p, _, _ in table), default=1)
-    phrases = spark.createDataFrame(sorted(set(table)), "phrase string, kind string, name string")
-    any_of = lambda group: F.lit("(?i)(?<![a-z])(?:" + "|".join("[ -]+".join(re.escape(t) for t in fold(p).split()) for listed in group.values() for p in listed) + ")(?![a-z])")
+    table = {(fold(p), kind, name) for kind, group in (("topic", topics), ("cue", cues), ("comparison", {"": comparisons})) for name, listed in group.items() for p in listed}
+    table = sorted(t for t in table if t[0])
+    phrases = spark.createDataFrame(table, "phrase string, kind string, name string")
+    any_of = lambda kinds: sorted({p for p, kind, _ in table if kind in kinds})
     s = F.col("sentence")
     solid = F.length(F.replace(s, F.lit(" "), F.lit("")))
-    kept = sentences(docs, key, text).where(F.length(s).between(least, most)).where(F.length(F.regexp_replace(s, "[^0-9]", "")) <= digit_share * solid)
-    kept = kept.where(F.size(F.regexp_extract_all(s, F.lit(r"[A-Za-z][A-Za-z'-]*"), 0)) >= least_words)
-    low = F.translate(s, _UPPER, _LOWER)
-    for phrase in boilerplate:
-        kept = kept.where(~low.contains(phrase.lower()))
-    # Most sentences name no topic or cue; the others are few and short, so their token runs may be spelt out.
-    likely = kept.where(F.regexp_like(s, any_of(topics)) & F.regexp_like(s, any_of(cues)))
-    hits = phrase_hits(likely, "sentence", phrases, longest)
-    before = F.regexp_extract_all(F.substring(low, F.lit(1), F.col("start")), F.lit("[a-z']+"), 0)
-    last = F.slice(before, F.greatest(F.size(before) - lookback + 1, F.lit(1)), lookback)
+    kept = sentences(docs, key, text).where(F.length(s).between(least, most)).where(F.length(s) - F.length(F.regexp_replace(s, "[0-9]+", "")) <= digit_share * solid)
+    kept = kept.where(F.regexp_like(s, F.lit(rf"^[^A-Za-z]*+(?:[A-Za-z][A-Za-z'-]*+[^A-Za-z]*+){{{least_words}}}")))
+    if boilerplate:
+        kept = kept.where(~F.regexp_like(s, F.lit("(?i)" + "|".join(re.escape(p.lower()) for p in boilerplate))))
+    # Most sentences name no topic or cue.
+    likely = kept.where(F.regexp_like(s, F.lit(_any_of(any_of(["topic"])))) & F.regexp_like(s, F.lit(_any_of(any_of(["cue"])))))
+    hits = phrase_hits(likely.withColumn("_same", F.xxhash64("sentence")), "sentence", phrases, any_of(["topic", "cue", "comparison"]))
+    # The last words before a cue, read backwards from it.
+    before = F.regexp_extract(F.reverse(F.substring(s, F.lit(1), F.col("start"))), rf"(?i)^(?:[^a-z']*+[a-z']++){{0,{lookback}}}", 0)
+    last = F.regexp_extract_all(F.translate(F.reverse(before), _UPPER, _LOWER), F.lit("[a-z']+"), 0)
     negated = F.arrays_overlap(last, F.array(*(F.lit(w.lower()) for w in negations))) if negations else F.lit(False)
     hits = hits.withColumn("negated", F.when(F.col("kind") == "cue", F.coalesce(negated, F.lit(False))))
     hit = F.struct("name", "phrase", "start", "end", "negated")
     of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, hit)).alias(kind)
-    whole = hits.groupBy(key, "n", F.xxhash64("sentence").alias("_same")).agg(of("topic"), of("cue"), F.bool_or(F.col("kind") == "comparison").alias("compared"))
+    whole = hits.groupBy(key, "n", "_same").agg(of("topic"), of("cue"), F.bool_or(F.col("kind") == "comparison").alias("compared"))
     each = whole.withColumn("_topic", F.explode(F.array_sort(F.array_distinct(F.transform("topic", lambda t: t["name"])))))
     own = F.filter("topic", lambda t: t["name"] == F.col("_topic"))
     gap = lambda t, c: F.greatest(t["start"] - c["end"], c["start"] - t["end"], F.lit(0))

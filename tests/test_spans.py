@@ -2,6 +2,8 @@ import pytest
 
 from asofkit.operators import spans as S
 
+from test_growth import most_rows
+
 GUIDED = {
     "For FY 2026, the company expects adjusted EPS in the range of $4.20 to $4.50 per share.": [("EPS", "FY2026", "NON_GAAP", "USD_PER_SHARE", 4.2, 4.5)],
     "Our FY 2025 outlook: we expect revenue from $10.0 to $10.5 billion.": [("REVENUE", "FY2025", "UNSPECIFIED", "USD", 10.0e9, 10.5e9)],
@@ -79,3 +81,32 @@ def test_positions_count_characters(spark):
     rows = [(1, "äß a1 é22 333")]
     got = S.spans(spark.createDataFrame(rows, "id long, t string"), "id", "t", {"n": "[0-9]+", "w": "[a-zäßé]+"}).collect()
     assert sorted((r.kind, r.start, r.end, r.value) for r in got) == [("n", 4, 5, "1"), ("n", 7, 9, "22"), ("n", 10, 13, "333"), ("w", 0, 2, "äß"), ("w", 3, 4, "a"), ("w", 6, 7, "é")]
+
+
+def test_phrases_of_signs_overlap_and_lie_within_a_sentence(spark):
+    """Phrases that begin within each other, that hold signs, and texts with the mark in them."""
+    rows = [(1, "don't in the the in-the sale\x01price % gain, Don 't"), (2, "nothing of it"), (3, "")]
+    listed = ["in the", "the in", "the", "the in the", "don ' t", "%", "% gain", "sale price", "the the in the sale"]
+    phrases = spark.createDataFrame([(p, "k", p[:1]) for p in listed], "phrase string, kind string, name string")
+    got = S.phrase_hits(spark.createDataFrame(rows, "id long, t string"), "t", phrases, listed).collect()
+    text = rows[0][1]
+    at = lambda part, start=0: (text.index(part, start), text.index(part, start) + len(part))
+    want = [("don ' t", *at("don't")), ("don ' t", *at("Don 't")), ("in the", *at("in the")), ("in the", *at("in-the")), ("the in", *at("the in")), ("the in the", *at("the in-the"))]
+    want += [("the", *at("the")), ("the", *at("the", 10)), ("the", *at("the", 15)), ("the the in the sale", *at("the the in-the sale")), ("%", *at("%")), ("% gain", *at("% gain")), ("sale price", *at("sale\x01price"))]
+    assert sorted((r.phrase, r.start, r.end) for r in got) == sorted(want) and {r.id for r in got} == {1}
+
+
+def test_topics_with_signs_and_no_topics_at_all(spark):
+    df = spark.createDataFrame([(1, "We do not expect that today's R&D spending will improve very much.")], "id long, t string")
+    (row,) = S.sentence_facts(df, "id", "t", {"RND": ["R&D"]}, CUES, negations=["not"]).collect()
+    assert (row.topic_phrases, row.families, row.negated) == (["r & d"], ["EXPANSION", "EXPECTATION"], True)
+    assert S.sentence_facts(df, "id", "t", {}, CUES).collect() == []
+
+
+def test_a_sentence_is_cut_at_phrases_and_not_token_by_token(spark):
+    """Neither a row for each run of tokens nor an interpreted loop over them."""
+    df = spark.createDataFrame([(i, "We expect " + "so very much of it and more " * 18 + f"of demand {i}.") for i in range(50)], "id long, t string")
+    found = S.sentence_facts(df, "id", "t", TOPICS, CUES, most=1000, within=900)
+    assert "array_append" not in found._jdf.queryExecution().executedPlan().toString()
+    rows, most = most_rows(found)
+    assert len(rows) == 50 and most <= 200
