@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MARK = "\x01"
 _GAP = r"[ \t\r\n]*"
@@ -29,6 +32,11 @@ FLAGS = {"non_gaap": r"\b(?:non[- ]GAAP|adjusted)\b", "gaap": r"\bGAAP\b", "mone
 FACTORS = {"billion": 1e9, "million": 1e6, "thousand": 1e3}
 
 
+def _cut(text: Column, pattern: str) -> Column:
+    """The parts of a text: gaps and matches (case does not count) in turn, a gap first and last."""
+    return F.split(F.regexp_replace(text, F.lit(f"(?i)(?:{pattern})"), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+
+
 def spans(docs: DataFrame, key: str, text: str, kinds: dict[str, str]) -> DataFrame:
     """key, doc, kind, start, end, value: the matches of each kind's pattern (case does not count) in each text.
 
@@ -36,8 +44,7 @@ def spans(docs: DataFrame, key: str, text: str, kinds: dict[str, str]) -> DataFr
     marks its matches in one pass; only matches and the lengths between them leave the row, and one shuffle by key and
     doc serves all later windows over a text. Null texts have no spans.
     """
-    clean = F.translate(F.col(text), _MARK, " ")
-    cut = lambda p: F.split(F.regexp_replace(clean, F.lit(f"(?i)(?:{p})"), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+    cut = lambda p: _cut(F.replace(F.col(text), F.lit(_MARK), F.lit(" ")), p)
     every = F.array(*(F.struct(F.lit(k).alias("kind"), cut(p).alias("parts")) for k, p in kinds.items()))
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("doc"), F.explode(every).alias("k")).where(F.size("k.parts") > 1)
     pick = lambda i: F.struct(F.length(F.get("k.parts", 2 * i)).alias("gap"), F.get("k.parts", 2 * i + 1).alias("value"))
@@ -49,18 +56,59 @@ def spans(docs: DataFrame, key: str, text: str, kinds: dict[str, str]) -> DataFr
     return rows.select("key", "doc", "kind", end.cast("long").alias("end"), "value").select("key", "doc", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value")
 
 
-def nearest(rows: DataFrame, is_span: Column, at: str, facts: list[str]) -> Column:
-    """For each row the struct (distance, facts) of the nearest span row of its text by position at; ties to the least facts.
-
-    Two running extremes, forwards and backwards, over rows sorted once each way.
-    """
-    text = Window.partitionBy("key", "doc")
-    upto, onwards = (text.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.col(at), F.col(at).desc()))
-    # The farthest position behind comes first when distances are measured from a row, so positions are negated there.
-    behind = F.min(F.when(is_span, F.struct((-F.col(at)).alias("p"), *facts))).over(upto)
-    ahead = F.min(F.when(is_span, F.struct(F.col(at).alias("p"), *facts))).over(onwards)
-    away = lambda c: F.when(c.isNotNull(), F.struct(F.abs(F.col(at) - F.abs(c["p"])).alias("distance"), *(c[f].alias(f) for f in facts)))
-    return F.least(away(behind), away(ahead))
+def _nearest(at: np.ndarray, among: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the index of the nearest of some (at least one), ties to the least turn, and its distance."""
+    order = np.lexsort((turn, among))
+    place, turn = among[order], turn[order]
+    ahead = np.searchsorted(place, at)
+    behind = np.searchsorted(place, place[np.maximum(np.searchsorted(place, at, "right") - 1, 0)])
+    ahead = np.where(ahead < len(place), ahead, behind)
+    to_ahead, to_behind = np.abs(place[ahead] - at), np.abs(place[behind] - at)
+    best = np.where((to_ahead < to_behind) | ((to_ahead == to_behind) & (turn[ahead] < turn[behind])), ahead, behind)
+    return order[best], np.minimum(to_ahead, to_behind)
+
+
+def _surroundings(metrics: list[str], flags: list[str], within: dict[str, int], around: int):
+    """The pass over a batch of texts that gives each range with its nearest metric and period, and flags around both."""
+
+    def run(batches):
+        for batch in batches:
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            bounds = {name: c.offsets.to_numpy() for name, c in col.items() if name != "key"}
+            lengths = {k: col[k].flatten().to_numpy() for k in ("range", "cue", "period", *metrics, *flags)}
+            texts, found = [], {"value": [], "metric": [], "period": [], **{f: [] for f in flags}}
+            for i in range(batch.num_rows):
+                part = lambda name: slice(bounds[name][i] - bounds[name][0], bounds[name][i + 1] - bounds[name][0])  # noqa: B023, E731
+                ends = {k: np.cumsum(n[part(k)], dtype=np.int64) for k, n in lengths.items()}
+                start, end = ({k: e[first : len(e) - 1 : 2] for k, e in ends.items()} for first in (0, 1))
+                middle = {k: (start[k] + end[k]) // 2 for k in start}
+                named = [k for k in metrics if len(start[k])]
+                if not (len(start["range"]) and len(start["cue"]) and len(start["period"]) and named):
+                    continue
+                at = middle["range"]
+                m_start, m_end, m_at = (np.concatenate([of[k] for k in named]) for of in (start, end, middle))
+                kind = np.repeat([metrics.index(k) for k in named], [len(start[k]) for k in named])
+                turn = np.empty(len(kind), np.int64)
+                turn[np.lexsort((m_end, m_start, kind))] = np.arange(len(kind))
+                period = np.unique(np.array(col["periods"][i].as_py(), object), return_inverse=True)[1]
+                metric, m_away = _nearest(at, m_at, turn)
+                cue_away = _nearest(at, middle["cue"], np.zeros(len(middle["cue"])))[1]
+                when, p_away = _nearest(at, middle["period"], period)
+                kept = np.flatnonzero((cue_away <= within["cue"]) & (m_away <= within["metric"]) & (p_away <= within["period"]))
+                metric, when = metric[kept], when[kept]
+                since, until = np.minimum(start["range"][kept], m_start[metric]) - around, np.maximum(end["range"][kept], m_end[metric]) + around
+                texts.append(np.full(len(kept), i))
+                found["value"].append(kept + part("ranges").start)
+                found["metric"].append(kind[metric])
+                found["period"].append(when + part("periods").start)
+                for f in flags:  # matches of a flag follow one another, so the first from there on ends first
+                    found[f].append(np.append(end[f], np.iinfo(np.int64).max)[np.searchsorted(start[f], since)] <= until)
+            if texts:
+                got = {k: np.concatenate(v) for k, v in found.items()}
+                out = [col["key"].take(pa.array(np.concatenate(texts))), col["ranges"].flatten().take(pa.array(got["value"])), pa.array(metrics, pa.string()).take(pa.array(got["metric"])), col["periods"].flatten().take(pa.array(got["period"]))]
+                yield pa.RecordBatch.from_arrays([*out, *(pa.array(got[f]) for f in flags)], ["key", *found])
+
+    return run
 
 
 def amount(value: Column) -> Column:
@@ -106,26 +154,18 @@ def extract_ranges(
     any_metric = "|".join(p for p, _ in metrics.values())
     t = F.col(text)
     likely = docs.where(F.regexp_like(t, F.lit(f"(?i){cue}")) & F.regexp_like(t, F.lit(f"(?i){any_metric}")) & F.regexp_like(t, F.lit(f"(?i){PERIOD}")))
-    found = spans(likely, key, text, kinds).withColumn("at", F.floor((F.col("start") + F.col("end")) / 2))
-    found = found.withColumn("metric", F.when(F.col("kind").startswith("metric "), F.substring("kind", 8, 100))).withColumn("period", F.when(F.col("kind") == "period", period_name(F.col("value"))))
-    with_near = found.select(
-        "*",
-        nearest(found, F.col("metric").isNotNull(), "at", ["metric", "start", "end"]).alias("m"),
-        nearest(found, F.col("kind") == "cue", "at", ["kind"]).alias("c"),
-        nearest(found, F.col("period").isNotNull(), "at", ["period"]).alias("p"),
-    )
-    is_range = F.col("kind") == "range"
-    # A range now stands where its surroundings begin; the next word of each flag from there on lies inside them or none does.
-    reach = with_near.withColumn("from", F.when(is_range, F.least("start", "m.start") - around).otherwise(F.col("start")))
-    onwards = Window.partitionBy("key", "doc").orderBy(F.desc("from")).rangeBetween(Window.unboundedPreceding, 0)
-    following = [F.min(F.when(F.col("kind") == f, F.struct("start", "end"))).over(onwards)["end"].alias(f"{f}_end") for f in FLAGS]
-    ranges = reach.select("*", *following).where(is_range & (F.col("c.distance") <= cue_within) & (F.col("m.distance") <= metric_within) & (F.col("p.distance") <= period_within))
-    until = F.greatest("end", "m.end") + around
-    has = {f: F.coalesce(F.col(f"{f}_end") <= until, F.lit(False)) for f in FLAGS}
+    # Each text's matches are set against each other where the text is read: no shuffle, and no more memory than a batch.
+    clean = likely.select(F.col(key).alias("key"), F.replace(t, F.lit(_MARK), F.lit(" ")).alias("t"))
+    parts = clean.select("key", *(_cut(F.col("t"), p).alias(k) for k, p in kinds.items()))
+    matches = lambda k: F.filter(k, lambda _, i: i % 2 == 1)
+    held = parts.select("key", *(F.transform(k, F.length).alias(k) for k in kinds), matches("range").alias("ranges"), F.transform(matches("period"), period_name).alias("periods"))
+    kernel = _surroundings([f"metric {m}" for m in names], list(FLAGS), {"cue": cue_within, "metric": metric_within, "period": period_within}, around)
+    schema = T.StructType([held.schema["key"], *(T.StructField(c, T.StringType()) for c in ("value", "metric", "period")), *(T.StructField(f, T.BooleanType()) for f in FLAGS)])
+    ranges = held.mapInArrow(kernel, schema).withColumn("metric", F.substring("metric", 8, 100))
 
     shape = (rf"(?i)^({NUMBER}){_GAP}({SCALE})?{_GAP}(?:{JOINT}){_GAP}({NUMBER})(?:{_GAP}({SCALE}))?$")
     group = lambda g: F.lower(F.regexp_extract("value", shape, g))
-    ranges = ranges.select("key", "m.metric", "p.period", *(c.alias(f) for f, c in has.items()), amount(group(1)).alias("a"), group(2).alias("sa"), amount(group(3)).alias("b"), group(4).alias("sb"))
+    ranges = ranges.select("key", "metric", "period", *FLAGS, amount(group(1)).alias("a"), group(2).alias("sa"), amount(group(3)).alias("b"), group(4).alias("sb"))
     first, last = (F.when(F.col(own) != "", F.col(own)).otherwise(F.col(other)) for own, other in (("sa", "sb"), ("sb", "sa")))
     ranges = ranges.withColumn("fa", first).withColumn("fb", last)
     units = F.create_map(*(F.lit(x) for m in names for x in (m, metrics[m][1])))

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from asofkit.operators import spans as S
@@ -110,3 +111,23 @@ def test_a_sentence_is_cut_at_phrases_and_not_token_by_token(spark):
     assert "array_append" not in found._jdf.queryExecution().executedPlan().toString()
     rows, most = most_rows(found)
     assert len(rows) == 50 and most <= 200
+
+
+def test_ranges_are_found_where_the_text_is_read(spark):
+    """No text's matches are shuffled or sorted in a window: what a task holds does not grow with the table."""
+    one = "FY2025 outlook: revenue {} to {} million. "
+    long = "".join(one.format(i, i + 1) + "filler words " * 9 for i in range(3000))
+    found = S.extract_ranges(spark.createDataFrame([(1, long), (1, long), (2, one.format(7, 8)), (3, "FY2025 outlook: revenue")], "id long, t string"), "id", "t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+    got = sorted((r.key, r.low) for r in found.collect())
+    assert got == [(1, i * 1e6) for i in range(3000)] + [(2, 7e6)]
+
+
+def test_nearest_by_definition():
+    rnd = np.random.default_rng(3)
+    for n in (1, 2, 30):
+        at, among, turn = rnd.integers(0, 40, 25), rnd.integers(0, 40, n), rnd.permutation(n)
+        best, away = S._nearest(at, among, turn)
+        want = [min((abs(int(a) - int(m)), int(t), j) for j, (m, t) in enumerate(zip(among, turn))) for a in at]
+        assert [(d, j) for d, _, j in want] == list(zip(away.tolist(), best.tolist()))
