@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 #: Distinct values that make a group worth cutting, and about as many as its sample has.
 SAMPLE = 4096
-_FEW, _RANGES = 16, 256  # ranges are found in two steps of 16
+_RANGES = 256  # found by halving, so a power of two
+#: Groups with more than this share of all distinct values are broadcast; there are no more than its inverse.
+_HEAVY = 1 / 2000
 
 
 def count_values(df: DataFrame, by: list[str], col: str) -> DataFrame:
@@ -31,20 +33,34 @@ def _named(df: DataFrame, by: list[str], side: str, *rest) -> DataFrame:
     return df.select(*(F.col(k).alias(f"{side}{i}") for i, k in enumerate(by)), *rest)
 
 
+def _by_group(rows: DataFrame, groups: DataFrame, by: list[str], *wanted: str) -> DataFrame:
+    """rows with the wanted columns of their group; groups holds each once, with its number of rows _d; other rows go.
+
+    Rows of large groups stay where they are, so that no group lands in one task.
+    """
+    if not by:
+        return rows.join(F.broadcast(groups.select(*wanted)))
+    marked = groups.crossJoin(F.broadcast(groups.agg((F.sum("_d") * _HEAVY).alias("_limit"))))
+    heavy, light = (_named(marked.where(on), by, "_g", *wanted) for on in (F.col("_d") > F.col("_limit"), F.col("_d") <= F.col("_limit")))
+    large = rows.join(F.broadcast(heavy), _same(by, "_g"))
+    small = rows.join(F.broadcast(heavy), _same(by, "_g"), "left_anti").join(light, _same(by, "_g"))
+    return large.unionByName(small).select(*rows.columns, *wanted)
+
+
 def _located(counts: DataFrame, by: list[str], sample: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """counts with total (rows of the group) and the range of each value; further columns of counts that are kept may
     tell rows of one value apart."""
     groups = counts.groupBy(*by).agg(F.count("*").alias("_d"), F.sum("n").alias("total"))
-    large = counts.join(_named(groups.where(F.col("_d") > sample), by, "_g", "_d"), _same(by, "_g"))
-    picked = large.where(F.pmod(F.xxhash64("value"), F.ceil(F.col("_d") / sample)) == 0).groupBy(*by).agg(F.sort_array(F.collect_list("value")).alias("_p"))
+    large = _by_group(counts, groups.where(F.col("_d") > sample).withColumn("_every", F.ceil(F.col("_d") / sample)), by, "_every")
+    picked = large.where(F.pmod(F.xxhash64("value"), F.col("_every")) == 0).groupBy(*by).agg(F.sort_array(F.collect_list("value")).alias("_p"))
     cut = lambda i: F.get("_p", F.floor(i * F.size("_p") / _RANGES).cast("int"))
     edges = picked.select(*by, F.transform(F.sequence(F.lit(1), F.lit(_RANGES - 1)), cut).alias("_e"))
     groups = groups.join(_named(edges, by, "_s", "_e"), _same(by, "_s"), "left")
-    each = counts.join(_named(groups, by, "_g", "total", "_e"), _same(by, "_g"))
-    few = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(_FEW - 1)), lambda j: F.get("_e", j * _FEW - 1)), lambda e: e < F.col("value")))
-    each = each.withColumn("_c", F.when(F.col("_e").isNotNull(), few).otherwise(0))
-    fine = F.size(F.filter(F.slice("_e", F.col("_c") * _FEW + 1, _FEW - 1), lambda e: e < F.col("value")))
-    each = each.withColumn("_b", F.when(F.col("_e").isNotNull(), F.col("_c") * _FEW + fine).otherwise(0))
+    each = _by_group(counts, groups, by, "total", "_e").withColumn("_b", F.lit(0))
+    step = _RANGES
+    while step > 1:  # a value's range is the number of edges below it; without edges there is one
+        step //= 2
+        each = each.withColumn("_b", F.col("_b") + F.when(F.get("_e", F.col("_b") + (step - 1)) < F.col("value"), step).otherwise(0))
     return each.select(*by, *keep, "value", "n", "total", "_b")
 
 

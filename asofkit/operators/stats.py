@@ -157,9 +157,10 @@ def redundant(matrix: DataFrame, by: list[str], threshold: float = 0.7) -> DataF
 def spearman_matrix(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     """(by, left, right, n, rho) of each pair of columns over rows where both exist; all pairs in one pass."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    each = df.select(*by, F.inline(F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for a, b in pairs))))
-    keys = [*by, "left", "right"]
-    return R.rank_correlation(each, keys).groupBy(*keys).agg(F.sum("n").alias("n"), R.spearman().alias("rho"))
+    each = df.select(*by, F.inline(F.array(*(F.struct(F.lit(i).alias("_pair"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for i, (a, b) in enumerate(pairs)))))
+    rho = R.rank_correlation(each, [*by, "_pair"]).groupBy(*by, "_pair").agg(F.sum("n").alias("n"), R.spearman().alias("rho"))
+    name = lambda side: F.get(F.array(*(F.lit(p[side]) for p in pairs)), F.col("_pair"))
+    return rho.select(*by, name(0).alias("left"), name(1).alias("right"), "n", "rho")
 
 
 def training_quantiles(events: DataFrame, folds: DataFrame | None, col: str, points: dict[str, float]) -> DataFrame:

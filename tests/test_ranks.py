@@ -76,3 +76,18 @@ def test_lots_of_one_account_take_linear_time(spark):
     began = time.time()
     row = L.fifo_lots(df).first()
     assert time.time() - began < 60 and row.realised == pytest.approx(n / 2) and row.open_quantity == 0
+
+
+def test_a_large_group_stays_spread_over_tasks(spark):
+    """Its values get their ranges where they are; values of small groups are shuffled by group."""
+    df = spark.range(40000).selectExpr("CASE WHEN id < 20000 THEN 'big' WHEN id < 39990 THEN NULL ELSE concat('g', id) END AS g", "cast(pmod(xxhash64(id), 1000003) AS double) AS x")
+    counts = R.count_values(df, ["g"], "x")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = R._located(counts, ["g"], 1000).withColumn("task", F.spark_partition_id()).groupBy("g", "task").agg(F.count("*").alias("n"), F.countDistinct("_b").alias("b")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in ("big", None):
+        mine = [r for r in rows if r.g == g]
+        assert sum(r.n for r in mine) > 19000 and max(r.n for r in mine) < 8000 and max(r.b for r in mine) > 200
+    assert sum(r.n for r in rows if r.g not in ("big", None)) == 10
