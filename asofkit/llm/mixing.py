@@ -55,29 +55,31 @@ def curriculum_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: i
     """
     place = {name: F.col(f"c{i}") for i, name in enumerate(docs.columns)}
     order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(place[key].cast("string"), F.lit(""))))
+    # A source's group is never null, so that the join below goes by the very columns that the window has shuffled the texts by.
+    group = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
     sized = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).select(
         place[key].alias("doc_id"),
-        place[source].cast("string").alias("source"),
+        group(place[source].cast("string")).alias("group"),
         F.coalesce(F.regexp_count(place[text].cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         order.alias("o"),
         F.struct(*(place[c].alias(c) for c in keep)).alias("kept") if keep else F.lit(None).cast("boolean").alias("kept"),
         (F.xxhash64(place[text].cast("string")) if keep else F.lit(0)).alias("tie"),
     ).withColumn("part", F.substring("o", 1, _DIGITS))
     # Words by source and group of the order: the one pass over the texts that the targets need.
-    parts = sized.groupBy("source", "part").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("source", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"), F.sum("words").over(Window.partitionBy("source")).alias("source_size"))
-    totals = parts.groupBy("source").agg(F.max("source_size").alias("source_size"))
+    parts = sized.groupBy("group", "part").agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("group", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"), F.sum("words").over(Window.partitionBy("group")).alias("source_size"))
+    totals = parts.groupBy("group").agg(F.max("source_size").alias("source_size")).select(F.when(F.col("group") != "", F.expr("substring(group, 2)")).alias("source"), "source_size")
     slope = F.element_at(
         F.array(*(F.lit((a - b) / (a + b)) for a, b in schedules)), ((F.col("rank") - 1) % len(schedules) + 1).cast("int")
     )
-    targets = source_targets(totals, weights, cap).select(F.col("source").alias("s"), "target", slope.alias("slope"))
-    plan = parts.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = plan.select(F.col("source").alias("s"), F.col("part").alias("p"), "before", "source_size", "target", "slope")
-    within = Window.partitionBy("source", "part").orderBy("o", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    targets = source_targets(totals, weights, cap).select(group(F.col("source")).alias("s"), "target", slope.alias("slope"))
+    plan = parts.join(targets, F.col("group") == F.col("s")).drop("s")
+    plan = plan.select(F.col("group").alias("s"), F.col("part").alias("p"), "before", "source_size", "target", "slope")
+    within = Window.partitionBy("group", "part").orderBy("o", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         sized.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+        .join(plan, (F.col("group") == F.col("s")) & (F.col("part") == F.col("p")))
         .withColumn("at", F.col("at") + F.col("before"))
         .withColumn("goal", F.floor("target").cast("long"))
     )

@@ -29,3 +29,15 @@ def test_shards_follow_the_bytes_of_text(spark, tmp_path, monkeypatch):
     few = write("a")
     monkeypatch.setattr(token_index, "SHARD_BYTES", 10_000)
     assert few == 4 and write("b") >= 25
+
+
+def test_mixing_shuffles_texts_twice(spark):
+    """Once for the order within a source, where the targets join without another shuffle, and once for the range sort."""
+    docs = spark.createDataFrame([(i, f"some words {i}", "en", [None, "", "=", "a"][i % 4], 9) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = STAGES["mixing sources"](spark, docs, "")
+    moved = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert moved and not any("<=>" in line or "coalesce" in line for line in moved)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(group") >= 1 and "Exchange hashpartitioning(coalesce" not in plan
+    rows = out.collect()
+    assert {r.source for r in rows} == {None, "", "=", "a"}  # the mix leaves documents of lighter sources out
